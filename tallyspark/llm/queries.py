@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_windows
 
@@ -30,6 +36,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_lm_scores": op10_lm_scores,
 }
