@@ -25,6 +25,23 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .monoid_bpe import digests, encode_documents
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return digests(encode_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bottomk import fingerprints
+
+    return fingerprints(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bloom_lm import score_texts
 
@@ -38,6 +55,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_fingerprints": op7_fingerprints,
     "op10_lm_scores": op10_lm_scores,
 }
 
