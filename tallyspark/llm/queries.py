@@ -42,6 +42,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bloom_lm import score_texts
 
@@ -57,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_fingerprints": op7_fingerprints,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scores": op10_lm_scores,
 }
 
