@@ -12,6 +12,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf_quality import held_out, score, train
+
+    docs = _read(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch_dedup import near_duplicates
 
@@ -62,6 +70,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_crf_quality": op1_line_crf_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
