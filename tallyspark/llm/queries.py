@@ -20,6 +20,12 @@ def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ads_search import search
+
+    return search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch_dedup import near_duplicates
 
@@ -71,6 +77,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf_quality": op1_line_crf_quality,
+    "op2_adaptive_scan": op2_adaptive_scan,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
