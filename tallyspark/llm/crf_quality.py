@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 
@@ -231,14 +232,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     return fit([r["features"] for r in found], [r["quality"] for r in found])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every whole text."""
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score and the columns to carry along, of every whole text."""
+    kept = [c for c in carry if c != "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = kernels.binary_list(batch.column(1))
             scores = [document_scores(model, b) for b in _blocks(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "score"])
+            column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
+    scored = rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.select("doc_id", *carry, "score")

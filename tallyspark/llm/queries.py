@@ -32,6 +32,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_extract import extract
+
+    return extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import repeated_windows
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf_quality": op1_line_crf_quality,
     "op2_adaptive_scan": op2_adaptive_scan,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_block_labeller": op4_block_labeller,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_fingerprints": op7_fingerprints,

@@ -23,11 +23,11 @@ from . import grid, kernels
 _OUT = "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_text string"
 
 
-def _in_order(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts in an order that does not depend on how the shuffle delivered them."""
+def _in_order(table: pa.Table) -> tuple[list[int], list[bytes]]:
+    """Rows' places and texts in an order that does not depend on how the shuffle delivered them."""
     ids, texts = table["doc_id"].to_pylist(), kernels.binary_list(table["text"])
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    return order, [texts[i] for i in order]
 
 
 def _chunk_windows(texts: list[bytes], window: int):
@@ -43,15 +43,16 @@ def _chunk_windows(texts: list[bytes], window: int):
     return found, at, where, distinct, np.bincount(where, minlength=len(distinct)) > 1
 
 
-def repeated_windows(docs: DataFrame, window: int = 35, chunk_bytes: int = grid.CHUNK_BYTES, keep_spacing: bool = False) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 35, chunk_bytes: int = grid.CHUNK_BYTES, keep_spacing: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: word counts, the removed word intervals [start, end), and what is kept.
 
     ``kept_text`` joins kept words by one space; with ``keep_spacing`` it is the text itself with
-    the removed intervals cut out, unchanged where nothing was removed.
+    the removed intervals cut out, unchanged where nothing was removed. Columns named in ``carry``
+    stay with their row.
     """
     if window < 1:
         raise ValueError("window must be at least one word")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     chunks = parts = grid.chunk_count(grid.text_bytes(rows), chunk_bytes)
     chunked = rows.withColumn("chunk", grid.chunk_of(F.col("doc_id"), chunks))
 
@@ -88,7 +89,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, chunk_bytes: int = grid.
         })
 
     def remove(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = _in_order(left)
+        places, texts = _in_order(left)
         found, at, where, distinct, _ = _chunk_windows(texts, window)
         answers = sorted(zip(right["part"].to_pylist(), right["size"].to_pylist(), right["repeated"].to_pylist()))
         bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for _, n, b in answers] or [np.zeros(0, np.uint8)]).astype(bool)
@@ -110,16 +111,17 @@ def repeated_windows(docs: DataFrame, window: int = 35, chunk_bytes: int = grid.
             spans.append([{"start": int(s), "end": int(e)} for s, e in runs])
             kept.append(_kept(text, found, a, runs, keep_spacing))
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64()),
+            "doc_id": left["doc_id"].take(places),
             "n_words": pa.array(counts, pa.int64()),
             "n_removed": pa.array(removed, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+            **{c: left[c].take(places) for c in carry},
         })
 
     sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, hashes binary, again binary")
     back = sent.groupBy("part").applyInArrow(count, "chunk int, part int, size int, repeated binary")
-    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(remove, _OUT)
+    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(remove, ", ".join([_OUT, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def _kept(text: bytes, found: kernels.Words, first: int, runs: np.ndarray, keep_spacing: bool) -> bytes:
