@@ -1,6 +1,352 @@
-"""Every query of the reference's own operators, by name."""
+"""Every query of the statement and reward operators, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import text
+from tallyspark.functions.predicates import compile_predicate
+from tallyspark.operators import allocation, geometry, merchants, quality, rewards
+from tallyspark.plans import domain
+from tallyspark.plans.oracles import SQL
+from tallyspark.sources.cards import Card, Milestone, Predicate, Rule, bundled_cards
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def _query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@_query
+def predicate_matrix(spark, sf):
+    food, online, amazon = Predicate("mcc_in", (5814, 5411)), Predicate("channel", ("online",)), Predicate("merchant_in", ("amazon",))
+    tests = {
+        "p_always": Predicate("always"), "p_online": online, "p_food": food, "p_not_food": Predicate("not", (food,)), "p_amazon": amazon, "p_large": Predicate("amount_gte", (250_000,)),
+        "p_1996": Predicate("date_between", (date(1996, 1, 1), date(1996, 12, 31))), "p_all": Predicate("all", (online, food)), "p_any": Predicate("any", (online, amazon)),
+    }
+    return domain.spends(spark, sf).select("spend_id", *(compile_predicate(p).alias(n) for n, p in tests.items()))
+
+
+@_query
+def marginal_reward(spark, sf):
+    scored = rewards.score_cards(domain.spends(spark, sf), bundled_cards())
+    return scored.select("spend_id", "card_id", "rupees_paise", "rule_id", F.round("effective_rate", 6).alias("effective_rate"))
+
+
+@_query
+def rank_cards(spark, sf):
+    return rewards.rank_cards(domain.spends(spark, sf), bundled_cards(), ["spend_id"])
+
+
+@_query
+def winner_advantage(spark, sf):
+    return rewards.winners(domain.spends(spark, sf), bundled_cards(), ["spend_id"])
+
+
+@_query
+def exclusions(spark, sf):
+    cards = [*bundled_cards(), Card("mcc-test", "", "", excluded_mccs=(6513,))]
+    rows = domain.spends(spark, sf).select("spend_id", F.explode(F.array(*(F.struct(F.lit(c.id).alias("card_id"), rewards.exclusion(c).alias("why")) for c in cards))).alias("x"))
+    return rows.filter("x.why is not null").select("spend_id", "x.*")
+
+
+@_query
+def points_conversion(spark, sf):
+    card = Card("points", "", "", rules=(Rule("two", Predicate("always"), 0.02, "points"),), point_value_paise=25)
+    return domain.spends(spark, sf).select("spend_id", rewards.marginal_reward(card)["rupees_paise"].alias("rupees_paise"))
+
+
+def _stateful(spark, sf):
+    return rewards.score_cards(domain.spends(spark, sf), bundled_cards(), domain.bucket_use())
+
+
+@_query
+def bucket_outcomes(spark, sf):
+    return _stateful(spark, sf).select("spend_id", "card_id", F.explode("buckets").alias("b")).select("spend_id", "card_id", "b.bucket_id", "b.applied_paise", "b.consumed_paise", "b.clamped")
+
+
+@_query
+def spend_until_drop(spark, sf):
+    return _stateful(spark, sf).select("spend_id", "card_id", "spend_until_drop")
+
+
+@_query
+def cap_gauge(spark, sf):
+    card = bundled_cards()[0]
+    pending = F.coalesce(F.try_element_at(F.filter(rewards.marginal_reward(card)["buckets"], lambda b: b["bucket_id"] == "online_cap"), F.lit(1))["applied_paise"], F.lit(0))
+    rows = domain.spends(spark, sf).withColumns({"pending": pending, "used": (F.col("spend_id") % 5) * 50_000})
+    gauge = rewards.cap_gauge(F.lit(200_000), F.col("used"), F.col("pending"))
+    status = F.when(gauge["status"].contains("over"), "over").when(gauge["status"].contains("left"), "left").otherwise(gauge["status"])
+    return rows.select("spend_id", F.round(gauge["used_fraction"], 6).alias("used_fraction"), F.round(gauge["pending_fraction"], 6).alias("pending_fraction"), gauge["band"].alias("band"), status.alias("status"))
+
+
+@_query
+def recommendation_flip(spark, sf):
+    return domain.spends(spark, sf).select("spend_id", rewards.recommendation_flip(bundled_cards()[:2], domain.bucket_use()).alias("flip_paise"))
+
+
+@_query
+def cycle_replay(spark, sf):
+    return allocation.replay_window(domain.ordered_spends(spark, sf, 10), bundled_cards()[1]).select("cycle_id", "spend_seq", "rupees_paise")
+
+
+QUERIES["cycle_replay_fold"] = lambda spark, sf: allocation.replay(domain.ordered_spends(spark, sf, 10).withColumn("card_ord", F.lit(1)), bundled_cards()).select("cycle_id", "spend_seq", "rupees_paise")
+
+
+@_query
+def milestones(spark, sf):
+    card = Card("miles", "", "", milestones=(Milestone("a", 1_000_000, 50_000), Milestone("b", 2_500_000, 200_000)))
+    spent = domain.spends(spark, sf).groupBy("cycle_id").agg(F.sum("amount_paise").cast("bigint").alias("spend_paise")).withColumn("card_id", F.lit("miles"))
+    return allocation.milestone_grants(spent, allocation.milestone_rows(spark, [card])).drop("card_id")
+
+
+@_query
+def greedy_allocate(spark, sf):
+    return allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards()).drop("rule_id")
+
+
+@_query
+def greedy_totals(spark, sf):
+    spends = domain.ordered_spends(spark, sf, 10)
+    paid = allocation.greedy_allocate(spends, bundled_cards()).join(spends.select("cycle_id", "spend_seq", "amount_paise"), ["cycle_id", "spend_seq"])
+    reward, spent = F.sum("rupees_paise"), F.sum("amount_paise")
+    return paid.groupBy("cycle_id").agg(reward.cast("bigint").alias("reward_paise"), spent.cast("bigint").alias("spend_paise"), F.count("*").alias("n_spends"), F.round(reward / spent, 6).alias("effective_rate"))
+
+
+def _goal_cards() -> list[Card]:
+    cards = bundled_cards()
+    goal = Card("goal", "", "", rules=(Rule("one", Predicate("always"), 0.01),), milestones=(Milestone("m", 8_000_000, 150_000),))
+    return [*cards, goal]
+
+
+@_query
+def allocate_cycle(spark, sf):
+    return allocation.allocate_cycles(domain.ordered_spends(spark, sf, 10), _goal_cards()).drop("assignment")
+
+
+@_query
+def brute_force(spark, sf):
+    spends = domain.lineitem_spends(spark, sf)
+    few = spends.groupBy("cycle_id").agg(F.count("*").alias("n")).filter("n <= 6").select("cycle_id")
+    return allocation.brute_force_cycles(spends.join(few, "cycle_id"), bundled_cards())
+
+
+@_query
+def leakage_report(spark, sf):
+    return allocation.leakage_report(allocation.allocate_cycles(domain.ordered_spends(spark, sf, 10), _goal_cards()))
+
+
+@_query
+def leakage_sweep(spark, sf):
+    return allocation.volume_sweep(domain.ordered_spends(spark, sf), _goal_cards())
+
+
+def _money_texts(spark, sf):
+    shown, k = text.format_money(F.col("amount_paise")), F.col("spend_id") % 8
+    forms = [shown, F.concat(shown, F.lit(" Dr")), F.concat(F.lit("("), shown, F.lit(")")), F.concat(F.lit("Rs. "), shown), F.concat(F.lit("₹"), shown, F.lit("-")), F.concat(F.lit("CR "), shown), F.lit("SWIGGY"), F.lit("12.345")]
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        out = F.when(k == i, form).otherwise(out)
+    return domain.spends(spark, sf).select("spend_id", "amount_paise", out.alias("shown"))
+
+
+@_query
+def money_parse(spark, sf):
+    return _money_texts(spark, sf).select("spend_id", text.money(F.col("shown")).alias("paise"), text.format_money(F.col("amount_paise")).alias("formatted"))
+
+
+@_query
+def amount_parse(spark, sf):
+    rows = _money_texts(spark, sf).select("spend_id", text.amount(F.col("shown")).alias("a"), text.signed_amount(F.col("shown")).alias("debit_column"))
+    return rows.select("spend_id", "a.paise", "a.sign_explicit", "debit_column")
+
+
+@_query
+def date_parse(spark, sf):
+    day, k = F.col("date"), F.col("spend_id") % 6
+    forms = [F.date_format(day, p) for p in ("dd-MM-yy", "dd/MM/yyyy", "d.M.yy", "dd MMM yyyy", "dd-MMM-yy")]
+    shown = F.lit("31-02-26")
+    for i, form in enumerate(forms):
+        shown = F.when(k == i, form).otherwise(shown)
+    rows = domain.spends(spark, sf).select("spend_id", shown.alias("shown"))
+    glued = F.when(F.col("shown").contains(" "), F.regexp_replace("shown", " ", "")).otherwise(F.col("shown"))
+    return rows.select("spend_id", text.statement_date(F.col("shown")).alias("date"), text.starts_with_date(F.concat(glued, F.lit(" UPI/DR"))).alias("at_start"))
+
+
+@_query
+def format_rupees(spark, sf):
+    sign = F.when(F.col("spend_id") % 3 == 0, -1).otherwise(1)
+    return domain.spends(spark, sf, 997).select("spend_id", text.format_rupees(F.col("amount_paise") * sign).alias("shown"))
+
+
+@_query
+def mask_structure(spark, sf):
+    return domain.read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.mask_structure(F.col("text")), 256).alias("masked_sha256"))
+
+
+@_query
+def normalise_description(spark, sf):
+    return domain.read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("part"), text.normalise_description(F.concat_ws("  ", "p_name", "p_type")).alias("norm"))
+
+
+@_query
+def strip_noise(spark, sf):
+    noisy = F.concat_ws(" ", "p_name", F.lit("Pvt. Ltd"), F.lit("123456"), "p_type", F.lit("INDIA"))
+    return domain.read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("part"), merchants.strip_noise(noisy).alias("stripped"))
+
+
+@_query
+def trigram_similarity(spark, sf):
+    return domain.read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("part"), F.round(text.trigram_similarity(F.upper("p_name"), F.upper("p_brand")), 6).alias("similarity"))
+
+
+@_query
+def jaro_similarity(spark, sf):
+    pairs = domain.read(spark, sf, "part").select("p_name", "p_type").distinct()
+    return pairs.select("p_name", "p_type", F.round(merchants.jaro_similarity("p_name", "p_type"), 6).alias("similarity"))
+
+
+@_query
+def descriptor_parts(spark, sf):
+    d = domain.descriptors(spark, sf).select("spend_id", merchants.parse_descriptor(F.col("raw")).alias("d"))
+    return d.select("spend_id", "d.kind", "d.reference", "d.handle", "d.note")
+
+
+def _resolved(spark, sf, aliases=None):
+    return merchants.resolve(domain.descriptors(spark, sf), "spend_id", "raw", aliases)
+
+
+@_query
+def cascade_stage(spark, sf):
+    return _resolved(spark, sf).select("spend_id", "stage", "merchant_id", "mcc")
+
+
+@_query
+def alias_match(spark, sf):
+    taught = [("changamp", "swiggy", 1), ("CHANGAMP", "zepto", 2), ("Pay", "nobody", 1), ("QQZX", "blinkit", 1), ("qqzx", "blinkit", 2)]
+    aliases = spark.createDataFrame(taught, "candidate string, merchant_id string, learnt_ord int")
+    return _resolved(spark, sf, aliases).select("spend_id", "stage", "merchant_id")
+
+
+@_query
+def substring_baseline(spark, sf):
+    return domain.descriptors(spark, sf).select("spend_id", merchants.substring_baseline(F.col("raw")).alias("merchant_id"))
+
+
+@_query
+def stage_histogram(spark, sf):
+    return merchants.stage_histogram(_resolved(spark, sf)).drop("stage_ord")
+
+
+@_query
+def mcc_distribution(spark, sf):
+    return merchants.mcc_distribution(_resolved(spark, sf))
+
+
+@_query
+def fuzzy_targets(spark, sf):
+    return merchants.fuzzy_targets(_resolved(spark, sf))
+
+
+@_query
+def cascade_vs_baseline(spark, sf):
+    return merchants.cascade_vs_baseline(_resolved(spark, sf))
+
+
+@_query
+def unknown_queue(spark, sf):
+    return merchants.unknown_queue(_resolved(spark, sf))
+
+
+@_query
+def label_coverage(spark, sf):
+    descriptors = domain.descriptors(spark, sf)
+    return merchants.label_coverage(descriptors.groupBy(F.col("raw").alias("payee")).agg(F.count("*").alias("n")), descriptors.count())
+
+
+@_query
+def import_metrics(spark, sf):
+    return quality.import_metrics(_resolved(spark, sf))
+
+
+@_query
+def balance_reconcile(spark, sf):
+    return quality.reconcile(domain.ledger(spark, sf), "cycle_id", ["spend_seq"])
+
+
+@_query
+def consistency(spark, sf):
+    rows = domain.ledger(spark, sf)
+    return quality.consistency(quality.reconcile(rows, "cycle_id", ["spend_seq"]), "cycle_id", rows)
+
+
+@_query
+def extraction_score(spark, sf):
+    return quality.extraction_score(*domain.labelled(spark, sf), "doc")
+
+
+def _counted(rows):
+    return rows.groupBy("doc", "amount_paise", "date").agg(F.count("*").alias("n"))
+
+
+@_query
+def missed_rows(spark, sf):
+    return _counted(quality.missed(*domain.labelled(spark, sf), "doc"))
+
+
+@_query
+def spurious_rows(spark, sf):
+    return _counted(quality.spurious(*domain.labelled(spark, sf), "doc"))
+
+
+@_query
+def import_summary(spark, sf):
+    return quality.import_summary(domain.ledger(spark, sf))
+
+
+def _rows(spark, sf):
+    return geometry.rows_of(geometry.cluster_rows(domain.glyphs(spark, sf)))
+
+
+@_query
+def row_cluster(spark, sf):
+    return geometry.cluster_rows(domain.glyphs(spark, sf)).groupBy("doc_id", "page").agg(F.count_distinct("row_id").alias("n_rows"))
+
+
+@_query
+def row_text(spark, sf):
+    return _rows(spark, sf).select("doc_id", "page", "row_id", "text")
+
+
+@_query
+def table_locate(spark, sf):
+    return geometry.locate_tables(_rows(spark, sf)).groupBy("doc_id", "page").agg(F.count_if("is_anchor").alias("anchors"), F.count("*").alias("n_rows"))
+
+
+@_query
+def column_detect(spark, sf):
+    table = geometry.locate_tables(_rows(spark, sf))
+    return geometry.detect_columns(table.filter("is_anchor")).select("doc_id", "page", (F.size("boundaries") + 1).alias("n_columns"))
+
+
+@_query
+def statement_extract(spark, sf):
+    return geometry.extract_statements(domain.glyphs(spark, sf)).drop("txn_ord")
+
+
+@_query
+def import_pipeline(spark, sf):
+    """Glyphs to resolved transactions, with the stage that settled each payee."""
+    rows = geometry.extract_statements(domain.glyphs(spark, sf)).withColumn("key", F.concat_ws(":", "doc_id", "page", "txn_ord"))
+    settled = merchants.resolve(rows.select("key", "description"), "key", "description")
+    return rows.join(settled.select("key", "stage", "merchant_id", "mcc"), "key").select("doc_id", "date", "amount_paise", "stage", "merchant_id", "mcc")
+
+
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in QUERIES} | {"cycle_replay_fold": SQL["cycle_replay"]}
