@@ -235,12 +235,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, small:
     table = written(_sketched(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "sketches")
     sets = table.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("row", F.struct("doc_id", "row")).alias("row"))
     sets = written(sets, "sets")
-    nodes = table.join(sets.select("row"), "row", "left_semi").select("doc_id", "n_shingles", "registers", "packed")
     width = 2 * ROWS
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width))))
-    banded = nodes.select("doc_id", F.explode(key).alias("key"))
+    banded = table.join(sets.select("row"), "row", "left_semi").select("row", "doc_id", F.explode(key).alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1")
     members = written(banded.join(buckets, "key"), "members")
+    # texts travel on only for documents that share a bucket
+    nodes = written(table.join(members.select("row").distinct(), "row", "left_semi").select("doc_id", "n_shingles", "registers", "packed"), "nodes")
 
     led = members.filter("doc_id <> leader")
     first = led.groupBy("doc_id", "leader").agg(F.count("*").alias("times")).groupBy("doc_id").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("a"))
