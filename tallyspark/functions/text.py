@@ -6,12 +6,20 @@ alone; and ends of text are ``\\z``, since ``$`` also matches before a last line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WS = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row. A Column used twice is an expression written
+    twice, and steps that each use the last one's result would double at every step."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(x: Column) -> Column:
     return F.regexp_replace(x, f"^{_WS}+|{_WS}+\\z", "")
 
@@ -57,60 +65,79 @@ def statement_date(text: Column) -> Column:
     """Day-first dates, numeric or with a month's name; impossible ones are null."""
     numeric = "^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{2}|[0-9]{4})\\z"
     named = f"^([0-9]{{1,2}})(?:[-/]|{_WS})*([A-Za-z]{{3,4}})(?:[-/]|{_WS})*([0-9]{{2}}|[0-9]{{4}})\\z"
-    t = trim(text)
-    name = F.lower(F.regexp_extract(t, named, 2))
-    month = F.when(name == "sept", F.lit(9))
-    for k, m in enumerate(_MONTHS, 1):
-        month = F.when(name == m, F.lit(k)).otherwise(month)
-    is_numeric = t.rlike(numeric)
-    day = F.when(is_numeric, F.regexp_extract(t, numeric, 1)).otherwise(F.regexp_extract(t, named, 1)).try_cast("int")
-    month = F.when(is_numeric, F.regexp_extract(t, numeric, 2).try_cast("int")).otherwise(month)
-    short = F.when(is_numeric, F.regexp_extract(t, numeric, 3)).otherwise(F.regexp_extract(t, named, 3))
-    year = short.try_cast("int")
-    year = F.when(F.length(short) == 2, F.when(year >= 70, year + 1900).otherwise(year + 2000)).otherwise(year)
-    return F.to_date(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)))
+
+    def month_of(name: Column) -> Column:
+        k = F.array_position(F.array(*map(F.lit, _MONTHS)), name)
+        return F.when(name == "sept", F.lit(9)).when(k > 0, k).cast("int")
+
+    def parts(t: Column, pattern: str, month: Column) -> Column:
+        return F.struct(F.regexp_extract(t, pattern, 1).try_cast("int").alias("day"), month.alias("month"), F.regexp_extract(t, pattern, 3).alias("year"))
+
+    def fields(t: Column) -> Column:
+        by_name = parts(t, named, month_of(F.lower(F.regexp_extract(t, named, 2))))
+        return F.when(t.rlike(numeric), parts(t, numeric, F.regexp_extract(t, numeric, 2).try_cast("int"))).otherwise(by_name)
+
+    def date(f: Column) -> Column:
+        year = f["year"].try_cast("int")
+        full = F.when(F.length(f["year"]) > 2, year).when(year >= 70, year + 1900).otherwise(year + 2000)
+        return F.to_date(F.try_make_timestamp(full, f["month"], f["day"], F.lit(0), F.lit(0), F.lit(0)))
+
+    return let(let(trim(text), fields), date)
 
 
 def amount(text: Column) -> Column:
     """struct<paise, sign_explicit>, or null: currency marks, brackets, Dr/Cr and minus signs."""
-    v = trim(F.regexp_replace(F.regexp_replace(trim(text), "₹", ""), f"(?i)^(INR|Rs\\.?){_WS}*", ""))
-    bracketed = v.startswith("(") & v.endswith(")") & (F.length(v) >= 2)
-    v = F.when(bracketed, trim(F.regexp_replace(v, "^\\(|\\)\\z", ""))).otherwise(v)
     lead = f"(?is)^(DR|CR)\\.?{_WS}+(.*)\\z"
     tail = f"(?is)^(.*?){_WS}*(DR|CR)\\.?\\z"
-    front, has_front = _group(v, lead, 1), v.rlike(lead)
-    rest = F.when(has_front, F.regexp_extract(v, lead, 2)).otherwise(v)
-    back = _group(rest, tail, 2)
-    mark = F.upper(F.coalesce(front, back))
-    v = trim(F.when(rest.rlike(tail), F.regexp_extract(rest, tail, 1)).otherwise(rest))
-    after = v.endswith("-")
-    v = F.when(after, trim(F.regexp_replace(v, "-\\z", ""))).otherwise(v)
-    before = v.startswith("-")
-    v = F.when(before, trim(F.regexp_replace(v, "^-", ""))).otherwise(v)
-    negative = F.when(after | before, F.lit(True)).when(mark.isNotNull(), mark == "DR").otherwise(bracketed)
-    size = F.when(v.rlike("^[0-9][0-9,]*(\\.[0-9]{1,2})?\\z"), money(v))
-    explicit = after | before | mark.isNotNull() | bracketed
-    return F.when(size.isNotNull(), F.struct(F.when(negative, -size).otherwise(size).alias("paise"), explicit.alias("sign_explicit")))
+    bare = trim(F.regexp_replace(F.regexp_replace(trim(text), "₹", ""), f"(?i)^(INR|Rs\\.?){_WS}*", ""))
+
+    def brackets(v: Column) -> Column:
+        held = v.startswith("(") & v.endswith(")") & (F.length(v) >= 2)
+        return F.struct(held.alias("bracketed"), F.when(held, trim(F.regexp_replace(v, "^\\(|\\)\\z", ""))).otherwise(v).alias("v"))
+
+    def front_mark(s: Column) -> Column:
+        v = s["v"]
+        return F.struct(s["bracketed"].alias("bracketed"), _group(v, lead, 1).alias("front"), F.when(v.rlike(lead), F.regexp_extract(v, lead, 2)).otherwise(v).alias("v"))
+
+    def back_mark(s: Column) -> Column:
+        v = s["v"]
+        mark = F.upper(F.coalesce(s["front"], _group(v, tail, 2)))
+        return F.struct(s["bracketed"].alias("bracketed"), mark.alias("mark"), trim(F.when(v.rlike(tail), F.regexp_extract(v, tail, 1)).otherwise(v)).alias("v"))
+
+    def minus(s: Column) -> Column:
+        v = s["v"]
+        return F.struct(s["bracketed"].alias("bracketed"), s["mark"].alias("mark"), (v.endswith("-") | v.startswith("-")).alias("minus"), trim(F.regexp_replace(trim(F.regexp_replace(v, "-\\z", "")), "^-", "")).alias("v"))
+
+    def signed(s: Column) -> Column:
+        negative = F.when(s["minus"], F.lit(True)).when(s["mark"].isNotNull(), s["mark"] == "DR").otherwise(s["bracketed"])
+        size = F.when(s["v"].rlike("^[0-9][0-9,]*(\\.[0-9]{1,2})?\\z"), money(s["v"]))
+        explicit = s["minus"] | s["mark"].isNotNull() | s["bracketed"]
+        return let(size, lambda x: F.when(x.isNotNull(), F.struct(F.when(negative, -x).otherwise(x).alias("paise"), explicit.alias("sign_explicit"))))
+
+    found = bare
+    for step in (brackets, front_mark, back_mark, minus, signed):
+        found = let(found, step)
+    return found
 
 
 def split_amount(debit: Column, credit: Column) -> Column:
     """Debit column first, as a negative; then credit; null if both are zero or unreadable."""
     d, c = (F.abs(F.coalesce(amount(x)["paise"], F.lit(0))) for x in (debit, credit))
-    return F.when(d != 0, -d).when(c != 0, c)
+    return let(F.struct(d.alias("d"), c.alias("c")), lambda s: F.when(s["d"] != 0, -s["d"]).when(s["c"] != 0, s["c"]))
 
 
 def signed_amount(text: Column, unsigned_is_debit: bool = True) -> Column:
-    a = amount(text)
-    return F.when(a["sign_explicit"] | F.lit(not unsigned_is_debit), a["paise"]).otherwise(-a["paise"])
+    return let(amount(text), lambda a: F.when(a["sign_explicit"] | F.lit(not unsigned_is_debit), a["paise"]).otherwise(-a["paise"]))
 
 
 def starts_with_date(text: Column) -> Column:
     """Whether the first token, or the first 10, 9, 8 or 6 characters, read as a date."""
-    t = F.regexp_replace(text, f"^{_WS}+", "")
-    found = statement_date(F.regexp_extract(t, f"^((?:(?!{_WS}).)*)", 1)).isNotNull()
-    for n in (10, 9, 8, 6):
-        found = found | ((F.length(t) >= n) & statement_date(F.substring(t, 1, n)).isNotNull())
-    return F.coalesce(found, F.lit(False))
+
+    def found(t: Column) -> Column:
+        heads = [F.when(F.length(t) >= n, F.substring(t, 1, n)) for n in (10, 9, 8, 6)]
+        return F.exists(F.array(F.regexp_extract(t, f"^((?:(?!{_WS}).)*)", 1), *heads), lambda s: statement_date(s).isNotNull())
+
+    return F.coalesce(let(F.regexp_replace(text, f"^{_WS}+", ""), found), F.lit(False))
 
 
 def normalise_description(text: Column) -> Column:
@@ -138,5 +165,4 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    x, y = trigrams(a), trigrams(b)
-    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    return let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.size(F.array_union(s["x"], s["y"])))

@@ -142,14 +142,31 @@ class Wallet:
         return best, most
 
 
+def card_options(cards: list[Card]) -> Column:
+    """array<bigint>: card, rule and gross of every candidate in turn, flat, as Arrow hands it to
+    pandas without a Python object for each."""
+
+    def triples(k: int) -> Column:
+        return F.transform(rule_candidates(cards[k]), lambda x: F.array(F.lit(k).cast("bigint"), x["rule"].cast("bigint"), x["gross"]))
+
+    return F.flatten(F.flatten(F.array(*map(triples, range(len(cards))))))
+
+
 def with_options(spends: DataFrame, cards: list[Card]) -> DataFrame:
-    """cycle_id, spend_seq, amount_paise and, per card, the array of rule candidates."""
-    return spends.select("cycle_id", "spend_seq", "amount_paise", F.array(*map(rule_candidates, cards)).alias("options"))
+    """cycle_id, spend_seq, amount_paise and the rule candidates of all cards."""
+    return spends.select("cycle_id", "spend_seq", "amount_paise", card_options(cards).alias("options"))
 
 
-def _spends_of(group: pd.DataFrame) -> list:
+def _spends_of(group: pd.DataFrame, n_cards: int) -> list[tuple[int, list[Options]]]:
     group = group.sort_values("spend_seq", kind="stable")
-    return [(int(a), [[(int(x["rule"]), int(x["gross"])) for x in per] for per in options]) for a, options in zip(group["amount_paise"], group["options"])]
+    out = []
+    for amount, flat in zip(group["amount_paise"].tolist(), group["options"]):
+        options: list[Options] = [[] for _ in range(n_cards)]
+        values = iter(flat.tolist())
+        for card, rule, gross in zip(values, values, values):
+            options[card].append((rule, gross))
+        out.append((amount, options))
+    return out
 
 
 def greedy_allocate(spends: DataFrame, cards: list[Card]) -> DataFrame:
@@ -157,7 +174,7 @@ def greedy_allocate(spends: DataFrame, cards: list[Card]) -> DataFrame:
     wallet = Wallet(cards)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        own = _spends_of(group)
+        own = _spends_of(group, len(cards))
         chosen, paid, rules = wallet.greedy(own)
         ids = [wallet.cards[c].rules[r].id if r >= 0 else None for c, r in zip(chosen, rules)]
         return pd.DataFrame({"cycle_id": group["cycle_id"].iloc[0], "spend_seq": sorted(group["spend_seq"]), "card_id": [wallet.cards[c].id for c in chosen], "rupees_paise": paid, "rule_id": ids})
@@ -172,14 +189,14 @@ def replay(assigned: DataFrame, cards: list[Card]) -> DataFrame:
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("spend_seq", kind="stable")
         card, used, paid = int(group["card_ord"].iloc[0]), {}, []
-        for _, options in _spends_of(group):
+        for _, options in _spends_of(group, len(cards)):
             rupees, takes, rule = wallet.pay(card, options[card], used)
             for b, x in takes.items():
                 used[b] = used.get(b, 0) + x
             paid.append((rupees, wallet.cards[card].rules[rule].id if rule >= 0 else None))
         return pd.DataFrame({"cycle_id": group["cycle_id"].iloc[0], "card_ord": card, "spend_seq": group["spend_seq"].to_numpy(), "rupees_paise": [p for p, _ in paid], "rule_id": [r for _, r in paid]})
 
-    rows = assigned.select("cycle_id", "card_ord", "spend_seq", "amount_paise", F.array(*map(rule_candidates, cards)).alias("options"))
+    rows = assigned.select("cycle_id", "card_ord", "spend_seq", "amount_paise", card_options(cards).alias("options"))
     return rows.groupBy("cycle_id", "card_ord").applyInPandas(fold, "cycle_id long, card_ord int, spend_seq long, rupees_paise long, rule_id string")
 
 
@@ -223,13 +240,13 @@ def allocate_cycles(spends: DataFrame, cards: list[Card], extra_keys: tuple[str,
     keys = [*extra_keys, "cycle_id"]
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        own = _spends_of(group)
+        own = _spends_of(group, len(cards))
         naive = sum(r + m for r, _, m in wallet.value(own, wallet.greedy(own)[0]))
         assignment, total = wallet.allocate(own)
         row = {k: [group[k].iloc[0]] for k in keys}
         return pd.DataFrame(row | {"n_spends": [len(own)], "spend_paise": [sum(s[0] for s in own)], "greedy_paise": [naive], "allocated_paise": [total], "assignment": [assignment]})
 
-    rows = spends.select(*keys, "spend_seq", "amount_paise", F.array(*map(rule_candidates, cards)).alias("options"))
+    rows = spends.select(*keys, "spend_seq", "amount_paise", card_options(cards).alias("options"))
     schema = ", ".join(f"{k} long" for k in keys) + ", n_spends long, spend_paise long, greedy_paise long, allocated_paise long, assignment array<int>"
     return rows.groupBy(*keys).applyInPandas(fold, schema)
 
@@ -238,7 +255,7 @@ def brute_force_cycles(spends: DataFrame, cards: list[Card]) -> DataFrame:
     wallet = Wallet(cards)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        own = _spends_of(group)
+        own = _spends_of(group, len(cards))
         return pd.DataFrame({"cycle_id": [group["cycle_id"].iloc[0]], "allocated_paise": [wallet.allocate(own)[1]], "optimum_paise": [wallet.brute_force(own)[1]]})
 
     return with_options(spends, cards).groupBy("cycle_id").applyInPandas(fold, "cycle_id long, allocated_paise long, optimum_paise long")

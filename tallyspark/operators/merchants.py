@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.functions.text import mask_structure, trim
+from tallyspark.functions.text import let, mask_structure, trim
 from tallyspark.sources.merchants import AGGREGATORS, BANK_OPERATIONS, CATALOGUE, FAMILIES, NOISE, catalogue, exact_keys, names
 
 FUZZY, CONFIDENT, FAMILY_CONFIDENCE = 0.88, 0.9, 0.6
@@ -25,10 +25,14 @@ def strip_noise(text: Column) -> Column:
 
 
 def bank_operation(text: Column) -> Column:
-    upper, out = F.upper(trim(text)), F.lit(None).cast("string")
-    for pattern, name in reversed(BANK_OPERATIONS):
-        out = F.when(upper.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+
+    def first(upper: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, name in reversed(BANK_OPERATIONS):
+            out = F.when(upper.rlike(pattern), F.lit(name)).otherwise(out)
+        return out
+
+    return let(F.upper(trim(text)), first)
 
 
 def _first(parts: Column) -> Column:
@@ -37,29 +41,41 @@ def _first(parts: Column) -> Column:
 
 def parse_descriptor(raw: Column) -> Column:
     """struct<kind, candidates, reference, handle, note>."""
-    text = trim(raw)
-    parts = F.transform(F.split(text, "[/-]"), trim)
-    body = F.filter(F.slice(parts, 2, 10_000), lambda p: (p != "") & ~F.upper(p).isin("DR", "CR", "UPI"))
     is_reference = lambda p: p.rlike("^[0-9]{6,}\\z")
     is_handle = lambda p: p.rlike("^[a-z][a-z0-9._]*\\z")
-    rest = F.filter(body, lambda p: ~is_reference(p) & ~p.rlike("^[A-Z]{4}\\z"))
-    offered = F.filter(rest, lambda p: ~is_handle(p) | ~p.rlike("^[a-z]?[0-9]{5,}"))
-    upi = F.array_distinct(F.filter(F.transform(offered, strip_noise), lambda c: c != ""))
-    star = F.instr(text, "*")
-    prefix = trim(F.upper(F.substring(text, F.lit(1), star - 1)))
-    routed = (star > 1) & prefix.rlike("^(" + "|".join(AGGREGATORS) + ")")
-    card = strip_noise(F.when(routed, F.substring(text, star + 1, F.lit(1 << 20))).otherwise(text))
-    bank = bank_operation(raw)
-    is_upi = F.upper(text).rlike("^UPI[/-]")
-    kind = F.when(F.coalesce(text, F.lit("")) == "", "unknown").when(bank.isNotNull(), "bankOperation").when(is_upi, "upi").when(card != "", "card").otherwise("unknown")
     none = F.lit(None).cast("string")
-    candidates = F.when(kind == "bankOperation", F.array(bank)).when(kind == "upi", upi).when(kind == "card", F.array(card)).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        kind.alias("kind"), candidates.alias("candidates"),
-        F.when(kind == "upi", _first(F.filter(body, is_reference))).otherwise(none).alias("reference"),
-        F.when(kind == "upi", _first(F.filter(rest, is_handle))).otherwise(none).alias("handle"),
-        F.when((kind == "upi") & (F.size(parts) > 6), F.element_at(parts, -1)).otherwise(none).alias("note"),
-    )
+
+    def pieces(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.transform(F.split(text, "[/-]"), trim).alias("parts"))
+
+    def bodies(s: Column) -> Column:
+        body = F.filter(F.slice(s["parts"], 2, 10_000), lambda p: (p != "") & ~F.upper(p).isin("DR", "CR", "UPI"))
+        return F.struct(s["text"].alias("text"), s["parts"].alias("parts"), body.alias("body"), F.filter(body, lambda p: ~is_reference(p) & ~p.rlike("^[A-Z]{4}\\z")).alias("rest"))
+
+    def kinds(s: Column) -> Column:
+        text = s["text"]
+        offered = F.filter(s["rest"], lambda p: ~is_handle(p) | ~p.rlike("^[a-z]?[0-9]{5,}"))
+        upi = F.array_distinct(F.filter(F.transform(offered, strip_noise), lambda c: c != ""))
+        star = F.instr(text, "*")
+        routed = (star > 1) & trim(F.upper(F.substring(text, F.lit(1), star - 1))).rlike("^(" + "|".join(AGGREGATORS) + ")")
+        card = strip_noise(F.when(routed, F.substring(text, star + 1, F.lit(1 << 20))).otherwise(text))
+        kept = [s[c].alias(c) for c in ("text", "parts", "body", "rest")]
+        return F.struct(*kept, upi.alias("upi"), card.alias("card"), bank_operation(text).alias("bank"), F.upper(text).rlike("^UPI[/-]").alias("is_upi"))
+
+    def named(s: Column) -> Column:
+        kind = F.when(F.coalesce(s["text"], F.lit("")) == "", "unknown").when(s["bank"].isNotNull(), "bankOperation").when(s["is_upi"], "upi").when(s["card"] != "", "card").otherwise("unknown")
+        return let(kind, lambda k: F.struct(
+            k.alias("kind"),
+            F.when(k == "bankOperation", F.array(s["bank"])).when(k == "upi", s["upi"]).when(k == "card", F.array(s["card"])).otherwise(F.array().cast("array<string>")).alias("candidates"),
+            F.when(k == "upi", _first(F.filter(s["body"], is_reference))).otherwise(none).alias("reference"),
+            F.when(k == "upi", _first(F.filter(s["rest"], is_handle))).otherwise(none).alias("handle"),
+            F.when((k == "upi") & (F.size(s["parts"]) > 6), F.element_at(s["parts"], -1)).otherwise(none).alias("note"),
+        ))
+
+    found = trim(raw)
+    for step in (pieces, bodies, kinds, named):
+        found = let(found, step)
+    return found
 
 
 def jaro(a: str, b: str) -> float:
@@ -135,7 +151,8 @@ def resolve(descriptors: DataFrame, key: str, raw: str, aliases: DataFrame | Non
     merchants are ignored. Every stage sees every candidate before the next one runs.
     """
     spark = descriptors.sparkSession
-    parsed = descriptors.select(key, F.col(raw).alias("raw"), parse_descriptor(F.col(raw)).alias("d")).select(key, "raw", "d.*")
+    # a generator stands between, so that no later filter or field repeats the parsing
+    parsed = descriptors.select(key, F.col(raw).alias("raw"), F.inline(F.array(parse_descriptor(F.col(raw)))))
     shelf = F.broadcast(catalogue(spark))
     offers = parsed.filter("kind <> 'bankOperation'").select(key, F.posexplode("candidates").alias("cand_ord", "candidate"))
 

@@ -100,7 +100,7 @@ SQL: dict[str, str] = {
     "amount_parse": f"""WITH {spends()} SELECT spend_id, CASE WHEN spend_id % 8 IN (1, 2, 4) THEN -amount_paise WHEN spend_id % 8 IN (0, 3, 5) THEN amount_paise END AS paise,
       CASE WHEN spend_id % 8 IN (1, 2, 4, 5) THEN true WHEN spend_id % 8 IN (0, 3) THEN false END AS sign_explicit,
       CASE WHEN spend_id % 8 IN (1, 2, 4, 0, 3) THEN -amount_paise WHEN spend_id % 8 = 5 THEN amount_paise END AS debit_column FROM s""",
-    "date_parse": "SELECT CAST(o_orderkey AS BIGINT) AS spend_id, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS date, o_orderkey % 6 < 5 AS at_start FROM orders",
+    "date_parse": "SELECT CAST(o_orderkey AS BIGINT) AS spend_id, CASE WHEN o_orderkey % 6 < 5 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date, o_orderkey % 6 < 5 AS at_start FROM orders",
     "format_rupees": f"""WITH {spends(997)}, x AS (SELECT spend_id, amount_paise * CASE WHEN spend_id % 3 = 0 THEN -1 ELSE 1 END AS p, CAST(amount_paise // 100 AS VARCHAR) AS w FROM s)
       SELECT spend_id, CASE WHEN p < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN length(w) > 3 THEN ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(..)', '\\1,', 'g')), ',') || ',' || right(w, 3) ELSE w END || '.' || lpad(CAST(abs(p) % 100 AS VARCHAR), 2, '0') AS shown FROM x""",
     "mask_structure": "SELECT CAST(doc_id AS BIGINT) AS doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g')) AS masked_sha256 FROM documents",
@@ -117,7 +117,7 @@ SQL: dict[str, str] = {
     "stage_histogram": f"""{_RESOLVED}, st(stage) AS (VALUES ('bankOperation'), ('userAlias'), ('exactCatalogue'), ('fuzzyCatalogue'), ('family'), ('unresolved')),
       n AS (SELECT st.stage, CAST(count(z.stage) AS BIGINT) AS n FROM st LEFT JOIN z ON z.stage = st.stage GROUP BY st.stage) SELECT stage, n, round(n * 100.0 / sum(n) OVER (), 6)::DOUBLE AS percent FROM n""",
     "mcc_distribution": f"{_RESOLVED} SELECT mcc, CAST(count(*) AS BIGINT) AS n FROM z WHERE mcc IS NOT NULL GROUP BY mcc",
-    "unknown_queue": f"{_RESOLVED} SELECT CASE p12 WHEN 2 THEN 'CHANGAMP' ELSE 'PAY' END AS payee, CAST(count(*) AS BIGINT) AS n FROM z WHERE stage = 'unresolved' GROUP BY 1",
+    "unknown_queue": f"{_RESOLVED} SELECT CASE p12 WHEN 2 THEN 'CHANGAMP' ELSE 'QQZX' END AS payee, CAST(count(*) AS BIGINT) AS n FROM z WHERE stage = 'unresolved' GROUP BY 1",
     "cascade_vs_baseline": f"""{_RESOLVED}, y AS (SELECT *, CASE p12 WHEN 0 THEN 'swiggy' WHEN 1 THEN 'jiohotstar' WHEN 4 THEN 'zomato' WHEN 7 THEN 'uber' WHEN 9 THEN 'swiggy' WHEN 10 THEN 'pvr' WHEN 11 THEN 'amazon' END AS base FROM z)
       SELECT count(*) FILTER (merchant_id = base) AS both_agree, count(*) FILTER (merchant_id <> base) AS disagree, count(*) FILTER (merchant_id IS NOT NULL AND base IS NULL) AS cascade_only,
         count(*) FILTER (merchant_id IS NULL AND base IS NOT NULL) AS baseline_only, count(*) FILTER (stage <> 'unresolved') AS resolved, count(base) AS baseline_hits FROM y""",
@@ -129,13 +129,13 @@ SQL: dict[str, str] = {
       a AS (SELECT doc, CAST(sum(t) AS BIGINT) AS truth, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(least(t, p)) AS BIGINT) AS matched FROM j GROUP BY doc),
       r AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(matched AS DOUBLE) / predicted WHEN truth = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN truth > 0 THEN CAST(matched AS DOUBLE) / truth ELSE 1.0 END AS q FROM a)
       SELECT doc, truth, predicted, matched, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END, 6) AS f1 FROM r""",
-    "missed_rows": f"{_LABELS} SELECT doc, amount_paise, CAST(date AS DATE) AS date, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc, date, amount_paise FROM t EXCEPT ALL SELECT doc, date, amount_paise FROM p) GROUP BY ALL",
-    "spurious_rows": f"{_LABELS} SELECT doc, amount_paise, CAST(date AS DATE) AS date, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc, date, amount_paise FROM p EXCEPT ALL SELECT doc, date, amount_paise FROM t) GROUP BY ALL",
+    "missed_rows": f"{_LABELS} SELECT doc, amount_paise, CAST(date AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc, date, amount_paise FROM t EXCEPT ALL SELECT doc, date, amount_paise FROM p) GROUP BY ALL",
+    "spurious_rows": f"{_LABELS} SELECT doc, amount_paise, CAST(date AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc, date, amount_paise FROM p EXCEPT ALL SELECT doc, date, amount_paise FROM t) GROUP BY ALL",
     "row_cluster": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(count(*) AS BIGINT) AS n_rows FROM b GROUP BY ALL",
     "row_text": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(line AS BIGINT) AS row_id,
       strftime(date, '%d-%m-%y') || ' UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee || ' - 0 ' || {_AMT} || ' ' || CAST(balance // 100 AS VARCHAR) || '.' || lpad(CAST(balance % 100 AS VARCHAR), 2, '0') AS text FROM b""",
     "table_locate": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(n AS BIGINT) AS anchors, CAST(n AS BIGINT) AS n_rows FROM f WHERE n >= 3 GROUP BY ALL",
     "column_detect": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(6 AS INTEGER) AS n_columns FROM f WHERE n >= 3 GROUP BY ALL",
-    "statement_extract": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, date, 'UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee AS description, -amount_paise AS amount_paise, balance AS balance_paise, true AS column_count_ok FROM f WHERE n >= 3""",
+    "statement_extract": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(date AS VARCHAR) AS date, 'UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee AS description, -amount_paise AS amount_paise, balance AS balance_paise, true AS column_count_ok FROM f WHERE n >= 3""",
     "import_summary": f"WITH {spends()} SELECT CAST(count(*) AS BIGINT) AS spends, CAST(sum(amount_paise) AS BIGINT) AS spend_paise FROM s",
 }

@@ -177,7 +177,7 @@ def date_parse(spark, sf):
         shown = F.when(k == i, form).otherwise(shown)
     rows = domain.spends(spark, sf).select("spend_id", shown.alias("shown"))
     glued = F.when(F.col("shown").contains(" "), F.regexp_replace("shown", " ", "")).otherwise(F.col("shown"))
-    return rows.select("spend_id", text.statement_date(F.col("shown")).alias("date"), text.starts_with_date(F.concat(glued, F.lit(" UPI/DR"))).alias("at_start"))
+    return rows.select("spend_id", text.statement_date(F.col("shown")).cast("string").alias("date"), text.starts_with_date(F.concat(glued, F.lit(" UPI/DR"))).alias("at_start"))
 
 
 @_query
@@ -293,7 +293,7 @@ def extraction_score(spark, sf):
 
 
 def _counted(rows):
-    return rows.groupBy("doc", "amount_paise", "date").agg(F.count("*").alias("n"))
+    return rows.groupBy("doc", "amount_paise", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
 
 
 @_query
@@ -338,7 +338,7 @@ def column_detect(spark, sf):
 
 @_query
 def statement_extract(spark, sf):
-    return geometry.extract_statements(domain.glyphs(spark, sf)).drop("txn_ord")
+    return geometry.extract_statements(domain.glyphs(spark, sf)).drop("txn_ord").withColumn("date", F.col("date").cast("string"))
 
 
 @_query
@@ -346,7 +346,7 @@ def import_pipeline(spark, sf):
     """Glyphs to resolved transactions, with the stage that settled each payee."""
     rows = geometry.extract_statements(domain.glyphs(spark, sf)).withColumn("key", F.concat_ws(":", "doc_id", "page", "txn_ord"))
     settled = merchants.resolve(rows.select("key", "description"), "key", "description")
-    return rows.join(settled.select("key", "stage", "merchant_id", "mcc"), "key").select("doc_id", "date", "amount_paise", "stage", "merchant_id", "mcc")
+    return rows.join(settled.select("key", "stage", "merchant_id", "mcc"), "key").select("doc_id", F.col("date").cast("string").alias("date"), "amount_paise", "stage", "merchant_id", "mcc")
 
 
 ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in QUERIES} | {"cycle_replay_fold": SQL["cycle_replay"]}
