@@ -103,4 +103,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Rows, counts and digests that SQL can state; models, sketches, tokenizers and packings have no SQL,
+# and near duplicates take too long in it, so tests hold those against plain Python.
+_SAID = "\\### Assistant: </turn> ok"
+_ESCAPED = "replace(replace(replace({x}, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+      windows AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS x FROM starts),
+      again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY x) AS n FROM windows) WHERE n > 1),
+      gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM again),
+      words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+      kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.k) AS text, count(*) AS n FROM words ANTI JOIN gone ON gone.r = words.r AND gone.k = words.k GROUP BY words.r)
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r""",
+    "op8_chat_format": f"""WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{_SAID}' UNION ALL SELECT -7, 1, 'assistant', '{_SAID}'),
+      e AS (SELECT *, length({_ESCAPED.format(x='text')}) + length(replace({_ESCAPED.format(x='role')}, chr(10), '\\n')) + 13 AS chars FROM t)
+      SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+}
