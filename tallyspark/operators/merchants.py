@@ -148,28 +148,36 @@ def resolve(descriptors: DataFrame, key: str, raw: str, aliases: DataFrame | Non
     """One row a descriptor: kind, stage, confidence, merchant_id, display_name, mcc, tags, matched.
 
     ``aliases``: candidate, merchant_id, learnt_ord; the latest of a candidate counts, unknown
-    merchants are ignored. Every stage sees every candidate before the next one runs.
+    merchants are ignored. Every stage sees every candidate before the next one runs. ``key``
+    identifies a descriptor. Each distinct candidate is settled once, and compared fuzzily only if it
+    is no alias and no exact name.
     """
     spark = descriptors.sparkSession
     # a generator stands between, so that no later filter or field repeats the parsing
     parsed = descriptors.select(key, F.col(raw).alias("raw"), F.inline(F.array(parse_descriptor(F.col(raw)))))
     shelf = F.broadcast(catalogue(spark))
-    offers = parsed.filter("kind <> 'bankOperation'").select(key, F.posexplode("candidates").alias("cand_ord", "candidate"))
-
-    exact = F.broadcast(spark.createDataFrame(list(exact_keys().items()), "candidate string, cat_ord int"))
-    hits = offers.join(exact, "candidate").select(key, "cand_ord", "cat_ord", F.col("candidate").alias("matched"), F.lit(1.0).alias("score"), F.lit(2).alias("stage_ord"))
-    if aliases is not None:
+    offered = F.explode(F.when(F.col("kind") == "bankOperation", F.array().cast("array<string>")).otherwise(F.col("candidates")))
+    settled = parsed.select(offered.alias("candidate")).distinct()
+
+    exact = F.broadcast(spark.createDataFrame(list(exact_keys().items()), "candidate string, exact_ord int"))
+    settled = settled.join(exact, "candidate", "left")
+    if aliases is None:
+        settled = settled.withColumn("alias_ord", F.lit(None).cast("int"))
+    else:
         latest = aliases.groupBy(F.upper("candidate").alias("candidate")).agg(F.max_by("merchant_id", "learnt_ord").alias("merchant_id"))
-        latest = latest.join(shelf.select("merchant_id", "cat_ord"), "merchant_id").select("candidate", "cat_ord")
-        taught = offers.join(latest, "candidate").select(key, "cand_ord", "cat_ord", F.col("candidate").alias("matched"), F.lit(1.0).alias("score"), F.lit(1).alias("stage_ord"))
-        hits = hits.unionByName(taught)
-    left = offers.join(hits.select(key).distinct(), key, "left_anti")
-    fuzzy = left.select("candidate").distinct().select("candidate", _best_fuzzy("candidate").alias("m")).filter("m.cat_ord is not null").select("candidate", "m.*")
-    close = left.join(fuzzy, "candidate").select(key, "cand_ord", "cat_ord", F.col("name").alias("matched"), "score", F.lit(3).alias("stage_ord"))
+        settled = settled.join(latest.join(shelf, "merchant_id").select("candidate", F.col("cat_ord").alias("alias_ord")), "candidate", "left")
+    known = F.coalesce("alias_ord", "exact_ord")
+    sure = settled.filter(known.isNotNull()).select("candidate", F.when(F.col("alias_ord").isNotNull(), 1).otherwise(2).alias("stage_ord"), F.lit(-1.0).alias("loss"), known.alias("cat_ord"), F.col("candidate").alias("matched"))
+    close = settled.filter(known.isNull()).select("candidate", _best_fuzzy("candidate").alias("m")).filter("m.cat_ord is not null")
+    close = close.select("candidate", F.lit(3).alias("stage_ord"), (-F.col("m.score")).alias("loss"), F.col("m.cat_ord").alias("cat_ord"), F.col("m.name").alias("matched"))
+    settled = sure.unionByName(close)
     # earlier stage; within it the better score, then candidate and catalogue order
-    best = hits.unionByName(close).groupBy(key).agg(F.min(F.struct("stage_ord", (-F.col("score")).alias("loss"), "cand_ord", "cat_ord", "matched")).alias("h"))
-    found = best.select(key, "h.*").join(shelf, "cat_ord")
-    rows = parsed.join(found.select(key, "stage_ord", (-F.col("loss")).alias("score"), "matched", "merchant_id", "display_name", "mcc", "tags"), key, "left")
+    rows = parsed.select("*", F.posexplode_outer(F.when(F.col("kind") == "bankOperation", F.array().cast("array<string>")).otherwise(F.col("candidates"))).alias("cand_ord", "candidate"))
+    rows = rows.join(settled, "candidate", "left").groupBy(key, "raw").agg(
+        F.first("kind").alias("kind"), F.first("candidates").alias("candidates"),
+        F.min(F.when(F.col("stage_ord").isNotNull(), F.struct("stage_ord", "loss", "cand_ord", "cat_ord", "matched"))).alias("h"),
+    )
+    rows = rows.select(key, "raw", "kind", "candidates", "h.stage_ord", (-F.col("h.loss")).alias("score"), "h.matched", "h.cat_ord").join(shelf, "cat_ord", "left")
 
     bank = F.col("kind") == "bankOperation"
     top = _first(F.col("candidates"))
