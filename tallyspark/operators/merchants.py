@@ -6,6 +6,8 @@ candidates that no earlier stage settled are compared fuzzily, once each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,19 +131,20 @@ def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.StructType([T.StructField("cat_ord", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType())]))
-def _best_fuzzy(candidates: pd.Series) -> pd.DataFrame:
-    rows, known = [], names()
-    for c in candidates:
-        best = (None, None, FUZZY)
-        for cat, _, name in known:
-            s = similarity(c, name)
-            if s > best[2]:
-                best = (cat, name, s)
-        rows.append(best)
-    frame = pd.DataFrame(rows, columns=["cat_ord", "name", "score"])
-    frame["cat_ord"] = frame["cat_ord"].astype("Int32")
-    return frame
+def _closest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best catalogue name of each candidate, where it passes the gate; ties go to the first name."""
+    known = names()
+    for frame in frames:
+        rows = []
+        for c in frame["candidate"]:
+            best = (None, None, FUZZY)
+            for cat, _, name in known:
+                s = similarity(c, name)
+                if s > best[2]:
+                    best = (cat, name, s)
+            if best[0] is not None:
+                rows.append((c, 3, -best[2], best[0], best[1]))
+        yield pd.DataFrame(rows, columns=["candidate", "stage_ord", "loss", "cat_ord", "matched"])
 
 
 def resolve(descriptors: DataFrame, key: str, raw: str, aliases: DataFrame | None = None) -> DataFrame:
@@ -168,8 +171,8 @@ def resolve(descriptors: DataFrame, key: str, raw: str, aliases: DataFrame | Non
         settled = settled.join(latest.join(shelf, "merchant_id").select("candidate", F.col("cat_ord").alias("alias_ord")), "candidate", "left")
     known = F.coalesce("alias_ord", "exact_ord")
     sure = settled.filter(known.isNotNull()).select("candidate", F.when(F.col("alias_ord").isNotNull(), 1).otherwise(2).alias("stage_ord"), F.lit(-1.0).alias("loss"), known.alias("cat_ord"), F.col("candidate").alias("matched"))
-    close = settled.filter(known.isNull()).select("candidate", _best_fuzzy("candidate").alias("m")).filter("m.cat_ord is not null")
-    close = close.select("candidate", F.lit(3).alias("stage_ord"), (-F.col("m.score")).alias("loss"), F.col("m.cat_ord").alias("cat_ord"), F.col("m.name").alias("matched"))
+    # an operator of its own: a scalar UDF would be evaluated below the distinct, once a row
+    close = settled.filter(known.isNull()).select("candidate").mapInPandas(_closest, "candidate string, stage_ord int, loss double, cat_ord int, matched string")
     settled = sure.unionByName(close)
     # earlier stage; within it the better score, then candidate and catalogue order
     rows = parsed.select("*", F.posexplode_outer(F.when(F.col("kind") == "bankOperation", F.array().cast("array<string>")).otherwise(F.col("candidates"))).alias("cand_ord", "candidate"))
