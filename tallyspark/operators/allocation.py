@@ -58,10 +58,10 @@ class Wallet:
     def value(self, spends: list, assignment: list[int]) -> list[tuple[int, int, int]]:
         return [self.card_total(c, (s for s, a in zip(spends, assignment) if a == c)) for c in range(len(self.cards))]
 
-    def greedy(self, spends: list) -> tuple[list[int], list[int], list[int]]:
+    def greedy(self, spends: list, used: list[dict[str, int]] | None = None) -> tuple[list[int], list[int], list[int]]:
         """(card, rupees, rule) of each spend, taking the best marginal reward; ties and all-zero
-        spends go to the first card."""
-        used: list[dict[str, int]] = [{} for _ in self.cards]
+        spends go to the first card. ``used`` is what each card's buckets hold, updated in place."""
+        used = [{} for _ in self.cards] if used is None else used
         chosen, paid, rules = [], [], []
         for _, options in spends:
             offers = [self.pay(c, options[c], used[c]) for c in range(len(self.cards))]

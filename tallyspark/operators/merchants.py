@@ -131,6 +131,11 @@ def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+
+
 def _closest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The best catalogue name of each candidate, where it passes the gate; ties go to the first name."""
     known = names()

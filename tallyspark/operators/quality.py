@@ -73,3 +73,33 @@ def import_metrics(resolved: DataFrame) -> DataFrame:
 def import_summary(rows: DataFrame) -> DataFrame:
     """Number and total of debits."""
     return rows.agg(F.count_if(F.col("amount_paise") < 0).alias("spends"), F.coalesce(F.sum(F.when(F.col("amount_paise") < 0, -F.col("amount_paise"))), F.lit(0)).cast("bigint").alias("spend_paise"))
+
+
+def extraction_report(rows: DataFrame, table_rows: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Per document: glyphs, rows, tables, transactions, checked pairs, mismatches, consistency.
+
+    Each count is aggregated by document before it meets the others. A document without a table has
+    zeros and a consistency of 1.
+    """
+    every = rows.groupBy("doc_id").agg(F.sum(F.size("glyphs")).alias("glyphs"), F.count("*").alias("rows"))
+    tables = table_rows.groupBy("doc_id", "page").agg(F.lit(1).alias("one")).groupBy("doc_id").agg(F.count("*").alias("tables"))
+    step = Window.partitionBy("doc_id").orderBy("page", "txn_ord")
+    expected = F.lag("balance_paise").over(step) + F.col("amount_paise")
+    checked = transactions.withColumn("expected_paise", expected).groupBy("doc_id").agg(
+        F.count("*").alias("transactions"), F.count(F.col("expected_paise") + F.col("balance_paise")).alias("checked"), F.count_if(F.col("expected_paise") != F.col("balance_paise")).alias("mismatches"),
+    )
+    every = every.join(tables, "doc_id", "left").join(checked, "doc_id", "left").na.fill(0, ["tables", "transactions", "checked", "mismatches"])
+    share = F.when(F.col("checked") == 0, 1.0).otherwise((F.col("checked") - F.col("mismatches")) / F.col("checked"))
+    return every.withColumn("consistency", F.round(share, 6))
+
+
+def first_mismatches(reconciled: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The report's first ``k`` mismatches of each key, by position."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("position"))
+    return reconciled.filter("drift_paise <> 0").withColumn("nth", nth).filter(F.col("nth") <= k)
+
+
+def spend_projection(rows: DataFrame) -> DataFrame:
+    """Debits of extracted and resolved rows as spends: absolute amounts, always online."""
+    debit = rows.filter("amount_paise < 0")
+    return debit.withColumns({"amount_paise": -F.col("amount_paise"), "channel": F.lit("online")})

@@ -7,6 +7,7 @@ consumed), so scoring stays inside the scan's stage: no join, no shuffle, no Pyt
 from __future__ import annotations
 
 import math
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.predicates import compile_predicate
 from tallyspark.sources.cards import Card, Rule
 
+WARN_AT = 0.8
 NO_RULE = "no rule on this card matches this spend"
 _OUTCOMES = "array<struct<bucket_id:string,label:string,limit_paise:bigint,consumed_paise:bigint,applied_paise:bigint,clamped:boolean>>"
 
@@ -158,6 +160,26 @@ def winners(spends: DataFrame, cards: list[Card], keys: list[str], states: dict[
     )
 
 
+def why_panel(spends: DataFrame, cards: list[Card], keys: list[str], states: dict[str, Column] | None = None) -> DataFrame:
+    """Why each card ranks where it does: rank, rule, terms, the terms' source and dates, and
+    whether a bucket clips the spend or is at least WARN_AT full after it. One row a card; the
+    ranking is an array within the spend's row, so nothing shuffles."""
+    states = states or {}
+    day = lambda d: F.lit(d).cast("date")
+    entries = []
+    for k, c in enumerate(cards):
+        reward = marginal_reward(c, states.get(c.id))
+        entries.append(F.struct(reward.alias("reward"), F.lit(k).alias("card_ord"), F.lit(c.id).alias("card_id"), F.lit(c.name).alias("name"), F.lit(urlsplit(c.source_url).hostname).alias("source_host"), day(c.retrieved_on).alias("retrieved_on"), day(c.valid_from).alias("valid_from")))
+    tight = lambda b: b["clamped"] | ((b["limit_paise"] > 0) & (b["consumed_paise"] + b["applied_paise"] >= b["limit_paise"] * WARN_AT))
+    ranked = F.array_sort(F.transform(F.array(*entries), lambda e: F.struct((-e["reward"]["rupees_paise"]).alias("loss"), e["card_ord"].alias("card_ord"), e.alias("card"))))
+    rows = spends.select(*keys, F.posexplode(ranked).alias("_p", "_r"))
+    card, reward = F.col("_r.card"), F.col("_r.card.reward")
+    return rows.select(
+        *keys, (F.col("_p") + 1).cast("int").alias("rank"), card["card_id"].alias("card_id"), card["name"].alias("name"), reward["rupees_paise"].alias("rupees_paise"), reward["rule_id"].alias("rule_id"),
+        reward["explanation"].alias("explanation"), card["source_host"].alias("source_host"), card["retrieved_on"].alias("retrieved_on"), card["valid_from"].alias("valid_from"), F.exists(reward["buckets"], tight).alias("tight"),
+    )
+
+
 def recommendation_flip(cards: list[Card], states: dict[str, Column] | None = None, max_paise: int = 50_000_000) -> Column:
     """The amount at which the winning card changes, to one rupee; null where it never does up to
     ``max_paise`` or nothing pays.

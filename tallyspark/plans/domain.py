@@ -28,9 +28,13 @@ def _choose(values: list, kind: str, k: Column) -> Column:
 
 def spends(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
     """cycle_id (customer), spend_id (order), amount_paise, date, channel, mcc, tags, merchant_name."""
-    o = read(spark, sf_dir, "orders")
+    return as_spends(read(spark, sf_dir, "orders"), scale)
+
+
+def as_spends(orders: DataFrame, scale: int = 1) -> DataFrame:
+    """The same of any frame of orders, a streaming one too."""
     k = (F.col("o_orderkey") % 8).cast("int")
-    return o.select(
+    return orders.select(
         F.col("o_custkey").cast("long").alias("cycle_id"), F.col("o_orderkey").cast("long").alias("spend_id"),
         (F.round("o_totalprice").cast("bigint") * scale).alias("amount_paise"), F.col("o_orderdate").cast("date").alias("date"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "online").otherwise("offline").alias("channel"),

@@ -138,4 +138,27 @@ SQL: dict[str, str] = {
     "column_detect": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(6 AS INTEGER) AS n_columns FROM f WHERE n >= 3 GROUP BY ALL",
     "statement_extract": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(date AS VARCHAR) AS date, 'UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee AS description, -amount_paise AS amount_paise, balance AS balance_paise, true AS column_count_ok FROM f WHERE n >= 3""",
     "import_summary": f"WITH {spends()} SELECT CAST(count(*) AS BIGINT) AS spends, CAST(sum(amount_paise) AS BIGINT) AS spend_paise FROM s",
+    "why_panel": f"""WITH {spends()}, {GROSS}, {USED}, x AS (SELECT *, least(sbi, own_room, all_room) AS a, least(axis_capped, fast_room) AS f,
+        (spend_id % 7) * 66000 AS all_used, CASE channel WHEN 'online' THEN (spend_id % 5) * 50000 ELSE (spend_id % 3) * 99990 END AS own_used FROM u),
+      c AS (SELECT spend_id, 0 AS card_ord, 'sbi-cashback' AS card_id, 'CASHBACK SBI Card' AS name, a AS rupees_paise, CASE WHEN a > 0 THEN channel END AS rule_id,
+          CASE WHEN k = 2 THEN 'fuel spends earn nothing on this card' WHEN a <= 0 THEN 'no rule on this card matches this spend'
+            ELSE CASE channel WHEN 'online' THEN '5% on online transactions' ELSE '1% on offline transactions' END ||
+              CASE WHEN all_room < least(sbi, own_room) THEN ' — clipped by the Overall cashback cap' WHEN own_room < sbi THEN ' — clipped by the ' || CASE channel WHEN 'online' THEN 'Online' ELSE 'Offline' END || ' cashback cap' ELSE '' END END AS explanation,
+          'www.sbicard.com' AS source_host, DATE '2026-08-15' AS retrieved_on, DATE '2026-08-15' AS valid_from, a > 0 AND (a < sbi OR 10 * (own_used + a) >= 8 * 200000 OR 10 * (all_used + a) >= 8 * 400000) AS tight FROM x
+        UNION ALL SELECT spend_id, 1, 'axis-ace', 'Axis Bank ACE', CASE WHEN f > 0 THEN f ELSE axis_base END, CASE WHEN k IN (2, 3) THEN NULL WHEN f > 0 THEN CASE k WHEN 5 THEN 'utility_googlepay' ELSE 'food_and_travel' END ELSE 'base' END,
+          CASE WHEN k = 2 THEN 'fuel spends earn nothing on this card' WHEN k = 3 THEN 'rent spends earn nothing on this card' WHEN f > 0 THEN CASE k WHEN 5 THEN '5% on utility bills and recharges through Google Pay' ELSE '4% on Swiggy, Zomato and Ola' END || CASE WHEN f < axis_capped THEN ' — clipped by the Accelerated cashback cap' ELSE '' END ELSE '1.5% on other eligible merchants, uncapped' END,
+          'www.axis.bank.in', DATE '2026-08-15', DATE '2024-04-20', f > 0 AND (f < axis_capped OR 10 * ((spend_id % 11) * 5000 + f) >= 8 * 50000) FROM x
+        UNION ALL SELECT spend_id, 2, 'amazon-pay-icici', 'Amazon Pay ICICI', icici, CASE k WHEN 4 THEN 'amazon_prime' ELSE 'base' END, CASE k WHEN 4 THEN '5% on Amazon.in for Prime members' ELSE '1% on all other payments, uncapped' END,
+          'www.icici.bank.in', DATE '2026-08-15', DATE '2026-08-15', false FROM x)
+      SELECT CAST(row_number() OVER (PARTITION BY spend_id ORDER BY rupees_paise DESC, card_ord) AS INTEGER) AS rank, * EXCLUDE (card_ord) FROM c""",
+    "structure_inspection": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(line AS BIGINT) AS row_id, CAST(96 + 18 * line AS DOUBLE) AS center_y,
+      regexp_replace(regexp_replace(regexp_replace(strftime(date, '%d-%m-%y') || ' UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee || ' - 0 ' || {_AMT} || ' ' || CAST(balance // 100 AS VARCHAR) || '.' || lpad(CAST(balance % 100 AS VARCHAR), 2, '0'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS masked
+      FROM b WHERE page = 0 AND 96 + 18 * line BETWEEN 100 AND 200 ORDER BY doc_id, page, line LIMIT 60""",
+    "first_mismatches": f"""{_LEDGER}, m AS (SELECT *, row_number() OVER (PARTITION BY cycle_id ORDER BY spend_seq) AS nth FROM d WHERE balance_paise <> expected_paise)
+      SELECT cycle_id, CAST(spend_seq - 1 AS INTEGER) AS position, expected_paise, balance_paise AS actual_paise, balance_paise - expected_paise AS drift_paise FROM m WHERE nth <= 5""",
+    "spend_projection": f"{_RESOLVED} SELECT s.spend_id, CAST(s.date AS VARCHAR) AS date, s.amount_paise, 'online' AS channel, z.mcc, z.merchant_id FROM s JOIN z ON z.spend_id = s.spend_id WHERE s.spend_id % 3 <> 0",
+    "extraction_report": f"""{_PAGES}, g AS (SELECT *, 8 + length(replace('UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee, ' ', '')) + 2 + length({_AMT}) + length(CAST(balance // 100 AS VARCHAR)) + 3 AS chars,
+        row_number() OVER (PARTITION BY cycle_id ORDER BY spend_seq) AS at FROM f)
+      SELECT CAST(cycle_id AS VARCHAR) AS doc_id, CAST(sum(chars) AS BIGINT) AS glyphs, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT page) FILTER (n >= 3) AS BIGINT) AS tables, CAST(count(*) FILTER (n >= 3) AS BIGINT) AS transactions,
+        CAST(greatest(count(*) FILTER (n >= 3) - 1, 0) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS mismatches, CAST(1 AS DOUBLE) AS consistency FROM g GROUP BY cycle_id""",
 }

@@ -14,6 +14,7 @@ from tallyspark.operators import allocation, geometry, merchants, quality, rewar
 from tallyspark.plans import domain
 from tallyspark.plans.oracles import SQL
 from tallyspark.sources.cards import Card, Milestone, Predicate, Rule, bundled_cards
+from tallyspark.streaming import allocation as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -349,4 +350,48 @@ def import_pipeline(spark, sf):
     return rows.join(settled.select("key", "stage", "merchant_id", "mcc"), "key").select("doc_id", F.col("date").cast("string").alias("date"), "amount_paise", "stage", "merchant_id", "mcc")
 
 
-ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in QUERIES} | {"cycle_replay_fold": SQL["cycle_replay"]}
+@_query
+def why_panel(spark, sf):
+    return rewards.why_panel(domain.spends(spark, sf), bundled_cards(), ["spend_id"], domain.bucket_use())
+
+
+@_query
+def structure_inspection(spark, sf):
+    return geometry.inspect_rows(_rows(spark, sf), page=0, from_y=100.0, to_y=200.0)
+
+
+@_query
+def extraction_report(spark, sf):
+    rows = _rows(spark, sf)
+    table = geometry.locate_tables(rows)
+    cells = geometry.split_cells(table, geometry.detect_columns(table.filter("is_anchor")))
+    return quality.extraction_report(rows, table, geometry.extract_transactions(cells))
+
+
+@_query
+def first_mismatches(spark, sf):
+    return quality.first_mismatches(quality.reconcile(domain.ledger(spark, sf), "cycle_id", ["spend_seq"]), "cycle_id").drop("nth")
+
+
+@_query
+def spend_projection(spark, sf):
+    rows = domain.ledger(spark, sf).select("spend_id", "date", F.when(F.col("spend_id") % 3 == 0, -F.col("amount_paise")).otherwise(F.col("amount_paise")).alias("amount_paise"))
+    settled = _resolved(spark, sf).select("spend_id", "mcc", "merchant_id")
+    return quality.spend_projection(rows.join(settled, "spend_id")).withColumn("date", F.col("date").cast("string"))
+
+
+@_query
+def jaro_winkler_similarity(spark, sf):
+    pairs = domain.read(spark, sf, "part").select("p_name", "p_type").distinct()
+    return pairs.select("p_name", "p_type", F.round(merchants.jaro_winkler_similarity("p_name", "p_type"), 6).alias("similarity"))
+
+
+@_query
+def greedy_stream(spark, sf):
+    """The orders as a stream, routed with state; one batch, so the rows of greedy_allocate."""
+    orders = spark.readStream.schema(domain.read(spark, sf, "orders").schema).parquet(f"{sf}/orders.parquet*")
+    routed = streams.route(domain.as_spends(orders, 10), bundled_cards())
+    return streams.run_available(routed, spark).select("cycle_id", "spend_seq", "card_id", "rupees_paise")
+
+
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in QUERIES} | {"cycle_replay_fold": SQL["cycle_replay"], "greedy_stream": SQL["greedy_allocate"]}

@@ -9,13 +9,16 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
-from tallyspark.operators import allocation, merchants
+from tallyspark.operators import allocation, merchants, quality, rewards
 from tallyspark.operators.allocation import Wallet
+from tallyspark.plans import domain
 from tallyspark.plans.registry import ORACLE_SQL, QUERIES
-from tallyspark.sources.cards import Card, Milestone, Predicate, Rule
+from tallyspark.sources.cards import Bucket, Card, Milestone, Predicate, Rule, bundled_cards
+from tallyspark.streaming import allocation as streams
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -40,7 +43,7 @@ def test_query_equals_sql(spark, sf, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", ["allocate_cycle", "leakage_report", "label_coverage", "fuzzy_targets", "import_metrics", "jaro_similarity", "import_pipeline"])
+@pytest.mark.parametrize("name", ["allocate_cycle", "leakage_report", "label_coverage", "fuzzy_targets", "import_metrics", "jaro_similarity", "jaro_winkler_similarity", "import_pipeline"])
 def test_queries_without_sql_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
@@ -118,6 +121,52 @@ def test_random_cycles_against_brute_force():
     assert best > 150
 
 
+def _as_stream(spark, orders, folder, batches):
+    """The orders as files of one batch each, oldest spends first."""
+    ranked = orders.withColumn("_n", F.ntile(batches).over(Window.orderBy("o_orderdate", "o_orderkey")))
+    for n in range(batches):
+        ranked.filter(F.col("_n") == n + 1).drop("_n").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_state_carries_over_batches(spark, sf, tmp_path):
+    orders = domain.read(spark, sf, "orders")
+    stream = _as_stream(spark, orders, str(tmp_path / "orders"), 3)
+    routed = streams.run_available(streams.route(domain.as_spends(stream, 10), bundled_cards()), spark, f"file://{tmp_path}")
+    whole = allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards())
+    columns = ["cycle_id", "spend_seq", "card_id", "rupees_paise", "rule_id"]
+    assert sorted(map(tuple, routed.select(columns).collect()), key=str) == sorted(map(tuple, whole.select(columns).collect()), key=str)
+
+
+def test_silent_wallets_are_forgotten(spark, tmp_path):
+    """An empty cap after the wallet's state timed out, a full one before."""
+    card = Card("c", "", "", buckets=(Bucket("b", 100),), rules=(Rule("r", Predicate("always"), 0.1, consumes=("b",)),))
+    days = ["2026-01-01", "2026-01-02", "2026-03-01", "2026-05-01", "2026-07-01"]
+    wallets = [1, 1, 2, 2, 1]
+    schema = "cycle_id long, spend_id long, amount_paise long, date date, event_time timestamp, mcc int, tags array<string>, channel string"
+    for k, (day, wallet) in enumerate(zip(days, wallets)):
+        row = spark.createDataFrame([(wallet, k, 1_000, date.fromisoformat(day))], "cycle_id long, spend_id long, amount_paise long, date date")
+        row = row.select("*", F.col("date").cast("timestamp").alias("event_time"), F.lit(None).cast("int").alias("mcc"), F.array().cast("array<string>").alias("tags"), F.lit("online").alias("channel"))
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("event_time", "1 day")
+    paid = {r["spend_id"]: (r["spend_seq"], r["rupees_paise"]) for r in streams.run_available(streams.route(stream, [card], keep_days=30), spark, f"file://{tmp_path}").collect()}
+    assert paid[0] == (1, 100) and paid[1] == (2, 0) and paid[4] == (1, 100)
+
+
+def test_first_mismatches_are_the_first(spark):
+    rows = spark.createDataFrame([("d", n, 10, 100 * n) for n in range(9)] + [("e", 0, 10, None)], "doc string, n long, amount_paise long, balance_paise long")
+    found = quality.first_mismatches(quality.reconcile(rows, "doc", ["n"]), "doc", 3).collect()
+    assert sorted((r["position"], r["drift_paise"]) for r in found) == [(1, 90), (2, 90), (3, 90)]
+
+
+def test_why_panel_without_room(spark):
+    card = Card("c", "Card", "", buckets=(Bucket("b", 100),), rules=(Rule("r", Predicate("always"), 0.1, consumes=("b",)),), source_url="https://terms.example/x")
+    spend = spark.sql("SELECT 1L AS id, 700L AS amount_paise, CAST(NULL AS INT) AS mcc, array() AS tags, 'online' AS channel, DATE '2026-01-01' AS date")
+    for used, paid, tight in ((0, 70, False), (20, 70, True), (60, 40, True), (100, 0, False)):
+        row = rewards.why_panel(spend, [card], ["id"], {"c": F.create_map(F.lit("b"), F.lit(used))}).first()
+        assert (row["rupees_paise"], row["tight"], row["source_host"], row["rank"]) == (paid, tight, "terms.example", 1)
+
+
 def test_no_cards():
     with pytest.raises(ValueError, match="at least one card"):
         Wallet([])
