@@ -1,17 +1,16 @@
 """Bigram scores from a log-frequency Bloom filter.
 
-Training bigrams and words are counted by hash range; each range turns its counts into levels
-``1 + floor(log_base(count))`` and sets, for each n-gram and each level up to its own, ``probes``
-bits in the range's block of the filter. A count is read back by probing level after level until
-one fails, so a level is never read too low and too high only by false positives, each further
-level of which is ``(share of set bits)**probes`` as likely. The filter's size is at most
-``filter_bytes`` whatever the corpus, which is what may be broadcast; a larger corpus fills it more
-(for 1.3 levels and 3 probes, 60 million bigrams set a third of 64 MiB: about 4 % of unseen bigrams
-then read as seen once), so raise ``filter_bytes`` with the memory of the workers.
-
-The exact base score needs exact counts of every word. These come by the chunk-by-part exchange:
-a chunk sends its distinct words with their training counts, a part adds them up over the corpus
-and returns the sums, so neither a frequent word nor the vocabulary ever meets in one place.
+Documents are dealt into chunks and hashes into ranges (parts). A chunk sends each part its distinct
+words and bigrams with their training counts; a part adds them up over the corpus, turns the sums
+into levels ``1 + floor(log_base(count))`` and sets, for each n-gram and each level up to its own,
+``probes`` bits in its block of the filter. It answers every chunk with the exact counts of its
+words and with the levels that the block shows for its words and bigrams. So neither a frequent
+n-gram nor the vocabulary nor the filter ever meets in one place, and no size is fixed beforehand.
+
+A level is read back by probing one after another until one fails, so it is never too low, and too
+high only by false positives. A block has ``level_bits`` bits for each level it holds, so the share
+of set bits is the same whatever the corpus: with 3 probes and 24 bits at most 1 - exp(-1/8), 12 %,
+where 0.2 % of unseen n-grams read as seen once, and each further level is as unlikely again.
 
 Model: ``p(w | h) = (q(h, w) + mu * u(w)) / (q(h) + mu)`` with ``u(w) = (q(w) + 1) / (N + V + 1)``
 and ``q`` the filter's counts; the history of a text's first token is the end token.
@@ -30,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grid, kernels
-from .storage import written
 
 _U = np.uint64
 _END = kernels.mix64(np.array([0xE5D], _U))[0]
 _HISTORY = _U(0xA24BAED4963EE407)
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +62,7 @@ def _distinct(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
 
 
 class LogFrequencyBloom:
-    """The filter: one block of ``block_bytes`` for each range of the hash space."""
+    """A filter of one block of ``block_bytes`` for each of ``parts`` ranges of the hash space."""
 
     def __init__(self, bits: bytearray, parts: int, block_bytes: int, base: float, probes: int):
         self.bits = np.frombuffer(bits, np.uint8)
@@ -86,12 +84,27 @@ class LogFrequencyBloom:
             left = left[levels[left] >= level]
         return np.packbits(flags).tobytes()
 
+    @classmethod
+    def sized(cls, keys: np.ndarray, counts: np.ndarray, level_bits: int, base: float, probes: int) -> LogFrequencyBloom:
+        """One block with ``level_bits`` bits for each level that the counts set."""
+        block_bytes = max(64, -(-level_bits * int(cls.level(counts, base).sum()) // 8))
+        return cls(bytearray(cls.block(keys, counts, block_bytes, base, probes)), 1, block_bytes, base, probes)
+
     @staticmethod
     def level(counts: np.ndarray, base: float) -> np.ndarray:
         return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
 
+    @staticmethod
+    def middle(levels: np.ndarray, base: float) -> np.ndarray:
+        """The middle of each level's counts, on the log scale; the first level is a count of one."""
+        return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, base ** (levels - 0.5)))
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts of sorted keys: 0 where the first level fails."""
+        return self.middle(self.levels(keys), self.base)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level of each of sorted keys before one fails."""
         block = np.empty(len(keys), np.int64)
         edges = kernels.part_bounds(keys, self.parts)
         for p in range(self.parts):
@@ -107,8 +120,7 @@ class LogFrequencyBloom:
             left = left[alive]
             levels[left] = level
             level += 1
-        # the middle of a level's counts, on the log scale; the first level is a count of one
-        return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, self.base ** (levels - 0.5)))
+        return levels
 
 
 def _id_bytes(table: pa.Table) -> tuple[list, list, list[bytes]]:
@@ -118,137 +130,84 @@ def _id_bytes(table: pa.Table) -> tuple[list, list, list[bytes]]:
     return [ids[i] for i in order], [bool(held[i]) for i in order], [texts[i] for i in order]
 
 
-def build_filter(docs: DataFrame, parts: int, filter_bytes: int, base: float, probes: int) -> tuple[LogFrequencyBloom, int, int]:
-    """The filter over rows not held out, with N (training tokens) and V (their distinct words)."""
-    block_bytes = max(64, filter_bytes // parts)
-
-    def send(batches):
-        for batch in batches:
-            texts = kernels.binary_list(batch.column(0))
-            group: list[bytes] = []
-            size = 0
-            for k, text in enumerate(texts):
-                group.append(text)
-                size += len(text)
-                if size >= grid.CHUNK_BYTES or k == len(texts) - 1:
-                    tokens, first = _tokens(group)
-                    for kind, keys in ((1, tokens), (2, _bigrams(tokens, first))):
-                        distinct, _, counts = _distinct(keys)
-                        edges = kernels.part_bounds(distinct, parts)
-                        full = [p for p in range(parts) if edges[p] < edges[p + 1]]
-                        cut = [slice(edges[p], edges[p + 1]) for p in full]
-                        yield pa.RecordBatch.from_pydict({
-                            "part": pa.array(full, pa.int32()),
-                            "kind": pa.array([kind] * len(full), pa.int32()),
-                            "hashes": pa.array([kernels.to_planes(distinct[c]) for c in cut], pa.binary()),
-                            "counts": pa.array([kernels.to_planes(counts[c].astype(np.uint32)) for c in cut], pa.binary()),
-                        })
-                    group, size = [], 0
-
-    def reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        kinds = table["kind"].to_pylist()
-        hashes = [kernels.from_planes(x, _U) for x in table["hashes"].to_pylist()]
-        counts = [kernels.from_planes(x, np.uint32) for x in table["counts"].to_pylist()]
-        total, vocabulary, keys, sums = 0, 0, [], []
-        for kind in (1, 2):
-            own = [i for i, k in enumerate(kinds) if k == kind]
-            if own:
-                distinct, _, summed = _distinct(np.concatenate([hashes[i] for i in own]), np.concatenate([counts[i] for i in own]))
-                keys.append(distinct)
-                sums.append(summed)
-                if kind == 1:
-                    total, vocabulary = int(summed.sum()), len(distinct)
-        block = LogFrequencyBloom.block(np.concatenate(keys), np.concatenate(sums), block_bytes, base, probes)
-        return pa.table({
-            "part": pa.array([key[0].as_py()], pa.int32()),
-            "tokens": pa.array([total], pa.int64()),
-            "vocabulary": pa.array([vocabulary], pa.int64()),
-            "block": pa.array([block], pa.binary()),
-        })
-
-    training = docs.filter(~F.col("held_out")).select("text")
-    sent = training.mapInArrow(send, "part int, kind int, hashes binary, counts binary")
-    blocks = written(sent.groupBy("part").applyInArrow(reduce, "part int, tokens long, vocabulary long, block binary"), "blocks")
-    bits = bytearray(block_bytes * parts)
-    total = vocabulary = 0
-    for row in blocks.toLocalIterator():  # file by file: the driver holds little more than one filter
-        bits[row["part"] * block_bytes : (row["part"] + 1) * block_bytes] = row["block"]
-        total, vocabulary = total + row["tokens"], vocabulary + row["vocabulary"]
-    return LogFrequencyBloom(bits, parts, block_bytes, base, probes), total, vocabulary
-
-
-def score_texts(docs: DataFrame, filter_bytes: int = 64 << 20, base: float = 1.5, probes: int = 3, mu: float = 50.0, chunk_bytes: int = grid.CHUNK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, level_bits: int = 24, base: float = 1.5, probes: int = 3, mu: float = 50.0, chunk_bytes: int = grid.CHUNK_BYTES) -> DataFrame:
     """Scores of every text. ``docs``: doc_id, text, and held_out (not null), which marks the rows
     nothing is learnt from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out"))
-    size = grid.text_bytes(rows)
-    chunks = parts = grid.chunk_count(size, chunk_bytes)
-    bloom, train_tokens, vocabulary = build_filter(rows, parts, min(filter_bytes, 2 * size + 4096), base, probes)
-    shared = rows.sparkSession.sparkContext.broadcast(bloom)
-    log_total = math.log10(train_tokens + vocabulary + 1)
+    chunks = parts = grid.chunk_count(grid.text_bytes(rows), chunk_bytes)
     chunked = rows.withColumn("chunk", grid.chunk_of(F.col("doc_id"), chunks))
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, held, texts = _id_bytes(table)
         tokens, first = _tokens(texts)
         weights = np.repeat(~np.array(held, bool), np.diff(first))
-        distinct, _, counts = _distinct(tokens, weights)
-        edges = kernels.part_bounds(distinct, parts)
-        full = [p for p in range(parts) if edges[p] < edges[p + 1]]
-        cut = [slice(edges[p], edges[p + 1]) for p in full]
-        return pa.table({
-            "part": pa.array(full, pa.int32()),
-            "chunk": pa.array([key[0].as_py()] * len(full), pa.int32()),
-            "hashes": pa.array([kernels.to_planes(distinct[c]) for c in cut], pa.binary()),
-            "counts": pa.array([kernels.to_planes(counts[c].astype(np.uint32)) for c in cut], pa.binary()),
-        })
-
-    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        hashes = [kernels.from_planes(x, _U) for x in table["hashes"].to_pylist()]
-        counts = [kernels.from_planes(x, np.uint32) for x in table["counts"].to_pylist()]
-        _, where, sums = _distinct(np.concatenate(hashes), np.concatenate(counts))
-        answer = sums[where]
-        ends = np.cumsum([len(x) for x in hashes])
-        return pa.table({
+        # a row for every part, with or without hashes: each answers with its share of N and V
+        sent = {"part": pa.array(range(parts), pa.int32()), "chunk": pa.array([key[0].as_py()] * parts, pa.int32())}
+        for kind, keys in (("word", tokens), ("pair", _bigrams(tokens, first))):
+            distinct, _, counts = _distinct(keys, weights)
+            counts, edges = counts.astype(np.uint32), kernels.part_bounds(distinct, parts)
+            cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+            sent[f"{kind}_hashes"] = pa.array([kernels.to_planes(distinct[c]) for c in cut], pa.binary())
+            sent[f"{kind}_counts"] = pa.array([kernels.to_planes(counts[c]) for c in cut], pa.binary())
+        return pa.table(sent)
+
+    def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found = {}
+        for kind in ("word", "pair"):
+            hashes = [kernels.from_planes(x, _U) for x in table[f"{kind}_hashes"].to_pylist()]
+            counts = [kernels.from_planes(x, np.uint32) for x in table[f"{kind}_counts"].to_pylist()]
+            edges = np.cumsum([0] + [len(x) for x in hashes])
+            found[kind] = (*_distinct(np.concatenate(hashes), np.concatenate(counts)), [slice(a, b) for a, b in zip(edges[:-1], edges[1:])])
+        learnt = [(distinct[sums > 0], sums[sums > 0]) for distinct, _, sums, _ in found.values()]
+        bloom = LogFrequencyBloom.sized(np.concatenate([k for k, _ in learnt]), np.concatenate([n for _, n in learnt]), level_bits, base, probes)
+        n = table.num_rows
+        back = {
             "chunk": table["chunk"],
-            "part": pa.array([key[0].as_py()] * len(hashes), pa.int32()),
-            "counts": pa.array([kernels.to_planes(answer[e - len(x) : e]) for x, e in zip(hashes, ends)], pa.binary()),
-        })
+            "part": pa.array([key[0].as_py()] * n, pa.int32()),
+            "tokens": pa.array([int(learnt[0][1].sum())] * n, pa.int64()),
+            "vocabulary": pa.array([len(learnt[0][0])] * n, pa.int64()),
+        }
+        for kind, (distinct, where, sums, cut) in found.items():
+            if kind == "word":
+                exact = sums[where]
+                back["word_counts"] = pa.array([kernels.to_planes(exact[c]) for c in cut], pa.binary())
+            levels = bloom.levels(distinct).astype(np.uint16)[where]
+            back[f"{kind}_levels"] = pa.array([kernels.to_planes(levels[c]) for c in cut], pa.binary())
+        return pa.table(back)
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids, held, texts = _id_bytes(left)
         tokens, first = _tokens(texts)
         distinct, where, _ = _distinct(tokens)
-        answers = sorted(zip(right["part"].to_pylist(), right["counts"].to_pylist()))
-        exact = np.concatenate([kernels.from_planes(x, np.int64) for _, x in answers] or [np.zeros(0, np.int64)])
-        assert len(exact) == len(distinct), "a chunk changed between its two readings"
+        pairs, pair_at, _ = _distinct(_bigrams(tokens, first))
+        right = right.sort_by("part")
+        assert right.num_rows == parts, "a part did not answer"
+
+        def joined(column: str, dtype) -> np.ndarray:
+            return np.concatenate([kernels.from_planes(x, dtype) for x in right[column].to_pylist()])
+
+        exact, single, joint = joined("word_counts", np.int64), joined("word_levels", np.uint16), joined("pair_levels", np.uint16)
+        assert len(exact) == len(single) == len(distinct) and len(joint) == len(pairs), "a chunk changed between its two readings"
+        train_tokens, vocabulary = (sum(right[c].to_pylist()) for c in ("tokens", "vocabulary"))
         word_log, known = np.log10(exact + 1.0)[where], (exact > 0)[where]
-        model = shared.value
-        single = model.counts(distinct)
+        single = LogFrequencyBloom.middle(single.astype(np.int64), base)
         unigram = (single + 1.0) / (train_tokens + vocabulary + 1.0)
-        pairs, pair_at, _ = _distinct(_bigrams(tokens, first))
-        joint = model.counts(pairs)[pair_at]
+        joint = LogFrequencyBloom.middle(joint.astype(np.int64), base)[pair_at]
         history = np.empty(len(tokens))
         history[1:] = single[where[:-1]]
-        end_count = model.counts(np.array([_END], _U))[0]
-        history[first[:-1]] = end_count
+        history[first[:-1]] = single[np.searchsorted(distinct, _END)]  # every text ends in the end token
         token_log = np.log10((np.minimum(joint, history) + mu * unigram[where]) / (history + mu))
-        at = first[:-1]
+        at, n_tokens = first[:-1], np.diff(first)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()),
             "held_out": pa.array(held, pa.bool_()),
-            "n_tokens": pa.array(np.diff(first), pa.int64()),
+            "n_tokens": pa.array(n_tokens, pa.int64()),
             "n_known": pa.array(np.add.reduceat(known.astype(np.int64), at), pa.int64()),
-            "log_counts": pa.array(np.add.reduceat(word_log, at), pa.float64()),
+            "train_tokens": pa.array([train_tokens] * len(ids), pa.int64()),
+            "base_score": pa.array(np.add.reduceat(word_log, at) - n_tokens * math.log10(train_tokens + vocabulary + 1), pa.float64()),
             "score": pa.array(np.add.reduceat(token_log, at), pa.float64()),
         })
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, hashes binary, counts binary")
-    back = sent.groupBy("part").applyInArrow(add, "chunk int, part int, counts binary")
-    scored = chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, _OUT)
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known",
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * F.lit(log_total)).alias("base_score"),
-        "score",
-    )
+    sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, word_hashes binary, word_counts binary, pair_hashes binary, pair_counts binary")
+    back = sent.groupBy("part").applyInArrow(answer, "chunk int, part int, tokens long, vocabulary long, word_counts binary, word_levels binary, pair_levels binary")
+    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, _OUT)

@@ -199,5 +199,30 @@ def test_filter_never_reads_too_low():
     assert (read >= np.where(true == 1, 1.0, 1.5 ** (true - 0.5)) - 1e-9).all()
 
 
+def test_filter_grows_with_its_keys():
+    rng = np.random.default_rng(1)
+    for n in (1_000, 64_000, 1_000_000):
+        keys = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+        seen = rng.random(len(keys)) < 0.5
+        bloom = bloom_lm.LogFrequencyBloom.sized(keys[seen], rng.geometric(0.7, int(seen.sum())), 24, 1.5, 3)
+        assert (bloom.counts(keys[seen]) > 0).all() and (bloom.counts(keys[~seen]) > 0).mean() < 0.006
+
+
+def test_scores_fix_no_size_and_keep_nothing_in_the_driver(docs, monkeypatch):
+    """No part of the model may have a bound of its own or be broadcast or brought to the driver."""
+    import inspect
+
+    from pyspark import SparkContext
+    from pyspark.sql import functions as F
+
+    def refuse(*_):
+        raise AssertionError("the model meets in the driver")
+
+    assert "filter_bytes" not in inspect.signature(bloom_lm.score_texts).parameters
+    monkeypatch.setattr(SparkContext, "broadcast", refuse)
+    monkeypatch.setattr(type(docs), "toLocalIterator", refuse)
+    assert bloom_lm.score_texts(docs.withColumn("held_out", F.lit(False)), chunk_bytes=1 << 20).count() == docs.count()
+
+
 def test_shingles_helper_is_lower_case():
     assert shingles("A b", 2) == {("a", "b")}
