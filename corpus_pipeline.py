@@ -6,7 +6,10 @@ return the columns of ``documents``. The SQL of the whole does not exist (a trai
 a packing have none), so ORACLE_SQL is None and tests hold each stage against plain Python.
 
 Edge cases follow the operators: a null or empty text is kept by the classifier only if its prior
-clears the threshold, is near nothing, loses nothing, and packs as its end token.
+clears the threshold, is near nothing, loses nothing, and packs as its end token. Rows that repeat
+both doc_id and text (null or not) are one document: the near-duplicate stage hands on one of them.
+Rows of one doc_id with different texts are kept or dropped together, and no such text is dropped
+for another of its own id.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of near duplicates (five words, 0.8)."""
+    """The document of smallest id of each class of near duplicates (five words, 0.8), in one row
+    for each of its texts."""
     found = setsketch_dedup.near_duplicates(docs, shingle=5, percent=80)
     dropped = found.filter(~F.coalesce(F.col("kept"), F.lit(True))).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*_COLUMNS)
+    return docs.join(dropped, "doc_id", "left_anti").select(*_COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
