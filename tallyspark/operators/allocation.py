@@ -9,8 +9,9 @@ need no fold: the window path of ``replay_window`` is exact for them.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import product
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,16 +131,62 @@ class Wallet:
                     best = found
         return best
 
+    def subset_values(self, card: int, spends: list) -> list[int]:
+        """Rewards and milestone grants of each set of spends on one card; bit i of a set's index is
+        spend i. A set replays as its last spend after the set without it."""
+        states: list[tuple[int, int, dict[str, int]]] = [(0, 0, {})]
+        for amount, options in spends:
+            for rewards, spent, used in states[:]:
+                rupees, takes, _ = self.pay(card, options[card], used)
+                if takes:
+                    used = used | {b: used.get(b, 0) + x for b, x in takes.items()}
+                states.append((rewards + rupees, spent + amount, used))
+        goals = self.milestones[card]
+        return [rewards + sum(grant for threshold, grant in goals if spent >= threshold) for rewards, spent, _ in states]
+
     def brute_force(self, spends: list, limit: int = 12) -> tuple[list[int], int]:
-        """The first best of all assignments, in lexicographic order."""
+        """The first best of all assignments, in lexicographic order: the best partition of the
+        spends into one set a card, card by card. Of equal totals the least assignment read as a
+        number in base ``len(cards)`` wins; it is a sum over the cards' sets like the total, so one
+        integer, total times the count of assignments less that number, orders both."""
         if len(spends) > limit:
             raise ValueError(f"brute force is for at most {limit} spends")
-        best, most = [0] * len(spends), -1
-        for trial in product(range(len(self.cards)), repeat=len(spends)):
-            total = sum(r + m for r, _, m in self.value(spends, list(trial)))
-            if total > most:
-                best, most = list(trial), total
-        return best, most
+        n, k = len(spends), len(self.cards)
+        place = [0]
+        for i in range(n):
+            place += [x + k ** (n - 1 - i) for x in place]
+        # Python integers, which cannot overflow, where 64 bits might not hold the order
+        values = [self.subset_values(c, spends) for c in range(k)]
+        dtype = np.int64 if (sum(map(max, values)) + 1) * k**n < 1 << 62 else object
+        order = [np.array([v * k**n - c * x for v, x in zip(values[c], place)], dtype) for c in range(k)]
+        best, picks = order[0], []
+        for c in range(1, k):
+            own, others, starts = _splits(n)
+            total = best[others] + order[c][own]
+            best = np.maximum.reduceat(total, starts)
+            picks.append((total, best))
+        assignment, left = [0] * n, (1 << n) - 1
+        for c in range(k - 1, 0, -1):
+            own, _, starts = _splits(n)
+            total, most = picks[c - 1]
+            end = starts[left + 1] if left + 1 < len(starts) else len(own)
+            taken = int(own[starts[left] + int(np.flatnonzero(total[starts[left] : end] == most[left])[0])])
+            for i in range(n):
+                if taken >> i & 1:
+                    assignment[i] = c
+            left ^= taken
+        return assignment, -int(-best[-1] // k**n)
+
+
+@lru_cache(maxsize=16)
+def _splits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every (subset, rest) of every set of n, set by set, and where each set's begin: 3**n rows."""
+    own = rest = np.zeros(1, np.int64)
+    for i in range(n):
+        own, rest = np.concatenate([own, own, own + (1 << i)]), np.concatenate([rest, rest + (1 << i), rest])
+    order = np.argsort(own + rest, kind="stable")
+    own, rest = own[order], rest[order]
+    return own, rest, np.searchsorted(own + rest, np.arange(1 << n))
 
 
 def card_options(cards: list[Card]) -> Column:
@@ -258,7 +305,9 @@ def brute_force_cycles(spends: DataFrame, cards: list[Card]) -> DataFrame:
         own = _spends_of(group, len(cards))
         return pd.DataFrame({"cycle_id": [group["cycle_id"].iloc[0]], "allocated_paise": [wallet.allocate(own)[1]], "optimum_paise": [wallet.brute_force(own)[1]]})
 
-    return with_options(spends, cards).groupBy("cycle_id").applyInPandas(fold, "cycle_id long, allocated_paise long, optimum_paise long")
+    # few bytes, much work: a number of partitions of its own, which Spark does not merge by size
+    tasks = int(spends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_options(spends, cards).repartition(tasks, "cycle_id").groupBy("cycle_id").applyInPandas(fold, "cycle_id long, allocated_paise long, optimum_paise long")
 
 
 def leakage(missed: Column, value: Column, floored: bool = True) -> Column:

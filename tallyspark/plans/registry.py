@@ -135,7 +135,7 @@ def allocate_cycle(spark, sf):
 @_query
 def brute_force(spark, sf):
     spends = domain.lineitem_spends(spark, sf)
-    few = spends.groupBy("cycle_id").agg(F.count("*").alias("n")).filter("n <= 6").select("cycle_id")
+    few = spends.groupBy("cycle_id").agg(F.count("*").alias("n")).filter("n <= 12").select("cycle_id")  # the guard of the search
     return allocation.brute_force_cycles(spends.join(few, "cycle_id"), bundled_cards())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import itertools
 import random
 from datetime import date
 from pathlib import Path
@@ -121,6 +122,29 @@ def test_random_cycles_against_brute_force():
     assert best > 150
 
 
+def test_brute_force_equals_all_assignments():
+    """Totals and first best assignments, ties and shared caps included, of a plain enumeration."""
+    rng, cards = random.Random(4), bundled_cards()
+    for trial in range(120):
+        own = [*cards, flat("x", 0.01, (Milestone("m", 90_000, 900),))][: rng.randint(1, 4)] if trial % 2 else [flat(f"f{c}", rng.choice((0.01, 0.02)), (Milestone("m", 50_000, rng.choice((0, 700))),)) for c in range(rng.randint(1, 3))]
+        wallet, spends = Wallet(own), []
+        for _ in range(rng.randint(0, 5)):
+            amount = rng.choice((100, 10_000, 40_000, 3_000_000))
+            spends.append((amount, [[(r, amount // (20 + 30 * r)) for r in range(len(c.rules)) if rng.random() < 0.8] for c in own]))
+        best, most = [0] * len(spends), -1
+        for tried in itertools.product(range(len(own)), repeat=len(spends)):
+            total = sum(r + m for r, _, m in wallet.value(spends, list(tried)))
+            if total > most:
+                best, most = list(tried), total
+        assert wallet.brute_force(spends) == (best, most)
+
+
+def test_brute_force_takes_every_cycle_within_the_guard(spark, sf):
+    sizes = domain.lineitem_spends(spark, sf).groupBy("cycle_id").count().collect()
+    found = {r["cycle_id"] for r in QUERIES["brute_force"](spark, sf).collect()}
+    assert found == {r["cycle_id"] for r in sizes if r["count"] <= 12} and any(r["count"] > 6 for r in sizes if r["cycle_id"] in found)
+
+
 def _as_stream(spark, orders, folder, batches):
     """The orders as files of one batch each, oldest spends first."""
     ranked = orders.withColumn("_n", F.ntile(batches).over(Window.orderBy("o_orderdate", "o_orderkey")))
