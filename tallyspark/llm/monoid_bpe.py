@@ -36,19 +36,24 @@ _SETTLED = re.compile(r"(?<=[^\s\x1c-\x1f\x85])[ \t\n\r]")
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str):
-    """A tiktoken encoding from a rank file, or from the vocabulary of a tokenizers JSON file."""
+    """A tiktoken encoding from a rank file, or from the vocabulary of a tokenizers JSON file, whose
+    added tokens are then its special tokens. ``encode_ordinary`` reads these as plain text."""
     import tiktoken
 
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as file:
             tokenizer = json.load(file)
-        special = {x["content"] for x in tokenizer["added_tokens"]}
+        added = tokenizer["added_tokens"]
+        if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("an added token that takes in its surroundings")
+        special = {x["content"]: x["id"] for x in added}
         shown = _shown_bytes()
         ranks = {bytes(shown[c] for c in word): i for word, i in tokenizer["model"]["vocab"].items() if word not in special}
     else:
+        special = {}
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _shown_bytes() -> dict[str, int]:

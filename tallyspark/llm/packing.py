@@ -12,6 +12,9 @@ Pieces are matched to places without a global sort: rows of each length are numb
 hash groups, whose sizes give each group its first number, so a length that a third of the rows
 share is split as well. A plan row says which numbers of a length go to which places.
 
+Ids are those of the vocabulary file read by ``tokenizers``: where a text holds one of the file's
+added tokens (``<|endoftext|>``), that is its one id and the text on each side is encoded by itself.
+
 Edge cases: a null or empty text is the end token alone; repeated rows are pieces of their own
 (their numbering is arbitrary among equals); an empty table gives an empty result; a piece longer
 than a sequence does not exist; other columns are ignored.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import binascii
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +143,7 @@ def encode_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, capacity:
     """doc_id, piece, start, length, ids_crc32 of each text's ids and the end token."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary_path, pattern).encode_ordinary
+        encode = partial(encoder(vocabulary_path, pattern).encode, allowed_special="all")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []

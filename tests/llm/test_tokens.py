@@ -80,6 +80,20 @@ def test_pieces_and_places(docs, corpus):
     assert len(by) <= math.ceil(total / 2048) * 1.05 + 1
 
 
+def test_added_tokens_are_single_ids(spark):
+    tokenizer, rng = Tokenizer.from_file(VOCABULARY), random.Random(5)
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "a", " word", "'s", "12", "é", "日本", "\u00a0"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)]
+    want = {}
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        want[i] = (len(ids), binascii.crc32(np.array(ids, "<u4").tobytes()))
+    assert want[0] == (5, binascii.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()))
+    found = packing.encode_pieces(frame(spark, list(enumerate(texts))), VOCABULARY, public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in found} == want
+
+
 def test_configurations_hold_every_histogram():
     rng = random.Random(8)
     for _ in range(30):
