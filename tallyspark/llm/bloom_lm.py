@@ -7,21 +7,28 @@ into levels ``1 + floor(log_base(count))`` and sets, for each n-gram and each le
 words and with the levels that the block shows for its words and bigrams. So neither a frequent
 n-gram nor the vocabulary nor the filter ever meets in one place, and no size is fixed beforehand.
 
-A level is read back by probing one after another until one fails, so it is never too low, and too
-high only by false positives. A block has ``level_bits`` bits for each level it holds, so the share
-of set bits is the same whatever the corpus: with 3 probes and 24 bits at most 1 - exp(-1/8), 12 %,
-where 0.2 % of unseen n-grams read as seen once, and each further level is as unlikely again.
-
-Model: ``p(w | h) = (q(h, w) + mu * u(w)) / (q(h) + mu)`` with ``u(w) = (q(w) + 1) / (N + V + 1)``
-and ``q`` the filter's counts; the history of a text's first token is the end token.
-
-Edge cases: a null or empty text has one token, the end; an empty table gives an empty result;
-where nothing is held in, N = V = 0 and every probability is 1; other columns are ignored.
+A level is read back by probing one after another until one fails or the block's greatest level is
+reached, so it is never too low, and too high only by false positives. A block has ``level_bits``
+bits for each level it holds, so the share of set bits is the same whatever the corpus: with 16
+probes and 48 bits at most 1 - exp(-1/3), 28 %, and 2e-9 of unseen n-grams read as seen once, at
+30 GB as at 100 TB.
+
+Model: ``p(w | h) = (q(h, w) + mu * u(w)) / (c(h) + mu + V * f)`` with ``u(w) = (q(w) + 1) / (N + V
++ 1)``, ``q`` the least count of the level that the filter shows, never above the count itself but
+by false positives (nor above those of h and w), ``c`` exact, and ``f`` the count that the block
+shows for an unseen bigram on average, from its share of set bits. The quantised counts of a history
+sum to at most c(h), so the probabilities of all words after it sum to at most 1 and a score is never
+above 0. The history of a text's first token is the end token.
+
+Edge cases: a null or empty text has one token, the end; a null held_out counts as false; an empty
+table gives an empty result; where nothing is held in, N = V = 0 and every probability is 1; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,67 +69,59 @@ def _distinct(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
 
 
 class LogFrequencyBloom:
-    """A filter of one block of ``block_bytes`` for each of ``parts`` ranges of the hash space."""
-
-    def __init__(self, bits: bytearray, parts: int, block_bytes: int, base: float, probes: int):
-        self.bits = np.frombuffer(bits, np.uint8)
-        self.parts, self.block_bytes, self.base, self.probes = parts, block_bytes, base, probes
-
-    @staticmethod
-    def positions(keys: np.ndarray, level: int, probe: int, block_bytes: int) -> np.ndarray:
-        return kernels.mix64(keys + _U((level * 64 + probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % _U(8 * block_bytes)
-
-    @classmethod
-    def block(cls, keys: np.ndarray, counts: np.ndarray, block_bytes: int, base: float, probes: int) -> bytes:
-        flags = np.zeros(8 * block_bytes, bool)
-        level, left = 1, np.arange(len(keys))
-        levels = cls.level(counts, base)
-        while len(left):
-            for probe in range(probes):
-                flags[cls.positions(keys[left], level, probe, block_bytes)] = True
-            level += 1
+    """One block of a filter: the bits, the greatest level set, and the share of bits set."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, level_bits: int, base: float, probes: int):
+        levels = self.level(counts, base)
+        self.base, self.probes = base, probes
+        self.n_bits = max(512, -(-level_bits * int(levels.sum()) // 8) * 8)
+        self.top = int(levels.max(initial=0))
+        flags = np.zeros(self.n_bits, bool)
+        left = np.arange(len(keys))
+        for level in range(1, self.top + 1):
             left = left[levels[left] >= level]
-        return np.packbits(flags).tobytes()
+            for probe in range(probes):
+                flags[self.position(keys[left], level, probe)] = True
+        self.bits, self.filled = np.packbits(flags), float(flags.mean())
 
-    @classmethod
-    def sized(cls, keys: np.ndarray, counts: np.ndarray, level_bits: int, base: float, probes: int) -> LogFrequencyBloom:
-        """One block with ``level_bits`` bits for each level that the counts set."""
-        block_bytes = max(64, -(-level_bits * int(cls.level(counts, base).sum()) // 8))
-        return cls(bytearray(cls.block(keys, counts, block_bytes, base, probes)), 1, block_bytes, base, probes)
+    def position(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
+        spot = kernels.mix64(keys + _U((level * 64 + probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        return ((spot >> _U(32)) * _U(self.n_bits) >> _U(32)).astype(np.int64)
 
     @staticmethod
     def level(counts: np.ndarray, base: float) -> np.ndarray:
         return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
 
     @staticmethod
-    def middle(levels: np.ndarray, base: float) -> np.ndarray:
-        """The middle of each level's counts, on the log scale; the first level is a count of one."""
-        return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, base ** (levels - 0.5)))
+    def least(levels: np.ndarray, base: float) -> np.ndarray:
+        """The least count of each level."""
+        return np.where(levels == 0, 0.0, np.ceil(base ** (levels - 1.0) - 1e-6))
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of sorted keys: 0 where the first level fails."""
-        return self.middle(self.levels(keys), self.base)
+    @property
+    def false_count(self) -> float:
+        """What is read for an n-gram that was never seen, on average."""
+        share = self.filled**self.probes
+        return sum(share**k * (self.base ** (k - 1)) for k in range(1, self.top + 1))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The last level of each of sorted keys before one fails."""
-        block = np.empty(len(keys), np.int64)
-        edges = kernels.part_bounds(keys, self.parts)
-        for p in range(self.parts):
-            block[edges[p] : edges[p + 1]] = p
+        """The last level of each key before one fails."""
         levels = np.zeros(len(keys), np.int64)
-        left, level = np.arange(len(keys)), 1
-        while len(left) and level < 400:
-            alive = np.ones(len(left), bool)
+        left = np.arange(len(keys))
+        for level in range(1, self.top + 1):
             for probe in range(self.probes):
-                at = self.positions(keys[left], level, probe, self.block_bytes).astype(np.int64)
-                byte = self.bits[block[left] * self.block_bytes + (at >> 3)]
-                alive &= (byte >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            left = left[alive]
+                at = self.position(keys[left], level, probe)
+                left = left[(self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
             levels[left] = level
-            level += 1
+            if not len(left):
+                break
         return levels
 
 
+def conditional(joint: np.ndarray, history: np.ndarray, unigram: np.ndarray, mu: float, false_mass: float | np.ndarray) -> np.ndarray:
+    """p(w | h) of quantised counts of pairs, exact ones of histories, and unigram probabilities."""
+    return (joint + mu * unigram) / (history + mu + false_mass)
+
+
 def _id_bytes(table: pa.Table) -> tuple[list, list, list[bytes]]:
     ids, held = table["doc_id"].to_pylist(), table["held_out"].to_pylist()
     texts = kernels.binary_list(table["text"])
@@ -130,23 +129,61 @@ def _id_bytes(table: pa.Table) -> tuple[list, list, list[bytes]]:
     return [ids[i] for i in order], [bool(held[i]) for i in order], [texts[i] for i in order]
 
 
-def score_texts(docs: DataFrame, level_bits: int = 24, base: float = 1.5, probes: int = 3, mu: float = 50.0, chunk_bytes: int = grid.CHUNK_BYTES) -> DataFrame:
-    """Scores of every text. ``docs``: doc_id, text, and held_out (not null), which marks the rows
-    nothing is learnt from."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("held_out"))
+def totals(rows: DataFrame, parts: int, chunk_bytes: int = grid.CHUNK_BYTES) -> tuple[int, int]:
+    """Training tokens and distinct ones, of rows (text, held_out), by ranges of the hash space."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+
+        def counted() -> pa.RecordBatch:
+            tokens, _ = _tokens(texts)
+            distinct = np.unique(tokens)
+            full, edges = kernels.part_runs(distinct, parts)
+            blobs = [kernels.to_planes(distinct[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            n = pa.array([len(tokens)] + [0] * (len(full) - 1), pa.int64())
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), n, pa.array(blobs, pa.binary())], names=["part", "tokens", "hashes"])
+
+        size = 0
+        for batch in batches:
+            for text in kernels.binary_list(batch.column(0)):
+                texts.append(text)
+                size += len(text)
+                if size >= chunk_bytes:
+                    yield counted()
+                    size = 0
+        if texts:
+            yield counted()
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        distinct = np.unique(np.concatenate([kernels.from_planes(x, _U) for x in table["hashes"].to_pylist()]))
+        return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "words": pa.array([len(distinct)], pa.int64())})
+
+    sent = rows.filter(~F.col("held_out")).select("text").mapInArrow(send, "part int, tokens long, hashes binary")
+    found = sent.groupBy("part").applyInArrow(count, "tokens long, words long").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
+    return found["n"] or 0, found["v"] or 0
+
+
+def score_texts(docs: DataFrame, level_bits: int = 48, base: float = 1.5, probes: int = 16, mu: float = 50.0, chunk_bytes: int = grid.CHUNK_BYTES) -> DataFrame:
+    """Scores of every text. ``docs``: doc_id, text, and held_out, which marks the rows nothing is
+    learnt from."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out"))
     chunks = parts = grid.chunk_count(grid.text_bytes(rows), chunk_bytes)
-    chunked = rows.withColumn("chunk", grid.chunk_of(F.col("doc_id"), chunks))
+    train_tokens, vocabulary = totals(rows, parts, chunk_bytes)
+    chunked = grid.dealt(rows, chunks)
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, held, texts = _id_bytes(table)
         tokens, first = _tokens(texts)
         weights = np.repeat(~np.array(held, bool), np.diff(first))
-        # a row for every part, with or without hashes: each answers with its share of N and V
-        sent = {"part": pa.array(range(parts), pa.int32()), "chunk": pa.array([key[0].as_py()] * parts, pa.int32())}
-        for kind, keys in (("word", tokens), ("pair", _bigrams(tokens, first))):
-            distinct, _, counts = _distinct(keys, weights)
-            counts, edges = counts.astype(np.uint32), kernels.part_bounds(distinct, parts)
-            cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+        own = {kind: _distinct(keys, weights) for kind, keys in (("word", tokens), ("pair", _bigrams(tokens, first)))}
+        runs = {kind: kernels.part_runs(distinct, parts) for kind, (distinct, *_) in own.items()}
+        full = np.union1d(runs["word"][0], runs["pair"][0])
+        sent = {"part": pa.array(full, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int32())}
+        for kind, (distinct, _, counts) in own.items():
+            counts, (named, edges) = counts.astype(np.uint32), runs[kind]
+            run = dict(zip(named.tolist(), map(slice, edges[:-1], edges[1:])))
+            cut = [run.get(p, slice(0, 0)) for p in full.tolist()]
             sent[f"{kind}_hashes"] = pa.array([kernels.to_planes(distinct[c]) for c in cut], pa.binary())
             sent[f"{kind}_counts"] = pa.array([kernels.to_planes(counts[c]) for c in cut], pa.binary())
         return pa.table(sent)
@@ -159,13 +196,12 @@ def score_texts(docs: DataFrame, level_bits: int = 24, base: float = 1.5, probes
             edges = np.cumsum([0] + [len(x) for x in hashes])
             found[kind] = (*_distinct(np.concatenate(hashes), np.concatenate(counts)), [slice(a, b) for a, b in zip(edges[:-1], edges[1:])])
         learnt = [(distinct[sums > 0], sums[sums > 0]) for distinct, _, sums, _ in found.values()]
-        bloom = LogFrequencyBloom.sized(np.concatenate([k for k, _ in learnt]), np.concatenate([n for _, n in learnt]), level_bits, base, probes)
+        bloom = LogFrequencyBloom(np.concatenate([k for k, _ in learnt]), np.concatenate([n for _, n in learnt]), level_bits, base, probes)
         n = table.num_rows
         back = {
             "chunk": table["chunk"],
             "part": pa.array([key[0].as_py()] * n, pa.int32()),
-            "tokens": pa.array([int(learnt[0][1].sum())] * n, pa.int64()),
-            "vocabulary": pa.array([len(learnt[0][0])] * n, pa.int64()),
+            "false_count": pa.array([bloom.false_count] * n, pa.float64()),
         }
         for kind, (distinct, where, sums, cut) in found.items():
             if kind == "word":
@@ -181,22 +217,22 @@ def score_texts(docs: DataFrame, level_bits: int = 24, base: float = 1.5, probes
         distinct, where, _ = _distinct(tokens)
         pairs, pair_at, _ = _distinct(_bigrams(tokens, first))
         right = right.sort_by("part")
-        assert right.num_rows == parts, "a part did not answer"
 
         def joined(column: str, dtype) -> np.ndarray:
             return np.concatenate([kernels.from_planes(x, dtype) for x in right[column].to_pylist()])
 
         exact, single, joint = joined("word_counts", np.int64), joined("word_levels", np.uint16), joined("pair_levels", np.uint16)
         assert len(exact) == len(single) == len(distinct) and len(joint) == len(pairs), "a chunk changed between its two readings"
-        train_tokens, vocabulary = (sum(right[c].to_pylist()) for c in ("tokens", "vocabulary"))
+        false_mass = vocabulary * max(right["false_count"].to_pylist())
         word_log, known = np.log10(exact + 1.0)[where], (exact > 0)[where]
-        single = LogFrequencyBloom.middle(single.astype(np.int64), base)
+        single = np.minimum(LogFrequencyBloom.least(single.astype(np.int64), base), exact)
         unigram = (single + 1.0) / (train_tokens + vocabulary + 1.0)
-        joint = LogFrequencyBloom.middle(joint.astype(np.int64), base)[pair_at]
+        joint = LogFrequencyBloom.least(joint.astype(np.int64), base)[pair_at]
         history = np.empty(len(tokens))
-        history[1:] = single[where[:-1]]
-        history[first[:-1]] = single[np.searchsorted(distinct, _END)]  # every text ends in the end token
-        token_log = np.log10((np.minimum(joint, history) + mu * unigram[where]) / (history + mu))
+        history[1:] = exact[where[:-1]]
+        history[first[:-1]] = exact[np.searchsorted(distinct, _END)]  # every text ends in the end token
+        joint = np.minimum(joint, np.minimum(history, exact[where]))
+        token_log = np.log10(np.minimum(conditional(joint, history, unigram[where], mu, false_mass), 1.0))
         at, n_tokens = first[:-1], np.diff(first)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()),
@@ -209,5 +245,5 @@ def score_texts(docs: DataFrame, level_bits: int = 24, base: float = 1.5, probes
         })
 
     sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, word_hashes binary, word_counts binary, pair_hashes binary, pair_counts binary")
-    back = sent.groupBy("part").applyInArrow(answer, "chunk int, part int, tokens long, vocabulary long, word_counts binary, word_levels binary, pair_levels binary")
+    back = sent.groupBy("part").applyInArrow(answer, "chunk int, part int, false_count double, word_counts binary, word_levels binary, pair_levels binary")
     return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, _OUT)

@@ -4,16 +4,21 @@ Every non-blank line is good or bad. Its features are byte-class shares, lengths
 each for the line itself, the one before and the one after; two states and a transition matrix make
 the chain. Forward-backward gives each line's marginal, and their average, weighted by line length,
 is the document's score. Lines inherit their document's label for training, which is done on the
-driver from the features of at most ``per_label`` documents a label (drawn by a hash of the id), so
-what is collected does not grow with the corpus. Labels, language, source and id never enter a score.
-
-Edge cases: a null or empty text, or one of blank lines only, scores ``prior`` (0.5: no evidence);
-with labels of one kind only, or none, every score is that kind's (1 or 0) or the prior; repeated
-rows score alike; an empty table gives an empty result; other columns are ignored.
+driver from the features of at most ``per_label`` documents a label (drawn by a hash of the id) and
+at most ``per_document`` lines running of each, from a place that the hash draws; features are those
+of the whole text. So what is collected has a bound, 62 MB of float32 with the defaults, whatever the
+corpus and its texts. Labels, language, source and id never enter a score, nor does what a text is
+batched with.
+
+Edge cases: a null or empty text, or one of blank lines only (white space is 0x20 and 0x09-0x0D),
+scores ``prior`` (0.5: no evidence); with labels of one kind only, or none, every score is that
+kind's (1 or 0) or the prior; repeated rows score alike; of rows that share a sampled id the smallest
+text is learnt from; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +30,8 @@ from pyspark.sql import types as T
 
 from . import kernels
 
-PER_LABEL = 2000
+#: Bounds of what training collects: documents a label, and lines of each.
+PER_LABEL, PER_DOCUMENT = 2000, 64
 
 
 def _classes() -> np.ndarray:
@@ -79,8 +85,8 @@ def _line_features(texts: list[bytes]) -> Lines:
         counts[:, k] = np.add.reduceat(_CLASSES[:, k][raw].astype(np.int32), starts)
     counts[:, 12] -= 1  # the line feed itself
     length = ends - starts
-    blank = length == counts[:, 3] + counts[:, 12]
-    kept = np.flatnonzero(~blank)
+    # a line is kept where a word (kernels' own white space) lies in it
+    kept = np.flatnonzero(np.add.reduceat((~kernels.SPACE[raw]).astype(np.int32), starts))
     first = np.searchsorted(starts[kept], offsets)
     found = kernels.words([buffer])
     word_line = np.searchsorted(starts[kept], found.start, side="right") - 1
@@ -130,7 +136,13 @@ class Model:
     prior: float = 0.5
 
     def potentials(self, features: np.ndarray) -> np.ndarray:
-        return np.clip((features - self.mean) / self.scale, -8, 8) @ self.weights
+        # summed row by row, so that a line's potential does not depend on what it is computed with
+        return (np.clip((features - self.mean) / self.scale, -8, 8) * self.weights).sum(axis=1)
+
+
+def _times(rows: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """``rows @ step`` for two states, by sums that are the same for a row in any company."""
+    return rows[:, :1] * step[0] + rows[:, 1:] * step[1]
 
 
 def forward_backward(unary: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +158,7 @@ def forward_backward(unary: np.ndarray, first: np.ndarray, transitions: np.ndarr
     forward = np.empty_like(local)
     for t, n in enumerate(alive):
         at = begin[:n] + t
-        a = local[at] if t == 0 else (forward[at - 1] @ step) * local[at]
+        a = local[at] if t == 0 else _times(forward[at - 1], step) * local[at]
         forward[at] = a / a.sum(1, keepdims=True)
     marginal = np.empty(len(unary))
     expected = np.zeros((2, 2))
@@ -161,7 +173,7 @@ def forward_backward(unary: np.ndarray, first: np.ndarray, transitions: np.ndarr
             into = local[at] * back[:n]
             joint = forward[at - 1][:, :, None] * step * into[:, None, :]
             expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            new = into @ step.T
+            new = _times(into, step.T)
             back[:n] = new / new.sum(1, keepdims=True)
     return marginal, expected
 
@@ -214,7 +226,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, per_document: int = PER_DOCUMENT) -> Model:
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     drawn = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     sample = drawn[0].unionByName(drawn[1])
@@ -222,11 +234,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = kernels.binary_list(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([line_features([t]).features.tobytes() for t in texts], pa.binary())], names=["doc_id", "quality", "features"])
-
-    # at most 2 * per_label ids, so the sample may be broadcast
-    chosen = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+            drawn = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), kernels.binary_list(batch.column(1))):
+                lines = line_features([text]).features
+                begin = zlib.crc32(str(doc_id).encode()) % max(1, len(lines) - per_document + 1)
+                drawn.append(lines[begin : begin + per_document].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(drawn, pa.binary())], names=["doc_id", "quality", "features"])
+
+    # at most 2 * per_label ids, so the sample may be broadcast; an id gives one text
+    chosen = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
     found = chosen.mapInArrow(work, "doc_id long, quality int, features binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["features"]))
     return fit([r["features"] for r in found], [r["quality"] for r in found])

@@ -1,8 +1,10 @@
 """Vectorised text kernels that run inside Arrow batches.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, so the kernels work on UTF-8 bytes
-and never on Python word lists. Word and n-gram hashes are polynomials modulo 2**64 read off prefix
-sums (Rabin-Karp), so a batch costs a fixed number of numpy passes whatever its words look like.
+and never on Python word lists. A word's hash absorbs its bytes eight at a time through a mixing
+bijection (very long words go through xxh3), which no pattern of letters cancels as it would in a
+polynomial modulo 2**64. Hashes of runs of words are Rabin-Karp polynomials modulo the prime
+2**61 - 1, read off prefix sums, so a batch costs a fixed number of numpy passes.
 """
 
 from __future__ import annotations
@@ -10,12 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes hashed in one pass; one longer document makes a pass of its own.
 PASS_BYTES = 1 << 21
+#: Words of more bytes than this are hashed one by one.
+LANE_BYTES = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -29,31 +33,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = mix64(np.arange(1, 257, dtype=_U) * _U(_BYTE_BASE))
-_LOWER_BYTE = _BYTE.copy()
-_LOWER_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+P61 = (1 << 61) - 1
+_P61, _LOW31, _LOW30 = _U(P61), _U((1 << 31) - 1), _U((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Residues modulo 2**61 - 1 of any 64-bit integers."""
+    x = (x & _P61) + (x >> _U(61))
+    return np.where(x >= _P61, x - _P61, x)
+
+
+def times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of residues: 31-bit halves keep every sum below 2**64."""
+    a1, a0, b1, b0 = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << _U(1)) + (middle >> _U(30)) + ((middle & _LOW30) << _U(31)) + a0 * b0)
 
 
 class _Powers:
-    """base**i and base**-i modulo 2**64, grown on demand."""
+    """base**i and base**-i modulo 2**61 - 1, grown on demand by doubling."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, _U)
+        self.steps = (base, pow(base, -1, P61))
+        self.tables = [np.ones(1, _U), np.ones(1, _U)]
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << int(n).bit_length()
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, _U)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
+        for k, base in enumerate(self.steps):
+            while len(self.tables[k]) < n:
+                have = self.tables[k]
+                self.tables[k] = np.concatenate([have, times61(have, np.full(len(have), pow(base, len(have), P61), _U))])
+        return self.tables[0][:n], self.tables[1][:n]
 
 
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_bases = (_Powers(0x12D5F2C9A8E6B347), _Powers(0x0B7F3C51D9E4862F))
 
 
 @dataclass
@@ -71,10 +88,28 @@ class Words:
         return np.diff(self.first)
 
 
-def _words_of_pass(texts: list[bytes], table: np.ndarray) -> Words:
+def _word_hashes(buffer: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - start
+    lanes = np.ndarray(len(buffer) + 1, "<u8", buffer + bytes(8), strides=(1,))
+    found = mix64(size.astype(_U))
+    left, at = np.flatnonzero(size <= LANE_BYTES), 0
+    while len(left):
+        rest = size[left] - at
+        lane = lanes[start[left] + at]
+        short = rest < 8
+        lane = np.where(short, lane & ((_U(1) << (_U(8) * np.minimum(rest, 7).astype(_U))) - _U(1)), lane)
+        found[left] = mix64((found[left] ^ lane) + _U(0x9E3779B97F4A7C15))
+        at += 8
+        left = left[rest > 8]
+    for k in np.flatnonzero(size > LANE_BYTES):
+        found[k] = xxhash.xxh3_64_intdigest(buffer[start[k] : end[k]])
+    return found
+
+
+def _words_of_pass(texts: list[bytes], lower: bool) -> Words:
     buffer = b" ".join(texts) + b" "
     raw = np.frombuffer(buffer, np.uint8)
-    gap = _SPACE[raw]
+    gap = SPACE[raw]
     before = np.empty_like(gap)
     before[0] = True
     before[1:] = gap[:-1]
@@ -83,25 +118,21 @@ def _words_of_pass(texts: list[bytes], table: np.ndarray) -> Words:
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
     first = np.searchsorted(start, offsets)
-    up, down = _byte_powers.get(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, _U)
-    np.cumsum(table[raw] * up[:-1], out=sums[1:])
-    hashes = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    hashes = _word_hashes(_LOWER[raw].tobytes() if lower else buffer, start, end)
     return Words(first, start, end, hashes, buffer)
 
 
 def words(texts: list[bytes], lower: bool = False) -> Words:
     """Words of UTF-8 texts; ``lower`` reads A-Z as a-z in the hashes."""
-    table = _LOWER_BYTE if lower else _BYTE
     passes, group, size = [], [], 0
     for text in texts:
         if group and size + len(text) > PASS_BYTES:
-            passes.append(_words_of_pass(group, table))
+            passes.append(_words_of_pass(group, lower))
             group, size = [], 0
         group.append(text)
         size += len(text) + 1
     if group or not passes:
-        passes.append(_words_of_pass(group, table) if group else Words(np.zeros(1, np.int64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, _U), b""))
+        passes.append(_words_of_pass(group, lower) if group else Words(np.zeros(1, np.int64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, _U), b""))
     if len(passes) == 1:
         return passes[0]
     word_shift = np.cumsum([0] + [p.first[-1] for p in passes])
@@ -115,19 +146,24 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     )
 
 
-def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp hashes of every run of ``n`` words inside one document, and where each starts."""
+def windows(hashes: np.ndarray, first: np.ndarray, n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp hashes of every run of ``n`` words inside one document, and where each starts.
+    There are two bases, for two independent hashes."""
     total = len(hashes)
     if total < n:
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    up, down = _word_powers.get(total + 1)
-    sums = np.zeros(total + 1, _U)
-    np.cumsum(hashes * up[:total], out=sums[1:])
-    rolled = (sums[n:] - sums[:-n]) * down[: total - n + 1]
     counts = np.diff(first)
     limit = np.repeat(first[1:], counts)[: total - n + 1]
     at = np.flatnonzero(np.arange(total - n + 1) + n <= limit)
-    return mix64(rolled[at] + _U(n)), at
+    if n == 1:
+        return mix64(_reduced(hashes)[at] + _U(n)), at
+    up, down = _bases[base].get(total + 1)
+    terms = times61(_reduced(hashes), up[:total])
+    # prefix sums of 31-bit halves stay below 2**64 for 2**33 words
+    high, low = (np.concatenate([[_U(0)], np.cumsum(half, dtype=_U)]) for half in (terms >> _U(31), terms & _LOW31))
+    high, low = high[at + n] - high[at], low[at + n] - low[at]
+    rolled = times61(_reduced(times61(_reduced(high), np.full(len(at), 1 << 31, _U)) + _reduced(low)), down[at])
+    return mix64(rolled + _U(n)), at
 
 
 def to_planes(values: np.ndarray) -> bytes:
@@ -142,10 +178,13 @@ def from_planes(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-def part_bounds(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of ``parts`` equal ranges of the hash space begins in sorted hashes."""
-    edges = np.array([(p << 64) // parts for p in range(1, parts)], dtype=_U)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]]).astype(np.int64)
+def part_runs(sorted_hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts (equal ranges of the hash space) that sorted hashes fall into, and where the run
+    of each begins, with the total at the end; parts without hashes are not named."""
+    width = -(-(1 << 64) // parts)
+    part = (sorted_hashes // _U(width)).astype(np.int64) if parts > 1 else np.zeros(len(sorted_hashes), np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return part[begin], np.append(begin, len(part))
 
 
 def binary_list(column) -> list[bytes]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF, WINDOW = 8192, 16
+LEAF, WINDOW = 64, 16
 #: Code points on which the pattern's \s and Python's agree, so that a spot found is truly settled.
 _SETTLED = re.compile(r"(?<=[^\s\x1c-\x1f\x85])[ \t\n\r]")
 

@@ -4,12 +4,15 @@ Texts longer than a sequence are cut into full pieces behind a first, shorter on
 sequences alone. The lengths of the others form a histogram of at most ``capacity`` bins, the only
 thing the driver sees. A configuration is a multiset of lengths that fits one sequence. The covering
 program (fewest configurations that hold the histogram) is solved by multiplicative weights: prices
-of lengths rise with unmet demand, a knapsack dynamic program finds the configuration of greatest
-price, and the average of those found solves the program approximately. Rounding takes the floor of
-the scaled solution and places what is left by best fit on the histogram, so every piece is placed.
-
-Pieces are matched to places without a global sort: rows of each length are numbered in ``deals``
-hash groups, whose sizes give each group its first number, so a length that a third of the rows
+of lengths fall as they are covered, one knapsack dynamic program, bounded by what is in stock, gives
+the best configuration behind each leading length, and the weighted sum of those found solves the
+program approximately. Rounding takes each configuration, fullest first, as often as its weight says,
+rounded up, and as the stock allows; the program is then solved again for what is left, until nothing
+is. So every sequence is one that the program priced: at sf0.01 and sf0.1 all of them, 481 and 4,936,
+which is the lower bound (tokens over capacity, rounded up).
+
+Pieces are matched to places without a global sort: rows of each length are numbered in 256 or more
+groups, dealt evenly, whose sizes give each group its first number, so a length that a third of the rows
 share is split as well. A plan row says which numbers of a length go to which places.
 
 Ids are those of the vocabulary file read by ``tokenizers``: where a text holds one of the file's
@@ -23,6 +26,7 @@ than a sequence does not exist; other columns are ignored.
 from __future__ import annotations
 
 import binascii
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -32,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import text_bytes
 from .monoid_bpe import encoder
 from .storage import written
 
@@ -39,90 +44,75 @@ CAPACITY, END = 2048, 0
 Config = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> Config:
-    """Knapsack with repetition: the multiset of lengths 1..capacity of greatest total price."""
+def best_configurations(prices: np.ndarray, stock: np.ndarray, capacity: int) -> list[Config]:
+    """Knapsack bounded by ``stock``: behind each length over half the capacity (or, where there is
+    none, each length) the filling of greatest price, and the best filling without a leader."""
     lengths = np.flatnonzero(prices > 0)
-    worth = prices[lengths]
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    usable = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        m = usable[c]
-        if m:
-            value = best[c - lengths[:m]] + worth[:m]
-            k = int(value.argmax())
-            if value[k] > best[c] + 1e-15:
-                best[c], pick[c] = value[k], lengths[k]
-    found: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            found[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return tuple(sorted(found.items(), reverse=True))
-
-
-def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> Counter:
-    """Configurations with how many sequences take each; together they hold the histogram exactly."""
-    demand = np.zeros(capacity + 1)
-    for length, n in histogram.items():
-        demand[length] = n
-    used: Counter = Counter()
-    if demand.any():
-        cover, weight = np.zeros(capacity + 1), Counter()
-        log_price = np.where(demand > 0, np.log(np.arange(capacity + 1) + 1e-9), -np.inf)  # longer pieces cost more room
-        for _ in range(rounds):
-            prices = np.exp(log_price - log_price.max())
-            prices[demand == 0] = 0
-            config = best_configuration(prices, capacity)
-            # as many sequences of it as the scarcest of its lengths could fill
-            step = min(demand[s] / k for s, k in config)
+    fill, large = lengths[2 * lengths <= capacity], lengths[2 * lengths > capacity]
+    items = []
+    for s in fill.tolist():
+        n, k = min(int(stock[s]), capacity // s), 1
+        while n > 0:
+            items.append((s, min(k, n)))
+            n, k = n - k, 2 * k
+    best, value = np.zeros(capacity + 1), np.empty(capacity + 1)
+    took = np.zeros((len(items), capacity + 1), bool)
+    for j, (s, k) in enumerate(items):
+        with_it = value[s * k :]
+        np.add(best[: capacity + 1 - s * k], prices[s] * k, out=with_it)
+        np.greater(with_it, best[s * k :], out=took[j, s * k :])
+        np.maximum(best[s * k :], with_it, out=best[s * k :])
+    lead = large if len(large) else fill
+    room = np.append(capacity - lead, capacity)
+    found = [Counter({s: 1}) for s in lead.tolist()] + [Counter()]
+    for j in range(len(items) - 1, -1, -1):
+        s, k = items[j]
+        hit = np.flatnonzero(took[j, room])
+        room[hit] -= s * k
+        for h in hit.tolist():
+            found[h][s] += k
+    return [tuple(sorted(c.items(), reverse=True)) for c in found if c and all(stock[s] >= k for s, k in c.items())]
+
+
+def weigh_configurations(stock: np.ndarray, capacity: int, rounds: int) -> dict[Config, float]:
+    """A fractional cover of ``stock`` by configurations, by multiplicative weights."""
+    demand, weight, cover = np.maximum(stock, 1).astype(float), Counter(), np.zeros(capacity + 1)
+    # long pieces are dearer than their share of room, for what they leave is hard to fill
+    log_price = np.where(stock > 0, 2 * np.log(np.arange(capacity + 1) + 1e-9), -np.inf)
+    for _ in range(rounds):
+        prices = np.where(stock > 0, np.exp(log_price - log_price.max()), 0.0)
+        found = best_configurations(prices, stock, capacity)
+        usage, covered = np.zeros(capacity + 1), np.zeros(capacity + 1)
+        for config in found:
+            for s, k in config:
+                usage[s] += k
+        for config in found:
+            # as many sequences of it as its share of the scarcest of its lengths could fill
+            step = min(demand[s] / usage[s] for s, _ in config)
             weight[config] += step
             for s, k in config:
-                cover[s] += step * k
-                log_price[s] -= 0.5 * step * k / demand[s]
-        scale = (cover.max() and 1 / max(cover[s] / demand[s] for s in np.flatnonzero(demand)))
-        used.update({c: int(w * scale) for c, w in weight.items() if int(w * scale)})
-    left = {s: n - sum(k * w for c, w in used.items() for t, k in c if t == s) for s, n in histogram.items()}
-    _best_fit(left, used, capacity)
-    return used
+                covered[s] += step * k
+        cover += covered
+        log_price -= 0.5 * covered / demand
+    scale = 1 / max(cover[s] / demand[s] for s in np.flatnonzero(stock))
+    return {config: w * scale for config, w in weight.items()}
 
 
-def _best_fit(left: dict[int, int], used: Counter, capacity: int) -> None:
-    """Places the remaining lengths, longest first into the fullest open sequence they fit; equal
-    sequences and equal pieces move together, so the work follows the histogram and not its counts."""
-    room = np.zeros(capacity + 1, np.int64)  # open sequences by room left
-    stacks: dict[int, list[list]] = {}
-    for s in sorted((s for s, n in left.items() if n > 0), reverse=True):
-        n = left[s]
-        while n:
-            fits = np.flatnonzero(room[s:])
-            if len(fits):
-                r = int(fits[0]) + s
-                have, inside = stacks[r].pop()
-            else:
-                r, have, inside = capacity, n, ()
-                per = min(r // s, n)
-                have = max(1, n // per)
-            each = max(1, min(r // s, n // have))
-            take = min(have, n // each) or 1
-            n -= take * each
-            if r < capacity or inside:
-                room[r] -= have
-                if have > take:
-                    stacks[r].append([have - take, inside])
-                    room[r] += have - take
-            rest = r - each * s
-            stacks.setdefault(rest, []).append([take, inside + ((s, each),)])
-            room[rest] += take
-    for group in stacks.values():
-        for n, inside in group:
-            merged: Counter = Counter()
-            for s, k in inside:
-                merged[s] += k
-            used[tuple(sorted(merged.items(), reverse=True))] += n
+def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 3) -> Counter:
+    """Configurations with how many sequences take each; together they hold the histogram exactly."""
+    stock = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        stock[length] = n
+    used: Counter = Counter()
+    while stock.any():
+        weights = weigh_configurations(stock, capacity, rounds)
+        for config, w in sorted(weights.items(), key=lambda x: (-sum(s * k for s, k in x[0]), -x[1], x[0])):
+            n = min(min(int(stock[s]) // k for s, k in config), max(1, math.ceil(w)))
+            if n:
+                used[config] += n
+                for s, k in config:
+                    stock[s] -= n * k
+    return used
 
 
 def _plan_rows(used: Counter) -> list[tuple[int, int, int, int, int, int]]:
@@ -161,10 +151,11 @@ def encode_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, capacity:
     return rows.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, vocabulary_path: str, pattern: str, capacity: int = CAPACITY, rounds: int = 400, deals: int = 256) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, pattern: str, capacity: int = CAPACITY, rounds: int = 3) -> DataFrame:
     """The pieces of all texts with sequence_id and offset."""
     spark = docs.sparkSession
-    pieces = encode_pieces(docs, vocabulary_path, pattern, capacity).withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(deals)).cast("int"))
+    deals = max(256, text_bytes(docs) >> 30)  # groups that the rows of one length are numbered in
+    pieces = encode_pieces(docs, vocabulary_path, pattern, capacity).withColumn("deal", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(deals)).cast("int"))
     pieces = written(pieces, "pieces")
     groups = written(pieces.groupBy("length", "deal").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -16,7 +16,8 @@ settled exactly: buckets of at most ``small`` members pair by pair, larger ones
 union-find skips pairs already joined.
 
 Edge cases: null or empty text, or one without words, has an empty set and no links; fewer words
-than a shingle form one shingle; rows that share an id are one document; a null id is kept without
+than a shingle form one shingle; rows that share an id are one document: they are in one component,
+whatever their texts, and each row tells its own text's number of shingles; a null id is kept without
 links; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -230,6 +231,15 @@ def _blocks(members: DataFrame, nodes: DataFrame, n: int, percent: int, block: i
     return outer.unionByName(every).join(nodes, "doc_id").groupBy("key", "i", "j").applyInArrow(settle, "a long, b long")
 
 
+def _same_id(table: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges between the sets of rows that share an id but not a text."""
+    pair = F.struct("k1", "k2")
+    several = table.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(pair).alias("lo"), F.max(pair).alias("hi")).filter("lo <> hi")
+    texts = table.filter("n_shingles > 0").join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
+    held = texts.join(sets.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
+    return held.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, small: int = 8, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept, for every row."""
     table = written(_sketched(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -246,7 +256,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, small:
     led = members.filter("doc_id <> leader")
     first = led.groupBy("doc_id", "leader").agg(F.count("*").alias("times")).groupBy("doc_id").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("a"))
     first = written(first.select("a", F.col("doc_id").alias("b")), "pairs")
-    edges = written(_verified(first, nodes, shingle, percent, block), "links")
+    edges = written(_verified(first, nodes, shingle, percent, block).unionByName(_same_id(table, sets)), "links")
 
     def labelled(frame: DataFrame, ids: str, name: str, found: DataFrame) -> DataFrame:
         return frame.join(found.select(F.col("node").alias(ids), F.col("label").alias("_label")), ids, "left").withColumn(name, F.coalesce("_label", ids)).drop("_label")

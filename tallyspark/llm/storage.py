@@ -13,10 +13,13 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a session of one process (tests) gets a
+    folder of our own; a cluster is refused, for there each machine would write to its own disk."""
     named = spark.conf.get(_SETTING, None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
     if "path" not in _own_folder:
         _own_folder["path"] = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
     return _own_folder["path"]
