@@ -61,8 +61,13 @@ def route(spends: DataFrame, cards: list[Card], keep_days: int | None = None) ->
 
 def run_available(stream: DataFrame, spark: SparkSession, folder: str | None = None) -> DataFrame:
     """Runs a stream over the input there is, into Parquet under ``folder`` with its own checkpoint,
-    and reads the rows back. The folder is spark.checkpoint.dir, or, where that is unset, our own."""
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyspark-")
+    and reads the rows back. The folder is spark.checkpoint.dir; where that is unset, a session of one
+    process gets a folder of our own, and a cluster is refused."""
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
     at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
