@@ -58,7 +58,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bottomk import fingerprints
 
     return fingerprints(_read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited", "shingles"
     )
 
 
