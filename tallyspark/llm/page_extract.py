@@ -133,7 +133,7 @@ def vectors(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.nd
     counts = found.counts
     slot, sign = (found.hashes % np.uint64(WORD)).astype(np.int64), np.where(found.hashes >> np.uint64(63), 1.0, -1.0)
     hashed = np.bincount(np.repeat(np.arange(len(counts)), counts) * WORD + slot, sign, minlength=len(counts) * WORD).reshape(-1, WORD)
-    hashed /= np.sqrt(np.maximum(counts, 1))[:, None]
+    hashed = hashed / np.sqrt(np.maximum(counts, 1))[:, None]
     out, at = [], 0
     for page in pages:
         x = np.empty((len(page), WIDTH), np.float32)

@@ -77,6 +77,49 @@ def test_empty_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in found) == [(-1, -1), (3, 3), (3, 3), (9, 3)]
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Two texts under one id join the components of both."""
+    a, b, c = "a b c d e f", "u v w x y z", "k l m n o p"
+    found = S.near_duplicates(frame(spark, [(3, a), (5, a), (5, b), (8, b), (9, c), (2, c), (7, "q r s t u v")])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(3, 3), (5, 3), (8, 3), (9, 2), (2, 2), (7, 7)}
+
+
+def test_components_take_logarithmic_rounds(spark):
+    from tallyspark.llm.components import components
+
+    n = 10_000
+    mixed = np.random.default_rng(4).permutation(n).tolist()
+    edges = list(zip(range(n - 1), range(1, n))) + [(n + x, n + y) for x, y in zip(mixed, mixed[1:])] + [(3 * n, 3 * n), (4 * n, 4 * n + 1), (4 * n + 1, 4 * n), (None, 5)]
+    seen: list = []
+    found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), seen).collect()}
+    assert found == {i: 0 for i in range(n)} | {n + i: n for i in range(n)} | {4 * n: 4 * n, 4 * n + 1: 4 * n}
+    assert len(seen) <= 20
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Words that cancel in any polynomial modulo 2**64 (Thue-Morse), in both operators."""
+    one, other = "a", "b"
+    for _ in range(10):
+        one, other = one + other, other + one
+    short, twin = one[:256], other[:256]
+    for x, y in ((one, other), (short, twin)):
+        hashes = S.kernels.words([x.encode(), y.encode()]).hashes
+        assert hashes[0] != hashes[1]
+    rows = [(1, f"{one} k l"), (2, f"{other} k l"), (3, "m n o"), (4, "m n o")]
+    found = {r["doc_id"]: r["n_removed"] for r in repeated_windows(frame(spark, rows), 3).collect()}
+    assert found == {1: 0, 2: 0, 3: 3, 4: 3}
+    assert {r["doc_id"]: r["component_id"] for r in S.near_duplicates(frame(spark, [(1, one), (2, other)]), 2).collect()} == {1: 1, 2: 2}
+
+
+def test_products_modulo_the_prime():
+    import random
+
+    K, rng = S.kernels, random.Random(1)
+    a, b = ([rng.randrange(K.P61) for _ in range(500)] + [0, 1, K.P61 - 1] for _ in range(2))
+    assert K.times61(np.array(a, np.uint64), np.array(b[::-1], np.uint64)).tolist() == [x * y % K.P61 for x, y in zip(a, b[::-1])]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):

@@ -38,6 +38,30 @@ def test_quality_held_out(spark, sf):
     assert found.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
 
 
+def test_scores_do_not_depend_on_the_batch():
+    """Texts of any bytes score to the same double alone and inside random batches."""
+    import random
+
+    rng = random.Random(2)
+    pieces = [bytes([b]) for b in range(256)] + [b"\t", b"\t\t", b"\n", b"\n", b"\r\n", b" ", b"word ", b"A sentence of words. "]
+    texts = [b"a\t", b"k\tv\tw\t", b"1\t2\t3\t", b"\t\t", b"", b" \n\t\n", b"\x0b\x0c"] + [b"".join(rng.choice(pieces) for _ in range(rng.randrange(200))) for _ in range(400)]
+    lines = crf_quality.line_features(texts)
+    weights = np.random.default_rng(1).normal(size=crf_quality.WIDTH)
+    model = crf_quality.Model(lines.features.mean(0), lines.features.std(0) + 1e-6, weights, np.array([[0.5, -0.2], [0.1, 0.7]]))
+    alone = [crf_quality.document_scores(model, [t])[0] for t in texts]
+    assert all(alone[k] == 0.5 for k in (3, 4, 5, 6)) and alone[0] != 0.5
+    for _ in range(20):
+        own = rng.sample(range(len(texts)), rng.randrange(1, len(texts)))
+        assert crf_quality.document_scores(model, [texts[k] for k in own]).tolist() == [alone[k] for k in own]
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i, "\n".join(f"line {j} of a text." for j in range(500))) for i in range(1, 4)] + [(1, "twice")] * 3
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    model = crf_quality.train(frame(spark, rows), labels, per_document=10)
+    assert np.isfinite(model.weights).all()
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(4)
     sizes, step = [3, 1, 5, 2], rng.normal(size=(2, 2))
@@ -117,6 +141,32 @@ def test_pages_held_out():
     assert right / total > 0.95
 
 
+def test_pages_in_foreign_layouts():
+    from .foreign_pages import PAGES
+
+    net, right, total = page_extract.trained(), 0, 0
+    for page in PAGES:
+        found = page_extract.label_pages(net, ["".join(markup.replace("{}", text) for markup, text, _ in page)])[0]
+        assert [text for text, _ in found] == [text for _, text, _ in page]
+        right += sum(kept == own for (_, kept), (_, _, own) in zip(found, page))
+        total += len(page)
+    print("blocks of foreign layouts", right, total)
+    assert right / total >= 0.95
+
+
+def test_long_and_deeply_nested_pages():
+    net = page_extract.trained()
+    deep = "<div>" * 20_000 + "<p>some words in the middle of it</p>" + "</div>" * 20_000
+    long = "<article>" + "<p>A paragraph that says something of its own, and ends.</p>" * 20_000 + "</article>"
+    found = page_extract.label_pages(net, [deep, long, "<p>short</p>"])
+    assert [len(page) for page in found] == [1, 20_000, 1]
+
+
+def test_every_word_of_a_block_counts():
+    one, other = ([[(("p",), "the same beginning of twelve words that both of these blocks share " + end, 0.0)]] for end in ("reply", "glacier"))
+    assert (page_extract.vectors(one)[0] != page_extract.vectors(other)[0]).any()
+
+
 def test_page_edges(spark):
     page = "<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two&nbsp;three of a long sentence that says something.<p>And another paragraph, which is as long as the first.</article><script>var x = '<p>no</p>'</script><footer>&copy; me</footer></body></html>"
     rows = [(1, "u", page, "t"), (2, None, None, "t"), (3, "u", "", "t"), (4, "u", "<p", "t"), (5, "u", page, "t"), (None, "u", "<!-- never closed", "t")]
@@ -127,6 +177,19 @@ def test_page_edges(spark):
     assert page_extract.extract(frame_.limit(0)).count() == 0
 
 
+def test_search_with_one_huge_list_and_few_vectors(spark):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([np.ones((3000, 8)) + rng.normal(size=(3000, 8)) * 1e-3, rng.normal(size=(300, 8))])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for kept in (rows, rows.filter("vec_id < 30")):
+        ids = np.arange(kept.count())
+        want, found = brute_nearest(ids, v[: len(ids)], [i for i in ids if i % 100 == 0]), {}
+        for r in ads_search.search(kept, F.col("vec_id") % 100 == 0, block=256, deal=10).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append(r["vec_id"])
+        hit = np.mean([len(set(found[q]) & {i for i, _ in want[q]}) / len(want[q]) for q in want])
+        assert set(found) == set(want) and hit >= 0.9
+
+
 def test_chat_round_trip(spark, sf):
     found = {r["conv_id"]: r for r in op8_chat_format(spark, sf).collect()}
     turns = {}
