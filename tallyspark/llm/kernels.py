@@ -18,6 +18,8 @@ _U = np.uint64
 _MASK = (1 << 64) - 1
 #: Bytes hashed in one pass; one longer document makes a pass of its own.
 PASS_BYTES = 1 << 21
+#: Runs of words hashed in one pass.
+RUN = 1 << 15
 #: Words of more bytes than this are hashed one by one.
 LANE_BYTES = 256
 
@@ -157,13 +159,19 @@ def windows(hashes: np.ndarray, first: np.ndarray, n: int, base: int = 0) -> tup
     at = np.flatnonzero(np.arange(total - n + 1) + n <= limit)
     if n == 1:
         return mix64(_reduced(hashes)[at] + _U(n)), at
-    up, down = _bases[base].get(total + 1)
-    terms = times61(_reduced(hashes), up[:total])
-    # prefix sums of 31-bit halves stay below 2**64 for 2**33 words
-    high, low = (np.concatenate([[_U(0)], np.cumsum(half, dtype=_U)]) for half in (terms >> _U(31), terms & _LOW31))
-    high, low = high[at + n] - high[at], low[at + n] - low[at]
-    rolled = times61(_reduced(times61(_reduced(high), np.full(len(at), 1 << 31, _U)) + _reduced(low)), down[at])
-    return mix64(rolled + _U(n)), at
+    out = np.empty(len(at), _U)
+    for k in range(0, len(at), RUN):  # stretches that stay in cache, each with powers from 0
+        spot = at[k : k + RUN]
+        begin, end = int(spot[0]), int(spot[-1]) + n
+        up, down = _bases[base].get(end - begin)
+        terms = times61(_reduced(hashes[begin:end]), up)
+        # prefix sums of 31-bit halves stay below 2**64 for 2**33 words
+        high, low = (np.concatenate([[_U(0)], np.cumsum(half, dtype=_U)]) for half in (terms >> _U(31), terms & _LOW31))
+        spot = spot - begin
+        high, low = high[spot + n] - high[spot], low[spot + n] - low[spot]
+        rolled = times61(_reduced(times61(_reduced(high), np.full(len(spot), 1 << 31, _U)) + _reduced(low)), down[spot])
+        out[k : k + RUN] = mix64(rolled + _U(n))
+    return out, at
 
 
 def to_planes(values: np.ndarray) -> bytes:
