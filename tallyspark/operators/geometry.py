@@ -1,8 +1,9 @@
 """From positioned glyphs to typed table rows.
 
-Glyphs: doc_id, glyph_ord, text, page, x, y, w, h (origin top left, y down). Only the running mean
-of row clustering is a Python fold, over one page at a time; the rest is windows, arrays and
-aggregates partitioned by (doc_id, page), so one shuffle serves clustering through extraction.
+Glyphs: doc_id, glyph_ord, text, page, x, y, w, h (origin top left, y down). A page is small and its
+glyphs belong together, so two grouped Arrow calls do the numeric work a page at a time: one clusters
+glyphs and reads the lines, one finds the columns of a table and splits its rows. Between and after
+them lie column expressions and windows over lines.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +33,75 @@ def cluster_rows(glyphs: DataFrame, tolerance: float = 0.6) -> DataFrame:
     ``tolerance`` upper-median glyph heights of the mean bottom of the row so far."""
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        heights = np.sort(page["h"].to_numpy())
-        middle = heights[len(heights) // 2]
-        allowed = (middle if middle > 0 else 1.0) * tolerance
-        bottom = (page["y"] + page["h"]).to_numpy()
-        order = np.lexsort((page["glyph_ord"].to_numpy(), bottom))
-        row = np.empty(len(page), np.int64)
-        number, total, n = -1, 0.0, 0
-        for i in order:
-            if number < 0 or abs(bottom[i] - total / n) > allowed:
-                number, total, n = number + 1, 0.0, 0
-            total, n = total + bottom[i], n + 1
-            row[i] = number
-        return page.assign(row_id=row)
+        return page.assign(row_id=_row_numbers(page["y"].to_numpy(), page["h"].to_numpy(), page["glyph_ord"].to_numpy(), tolerance))
 
     return glyphs.groupBy(*PAGE).applyInPandas(fold, "doc_id string, glyph_ord long, text string, page int, x double, y double, w double, h double, row_id long")
 
 
+def _row_numbers(y: np.ndarray, h: np.ndarray, glyph_ord: np.ndarray, tolerance: float) -> np.ndarray:
+    middle = np.sort(h)[len(h) // 2]
+    allowed = float(middle if middle > 0 else 1.0) * tolerance
+    bottom = y + h
+    order = np.lexsort((glyph_ord, bottom))
+    row, number, total, n = [], -1, 0.0, 0
+    for own in bottom[order].tolist():
+        if number < 0 or abs(own - total / n) > allowed:
+            number, total, n = number + 1, 0.0, 0
+        total, n = total + own, n + 1
+        row.append(number)
+    out = np.empty(len(order), np.int64)
+    out[order] = row
+    return out
+
+
+def _read(x: np.ndarray, texts: list) -> str | None:
+    """What ``glyph_text`` reads, of one line's glyphs in numpy."""
+    if not len(x):
+        return None
+    advances = np.diff(x)
+    if len(advances) > 1:
+        p = np.sort(advances)[(len(advances) - 1) // 2 :]
+        jumps = np.flatnonzero((p[:-1] > 0) & (p[1:] > 1.5 * p[:-1]) & (p[1:] / np.where(p[:-1] > 0, p[:-1], 1) > 1.5))
+        if len(jumps):
+            for k in np.flatnonzero(advances > (p[jumps[0]] + p[jumps[0] + 1]) / 2).tolist():
+                if texts[k + 1] is not None:
+                    texts[k + 1] = " " + texts[k + 1]
+    return "".join(t for t in texts if t is not None)
+
+
+_GLYPHS = "array<struct<x:double,glyph_ord:bigint,w:double,text:string>>"
+_LINE = f"doc_id string, page int, row_id long, left double, right double, top double, bottom double, glyphs {_GLYPHS}, center_y double, text string"
+
+
+def _glyph_lists(starts: np.ndarray, x, glyph_ord, w, texts) -> pa.Array:
+    fields = [pa.array(x, pa.float64()), pa.array(glyph_ord, pa.int64()), pa.array(w, pa.float64()), pa.array(texts, pa.string())]
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(fields, ["x", "glyph_ord", "w", "text"]))
+
+
+def read_rows(glyphs: DataFrame, tolerance: float = 0.6) -> DataFrame:
+    """``rows_of(cluster_rows(glyphs))`` in one pass over each page's glyphs."""
+
+    def read(key: tuple[pa.Scalar, ...], page: pa.Table) -> pa.Table:
+        x, y, w, h, ids = (page[c].to_numpy() for c in ("x", "y", "w", "h", "glyph_ord"))
+        row = _row_numbers(y, h, ids, tolerance)
+        order = np.lexsort((ids, x, row))
+        texts = page["text"].take(order).to_pylist()
+        x, y, w, h, ids, row = (v[order] for v in (x, y, w, h, ids, row))
+        starts = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
+        at, n = starts[:-1], len(starts) - 1
+        top, bottom = np.minimum.reduceat(y, at), np.maximum.reduceat(y + h, at)
+        lists = _glyph_lists(starts, x, ids, w, texts)
+        return pa.table({
+            "doc_id": pa.array([key[0].as_py()] * n, pa.string()), "page": pa.array([key[1].as_py()] * n, pa.int32()), "row_id": pa.array(row[at]),
+            "left": pa.array(np.minimum.reduceat(x, at)), "right": pa.array(np.maximum.reduceat(x + w, at)), "top": pa.array(top), "bottom": pa.array(bottom),
+            "glyphs": lists, "center_y": pa.array((top + bottom) / 2),
+            "text": pa.array([_read(x[a:b], texts[a:b]) for a, b in zip(at.tolist(), starts[1:].tolist())], pa.string()),
+        })
+
+    own = glyphs.select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in "xywh"), "glyph_ord", "text")
+    return own.groupBy(*PAGE).applyInArrow(read, _LINE)
+
+
 def glyph_array() -> Column:
     """The row's glyphs left to right: array<struct<x, glyph_ord, w, text>>."""
     return F.array_sort(F.collect_list(F.struct("x", "glyph_ord", "w", "text")))
@@ -117,39 +171,91 @@ def locate_tables(rows: DataFrame, min_anchors: int = 3) -> DataFrame:
     return marked.filter(inside).drop("_gap", "_from", "_to", "_n", "_slack").withColumn("row_ord", F.row_number().over(down) - 1)
 
 
+class _Lines:
+    """Lines of one page as flat arrays of glyphs."""
+
+    def __init__(self, table: pa.Table):
+        lists = table["glyphs"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        values = lists.flatten()
+        self.starts = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+        self.x, self.w = (values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "w"))
+        self.texts = values.field("text").to_pylist()
+        self.left, self.right = table["left"].to_numpy(), table["right"].to_numpy()
+
+
+def _boundaries(lines: _Lines, own: np.ndarray, bin_width: float, clear: float, min_gap: float, min_pitches: float) -> list[float]:
+    """Column boundaries from the lines numbered ``own``."""
+    left, right = lines.left[own].min(), lines.right[own].max()
+    if not right > left:
+        return []
+    bins = int(np.ceil((right - left) / bin_width)) + 1
+    steps = np.zeros((len(own), bins + 1), np.int64)
+    for k, line in enumerate(own.tolist()):
+        here = slice(lines.starts[line], lines.starts[line + 1])
+        low = np.maximum(np.floor((lines.x[here] - left) / bin_width), 0).astype(np.int64)
+        high = np.minimum(np.ceil((lines.x[here] + lines.w[here] - left) / bin_width), bins - 1).astype(np.int64)
+        real = low <= high
+        np.add.at(steps[k], low[real], 1)
+        np.add.at(steps[k], high[real] + 1, -1)
+    busy = (np.cumsum(steps, axis=1)[:, :bins] > 0).sum(0)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (len(own) - busy >= len(own) * clear).astype(np.int8), [0]])))
+    found = []
+    for a, b in edge.reshape(-1, 2).tolist():  # runs [a, b) of open bins
+        if a == 0 or b >= bins or b - a < int(np.ceil(min_gap / bin_width)):
+            continue
+        boundary = left + (a + b) / 2 * bin_width
+        gaps, typical = [], []
+        for line in own.tolist():
+            here = slice(lines.starts[line], lines.starts[line + 1])
+            x, w = lines.x[here], lines.w[here]
+            before = x + w / 2 < boundary
+            if before.any() and not before.all():
+                l, r = np.flatnonzero(before)[-1], np.flatnonzero(~before)[0]
+                gaps.append(x[r] - (x[l] + w[l]))
+                p = np.sort(np.diff(x))
+                typical.append(p[(len(p) - 1) // 2] if len(p) else 0.0)
+        if gaps:
+            gap, pitch = (sorted(v)[len(v) // 2] for v in (gaps, typical))
+            if gap < min_gap or pitch > 0 and gap < pitch * min_pitches:
+                continue
+        found.append(float(boundary))
+    return found
+
+
 def detect_columns(anchors: DataFrame, bin_width: float = 1.5, clear: float = 0.9, min_gap: float = 5.0, min_pitches: float = 2.0) -> DataFrame:
     """doc_id, page, left, right, boundaries: runs of x-bins that most anchor rows leave empty, where
     the gap is wide against the text's own pitch."""
-    sizes = anchors.groupBy(*PAGE).agg(F.min("left").alias("left"), F.max("right").alias("right"), F.count("*").alias("n_rows"))
-    sizes = sizes.withColumn("bins", F.when(F.col("right") > F.col("left"), F.ceil((F.col("right") - F.col("left")) / bin_width).cast("int") + 1).otherwise(0))
-    glyphs = anchors.select(*PAGE, "row_id", F.explode("glyphs").alias("g")).join(sizes, list(PAGE)).filter("bins > 0")
-    low = F.greatest(F.floor((F.col("g.x") - F.col("left")) / bin_width), F.lit(0)).cast("int")
-    high = F.least(F.ceil((F.col("g.x") + F.col("g.w") - F.col("left")) / bin_width), F.col("bins") - 1).cast("int")
-    taken = glyphs.withColumns({"_lo": low, "_hi": high}).filter("_lo <= _hi").select(*PAGE, "row_id", F.explode(F.sequence("_lo", "_hi")).alias("bin"))
-    taken = taken.groupBy(*PAGE, "bin").agg(F.count_distinct("row_id").alias("busy"))
-    every = sizes.filter("bins > 0").select(*PAGE, "left", "bins", "n_rows", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
-    open_ = every.join(taken, [*PAGE, "bin"], "left").filter(F.col("n_rows") - F.coalesce("busy", F.lit(0)) >= F.col("n_rows") * clear)
-    island = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    runs = open_.withColumn("island", island).groupBy(*PAGE, "left", "bins", "island").agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
-    need = int(np.ceil(min_gap / bin_width))
-    runs = runs.filter((F.col("a") > 0) & (F.col("b") < F.col("bins") - 1) & (F.col("b") - F.col("a") + 1 >= need))
-    found = runs.select(*PAGE, (F.col("left") + (F.col("a") + F.col("b") + 1) / 2 * bin_width).alias("boundary"))
-
-    middle = lambda g: g["x"] + g["w"] / 2
-    sides = found.join(anchors.select(*PAGE, "glyphs"), list(PAGE)).withColumns({
-        "_l": F.try_element_at(F.filter("glyphs", lambda g: middle(g) < F.col("boundary")), F.lit(-1)),
-        "_r": F.try_element_at(F.filter("glyphs", lambda g: middle(g) >= F.col("boundary")), F.lit(1)),
-    })
-    both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    seen = sides.groupBy(*PAGE, "boundary").agg(
-        F.sort_array(F.collect_list(F.when(both, F.col("_r.x") - (F.col("_l.x") + F.col("_l.w"))))).alias("gaps"),
-        F.sort_array(F.collect_list(F.when(both, typical_pitch(F.col("glyphs"))))).alias("pitches"),
-    )
-    upper = lambda c: F.try_element_at(c, F.floor(F.size(c) / 2).cast("int") + 1)
-    gap, pitch = upper(F.col("gaps")), upper(F.col("pitches"))
-    kept = seen.filter((F.size("gaps") == 0) | ((gap >= min_gap) & ((pitch <= 0) | (gap >= pitch * min_pitches))))
-    kept = kept.groupBy(*PAGE).agg(F.sort_array(F.collect_list("boundary")).alias("boundaries"))
-    return sizes.join(kept, list(PAGE), "left").select(*PAGE, "left", "right", F.coalesce("boundaries", F.array().cast("array<double>")).alias("boundaries"))
+
+    def detect(key: tuple[pa.Scalar, ...], page: pa.Table) -> pa.Table:
+        lines = _Lines(page)
+        found = _boundaries(lines, np.arange(len(lines.left)), bin_width, clear, min_gap, min_pitches)
+        return pa.table({
+            "doc_id": pa.array([key[0].as_py()], pa.string()), "page": pa.array([key[1].as_py()], pa.int32()),
+            "left": pa.array([lines.left.min()]), "right": pa.array([lines.right.max()]), "boundaries": pa.array([found], pa.list_(pa.float64())),
+        })
+
+    return anchors.select(*PAGE, "left", "right", "glyphs").groupBy(*PAGE).applyInArrow(detect, "doc_id string, page int, left double, right double, boundaries array<double>")
+
+
+def lay_out(table: DataFrame, bin_width: float = 1.5, clear: float = 0.9, min_gap: float = 5.0, min_pitches: float = 2.0) -> DataFrame:
+    """``split_cells(table, detect_columns(table.filter("is_anchor")))`` in one pass over each page's
+    table: doc_id, page, row_id, row_ord, center_y, text, is_anchor, boundaries, cells."""
+
+    def lay(key: tuple[pa.Scalar, ...], page: pa.Table) -> pa.Table:
+        lines = _Lines(page)
+        anchors = np.flatnonzero(page["is_anchor"].to_numpy())
+        found = _boundaries(lines, anchors, bin_width, clear, min_gap, min_pitches) if len(anchors) else []
+        column = np.searchsorted(np.array(found), lines.x + lines.w / 2, side="right")
+        cells = []
+        for a, b in zip(lines.starts[:-1].tolist(), lines.starts[1:].tolist()):
+            own = [np.flatnonzero(column[a:b] == c) + a for c in range(len(found) + 1)]
+            cells.append([_read(lines.x[at], [lines.texts[k] for k in at.tolist()]) for at in own])
+        kept = {c: page[c] for c in ("doc_id", "page", "row_id", "row_ord", "center_y", "text", "is_anchor")}
+        return pa.table(kept | {"boundaries": pa.array([found] * len(cells), pa.list_(pa.float64())), "cells": pa.array(cells, pa.list_(pa.string()))})
+
+    own = table.select(*PAGE, "row_id", F.col("row_ord").cast("int").alias("row_ord"), "center_y", "text", "is_anchor", "left", "right", "glyphs")
+    return own.groupBy(*PAGE).applyInArrow(lay, "doc_id string, page int, row_id long, row_ord int, center_y double, text string, is_anchor boolean, boundaries array<double>, cells array<string>")
 
 
 def column_of(boundaries: Column, x: Column) -> Column:
@@ -194,8 +300,7 @@ def extract_transactions(cells: DataFrame, schema: Sequence[str] = BANK_PASSBOOK
 
 def extract_statements(glyphs: DataFrame, schema: Sequence[str] = BANK_PASSBOOK) -> DataFrame:
     """Glyphs to transactions."""
-    table = locate_tables(rows_of(cluster_rows(glyphs)))
-    return extract_transactions(split_cells(table, detect_columns(table.filter("is_anchor"))), schema)
+    return extract_transactions(lay_out(locate_tables(read_rows(glyphs))), schema)
 
 
 def inspect_rows(rows: DataFrame, page: int | None = None, from_y: float | None = None, to_y: float | None = None, limit: int = 60) -> DataFrame:

@@ -313,7 +313,7 @@ def import_summary(spark, sf):
 
 
 def _rows(spark, sf):
-    return geometry.rows_of(geometry.cluster_rows(domain.glyphs(spark, sf)))
+    return geometry.read_rows(domain.glyphs(spark, sf))
 
 
 @_query
@@ -364,7 +364,7 @@ def structure_inspection(spark, sf):
 def extraction_report(spark, sf):
     rows = _rows(spark, sf)
     table = geometry.locate_tables(rows)
-    cells = geometry.split_cells(table, geometry.detect_columns(table.filter("is_anchor")))
+    cells = geometry.lay_out(table)
     return quality.extraction_report(rows, table, geometry.extract_transactions(cells))
 
 
