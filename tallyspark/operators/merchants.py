@@ -257,13 +257,20 @@ def unknown_queue(resolved: DataFrame) -> DataFrame:
     return resolved.filter("stage = 'unresolved'").groupBy(name.alias("payee")).agg(F.count("*").alias("n"))
 
 
-def label_coverage(queue: DataFrame, total: int, steps: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
-    """What labelling the N most frequent unknown payees would cover. Only the ``max(steps)`` most
-    frequent are ranked."""
-    whole = queue.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("queued"), F.count("*").alias("payees"))
+def unknown_report(queue: DataFrame, k: int = 25, masked: bool = True) -> DataFrame:
+    """The report's ``k`` most frequent unknown payees, by default with letters and digits masked."""
+    top = queue.orderBy(F.desc("n"), "payee").limit(k)
+    return top.select((mask_structure(F.col("payee")) if masked else F.col("payee")).alias("payee"), "n")
+
+
+def label_coverage(resolved: DataFrame, steps: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
+    """What labelling the N most frequent unknown payees would cover, of the unresolved rows and of
+    all, for each step that the queue has payees for. Only the ``max(steps)`` most frequent are ranked."""
+    queue = unknown_queue(resolved)
+    whole = resolved.agg(F.count("*").alias("all"), F.count_if(F.col("stage") == "unresolved").alias("queued"))
     top = queue.orderBy(F.desc("n"), "payee").limit(max(steps))
     ranked = top.withColumn("top_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "payee")))
     ranked = ranked.withColumn("covered", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("top_n").rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.filter(F.col("top_n").isin(*steps)).join(F.broadcast(whole)).select(
-        "top_n", "covered", F.round(F.col("covered") * 100.0 / F.col("queued"), 6).alias("percent_of_queue"), F.round(F.col("covered") * 100.0 / F.lit(total), 6).alias("percent_of_all"),
-    )
+    share = lambda c: F.round(F.col("covered") * 100.0 / F.col(c), 6)
+    # one row of totals meets at most one row a step
+    return ranked.filter(F.col("top_n").isin(*steps)).join(F.broadcast(whole)).select("top_n", "covered", share("queued").alias("percent_of_queue"), share("all").alias("percent_of_all"))

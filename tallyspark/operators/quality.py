@@ -63,11 +63,22 @@ def spurious(truth: DataFrame, predicted: DataFrame, group: str, strict: bool =
     return rows.filter(F.col("n") > F.coalesce("have", F.lit(0))).select(*predicted.columns)
 
 
-def import_metrics(resolved: DataFrame) -> DataFrame:
-    """Transactions, unresolved ones, and distinct payees among those, one row."""
+def pooled_totals(report: DataFrame) -> DataFrame:
+    """The totals of an ``extraction_report`` over all its statements, one row; consistency is that of
+    all checked pairs together, 1 where nothing was checked."""
+    counts = ("glyphs", "rows", "tables", "transactions", "checked", "mismatches")
+    total = report.agg(F.count("*").alias("statements"), *(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts))
+    share = F.when(F.col("checked") == 0, 1.0).otherwise((F.col("checked") - F.col("mismatches")) / F.col("checked"))
+    return total.withColumn("consistency", F.round(share, 6))
+
+
+def import_metrics(report: DataFrame, resolved: DataFrame) -> DataFrame:
+    """What an import tells of itself, one row: the pooled totals, unresolved transactions, and distinct
+    payees among those (the best candidate, else the description)."""
     payee = F.coalesce(F.try_element_at("candidates", F.lit(1)), F.col("raw"))
     unknown = F.col("stage") == "unresolved"
-    return resolved.agg(F.count("*").alias("transactions"), F.count_if(unknown).alias("unresolved"), F.count_distinct(F.when(unknown, payee)).alias("unknown_payees"))
+    settled = resolved.agg(F.count_if(unknown).alias("unresolved"), F.count_distinct(F.when(unknown, payee)).alias("unknown_payees"))
+    return pooled_totals(report).drop("statements").join(F.broadcast(settled))  # one row each
 
 
 def import_summary(rows: DataFrame) -> DataFrame:

@@ -228,3 +228,20 @@ def cap_gauge(limit: Column, used: Column, pending: Column) -> dict[str, Column]
     level = F.when(limit <= 0, F.lit(0.0)).otherwise(after / limit)
     band = F.when(level >= 1, F.lit("danger")).when(level >= 0.8, F.lit("warning")).otherwise(F.lit("accent"))
     return {"used_fraction": share(used), "pending_fraction": share(pending), "status": status, "band": band}
+
+
+def pending_per_bucket(card: Card, state: Column | None = None) -> Column:
+    """array<struct<bucket_id, pending_paise>> over all the card's buckets: what the spend would apply
+    to each, 0 where it touches it not."""
+    applied = marginal_reward(card, state)["buckets"]
+    of = lambda b: F.coalesce(F.try_element_at(F.filter(applied, lambda x: x["bucket_id"] == b), F.lit(1))["applied_paise"], F.lit(0))
+    pending = [F.struct(F.lit(b.id).alias("bucket_id"), of(b.id).cast("bigint").alias("pending_paise")) for b in card.buckets]
+    return F.array(*pending) if pending else F.array().cast("array<struct<bucket_id:string,pending_paise:bigint>>")
+
+
+def asked_amount(raw: Column) -> Column:
+    """Paise of an amount as typed: its digits are whole rupees; null without digits, or with more than
+    fit."""
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    rupees = F.when(digits != "", digits.try_cast("bigint"))
+    return F.when(rupees <= (2**63 - 1) // 100, rupees * 100)

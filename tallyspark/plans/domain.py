@@ -128,3 +128,31 @@ def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     again = kept.filter(F.col("part") % 17 == 0).withColumn("ord", F.col("ord") + 1)
     keep = ["doc", "ord", "date", "amount_paise", "description"]
     return rows.select(*keep), kept.unionByName(again).select(*keep)
+
+
+# What may be asked without an import, and the amount and bucket use that a query begins with.
+PRESETS = (
+    ("swiggy", "Swiggy", "online", 5814, ["swiggy"]),
+    ("amazon", "Amazon", "online", 5399, ["amazon"]),
+    ("utility", "Electricity · GPay", "online", 4900, ["google_pay"]),
+    ("grocery", "Grocery · in store", "offline", 5411, []),
+    ("fuel", "Fuel", "offline", 5541, ["fuel"]),
+    ("rent", "Rent", "online", 6513, ["rent"]),
+)
+ASKED_PAISE, ASKED_USE = 80_000, {"sbi-cashback": ("online_cap", 0), "axis-ace": ("accelerated_cap", 0)}
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """The six presets as spends without an amount."""
+    return spark.createDataFrame(PRESETS, "preset string, merchant_name string, channel string, mcc int, tags array<string>")
+
+
+def unresolved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as resolved descriptors: every third part is unresolved, with a candidate for all
+    but every seventh line."""
+    line, part = read(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    payee = F.concat(F.lit("SHOP"), (part % 61).cast("string"))
+    return line.select(
+        F.when(part % 3 == 0, "unresolved").otherwise("exactCatalogue").alias("stage"), F.concat(F.lit("POS "), F.col("l_returnflag")).alias("raw"),
+        F.when(F.col("l_suppkey") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(payee)).alias("candidates"),
+    )

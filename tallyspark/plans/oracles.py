@@ -162,3 +162,27 @@ SQL: dict[str, str] = {
       SELECT CAST(cycle_id AS VARCHAR) AS doc_id, CAST(sum(chars) AS BIGINT) AS glyphs, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT page) FILTER (n >= 3) AS BIGINT) AS tables, CAST(count(*) FILTER (n >= 3) AS BIGINT) AS transactions,
         CAST(greatest(count(*) FILTER (n >= 3) - 1, 0) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS mismatches, CAST(1 AS DOUBLE) AS consistency FROM g GROUP BY cycle_id""",
 }
+
+_QUEUE = """WITH x AS (SELECT l_partkey % 3 = 0 AS unknown, CASE WHEN l_suppkey % 7 = 0 THEN 'POS ' || l_returnflag ELSE 'SHOP' || CAST(l_partkey % 61 AS VARCHAR) END AS payee FROM lineitem),
+    q AS (SELECT payee, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, payee) AS top_n FROM x WHERE unknown GROUP BY payee)"""
+_POOLED = f"""SELECT CAST(count(*) AS BIGINT) AS statements, CAST(sum(glyphs) AS BIGINT) AS glyphs, CAST(sum("rows") AS BIGINT) AS "rows", CAST(sum(tables) AS BIGINT) AS tables, CAST(sum(transactions) AS BIGINT) AS transactions,
+    CAST(sum(checked) AS BIGINT) AS checked, CAST(sum(mismatches) AS BIGINT) AS mismatches, CASE WHEN sum(checked) = 0 THEN CAST(1 AS DOUBLE) ELSE round((sum(checked) - sum(mismatches)) / CAST(sum(checked) AS DOUBLE), 6) END AS consistency
+    FROM ({SQL['extraction_report']})"""
+_PRESETS = "(VALUES ('swiggy', 'online', 0), ('amazon', 'online', 4), ('utility', 'online', 5), ('grocery', 'offline', 6), ('fuel', 'offline', 2), ('rent', 'online', 3)) v(preset, channel, k)"
+
+SQL |= {
+    "unknown_report": f"""{_QUEUE} SELECT regexp_replace(regexp_replace(payee, '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g') AS payee, CAST(n AS BIGINT) AS n FROM q WHERE top_n <= 25""",
+    "label_coverage": f"""{_QUEUE}, c AS (SELECT top_n, sum(n) OVER (ORDER BY top_n) AS covered FROM q)
+      SELECT CAST(top_n AS INTEGER) AS top_n, CAST(covered AS BIGINT) AS covered, round(covered * 100.0 / (SELECT count(*) FILTER (unknown) FROM x), 6) AS percent_of_queue, round(covered * 100.0 / (SELECT count(*) FROM x), 6) AS percent_of_all
+      FROM c WHERE top_n IN (5, 10, 20, 50)""",
+    "pooled_totals": _POOLED,
+    "import_metrics": f"""{_RESOLVED} SELECT p.* EXCLUDE (statements), (SELECT count(*) FROM z WHERE stage = 'unresolved') AS unresolved,
+      (SELECT count(DISTINCT CASE p12 WHEN 2 THEN 'CHANGAMP' ELSE 'QQZX' END) FROM z WHERE stage = 'unresolved') AS unknown_payees FROM ({_POOLED}) p""",
+    "pending_per_bucket": f"""WITH o AS ({SQL['bucket_outcomes']}), b(card_id, bucket_id) AS (VALUES ('sbi-cashback', 'online_cap'), ('sbi-cashback', 'offline_cap'), ('sbi-cashback', 'overall_cap'), ('axis-ace', 'accelerated_cap'))
+      SELECT CAST(s.o_orderkey AS BIGINT) AS spend_id, b.card_id, b.bucket_id, CAST(coalesce(o.applied_paise, 0) AS BIGINT) AS pending_paise
+      FROM orders s CROSS JOIN b LEFT JOIN o ON o.spend_id = s.o_orderkey AND o.card_id = b.card_id AND o.bucket_id = b.bucket_id""",
+    "asked_presets": f"""WITH {spends()}, a AS (SELECT spend_id, amount_paise // 100 * 100 AS amount_paise FROM s WHERE spend_id % 50 = 1),
+      p AS (SELECT a.spend_id, a.amount_paise, v.preset, v.channel, v.k FROM a CROSS JOIN {_PRESETS}), {GROSS.replace('FROM s)', 'FROM p)')}, {EMPTY}
+      SELECT spend_id, preset, 'sbi-cashback' AS card_id, amount_paise, sbi_paid AS rupees_paise FROM r UNION ALL SELECT spend_id, preset, 'axis-ace', amount_paise, axis_paid FROM r
+      UNION ALL SELECT spend_id, preset, 'amazon-pay-icici', amount_paise, icici FROM r""",
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date
 
@@ -266,15 +267,48 @@ def unknown_queue(spark, sf):
     return merchants.unknown_queue(_resolved(spark, sf))
 
 
+@_query
+def unknown_report(spark, sf):
+    return merchants.unknown_report(merchants.unknown_queue(domain.unresolved_lines(spark, sf)))
+
+
 @_query
 def label_coverage(spark, sf):
-    descriptors = domain.descriptors(spark, sf)
-    return merchants.label_coverage(descriptors.groupBy(F.col("raw").alias("payee")).agg(F.count("*").alias("n")), descriptors.count())
+    return merchants.label_coverage(domain.unresolved_lines(spark, sf))
+
+
+def _report(spark, sf):
+    rows = _rows(spark, sf)
+    table = geometry.locate_tables(rows)
+    return quality.extraction_report(rows, table, geometry.extract_transactions(geometry.lay_out(table)))
+
+
+@_query
+def pooled_totals(spark, sf):
+    return quality.pooled_totals(_report(spark, sf))
 
 
 @_query
 def import_metrics(spark, sf):
-    return quality.import_metrics(_resolved(spark, sf))
+    return quality.import_metrics(_report(spark, sf), _resolved(spark, sf))
+
+
+@_query
+def pending_per_bucket(spark, sf):
+    rows = domain.spends(spark, sf)
+    frames = [rows.select("spend_id", F.lit(c.id).alias("card_id"), F.explode(rewards.pending_per_bucket(c, domain.bucket_use()[c.id])).alias("b")) for c in bundled_cards() if c.buckets]
+    return functools.reduce(DataFrame.unionByName, frames).select("spend_id", "card_id", "b.*")
+
+
+@_query
+def asked_presets(spark, sf):
+    """Each preset ranked at the amount an order's total is typed as, with the adjustable buckets untouched."""
+    typed = F.concat(F.lit("₹ "), text.format_rupees(F.col("amount_paise"), decimals=False))
+    asked = domain.spends(spark, sf).filter("spend_id % 50 = 1").select("spend_id", "date", rewards.asked_amount(typed).alias("amount_paise"))
+    preset = F.explode(F.array(*(F.struct(F.lit(k).alias("preset"), F.lit(n).alias("merchant_name"), F.lit(c).alias("channel"), F.lit(m).alias("mcc"), (F.array(*map(F.lit, t)) if t else F.array().cast("array<string>")).alias("tags")) for k, n, c, m, t in domain.PRESETS)))
+    rows = asked.select("*", preset.alias("p")).select("spend_id", "date", "amount_paise", "p.*")
+    used = {card: F.create_map(F.lit(bucket), F.lit(paise).cast("bigint")) for card, (bucket, paise) in domain.ASKED_USE.items()}
+    return rewards.score_cards(rows, bundled_cards(), used).select("spend_id", "preset", "card_id", "amount_paise", "rupees_paise")
 
 
 @_query
@@ -362,10 +396,7 @@ def structure_inspection(spark, sf):
 
 @_query
 def extraction_report(spark, sf):
-    rows = _rows(spark, sf)
-    table = geometry.locate_tables(rows)
-    cells = geometry.lay_out(table)
-    return quality.extraction_report(rows, table, geometry.extract_transactions(cells))
+    return _report(spark, sf)
 
 
 @_query
