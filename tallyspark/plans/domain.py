@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.sources.merchants import names
+
 # o_orderkey % 8 -> (mcc, tags)
 KINDS = [
     (5814, ["swiggy", "food_delivery"]), (None, []), (5541, ["fuel"]), (6513, ["rent"]),
@@ -12,6 +16,9 @@ KINDS = [
 ]
 # o_orderkey % 12 -> payee of a UPI descriptor
 PAYEES = ["Swiggy", "JioHotstar", "CHANGAMP", "BLNKT", "Zomato", "Toll Plaza", "QQZX", "Uber Rides", "ATM", "SWIGGYL", "PVRINOX", "Amazon Pay"]
+# texts of the varied descriptors that name a category or an operation of the bank
+FAMILY_TEXTS = ["HP FUEL STATION", "NHAI FASTAG", "HOUSE RENT JUNE", "LIC POLICY PREMIUM", "BESCOM ELECTRICITY", "PREPAID RECHARGE", "CITY HOSPITAL", "SPRINGDALE SCHOOL", ""]
+BANK_TEXTS = ["ATM CASH WDL ", "SB INT.PD", "SMS CHARGES", "SALARY JUNE", "CHQ 991"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,6 +85,27 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spends(spark, sf_dir).select("spend_id", F.concat_ws("/", F.lit("UPI"), F.lit("DR"), digits, name, F.lit("YESB"), F.lower(F.regexp_replace(name, " ", "")), F.lit("Pay")).alias("raw"))
 
 
+def varied_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spend_id and a raw descriptor of one of eight shapes; its payee is a catalogue name as it stands,
+    with a letter dropped, doubled or swapped, or with a company's ending."""
+    every = [name.upper() for _, _, name in names()]
+    pick = lambda texts, k: F.element_at(F.array(*map(F.lit, texts)), (k % len(texts)).cast("int") + 1)
+    key, name, p = F.col("spend_id"), F.col("name"), F.col("p")
+    part = lambda start, n=1 << 10: F.substring(name, start, F.lit(n) if isinstance(n, int) else n)
+    before = part(F.lit(1), p - 1)
+    edits = [name, F.concat(before, part(p + 1)), F.concat(before, part(p, 1), part(p)), F.concat(before, part(p + 1, 1), part(p, 1), part(p + 2)), F.concat(name, F.lit(" LTD"))]
+    payee = functools.reduce(lambda out, k: F.when(key % 5 == k, edits[k]).otherwise(out), range(4), edits[4])
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("spend_id")).withColumn("name", pick(every, key * 7))
+    rows = rows.withColumn("p", (1 + F.floor(key / 5) % F.length("name")).cast("int")).withColumn("payee", payee)
+    payee, handle, ref = F.col("payee"), F.regexp_replace(F.lower("payee"), "[^a-z]", ""), F.lpad(key.cast("string"), 12, "1")
+    shapes = [
+        F.concat_ws("/", F.lit("UPI"), F.lit("DR"), ref, payee, F.lit("HDFC"), handle, F.lit("Pay")), F.concat_ws("-", F.lit("UPI"), payee, handle, ref), F.concat(F.lit("RAZORPAY*"), payee),
+        F.concat(F.lit("paytm *"), F.lower(payee), F.lit(" 123456")), F.concat(F.lit("POS "), payee, F.lit(" MUMBAI")), pick(FAMILY_TEXTS, key), pick(BANK_TEXTS, key), F.concat(payee, F.lit(" PVT LTD ONLINE")),
+    ]
+    shape = F.floor(key / 25) % 8
+    return rows.select("spend_id", functools.reduce(lambda out, k: F.when(shape == k, shapes[k]).otherwise(out), range(7), shapes[7]).alias("raw"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement rows with a running balance, wrong by one rupee where order % 97 = 0 and unknown
     where order % 89 = 0."""

@@ -6,6 +6,8 @@ The three bundled cards appear as plain arithmetic here; `k` is the kind of an o
 
 from __future__ import annotations
 
+from tallyspark.plans import cascade_sql
+
 
 def spends(scale: int = 1) -> str:
     return f"""s AS (SELECT CAST(o_custkey AS BIGINT) AS cycle_id, CAST(o_orderkey AS BIGINT) AS spend_id,
@@ -111,7 +113,6 @@ SQL: dict[str, str] = {
       SELECT CAST(p_partkey AS BIGINT) AS part, round(CAST(len(list_intersect(u, v)) AS DOUBLE) / len(list_distinct(list_concat(u, v))), 6) AS similarity FROM y""",
     "descriptor_parts": f"""WITH {spends()} SELECT spend_id, CASE p12 WHEN 8 THEN 'bankOperation' ELSE 'upi' END AS kind, CASE WHEN p12 <> 8 THEN lpad(CAST(spend_id AS VARCHAR), 12, '1') END AS reference,
       CASE WHEN p12 <> 8 THEN lower(list_extract(['Swiggy','JioHotstar','CHANGAMP','BLNKT','Zomato','TollPlaza','QQZX','UberRides','ATM','SWIGGYL','PVRINOX','AmazonPay'], CAST(p12 AS INTEGER) + 1)) END AS handle, CASE WHEN p12 <> 8 THEN 'Pay' END AS note FROM s""",
-    "cascade_stage": f"{_RESOLVED} SELECT spend_id, stage, merchant_id, mcc FROM z",
     "alias_match": f"{_RESOLVED} SELECT spend_id, CASE WHEN p12 IN (2, 6) THEN 'userAlias' ELSE stage END AS stage, CASE p12 WHEN 2 THEN 'zepto' WHEN 6 THEN 'blinkit' ELSE merchant_id END AS merchant_id FROM z",
     "substring_baseline": f"""{_RESOLVED} SELECT spend_id, CASE p12 WHEN 0 THEN 'swiggy' WHEN 1 THEN 'jiohotstar' WHEN 4 THEN 'zomato' WHEN 7 THEN 'uber' WHEN 9 THEN 'swiggy' WHEN 10 THEN 'pvr' WHEN 11 THEN 'amazon' END AS merchant_id FROM z""",
     "stage_histogram": f"""{_RESOLVED}, st(stage) AS (VALUES ('bankOperation'), ('userAlias'), ('exactCatalogue'), ('fuzzyCatalogue'), ('family'), ('unresolved')),
@@ -186,3 +187,5 @@ SQL |= {
       SELECT spend_id, preset, 'sbi-cashback' AS card_id, amount_paise, sbi_paid AS rupees_paise FROM r UNION ALL SELECT spend_id, preset, 'axis-ace', amount_paise, axis_paid FROM r
       UNION ALL SELECT spend_id, preset, 'amazon-pay-icici', amount_paise, icici FROM r""",
 }
+
+SQL |= cascade_sql.sql(SQL["statement_extract"])

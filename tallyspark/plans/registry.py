@@ -230,6 +230,17 @@ def cascade_stage(spark, sf):
     return _resolved(spark, sf).select("spend_id", "stage", "merchant_id", "mcc")
 
 
+@_query
+def varied_cascade(spark, sf):
+    raw = domain.varied_descriptors(spark, sf)
+    parts = raw.select("spend_id", merchants.parse_descriptor(F.col("raw")).alias("d")).select("spend_id", "d.reference", "d.handle", "d.note")
+    settled = merchants.resolve(raw, "spend_id", "raw").withColumn("confident", merchants.is_confident()).join(parts, "spend_id")
+    return settled.select(
+        "spend_id", "kind", F.array_join("candidates", "|").alias("candidates"), "reference", "handle", "note", "stage", F.round("confidence", 6).alias("confidence"),
+        "merchant_id", "display_name", "mcc", F.array_join("tags", ",").alias("tags"), "matched", "confident",
+    )
+
+
 @_query
 def alias_match(spark, sf):
     taught = [("changamp", "swiggy", 1), ("CHANGAMP", "zepto", 2), ("Pay", "nobody", 1), ("QQZX", "blinkit", 1), ("qqzx", "blinkit", 2)]

@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, sf, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", ["allocate_cycle", "leakage_report", "fuzzy_targets", "jaro_similarity", "jaro_winkler_similarity", "import_pipeline"])
+@pytest.mark.parametrize("name", ["allocate_cycle", "leakage_report"])
 def test_queries_without_sql_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
