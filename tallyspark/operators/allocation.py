@@ -23,12 +23,14 @@ Options = list[tuple[int, int]]  # (rule, gross), in rule order
 
 
 class Wallet:
-    """Reward arithmetic of one cycle over integer paise."""
+    """Reward arithmetic of one cycle over integer paise. ``start``: what each card's buckets hold
+    before the first spend, nothing where it is not given."""
 
-    def __init__(self, cards: list[Card]):
+    def __init__(self, cards: list[Card], start: list[dict[str, int]] | None = None):
         if not cards:
             raise ValueError("a cycle with spends needs at least one card")
         self.cards = cards
+        self.start = [{} for _ in cards] if start is None else start
         self.limits = [{b.id: b.limit_paise for b in c.buckets} for c in cards]
         self.milestones = [[(m.threshold_paise, m.grant_paise) for m in c.milestones] for c in cards]
 
@@ -45,8 +47,8 @@ class Wallet:
         return 0, {}, -1
 
     def card_total(self, card: int, spends: Iterable[tuple[int, list[Options]]]) -> tuple[int, int, int]:
-        """(rewards, spend, milestone grants) of the spends on one card, in order, from empty caps."""
-        used: dict[str, int] = {}
+        """(rewards, spend, milestone grants) of the spends on one card, in order, from the start."""
+        used = dict(self.start[card])
         rewards = spent = 0
         for amount, options in spends:
             rupees, takes, _ = self.pay(card, options[card], used)
@@ -62,7 +64,7 @@ class Wallet:
     def greedy(self, spends: list, used: list[dict[str, int]] | None = None) -> tuple[list[int], list[int], list[int]]:
         """(card, rupees, rule) of each spend, taking the best marginal reward; ties and all-zero
         spends go to the first card. ``used`` is what each card's buckets hold, updated in place."""
-        used = [{} for _ in self.cards] if used is None else used
+        used = [dict(u) for u in self.start] if used is None else used
         chosen, paid, rules = [], [], []
         for _, options in spends:
             offers = [self.pay(c, options[c], used[c]) for c in range(len(self.cards))]
@@ -101,7 +103,8 @@ class Wallet:
         return own, total
 
     def milestone_seed(self, spends: list, card: int, threshold: int, base: list[int]) -> list[int]:
-        """``base`` with the spends that lose least moved to ``card`` until it reaches the threshold."""
+        """``base`` with the spends that lose least, from empty caps, moved to ``card`` until it reaches
+        the threshold."""
 
         def loss(i: int) -> tuple[int, int, int]:
             offers = [self.pay(c, spends[i][1][c], {})[0] for c in range(len(self.cards))]
@@ -134,7 +137,7 @@ class Wallet:
     def subset_values(self, card: int, spends: list) -> list[int]:
         """Rewards and milestone grants of each set of spends on one card; bit i of a set's index is
         spend i. A set replays as its last spend after the set without it."""
-        states: list[tuple[int, int, dict[str, int]]] = [(0, 0, {})]
+        states: list[tuple[int, int, dict[str, int]]] = [(0, 0, self.start[card])]
         for amount, options in spends:
             for rewards, spent, used in states[:]:
                 rupees, takes, _ = self.pay(card, options[card], used)
@@ -199,9 +202,26 @@ def card_options(cards: list[Card]) -> Column:
     return F.flatten(F.flatten(F.array(*map(triples, range(len(cards))))))
 
 
-def with_options(spends: DataFrame, cards: list[Card]) -> DataFrame:
-    """cycle_id, spend_seq, amount_paise and the rule candidates of all cards."""
-    return spends.select("cycle_id", "spend_seq", "amount_paise", card_options(cards).alias("options"))
+States = dict[str, Column]  # card id -> map<string,bigint>, bucket id -> paise consumed, one map a cycle
+
+
+def _start_column(cards: list[Card], states: States | None) -> Column:
+    """array<bigint>: what every bucket of every card holds before the cycle, empty without states."""
+    if not states:
+        return F.array().cast("array<bigint>").alias("start")
+    held = [F.coalesce(F.try_element_at(states[c.id], F.lit(b.id)), F.lit(0)).cast("bigint") if c.id in states else F.lit(0).cast("bigint") for c in cards for b in c.buckets]
+    return F.array(*held).cast("array<bigint>").alias("start")
+
+
+def _wallet_of(group: pd.DataFrame, cards: list[Card]) -> Wallet:
+    """The wallet of a group's cycle; where rows of one cycle differ in their states, its first spend's count."""
+    values = iter(group["start"].iloc[int(group["spend_seq"].to_numpy().argmin())].tolist())
+    return Wallet(cards, [{b.id: next(values, 0) for b in c.buckets} for c in cards])
+
+
+def with_options(spends: DataFrame, cards: list[Card], states: States | None = None, keys: tuple[str, ...] = ("cycle_id",)) -> DataFrame:
+    """The keys, spend_seq, amount_paise, the rule candidates of all cards and the buckets' start."""
+    return spends.select(*keys, "spend_seq", "amount_paise", card_options(cards).alias("options"), _start_column(cards, states))
 
 
 def _spends_of(group: pd.DataFrame, n_cards: int) -> list[tuple[int, list[Options]]]:
@@ -216,35 +236,58 @@ def _spends_of(group: pd.DataFrame, n_cards: int) -> list[tuple[int, list[Option
     return out
 
 
-def greedy_allocate(spends: DataFrame, cards: list[Card]) -> DataFrame:
-    """cycle_id, spend_seq, card_id, rupees_paise, rule_id."""
-    wallet = Wallet(cards)
+def greedy_allocate(spends: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
+    """cycle_id, spend_seq, card_id, rupees_paise, rule_id. ``states``: what a cycle's buckets hold at
+    its start, by card, for a cycle that is imported half way; also below."""
+    Wallet(cards)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
+        wallet = _wallet_of(group, cards)
         own = _spends_of(group, len(cards))
         chosen, paid, rules = wallet.greedy(own)
         ids = [wallet.cards[c].rules[r].id if r >= 0 else None for c, r in zip(chosen, rules)]
         return pd.DataFrame({"cycle_id": group["cycle_id"].iloc[0], "spend_seq": sorted(group["spend_seq"]), "card_id": [wallet.cards[c].id for c in chosen], "rupees_paise": paid, "rule_id": ids})
 
-    return with_options(spends, cards).groupBy("cycle_id").applyInPandas(fold, "cycle_id long, spend_seq long, card_id string, rupees_paise long, rule_id string")
+    return with_options(spends, cards, states).groupBy("cycle_id").applyInPandas(fold, "cycle_id long, spend_seq long, card_id string, rupees_paise long, rule_id string")
 
 
-def replay(assigned: DataFrame, cards: list[Card]) -> DataFrame:
-    """Rewards of spends with a card_ord each, folded in order: per spend, its reward and rule."""
-    wallet = Wallet(cards)
+def replay(assigned: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
+    """Rewards of spends with a card_ord each, folded in order: per spend, its amount, reward and rule.
+    Cards share no bucket, so each card of a cycle is a group of its own."""
+    Wallet(cards)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("spend_seq", kind="stable")
-        card, used, paid = int(group["card_ord"].iloc[0]), {}, []
+        wallet, card, paid = _wallet_of(group, cards), int(group["card_ord"].iloc[0]), []
+        used = dict(wallet.start[card])
         for _, options in _spends_of(group, len(cards)):
             rupees, takes, rule = wallet.pay(card, options[card], used)
             for b, x in takes.items():
                 used[b] = used.get(b, 0) + x
             paid.append((rupees, wallet.cards[card].rules[rule].id if rule >= 0 else None))
-        return pd.DataFrame({"cycle_id": group["cycle_id"].iloc[0], "card_ord": card, "spend_seq": group["spend_seq"].to_numpy(), "rupees_paise": [p for p, _ in paid], "rule_id": [r for _, r in paid]})
-
-    rows = assigned.select("cycle_id", "card_ord", "spend_seq", "amount_paise", card_options(cards).alias("options"))
-    return rows.groupBy("cycle_id", "card_ord").applyInPandas(fold, "cycle_id long, card_ord int, spend_seq long, rupees_paise long, rule_id string")
+        return pd.DataFrame({"cycle_id": group["cycle_id"].iloc[0], "card_ord": card, "spend_seq": group["spend_seq"].to_numpy(), "amount_paise": group["amount_paise"].to_numpy(), "rupees_paise": [p for p, _ in paid], "rule_id": [r for _, r in paid]})
+
+    rows = with_options(assigned, cards, states, ("cycle_id", "card_ord"))
+    return rows.groupBy("cycle_id", "card_ord").applyInPandas(fold, "cycle_id long, card_ord int, spend_seq long, amount_paise long, rupees_paise long, rule_id string")
+
+
+def evaluate_assignment(assigned: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
+    """Per cycle and card, cards without a spend too: n_spends, spend_paise, reward_paise,
+    milestone_paise, milestones_earned. A spend that earns nothing still counts to spend and milestones."""
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("bigint")
+    own = lambda c, x: zero(F.sum(F.when(F.col("card_ord") == c, F.col(x))))
+    totals = F.array(*(
+        F.struct(F.lit(k).alias("card_ord"), F.lit(c.id).alias("card_id"), F.count_if(F.col("card_ord") == k).alias("n_spends"), own(k, "amount_paise").alias("spend_paise"), own(k, "rupees_paise").alias("reward_paise"))
+        for k, c in enumerate(cards)
+    ))
+    met = F.array().cast("array<struct<card_id:string,id:string,threshold:bigint,grant:bigint>>")
+    goals = [F.struct(F.lit(c.id).alias("card_id"), F.lit(m.id).alias("id"), F.lit(m.threshold_paise).cast("bigint").alias("threshold"), F.lit(m.grant_paise).cast("bigint").alias("grant")) for c in cards for m in c.milestones]
+    met = F.filter(F.array(*goals) if goals else met, lambda g: (g["card_id"] == F.col("card_id")) & (F.col("spend_paise") >= g["threshold"]))
+    per_card = replay(assigned, cards, states).groupBy("cycle_id").agg(totals.alias("t")).select("cycle_id", F.inline("t")).withColumn("met", met)
+    return per_card.select(
+        "cycle_id", "card_id", "n_spends", "spend_paise", "reward_paise",
+        F.aggregate(F.transform("met", lambda g: g["grant"]), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("milestone_paise"), F.transform("met", lambda g: g["id"]).alias("milestones_earned"),
+    )
 
 
 def replay_window(spends: DataFrame, card: Card) -> DataFrame:
@@ -281,33 +324,35 @@ def milestone_rows(spark, cards: list[Card]) -> DataFrame:
     return spark.createDataFrame(rows, "card_id string, milestone_id string, threshold_paise long, grant_paise long")
 
 
-def allocate_cycles(spends: DataFrame, cards: list[Card], extra_keys: tuple[str, ...] = ()) -> DataFrame:
+def allocate_cycles(spends: DataFrame, cards: list[Card], extra_keys: tuple[str, ...] = (), states: States | None = None) -> DataFrame:
     """Per cycle: greedy and allocated totals, spend, and the allocated assignment."""
-    wallet = Wallet(cards)
+    Wallet(cards)
     keys = [*extra_keys, "cycle_id"]
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
+        wallet = _wallet_of(group, cards)
         own = _spends_of(group, len(cards))
         naive = sum(r + m for r, _, m in wallet.value(own, wallet.greedy(own)[0]))
         assignment, total = wallet.allocate(own)
         row = {k: [group[k].iloc[0]] for k in keys}
         return pd.DataFrame(row | {"n_spends": [len(own)], "spend_paise": [sum(s[0] for s in own)], "greedy_paise": [naive], "allocated_paise": [total], "assignment": [assignment]})
 
-    rows = spends.select(*keys, "spend_seq", "amount_paise", card_options(cards).alias("options"))
+    rows = with_options(spends, cards, states, tuple(keys))
     schema = ", ".join(f"{k} long" for k in keys) + ", n_spends long, spend_paise long, greedy_paise long, allocated_paise long, assignment array<int>"
     return rows.groupBy(*keys).applyInPandas(fold, schema)
 
 
-def brute_force_cycles(spends: DataFrame, cards: list[Card]) -> DataFrame:
-    wallet = Wallet(cards)
+def brute_force_cycles(spends: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
+    Wallet(cards)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
+        wallet = _wallet_of(group, cards)
         own = _spends_of(group, len(cards))
         return pd.DataFrame({"cycle_id": [group["cycle_id"].iloc[0]], "allocated_paise": [wallet.allocate(own)[1]], "optimum_paise": [wallet.brute_force(own)[1]]})
 
     # few bytes, much work: a number of partitions of its own, which Spark does not merge by size
     tasks = int(spends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_options(spends, cards).repartition(tasks, "cycle_id").groupBy("cycle_id").applyInPandas(fold, "cycle_id long, allocated_paise long, optimum_paise long")
+    return with_options(spends, cards, states).repartition(tasks, "cycle_id").groupBy("cycle_id").applyInPandas(fold, "cycle_id long, allocated_paise long, optimum_paise long")
 
 
 def leakage(missed: Column, value: Column, floored: bool = True) -> Column:

@@ -69,9 +69,9 @@ def lineitem_spends(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bucket_use() -> dict[str, Column]:
-    """What each card's buckets have consumed before a spend, by its id."""
-    key = F.col("spend_id")
+def bucket_use(by: str = "spend_id") -> dict[str, Column]:
+    """What each card's buckets have consumed before a spend, or before a cycle, by its id."""
+    key = F.col(by)
     used = F.create_map(
         F.lit("online_cap"), (key % 5) * 50_000, F.lit("offline_cap"), (key % 3) * 99_990, F.lit("overall_cap"), (key % 7) * 66_000, F.lit("accelerated_cap"), (key % 11) * 5_000,
     )

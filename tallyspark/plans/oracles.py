@@ -188,4 +188,26 @@ SQL |= {
       UNION ALL SELECT spend_id, preset, 'amazon-pay-icici', amount_paise, icici FROM r""",
 }
 
+
+def _from_state(card: str) -> str:
+    """The fold of a cycle whose buckets hold something at its start; ``card`` chooses among a, b and icici."""
+    return f"""WITH RECURSIVE {spends(10)}, {GROSS}, t(cycle_id, spend_seq, online, offline, overall, fast, card, rupees) AS (
+      SELECT DISTINCT cycle_id, CAST(0 AS BIGINT), CAST(cycle_id % 5 * 50000 AS BIGINT), CAST(cycle_id % 3 * 99990 AS BIGINT), CAST(cycle_id % 7 * 66000 AS BIGINT), CAST(cycle_id % 11 * 5000 AS BIGINT), CAST('' AS VARCHAR), CAST(0 AS BIGINT) FROM g
+      UNION ALL
+      SELECT cycle_id, spend_seq, online + CASE WHEN card = 'sbi-cashback' AND channel = 'online' THEN a ELSE 0 END, offline + CASE WHEN card = 'sbi-cashback' AND channel <> 'online' THEN a ELSE 0 END,
+        overall + CASE WHEN card = 'sbi-cashback' THEN a ELSE 0 END, fast + CASE WHEN card = 'axis-ace' THEN f ELSE 0 END, card, CASE card WHEN 'sbi-cashback' THEN a WHEN 'axis-ace' THEN b ELSE icici END
+      FROM (SELECT *, {card} AS card FROM (SELECT *, CASE WHEN f > 0 THEN f ELSE axis_base END AS b FROM (
+        SELECT g.*, t.online, t.offline, t.overall, t.fast, greatest(0, least(sbi, CASE WHEN channel = 'online' THEN 200000 - t.online ELSE 200000 - t.offline END, 400000 - t.overall)) AS a, greatest(0, least(axis_capped, 50000 - t.fast)) AS f
+        FROM t JOIN g ON g.cycle_id = t.cycle_id AND g.spend_seq = t.spend_seq + 1))))"""
+
+
+SQL |= {
+    "greedy_from_state": f"""{_from_state("CASE WHEN a >= b AND a >= icici THEN 'sbi-cashback' WHEN b >= icici THEN 'axis-ace' ELSE 'amazon-pay-icici' END")} SELECT cycle_id, spend_seq, card AS card_id, rupees AS rupees_paise FROM t WHERE spend_seq > 0""",
+    "mixed_replay": f"""{_from_state("CASE spend_seq % 3 WHEN 0 THEN 'sbi-cashback' WHEN 1 THEN 'axis-ace' ELSE 'amazon-pay-icici' END")}, k(card_id) AS (VALUES ('sbi-cashback'), ('axis-ace'), ('amazon-pay-icici')),
+      o AS (SELECT t.cycle_id, t.card AS card_id, t.rupees, s.amount_paise FROM t JOIN s ON s.cycle_id = t.cycle_id AND s.spend_seq = t.spend_seq),
+      p AS (SELECT y.cycle_id, k.card_id, CAST(count(o.rupees) AS BIGINT) AS n_spends, CAST(coalesce(sum(o.amount_paise), 0) AS BIGINT) AS spend_paise, CAST(coalesce(sum(o.rupees), 0) AS BIGINT) AS reward_paise
+        FROM (SELECT DISTINCT cycle_id FROM s) y CROSS JOIN k LEFT JOIN o ON o.cycle_id = y.cycle_id AND o.card_id = k.card_id GROUP BY ALL)
+      SELECT *, CAST(CASE WHEN card_id = 'amazon-pay-icici' THEN CASE WHEN spend_paise >= 10000000 THEN 50000 ELSE 0 END + CASE WHEN spend_paise >= 25000000 THEN 200000 ELSE 0 END ELSE 0 END AS BIGINT) AS milestone_paise,
+        CASE WHEN card_id <> 'amazon-pay-icici' OR spend_paise < 10000000 THEN '' WHEN spend_paise < 25000000 THEN 'a' ELSE 'a,b' END AS milestones_earned FROM p""",
+}
 SQL |= cascade_sql.sql(SQL["statement_extract"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 from collections.abc import Callable
 from datetime import date
@@ -114,6 +115,21 @@ def greedy_allocate(spark, sf):
     return allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards()).drop("rule_id")
 
 
+@_query
+def greedy_from_state(spark, sf):
+    """Cycles imported half way: their buckets hold something before the first spend."""
+    return allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards(), domain.bucket_use("cycle_id")).drop("rule_id")
+
+
+@_query
+def mixed_replay(spark, sf):
+    """Spends dealt to the cards in turn, from buckets that hold something."""
+    dealt = domain.ordered_spends(spark, sf, 10).withColumn("card_ord", (F.col("spend_seq") % 3).cast("int"))
+    own, miles = bundled_cards(), (Milestone("a", 10_000_000, 50_000), Milestone("b", 25_000_000, 200_000))
+    cards = [*own[:2], dataclasses.replace(own[2], milestones=miles)]
+    return allocation.evaluate_assignment(dealt, cards, domain.bucket_use("cycle_id")).withColumn("milestones_earned", F.array_join("milestones_earned", ","))
+
+
 @_query
 def greedy_totals(spark, sf):
     spends = domain.ordered_spends(spark, sf, 10)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import dataclasses
 import itertools
 import random
 from datetime import date
@@ -127,7 +128,8 @@ def test_brute_force_equals_all_assignments():
     rng, cards = random.Random(4), bundled_cards()
     for trial in range(120):
         own = [*cards, flat("x", 0.01, (Milestone("m", 90_000, 900),))][: rng.randint(1, 4)] if trial % 2 else [flat(f"f{c}", rng.choice((0.01, 0.02)), (Milestone("m", 50_000, rng.choice((0, 700))),)) for c in range(rng.randint(1, 3))]
-        wallet, spends = Wallet(own), []
+        start = [{b.id: rng.choice((0, b.limit_paise // 2, b.limit_paise - 300, b.limit_paise + 5)) for b in c.buckets} for c in own] if trial % 4 > 1 else None
+        wallet, spends = Wallet(own, start), []
         for _ in range(rng.randint(0, 5)):
             amount = rng.choice((100, 10_000, 40_000, 3_000_000))
             spends.append((amount, [[(r, amount // (20 + 30 * r)) for r in range(len(c.rules)) if rng.random() < 0.8] for c in own]))
@@ -137,6 +139,20 @@ def test_brute_force_equals_all_assignments():
             if total > most:
                 best, most = list(tried), total
         assert wallet.brute_force(spends) == (best, most)
+        if spends:
+            assert sum(r + m for r, _, m in wallet.value(spends, wallet.greedy(spends)[0])) <= wallet.allocate(spends)[1] <= most
+
+
+def test_states_bind_every_search(spark, sf):
+    """A cycle whose buckets are full at its start is worth what its uncapped rules pay."""
+    spends = domain.lineitem_spends(spark, sf).filter("cycle_id < 200")
+    few = spends.groupBy("cycle_id").agg(F.count("*").alias("n")).filter("n <= 6").select("cycle_id")
+    spends, cards = spends.join(few, "cycle_id"), bundled_cards()
+    full = {c.id: F.create_map(*(x for b in c.buckets for x in (F.lit(b.id), F.lit(b.limit_paise).cast("bigint")))) for c in cards if c.buckets}
+    uncapped = [dataclasses.replace(c, rules=tuple(r for r in c.rules if not any(c.bucket(b) for b in r.consumes))) for c in cards]
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    for search in (allocation.brute_force_cycles, lambda *a, **k: allocation.allocate_cycles(*a, **k).select("cycle_id", "greedy_paise", "allocated_paise")):
+        assert rows(search(spends, cards, states=full)) == rows(search(spends, uncapped))
 
 
 def test_brute_force_takes_every_cycle_within_the_guard(spark, sf):
