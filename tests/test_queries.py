@@ -143,6 +143,46 @@ def test_brute_force_equals_all_assignments():
             assert sum(r + m for r, _, m in wallet.value(spends, wallet.greedy(spends)[0])) <= wallet.allocate(spends)[1] <= most
 
 
+def test_recommendation_flip_by_plain_arithmetic(spark, sf):
+    """The winner at the flip is another than at the spend, and not yet within a rupee below it; where
+    there is no flip, no doubled amount has another winner."""
+
+    def winner(key, channel, amount):
+        k, pay = key % 8, lambda rate: int(amount * rate / 10_000 + 0.5)
+        own = 200_000 - (key % 5 * 50_000 if channel == "online" else key % 3 * 99_990)
+        sbi = 0 if k == 2 else max(0, min(pay(500 if channel == "online" else 100), own, 400_000 - key % 7 * 66_000))
+        fast = min(pay({5: 500, 0: 400, 7: 400}.get(k, 0)), 50_000 - key % 11 * 5_000)
+        axis = 0 if k in (2, 3) else fast if fast > 0 else pay(150)
+        return None if max(sbi, axis) <= 0 else "sbi" if sbi >= axis else "axis"
+
+    spends = domain.spends(spark, sf)
+    rows = spends.join(QUERIES["recommendation_flip"](spark, sf), "spend_id").select("spend_id", "channel", "amount_paise", "flip_paise").collect()
+    assert len(rows) == spends.count()
+    flips = 0
+    for key, channel, amount, flip in rows:
+        first = winner(key, channel, amount)
+        if flip is not None:
+            flips += 1
+            assert first is not None and winner(key, channel, flip) != first
+            assert any(winner(key, channel, below) == first for below in range(flip - 100, flip))
+        elif first is not None:
+            assert all(winner(key, channel, (2 * amount + 100) * 2**i) == first for i in range(30) if (2 * amount + 100) * 2**i <= 50_000_000)
+    assert flips > 50
+
+
+def test_leakage_sweep_scales_every_amount(spark, sf):
+    """Each row of the sweep is the report on cycles whose amounts were multiplied beforehand."""
+    found = {r["scale"]: r for r in QUERIES["leakage_sweep"](spark, sf).collect()}
+    assert sorted(found) == [1, 2, 4, 8, 16, 32]
+    base = sum(r["amount_paise"] for r in domain.spends(spark, sf).select("amount_paise").collect())
+    for scale, row in found.items():
+        assert row["spend_paise"] == base * scale and row["missed_paise"] == row["allocated_paise"] - row["greedy_paise"] >= 0
+    from tallyspark.plans.registry import _goal_cards
+
+    ten = domain.ordered_spends(spark, sf, 8)
+    assert allocation.leakage_report(allocation.allocate_cycles(ten, _goal_cards())).first().asDict() == {k: v for k, v in found[8].asDict().items() if k != "scale"}
+
+
 def test_states_bind_every_search(spark, sf):
     """A cycle whose buckets are full at its start is worth what its uncapped rules pay."""
     spends = domain.lineitem_spends(spark, sf).filter("cycle_id < 200")
