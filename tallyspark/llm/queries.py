@@ -90,6 +90,15 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restored
+
+    return fill_in_middle(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf_quality": op1_line_crf_quality,
     "op2_adaptive_scan": op2_adaptive_scan,
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scores": op10_lm_scores,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 # Rows, counts and digests that SQL can state; models, sketches, tokenizers and packings have no SQL,
@@ -123,4 +133,13 @@ ORACLE_SQL: dict[str, str] = {
       SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "op12_fill_in_middle": """WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+      g AS (SELECT *, CAST('0x' || substring(h, 1, 8) AS UBIGINT) % (n + 1) AS one, CAST('0x' || substring(h, 9, 8) AS UBIGINT) % (n + 1) AS two,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substring(h, 17, 8) AS UBIGINT) % 100 >= 90 THEN 'plain'
+          WHEN CAST('0x' || substring(h, 25, 8) AS UBIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+      c AS (SELECT *, CAST(least(one, two) AS BIGINT) AS a, CAST(greatest(one, two) AS BIGINT) AS b FROM g),
+      p AS (SELECT *, substring(text, 1, a) AS head, substring(text, a + 1, b - a) AS mid, substring(text, b + 1) AS tail FROM c)
+      SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid WHEN 'spm' THEN '<S>' || tail || '<P>' || head || '<M>' || mid ELSE text END) AS output_sha256,
+        sha256(text) AS restored_sha256 FROM p""",
 }
