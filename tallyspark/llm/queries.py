@@ -99,6 +99,33 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by crc32 of its id, repeats a stretch from one of its words to its end."""
+    draw = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = docs.select("doc_id", "text", (draw % 10 == 0).alias("planted"), F.floor(draw / 10).cast("long").alias("g"))
+    rows = rows.withColumn("words", F.when(F.col("planted"), F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), "")))
+    n = F.size("words").cast("long")
+    a = F.when(n > 0, F.col("g") % n)
+    rows = rows.withColumns({"a": a, "p": 1 + F.floor((n - a) / (3 + F.col("g") % 8))})
+    told = F.transform("words", lambda word, i: F.when(i < F.col("a"), word).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(F.col("planted") & F.col("a").isNotNull(), F.array_join(told, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import periodic_runs
+
+    found = periodic_runs(_with_planted_periods(_read(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    best = F.aggregate("runs", none, lambda top, run: F.when(top.isNull() | (run["length"] * top["period"] > top["length"] * run["period"]), run).otherwise(top))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf_quality": op1_line_crf_quality,
     "op2_adaptive_scan": op2_adaptive_scan,
@@ -111,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scores": op10_lm_scores,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # Rows, counts and digests that SQL can state; models, sketches, tokenizers and packings have no SQL,
@@ -142,4 +170,22 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
         sha256(CASE form WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid WHEN 'spm' THEN '<S>' || tail || '<P>' || head || '<M>' || mid ELSE text END) AS output_sha256,
         sha256(text) AS restored_sha256 FROM p""",
+    # crc32 of an id's digits: eight shifts a byte, the polynomial reflected
+    "op13_periodic_runs": """WITH RECURSIVE ids AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0 FROM documents),
+      crc AS (SELECT r, coalesce(CAST(doc_id AS VARCHAR), '') AS digits, CAST(4294967295 AS BIGINT) AS c, 0 AS k FROM ids
+        UNION ALL SELECT r, digits, CAST(list_reduce(list_prepend(xor(c, CAST(ascii(substring(digits, k + 1, 1)) AS BIGINT)), CAST(range(8) AS BIGINT[])), lambda x, s: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) AS BIGINT), k + 1 FROM crc WHERE k < length(digits)),
+      drawn AS (SELECT ids.r, doc_id, w0, len(w0) AS n, xor(c, 4294967295) % 10 AS planted, xor(c, 4294967295) // 10 AS g FROM ids JOIN crc ON crc.r = ids.r AND crc.k = length(crc.digits)),
+      cut AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM drawn),
+      d AS (SELECT r, doc_id, n, CASE WHEN planted = 0 AND n > 0 THEN list_transform(range(n), lambda i: w0[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w0 END AS w FROM cut),
+      words AS (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+      same AS (SELECT x.r, x.n, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+      isles AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM same) GROUP BY r, q, isle),
+      runs AS (SELECT r, start, length, min(q) AS period FROM isles WHERE length >= 6 AND length >= 4 * q GROUP BY r, start, length),
+      best AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+      top AS (SELECT x.* FROM runs x WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r AND (y.length * x.period > x.length * y.period OR y.length * x.period = x.length * y.period AND (y.start < x.start OR y.start = x.start AND y.period < x.period)))),
+      gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+      kept AS (SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS text FROM words ANTI JOIN gone ON gone.r = words.r AND gone.i = words.i GROUP BY words.r)
+      SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.start AS BIGINT) AS start, CAST(top.length AS BIGINT) AS length, CAST(top.period AS BIGINT) AS period,
+        CAST(1000 * top.length // top.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+      FROM d LEFT JOIN best ON best.r = d.r LEFT JOIN top ON top.r = d.r LEFT JOIN kept ON kept.r = d.r""",
 }
