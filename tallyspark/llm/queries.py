@@ -90,6 +90,13 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import duplicated_spans
+
+    found = duplicated_spans(_read(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_middle import fill_in_middle, restored
 
@@ -137,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scores": op10_lm_scores,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -161,6 +169,18 @@ ORACLE_SQL: dict[str, str] = {
       SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    # texts as hexadecimal, in blocks, so that each stretch is cut from a short string
+    "op11_suffix_dedup": """WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+      blocks AS (SELECT r, doc_id, b, substring(x, 2 * b + 1, 2 * 561) AS y FROM (SELECT r, doc_id, x, unnest(range(0, greatest(len(x) // 2 - 49, 0), 512)) AS b FROM d)),
+      stretches AS (SELECT r, doc_id, b + k AS i, substring(y, 2 * k + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(512, len(y) // 2 - 49))) AS k FROM blocks)),
+      gone AS (SELECT r, i FROM (SELECT r, i, coalesce(doc_id, 9223372036854775807) AS doc_id, min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY s) AS least FROM stretches) WHERE doc_id > least),
+      spans AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM gone)) GROUP BY r, span),
+      ends AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans),
+      last AS (SELECT r, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+      pieces AS (SELECT d.r, a, substring(x, 2 * before + 1, 2 * (a - before)) AS y FROM d JOIN ends ON d.r = ends.r UNION ALL SELECT d.r, 9223372036854775807, substring(x, 2 * coalesce(b, 0) + 1) FROM d LEFT JOIN last ON d.r = last.r),
+      kept AS (SELECT r, string_agg(y, '' ORDER BY a) AS y FROM pieces GROUP BY r)
+      SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256
+      FROM d JOIN kept ON kept.r = d.r LEFT JOIN last ON last.r = d.r""",
     "op12_fill_in_middle": """WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
       g AS (SELECT *, CAST('0x' || substring(h, 1, 8) AS UBIGINT) % (n + 1) AS one, CAST('0x' || substring(h, 9, 8) AS UBIGINT) % (n + 1) AS two,
         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substring(h, 17, 8) AS UBIGINT) % 100 >= 90 THEN 'plain'
