@@ -54,8 +54,9 @@ _SHELF = _values([(k, merchant, display, mcc, ",".join(tags)) for k, (merchant,
 _FAMILIES = _values([(k, pattern, mcc, ",".join(tags)) for k, (pattern, mcc, tags) in enumerate(FAMILIES)])
 
 
-def cascade(source: str) -> str:
-    """CTEs after ``source(id, raw)``, to follow WITH RECURSIVE; the last, solved, has a row an id."""
+def cascade(source: str, aliases: str = "SELECT '', '', 0 WHERE false") -> str:
+    """CTEs after ``source(id, raw)``, to follow WITH RECURSIVE; the last, solved, has a row an id.
+    ``aliases``: SQL of candidate, merchant_id, learnt_ord."""
     return f"""
     cut AS (SELECT id, raw, text, list_transform(string_split_regex(text, '[/-]'), lambda p: trim(p)) AS parts, {_first_match('upper(text)', BANK_OPERATIONS)} AS bank,
         regexp_matches(upper(text), '^UPI[/-]') AS is_upi, strpos(text, '*') AS star FROM (SELECT id, raw, trim(raw) AS text FROM {source})),
@@ -70,16 +71,18 @@ def cascade(source: str) -> str:
     offered AS (SELECT id, unnest(candidates) AS candidate, generate_subscripts(candidates, 1) AS cand_ord FROM parsed WHERE kind <> 'bankOperation'),
     names(cat_ord, name_ord, name) AS ({_NAMES}), keys(cat_ord, name) AS ({_KEYS}), shelf(cat_ord, merchant_id, display_name, mcc, tags) AS ({_SHELF}),
     families(family, pattern, mcc, tags) AS ({_FAMILIES}),
+    taught(candidate, merchant_id, learnt_ord) AS ({aliases}),
+    alias AS (SELECT candidate, cat_ord FROM (SELECT upper(candidate) AS candidate, max_by(merchant_id, learnt_ord) AS merchant_id FROM taught GROUP BY 1) JOIN shelf USING (merchant_id)),
     exact AS (SELECT name AS candidate, max(cat_ord) AS cat_ord FROM keys GROUP BY name),
-    open AS (SELECT DISTINCT candidate FROM offered WHERE candidate NOT IN (SELECT candidate FROM exact)),
+    open AS (SELECT DISTINCT candidate FROM offered WHERE candidate NOT IN (SELECT candidate FROM exact) AND candidate NOT IN (SELECT candidate FROM alias)),
     pairs AS (SELECT DISTINCT candidate AS a, upper(name) AS b FROM open CROSS JOIN names), {jaro('pairs')},
     scored AS (SELECT a, b, greatest(jaro, len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb)))) AS score FROM (SELECT *, {_grams('a')} AS ga, {_grams('b')} AS gb FROM jaro)),
     close AS (SELECT s.a AS candidate, n.cat_ord, n.name AS matched, s.score, row_number() OVER (PARTITION BY s.a ORDER BY s.score DESC, n.cat_ord, n.name_ord) AS nth FROM scored s JOIN names n ON upper(n.name) = s.b WHERE s.score > 0.88),
-    settled AS (SELECT candidate, 2 AS stage_ord, CAST(1 AS DOUBLE) AS score, cat_ord, candidate AS matched FROM exact UNION ALL SELECT candidate, 3, score, cat_ord, matched FROM close WHERE nth = 1),
+    settled AS (SELECT candidate, 1 AS stage_ord, CAST(1 AS DOUBLE) AS score, cat_ord, candidate AS matched FROM alias UNION ALL SELECT candidate, 2, 1, cat_ord, candidate FROM exact WHERE candidate NOT IN (SELECT candidate FROM alias) UNION ALL SELECT candidate, 3, score, cat_ord, matched FROM close WHERE nth = 1),
     best AS (SELECT o.id, t.*, row_number() OVER (PARTITION BY o.id ORDER BY t.stage_ord, t.score DESC, o.cand_ord, t.cat_ord) AS nth FROM offered o JOIN settled t ON t.candidate = o.candidate),
     kin AS (SELECT p.id, min(f.family) AS family FROM parsed p JOIN families f ON regexp_matches(upper(p.raw || ' ' || array_to_string(p.candidates, ' ')), f.pattern)
         WHERE p.kind <> 'bankOperation' AND p.id NOT IN (SELECT id FROM best) GROUP BY p.id),
-    solved AS (SELECT p.*, CASE WHEN kind = 'bankOperation' THEN 'bankOperation' WHEN b.stage_ord = 2 THEN 'exactCatalogue' WHEN b.stage_ord = 3 THEN 'fuzzyCatalogue' WHEN f.family IS NOT NULL THEN 'family' ELSE 'unresolved' END AS stage,
+    solved AS (SELECT p.*, CASE WHEN kind = 'bankOperation' THEN 'bankOperation' WHEN b.stage_ord = 1 THEN 'userAlias' WHEN b.stage_ord = 2 THEN 'exactCatalogue' WHEN b.stage_ord = 3 THEN 'fuzzyCatalogue' WHEN f.family IS NOT NULL THEN 'family' ELSE 'unresolved' END AS stage,
         CASE WHEN kind = 'bankOperation' THEN 1.0 WHEN b.id IS NOT NULL THEN b.score WHEN f.family IS NOT NULL THEN 0.6 ELSE 0.0 END AS confidence,
         CASE WHEN kind = 'bankOperation' THEN candidates[1] ELSE s.merchant_id END AS merchant_id, CASE WHEN kind = 'bankOperation' OR f.family IS NOT NULL THEN candidates[1] ELSE s.display_name END AS display_name,
         coalesce(s.mcc, f.mcc) AS mcc, coalesce(CASE WHEN kind = 'bankOperation' THEN candidates[1] END, s.tags, f.tags, '') AS tags, coalesce(b.matched, f.pattern) AS matched
@@ -97,6 +100,17 @@ VARIED = f"""n AS (SELECT CAST(o_orderkey AS BIGINT) AS id, list_extract({lit(_A
     d AS (SELECT id, CASE id // 25 % 8 WHEN 0 THEN 'UPI/DR/' || ref || '/' || payee || '/HDFC/' || handle || '/Pay' WHEN 1 THEN 'UPI-' || payee || '-' || handle || '-' || ref WHEN 2 THEN 'RAZORPAY*' || payee WHEN 3 THEN 'paytm *' || lower(payee) || ' 123456'
       WHEN 4 THEN 'POS ' || payee || ' MUMBAI' WHEN 5 THEN list_extract({lit(domain.FAMILY_TEXTS)}, CAST(id % {len(domain.FAMILY_TEXTS)} AS INTEGER) + 1) WHEN 6 THEN list_extract({lit(domain.BANK_TEXTS)}, CAST(id % {len(domain.BANK_TEXTS)} AS INTEGER) + 1) ELSE payee || ' PVT LTD ONLINE' END AS raw FROM z)"""
 
+_SHOP = "(l_partkey % 61 * (l_suppkey % 5))"
+_SHOP_NAME = f"'QZ ' || list_extract({lit(domain.SHOP_WORDS)}, CAST({_SHOP} % {len(domain.SHOP_WORDS)} AS INTEGER) + 1) || ' ' || chr(CAST(65 + {_SHOP} % 26 AS INTEGER)) || ' ' || chr(CAST(65 + {_SHOP} // 26 AS INTEGER))"
+SHOPS = VARIED.replace("    d AS", "    v AS") + f""", d AS (SELECT row_number() OVER () AS id, CASE WHEN l_partkey % 3 <> 0 THEN v.raw WHEN l_linenumber % 2 = 0 THEN 'UPI/DR/' || lpad(CAST(l_orderkey AS VARCHAR), 12, '1') || '/' || {_SHOP_NAME} || '/YESB/' || lower(replace({_SHOP_NAME}, ' ', '')) || '/Pay'
+      ELSE 'POS ' || {_SHOP_NAME} || ' MUMBAI' END AS raw FROM lineitem JOIN v ON v.id = l_orderkey)"""
+
+
+def substring_baseline(raw: str) -> str:
+    """The merchant whose name, of four characters or more, the upper-cased text holds first."""
+    return "CASE " + " ".join(f"WHEN contains(upper({raw}), {lit(name.upper())}) THEN {lit(merchant)}" for merchant, display, _, aliases, _ in CATALOGUE for name in (display, *aliases) if len(name) >= 4) + " END"
+
+
 _PAIRS = "t AS (SELECT DISTINCT p_name, p_type FROM part), u AS (SELECT p_name AS a, p_type AS b FROM t)"
 _CONFIDENT = "stage IN ('userAlias', 'exactCatalogue', 'bankOperation') OR stage = 'fuzzyCatalogue' AND confidence >= 0.9"
 

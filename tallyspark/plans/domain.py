@@ -175,12 +175,20 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRESETS, "preset string, merchant_name string, channel string, mcc int, tags array<string>")
 
 
-def unresolved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as resolved descriptors: every third part is unresolved, with a candidate for all
-    but every seventh line."""
-    line, part = read(spark, sf_dir, "lineitem"), F.col("l_partkey")
-    payee = F.concat(F.lit("SHOP"), (part % 61).cast("string"))
-    return line.select(
-        F.when(part % 3 == 0, "unresolved").otherwise("exactCatalogue").alias("stage"), F.concat(F.lit("POS "), F.col("l_returnflag")).alias("raw"),
-        F.when(F.col("l_suppkey") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(payee)).alias("candidates"),
-    )
+# words that no catalogue name is close to, of which the shops of an order's lines are named
+SHOP_WORDS = ["KIRANA", "MEDPLUS", "TEXTILE", "HARDWARE", "STATIONERS", "BAKERS"]
+
+
+def shop_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_id and a raw descriptor of every order line: a small shop by card or UPI where part % 3 is
+    0 (one shop has a fifth of them), else the varied descriptor of the line's order."""
+    part, shop = F.col("l_partkey"), F.col("l_partkey") % 61 * (F.col("l_suppkey") % 5)
+    word = F.element_at(F.array(*map(F.lit, SHOP_WORDS)), (shop % len(SHOP_WORDS)).cast("int") + 1)
+    name = F.concat_ws(" ", F.lit("QZ"), word, F.chr(F.lit(65) + shop % 26), F.chr(F.lit(65) + F.floor(shop / 26)))
+    digits = F.lpad(F.col("l_orderkey").cast("string"), 12, "1")
+    by_upi = F.concat_ws("/", F.lit("UPI"), F.lit("DR"), digits, name, F.lit("YESB"), F.lower(F.regexp_replace(name, " ", "")), F.lit("Pay"))
+    varied = varied_descriptors(spark, sf_dir).select(F.col("spend_id").alias("l_orderkey"), F.col("raw").alias("varied"))
+    raw = F.when(part % 3 != 0, F.col("varied")).when(F.col("l_linenumber") % 2 == 0, by_upi).otherwise(F.concat(F.lit("POS "), name, F.lit(" MUMBAI")))
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = read(spark, sf_dir, "lineitem").join(varied, "l_orderkey")
+    return lines.select((F.col("l_orderkey") * 1000 + F.row_number().over(own)).cast("long").alias("line_id"), raw.alias("raw"))

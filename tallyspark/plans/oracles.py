@@ -45,11 +45,9 @@ _GREEDY = f"""WITH RECURSIVE {spends(10)}, {GROSS}, t(cycle_id, spend_seq, onlin
 
 _AMT = "CAST(amount_paise // 100 AS VARCHAR) || '.' || lpad(CAST(amount_paise % 100 AS VARCHAR), 2, '0')"
 
-# what the cascade makes of each payee (order key modulo 12), by the catalogue
-_RESOLVED = f"""WITH {spends()}, v(p12, stage, merchant_id, mcc) AS (VALUES (0, 'exactCatalogue', 'swiggy', 5814), (1, 'exactCatalogue', 'jiohotstar', 4899),
-  (2, 'unresolved', NULL, NULL), (3, 'fuzzyCatalogue', 'blinkit', 5411), (4, 'exactCatalogue', 'zomato', 5814), (5, 'family', NULL, 4784), (6, 'unresolved', NULL, NULL),
-  (7, 'exactCatalogue', 'uber', 4121), (8, 'bankOperation', 'atm', NULL), (9, 'fuzzyCatalogue', 'swiggy', 5814), (10, 'fuzzyCatalogue', 'pvr', 7832), (11, 'exactCatalogue', 'amazon', 5399)),
-  z AS (SELECT s.spend_id, v.stage, v.merchant_id, v.mcc, s.p12 FROM s JOIN v USING (p12))"""
+# what the cascade makes of each order's descriptor
+_RESOLVED = f"""WITH RECURSIVE {spends()}, {cascade_sql.DESCRIPTORS}, {cascade_sql.cascade('d')},
+  z AS (SELECT id AS spend_id, raw, candidates, stage, merchant_id, mcc FROM solved)"""
 _LEDGER = f"""WITH {spends()}, b AS (SELECT *, 100000000 - CAST(sum(amount_paise) OVER (PARTITION BY cycle_id ORDER BY spend_seq) AS BIGINT) AS true_balance FROM s),
   l AS (SELECT cycle_id, spend_seq, -amount_paise AS amount_paise, CASE WHEN spend_id % 89 = 0 THEN NULL WHEN spend_id % 97 = 0 THEN true_balance + 100 ELSE true_balance END AS balance_paise FROM b),
   d AS (SELECT *, lag(balance_paise) OVER (PARTITION BY cycle_id ORDER BY spend_seq) + amount_paise AS expected_paise FROM l)"""
@@ -113,13 +111,14 @@ SQL: dict[str, str] = {
       SELECT CAST(p_partkey AS BIGINT) AS part, round(CAST(len(list_intersect(u, v)) AS DOUBLE) / len(list_distinct(list_concat(u, v))), 6) AS similarity FROM y""",
     "descriptor_parts": f"""WITH {spends()} SELECT spend_id, CASE p12 WHEN 8 THEN 'bankOperation' ELSE 'upi' END AS kind, CASE WHEN p12 <> 8 THEN lpad(CAST(spend_id AS VARCHAR), 12, '1') END AS reference,
       CASE WHEN p12 <> 8 THEN lower(list_extract(['Swiggy','JioHotstar','CHANGAMP','BLNKT','Zomato','TollPlaza','QQZX','UberRides','ATM','SWIGGYL','PVRINOX','AmazonPay'], CAST(p12 AS INTEGER) + 1)) END AS handle, CASE WHEN p12 <> 8 THEN 'Pay' END AS note FROM s""",
-    "alias_match": f"{_RESOLVED} SELECT spend_id, CASE WHEN p12 IN (2, 6) THEN 'userAlias' ELSE stage END AS stage, CASE p12 WHEN 2 THEN 'zepto' WHEN 6 THEN 'blinkit' ELSE merchant_id END AS merchant_id FROM z",
-    "substring_baseline": f"""{_RESOLVED} SELECT spend_id, CASE p12 WHEN 0 THEN 'swiggy' WHEN 1 THEN 'jiohotstar' WHEN 4 THEN 'zomato' WHEN 7 THEN 'uber' WHEN 9 THEN 'swiggy' WHEN 10 THEN 'pvr' WHEN 11 THEN 'amazon' END AS merchant_id FROM z""",
+    "alias_match": f"""WITH RECURSIVE {cascade_sql.DESCRIPTORS}, {cascade_sql.cascade('d', "VALUES ('changamp', 'swiggy', 1), ('CHANGAMP', 'zepto', 2), ('Pay', 'nobody', 1), ('QQZX', 'blinkit', 1), ('qqzx', 'blinkit', 2)")}
+      SELECT id AS spend_id, stage, merchant_id FROM solved""",
+    "substring_baseline": f"WITH {cascade_sql.DESCRIPTORS} SELECT id AS spend_id, {cascade_sql.substring_baseline('raw')} AS merchant_id FROM d",
     "stage_histogram": f"""{_RESOLVED}, st(stage) AS (VALUES ('bankOperation'), ('userAlias'), ('exactCatalogue'), ('fuzzyCatalogue'), ('family'), ('unresolved')),
       n AS (SELECT st.stage, CAST(count(z.stage) AS BIGINT) AS n FROM st LEFT JOIN z ON z.stage = st.stage GROUP BY st.stage) SELECT stage, n, round(n * 100.0 / sum(n) OVER (), 6)::DOUBLE AS percent FROM n""",
     "mcc_distribution": f"{_RESOLVED} SELECT mcc, CAST(count(*) AS BIGINT) AS n FROM z WHERE mcc IS NOT NULL GROUP BY mcc",
-    "unknown_queue": f"{_RESOLVED} SELECT CASE p12 WHEN 2 THEN 'CHANGAMP' ELSE 'QQZX' END AS payee, CAST(count(*) AS BIGINT) AS n FROM z WHERE stage = 'unresolved' GROUP BY 1",
-    "cascade_vs_baseline": f"""{_RESOLVED}, y AS (SELECT *, CASE p12 WHEN 0 THEN 'swiggy' WHEN 1 THEN 'jiohotstar' WHEN 4 THEN 'zomato' WHEN 7 THEN 'uber' WHEN 9 THEN 'swiggy' WHEN 10 THEN 'pvr' WHEN 11 THEN 'amazon' END AS base FROM z)
+    "unknown_queue": f"{_RESOLVED} SELECT coalesce(candidates[1], raw) AS payee, CAST(count(*) AS BIGINT) AS n FROM z WHERE stage = 'unresolved' GROUP BY 1",
+    "cascade_vs_baseline": f"""{_RESOLVED}, y AS (SELECT *, {cascade_sql.substring_baseline('raw')} AS base FROM z)
       SELECT count(*) FILTER (merchant_id = base) AS both_agree, count(*) FILTER (merchant_id <> base) AS disagree, count(*) FILTER (merchant_id IS NOT NULL AND base IS NULL) AS cascade_only,
         count(*) FILTER (merchant_id IS NULL AND base IS NOT NULL) AS baseline_only, count(*) FILTER (stage <> 'unresolved') AS resolved, count(base) AS baseline_hits FROM y""",
     "balance_reconcile": f"{_LEDGER} SELECT cycle_id, CAST(spend_seq - 1 AS INTEGER) AS position, expected_paise, balance_paise AS actual_paise, balance_paise - expected_paise AS drift_paise FROM d WHERE expected_paise IS NOT NULL AND balance_paise IS NOT NULL",
@@ -164,8 +163,8 @@ SQL: dict[str, str] = {
         CAST(greatest(count(*) FILTER (n >= 3) - 1, 0) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS mismatches, CAST(1 AS DOUBLE) AS consistency FROM g GROUP BY cycle_id""",
 }
 
-_QUEUE = """WITH x AS (SELECT l_partkey % 3 = 0 AS unknown, CASE WHEN l_suppkey % 7 = 0 THEN 'POS ' || l_returnflag ELSE 'SHOP' || CAST(l_partkey % 61 AS VARCHAR) END AS payee FROM lineitem),
-    q AS (SELECT payee, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, payee) AS top_n FROM x WHERE unknown GROUP BY payee)"""
+_QUEUE = f"""WITH RECURSIVE {cascade_sql.SHOPS}, {cascade_sql.cascade('d')}, lines AS (SELECT stage = 'unresolved' AS unknown, coalesce(candidates[1], raw) AS payee FROM solved),
+    q AS (SELECT payee, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, payee) AS top_n FROM lines WHERE unknown GROUP BY payee)"""
 _POOLED = f"""SELECT CAST(count(*) AS BIGINT) AS statements, CAST(sum(glyphs) AS BIGINT) AS glyphs, CAST(sum("rows") AS BIGINT) AS "rows", CAST(sum(tables) AS BIGINT) AS tables, CAST(sum(transactions) AS BIGINT) AS transactions,
     CAST(sum(checked) AS BIGINT) AS checked, CAST(sum(mismatches) AS BIGINT) AS mismatches, CASE WHEN sum(checked) = 0 THEN CAST(1 AS DOUBLE) ELSE round((sum(checked) - sum(mismatches)) / CAST(sum(checked) AS DOUBLE), 6) END AS consistency
     FROM ({SQL['extraction_report']})"""
@@ -174,15 +173,15 @@ _PRESETS = "(VALUES ('swiggy', 'online', 0), ('amazon', 'online', 4), ('utility'
 SQL |= {
     "unknown_report": f"""{_QUEUE} SELECT regexp_replace(regexp_replace(payee, '[A-Z]', 'A', 'g'), '[0-9]', '9', 'g') AS payee, CAST(n AS BIGINT) AS n FROM q WHERE top_n <= 25""",
     "label_coverage": f"""{_QUEUE}, c AS (SELECT top_n, sum(n) OVER (ORDER BY top_n) AS covered FROM q)
-      SELECT CAST(top_n AS INTEGER) AS top_n, CAST(covered AS BIGINT) AS covered, round(covered * 100.0 / (SELECT count(*) FILTER (unknown) FROM x), 6) AS percent_of_queue, round(covered * 100.0 / (SELECT count(*) FROM x), 6) AS percent_of_all
+      SELECT CAST(top_n AS INTEGER) AS top_n, CAST(covered AS BIGINT) AS covered, round(covered * 100.0 / (SELECT count(*) FILTER (unknown) FROM lines), 6) AS percent_of_queue, round(covered * 100.0 / (SELECT count(*) FROM lines), 6) AS percent_of_all
       FROM c WHERE top_n IN (5, 10, 20, 50)""",
     "pooled_totals": _POOLED,
     "import_metrics": f"""{_RESOLVED} SELECT p.* EXCLUDE (statements), (SELECT count(*) FROM z WHERE stage = 'unresolved') AS unresolved,
-      (SELECT count(DISTINCT CASE p12 WHEN 2 THEN 'CHANGAMP' ELSE 'QQZX' END) FROM z WHERE stage = 'unresolved') AS unknown_payees FROM ({_POOLED}) p""",
+      (SELECT count(DISTINCT coalesce(candidates[1], raw)) FROM z WHERE stage = 'unresolved') AS unknown_payees FROM ({_POOLED}) p""",
     "pending_per_bucket": f"""WITH o AS ({SQL['bucket_outcomes']}), b(card_id, bucket_id) AS (VALUES ('sbi-cashback', 'online_cap'), ('sbi-cashback', 'offline_cap'), ('sbi-cashback', 'overall_cap'), ('axis-ace', 'accelerated_cap'))
       SELECT CAST(s.o_orderkey AS BIGINT) AS spend_id, b.card_id, b.bucket_id, CAST(coalesce(o.applied_paise, 0) AS BIGINT) AS pending_paise
       FROM orders s CROSS JOIN b LEFT JOIN o ON o.spend_id = s.o_orderkey AND o.card_id = b.card_id AND o.bucket_id = b.bucket_id""",
-    "asked_presets": f"""WITH {spends()}, a AS (SELECT spend_id, amount_paise // 100 * 100 AS amount_paise FROM s WHERE spend_id % 50 = 1),
+    "asked_presets": f"""WITH {spends()}, a AS (SELECT spend_id, amount_paise // 100 * 100 AS amount_paise FROM s),
       p AS (SELECT a.spend_id, a.amount_paise, v.preset, v.channel, v.k FROM a CROSS JOIN {_PRESETS}), {GROSS.replace('FROM s)', 'FROM p)')}, {EMPTY}
       SELECT spend_id, preset, 'sbi-cashback' AS card_id, amount_paise, sbi_paid AS rupees_paise FROM r UNION ALL SELECT spend_id, preset, 'axis-ace', amount_paise, axis_paid FROM r
       UNION ALL SELECT spend_id, preset, 'amazon-pay-icici', amount_paise, icici FROM r""",

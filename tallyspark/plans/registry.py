@@ -294,14 +294,18 @@ def unknown_queue(spark, sf):
     return merchants.unknown_queue(_resolved(spark, sf))
 
 
+def _settled_shops(spark, sf):
+    return merchants.resolve(domain.shop_descriptors(spark, sf), "line_id", "raw")
+
+
 @_query
 def unknown_report(spark, sf):
-    return merchants.unknown_report(merchants.unknown_queue(domain.unresolved_lines(spark, sf)))
+    return merchants.unknown_report(merchants.unknown_queue(_settled_shops(spark, sf)))
 
 
 @_query
 def label_coverage(spark, sf):
-    return merchants.label_coverage(domain.unresolved_lines(spark, sf))
+    return merchants.label_coverage(_settled_shops(spark, sf))
 
 
 def _report(spark, sf):
@@ -331,7 +335,7 @@ def pending_per_bucket(spark, sf):
 def asked_presets(spark, sf):
     """Each preset ranked at the amount an order's total is typed as, with the adjustable buckets untouched."""
     typed = F.concat(F.lit("₹ "), text.format_rupees(F.col("amount_paise"), decimals=False))
-    asked = domain.spends(spark, sf).filter("spend_id % 50 = 1").select("spend_id", "date", rewards.asked_amount(typed).alias("amount_paise"))
+    asked = domain.spends(spark, sf).select("spend_id", "date", rewards.asked_amount(typed).alias("amount_paise"))
     preset = F.explode(F.array(*(F.struct(F.lit(k).alias("preset"), F.lit(n).alias("merchant_name"), F.lit(c).alias("channel"), F.lit(m).alias("mcc"), (F.array(*map(F.lit, t)) if t else F.array().cast("array<string>")).alias("tags")) for k, n, c, m, t in domain.PRESETS)))
     rows = asked.select("*", preset.alias("p")).select("spend_id", "date", "amount_paise", "p.*")
     used = {card: F.create_map(F.lit(bucket), F.lit(paise).cast("bigint")) for card, (bucket, paise) in domain.ASKED_USE.items()}
