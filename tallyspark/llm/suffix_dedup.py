@@ -26,7 +26,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,8 @@ from . import grid, kernels
 _U = np.uint64
 #: Bytes whose suffixes are hashed in one pass.
 PASS_BYTES = 1 << 18
+#: Suffixes copied at once.
+BLOCK = 1 << 13
 _LAST_ID = np.iinfo(np.int64).max
 _OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
 
@@ -108,7 +110,9 @@ def read_chunk(table: pa.Table, length: int, reach: int) -> Chunk:
         a = b
     at, doc, low, high, hashes = (np.concatenate(x) for x in zip(*parts)) if parts else _anchors(raw, edges, length, reach)
     numbers = np.array([_LAST_ID if ids[i] is None else ids[i] for i in places], np.int64)
-    return Chunk(places, texts, numbers, raw, edges, at, doc, low, high, hashes & ~_U(0xFFFF))
+    # anchors have small hashes: mixed again, they spread over all ranges
+    hashes = kernels.mix64(hashes + _U(0x9E3779B97F4A7C15)) & ~_U(0xFFFF)
+    return Chunk(places, texts, numbers, raw, edges, at.astype(np.int32), doc.astype(np.int32), low.astype(np.uint8), high.astype(np.uint8), hashes)
 
 
 def _begun(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,11 +155,13 @@ class Runs:
 
 def sorted_runs(chunk: Chunk, open_: np.ndarray, parts: int, length: int, reach: int) -> Runs:
     """Runs of the anchors ``open_``. Bytes that none of an anchor's stretches holds are zeros."""
-    at, low, high = chunk.at[open_], chunk.low[open_], chunk.high[open_]
+    at, low, high = chunk.at[open_].astype(np.int64), chunk.low[open_].astype(np.int64), chunk.high[open_].astype(np.int64)
     ahead, behind = np.arange(length), np.arange(reach)
-    keys = np.zeros((len(at), length + reach + 2), np.uint8)
-    np.multiply(chunk.raw[at[:, None] + ahead], ahead < (length - low)[:, None], out=keys[:, :length])
-    np.multiply(chunk.raw[np.maximum(at[:, None] - 1 - behind, 0)], behind < high[:, None], out=keys[:, length:-2])
+    keys = np.empty((len(at), length + reach + 2), np.uint8)
+    for k in range(0, len(at), BLOCK):
+        own = slice(k, k + BLOCK)
+        np.multiply(chunk.raw[at[own, None] + ahead], ahead < (length - low)[own, None], out=keys[own, :length])
+        np.multiply(chunk.raw[np.maximum(at[own, None] - 1 - behind, 0)], behind < high[own, None], out=keys[own, length:-2])
     keys[:, -2], keys[:, -1] = low, high
     part = (chunk.hashes[open_] // _U(-(-(1 << 64) // parts))).astype(np.int64) if parts > 1 else np.zeros(len(at), np.int64)
     order = np.lexsort([*_words(keys)[::-1], part])
@@ -185,7 +191,11 @@ def front_decode(shared: bytes, rest: bytes, width: int) -> np.ndarray:
     return rows
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int]]:
+def _keys(run: bytes, width: int) -> Iterator[bytes]:
+    return (run[k : k + width] for k in range(0, len(run), width))
+
+
+def merge(runs: list[tuple[Iterable[bytes], Iterable[int]]]) -> Iterator[tuple[int, int]]:
     """The run of each next key in the merged order, and what the key shares with the one before.
 
     ``runs`` are sorted keys of one width and what each shares with its predecessor. A node of the
@@ -320,10 +330,8 @@ def duplicated_spans(docs: DataFrame, length: int = 50, chunk_bytes: int = grid.
         width = length + reach + 2
         runs = [front_decode(a, b, width) for a, b in zip(table["shared"].to_pylist(), table["rest"].to_pylist())]
         edges = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-        counts = [list(a) for a in table["shared"].to_pylist()]
-        listed = [[r[k * width : (k + 1) * width] for k in range(len(c))] for r, c in zip((r.tobytes() for r in runs), counts)]
-        out = np.fromiter(merge(list(zip(listed, counts))), np.dtype((np.int64, 2)), int(edges[-1])).reshape(-1, 2)
-        del listed
+        one_by_one = [(_keys(r.tobytes(), width), c) for r, c in zip(runs, table["shared"].to_pylist())]
+        out = np.fromiter(merge(one_by_one), np.dtype((np.int32, 2)), int(edges[-1]))
         by_run = np.argsort(out[:, 0], kind="stable")  # a run's keys come out in its own order
         keys, ids = np.concatenate(runs), np.concatenate([kernels.from_planes(x, np.int64) for x in table["ids"].to_pylist()])
         order = np.empty(len(by_run), np.int64)
@@ -344,16 +352,16 @@ def duplicated_spans(docs: DataFrame, length: int = 50, chunk_bytes: int = grid.
         blobs = [kernels.from_planes(zstandard.decompress(b), np.uint32) for _, n, b in sorted(answers) if n < 0]
         marks = np.concatenate(blobs or [np.zeros(0, np.uint32)])
         assert len(marks) == len(runs.keys), "a chunk changed between its readings"
-        at, own = chunk.at[runs.own], runs.own
+        at, own = chunk.at[runs.own].astype(np.int64), runs.own
         # another document of the chunk has the same suffix and a smaller id: all its stretches go
         later = chunk.ids[chunk.doc[own]] > runs.ids[runs.which]
-        steps = np.zeros(len(chunk.raw) + 1, np.int32)
+        steps = np.zeros(len(chunk.raw) + 1, np.int16)
         for distance in range(reach + 1):
             whole = later & (chunk.low[own] <= distance) & (distance <= chunk.high[own])
             start = at[whole | ((marks[runs.which] >> np.uint32(distance)) & np.uint32(1)).astype(bool)] - distance
             steps[start] += 1  # a stretch has one anchor, so starts differ
             steps[start + length] -= 1
-        gone = np.cumsum(steps) > 0
+        gone = np.cumsum(steps, dtype=np.int16) > 0  # at most ``length`` stretches hold a byte
         spans, kept, removed = [], [], []
         for text, a, b in zip(chunk.texts, chunk.edges[:-1], chunk.edges[1:]):
             own_gone = gone[a:b]
