@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import amount, signed_amount, split_amount, starts_with_date, statement_date, trim
+from tallyspark.functions.text import amount, mask_structure, signed_amount, split_amount, starts_with_date, statement_date, trim
 
 PAGE = ("doc_id", "page")
 ROLES = ("date", "reference", "description", "debit", "credit", "amount", "balance", "ignore")
@@ -157,9 +157,9 @@ def rows_of(clustered: DataFrame) -> DataFrame:
     return rows.withColumn("center_y", (F.col("top") + F.col("bottom")) / 2).withColumn("text", glyph_text(F.col("glyphs")))
 
 
-def locate_tables(rows: DataFrame, min_anchors: int = 3) -> DataFrame:
-    """Adds is_anchor (starts with a date) and keeps the rows of each page's table: from the first
-    anchor to the last, and one upper-median anchor gap below. Pages with few anchors drop out."""
+def mark_tables(rows: DataFrame, min_anchors: int = 3) -> DataFrame:
+    """Adds is_anchor (starts with a date) and in_table: from the page's first anchor to its last, and
+    one upper-median anchor gap below. A page with few anchors has no table."""
     page = Window.partitionBy(*PAGE)
     down = page.orderBy("center_y", "row_id")
     marked = rows.withColumn("is_anchor", starts_with_date(F.col("text")))
@@ -168,7 +168,29 @@ def locate_tables(rows: DataFrame, min_anchors: int = 3) -> DataFrame:
     gaps = F.sort_array(F.collect_list("_gap").over(page))
     marked = marked.withColumns({"_from": F.min(centre).over(page), "_to": F.max(centre).over(page), "_n": F.count_if("is_anchor").over(page), "_slack": F.coalesce(F.try_element_at(gaps, F.floor(F.size(gaps) / 2).cast("int") + 1), F.lit(0.0))})
     inside = (F.col("_n") >= min_anchors) & (F.col("center_y") >= F.col("_from")) & (F.col("center_y") <= F.col("_to") + F.col("_slack"))
-    return marked.filter(inside).drop("_gap", "_from", "_to", "_n", "_slack").withColumn("row_ord", F.row_number().over(down) - 1)
+    return marked.withColumn("in_table", F.coalesce(inside, F.lit(False))).drop("_gap", "_from", "_to", "_n", "_slack")
+
+
+def locate_tables(rows: DataFrame, min_anchors: int = 3) -> DataFrame:
+    """The marked rows of each page's table, with row_ord from 0."""
+    down = Window.partitionBy(*PAGE).orderBy("center_y", "row_id")
+    return mark_tables(rows, min_anchors).filter("in_table").drop("in_table").withColumn("row_ord", F.row_number().over(down) - 1)
+
+
+def counted_tables(rows: DataFrame, min_anchors: int = 3) -> DataFrame:
+    """``locate_tables`` with every page's counts: the page's first row, which stays even where it is
+    in no table, has page_glyphs, page_rows and page_tables; in_table tells the rows apart."""
+    page = Window.partitionBy(*PAGE)
+    down = page.orderBy("center_y", "row_id")
+    marked = mark_tables(rows, min_anchors).withColumn("_top", F.row_number().over(down) == 1)
+    marked = marked.withColumns({
+        "row_ord": F.sum(F.col("in_table").cast("int")).over(down) - 1,
+        "page_glyphs": F.when(F.col("_top"), F.sum(F.size("glyphs")).over(page)),
+        "page_rows": F.when(F.col("_top"), F.count("*").over(page)),
+        "page_tables": F.when(F.col("_top"), F.max(F.col("in_table").cast("bigint")).over(page)),
+    })
+    kept = marked.filter(F.col("in_table") | F.col("_top")).drop("_top")
+    return kept.withColumn("glyphs", F.when(F.col("in_table"), F.col("glyphs")).otherwise(F.array().cast(_GLYPHS)))
 
 
 class _Lines:
@@ -238,24 +260,34 @@ def detect_columns(anchors: DataFrame, bin_width: float = 1.5, clear: float = 0.
     return anchors.select(*PAGE, "left", "right", "glyphs").groupBy(*PAGE).applyInArrow(detect, "doc_id string, page int, left double, right double, boundaries array<double>")
 
 
-def lay_out(table: DataFrame, bin_width: float = 1.5, clear: float = 0.9, min_gap: float = 5.0, min_pitches: float = 2.0) -> DataFrame:
+_COUNTS = ("in_table", "page_glyphs", "page_rows", "page_tables")
+
+
+def lay_out(table: DataFrame, bin_width: float = 1.5, clear: float = 0.9, min_gap: float = 5.0, min_pitches: float = 2.0, by: Sequence[str] = PAGE) -> DataFrame:
     """``split_cells(table, detect_columns(table.filter("is_anchor")))`` in one pass over each page's
-    table: doc_id, page, row_id, row_ord, center_y, text, is_anchor, boundaries, cells."""
+    table: doc_id, page, row_id, row_ord, center_y, text, is_anchor, boundaries, cells.
+
+    Of ``counted_tables`` the counts stay, and a row that is in no table has no cells. ``by``: what has
+    columns in common, a page or a document.
+    """
+    counts = [c for c in _COUNTS if c in table.columns]
 
     def lay(key: tuple[pa.Scalar, ...], page: pa.Table) -> pa.Table:
         lines = _Lines(page)
-        anchors = np.flatnonzero(page["is_anchor"].to_numpy())
+        inside = page["in_table"].to_numpy() if counts else np.ones(page.num_rows, bool)
+        anchors = np.flatnonzero(page["is_anchor"].to_numpy() & inside)
         found = _boundaries(lines, anchors, bin_width, clear, min_gap, min_pitches) if len(anchors) else []
         column = np.searchsorted(np.array(found), lines.x + lines.w / 2, side="right")
-        cells = []
-        for a, b in zip(lines.starts[:-1].tolist(), lines.starts[1:].tolist()):
+        cells: list[list[str | None] | None] = []
+        for a, b, laid in zip(lines.starts[:-1].tolist(), lines.starts[1:].tolist(), inside.tolist()):
             own = [np.flatnonzero(column[a:b] == c) + a for c in range(len(found) + 1)]
-            cells.append([_read(lines.x[at], [lines.texts[k] for k in at.tolist()]) for at in own])
-        kept = {c: page[c] for c in ("doc_id", "page", "row_id", "row_ord", "center_y", "text", "is_anchor")}
+            cells.append([_read(lines.x[at], [lines.texts[k] for k in at.tolist()]) for at in own] if laid else None)
+        kept = {c: page[c] for c in ("doc_id", "page", "row_id", "row_ord", "center_y", "text", "is_anchor", *counts)}
         return pa.table(kept | {"boundaries": pa.array([found] * len(cells), pa.list_(pa.float64())), "cells": pa.array(cells, pa.list_(pa.string()))})
 
-    own = table.select(*PAGE, "row_id", F.col("row_ord").cast("int").alias("row_ord"), "center_y", "text", "is_anchor", "left", "right", "glyphs")
-    return own.groupBy(*PAGE).applyInArrow(lay, "doc_id string, page int, row_id long, row_ord int, center_y double, text string, is_anchor boolean, boundaries array<double>, cells array<string>")
+    own = table.select(*PAGE, "row_id", F.col("row_ord").cast("int").alias("row_ord"), "center_y", "text", "is_anchor", "left", "right", "glyphs", *counts)
+    told = "".join(f", {c} {'boolean' if c == 'in_table' else 'long'}" for c in counts)
+    return own.groupBy(*by).applyInArrow(lay, f"doc_id string, page int, row_id long, row_ord int, center_y double, text string, is_anchor boolean{told}, boundaries array<double>, cells array<string>")
 
 
 def column_of(boundaries: Column, x: Column) -> Column:
@@ -270,12 +302,9 @@ def split_cells(rows: DataFrame, layouts: DataFrame) -> DataFrame:
     return placed.withColumn("cells", cells)
 
 
-def extract_transactions(cells: DataFrame, schema: Sequence[str] = BANK_PASSBOOK, unsigned_is_debit: bool = True) -> DataFrame:
-    """doc_id, page, txn_ord, date, description, amount_paise, balance_paise, column_count_ok.
-
-    A row with a date and an amount starts a transaction; one with neither amount nor emptiness in
-    its description continues the one above it on the page; any other row is dropped.
-    """
+def typed_rows(cells: DataFrame, schema: Sequence[str] = BANK_PASSBOOK, unsigned_is_debit: bool = True) -> DataFrame:
+    """The rows' date, description, amount_paise and balance_paise by the schema's roles, whether the
+    columns are as many as the roles, and starts: a row with a date and an amount."""
 
     def cell(role: str) -> Column:
         k = schema.index(role) if role in schema else None
@@ -285,13 +314,22 @@ def extract_transactions(cells: DataFrame, schema: Sequence[str] = BANK_PASSBOOK
         value = signed_amount(cell("amount"), unsigned_is_debit)
     else:
         value = split_amount(cell("debit"), cell("credit"))
-    down = Window.partitionBy(*PAGE).orderBy("row_ord")
     typed = cells.select(
         *PAGE, "row_ord", statement_date(cell("date")).alias("date"), F.coalesce(cell("description"), F.lit("")).alias("description"),
         value.alias("amount_paise"), amount(cell("balance"))["paise"].alias("balance_paise"), (F.size("cells") == len(schema)).alias("column_count_ok"),
+        *(c for c in _COUNTS if c in cells.columns),
     )
-    starts = F.col("date").isNotNull() & F.col("amount_paise").isNotNull()
-    typed = typed.withColumn("starts", starts).withColumn("txn_ord", F.sum(F.col("starts").cast("int")).over(down))
+    return typed.withColumn("starts", F.col("date").isNotNull() & F.col("amount_paise").isNotNull())
+
+
+def extract_transactions(cells: DataFrame, schema: Sequence[str] = BANK_PASSBOOK, unsigned_is_debit: bool = True) -> DataFrame:
+    """doc_id, page, txn_ord, date, description, amount_paise, balance_paise, column_count_ok.
+
+    A row with a date and an amount starts a transaction; one with neither amount nor emptiness in
+    its description continues the one above it on the page; any other row is dropped.
+    """
+    down = Window.partitionBy(*PAGE).orderBy("row_ord")
+    typed = typed_rows(cells, schema, unsigned_is_debit).withColumn("txn_ord", F.sum(F.col("starts").cast("int")).over(down))
     kept = typed.filter((F.col("txn_ord") > 0) & (F.col("starts") | (F.col("amount_paise").isNull() & (F.col("description") != ""))))
     first = lambda c: F.max(F.when(F.col("starts"), F.col(c)))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "description"))), lambda s: s["description"])
@@ -303,10 +341,23 @@ def extract_statements(glyphs: DataFrame, schema: Sequence[str] = BANK_PASSBOOK)
     return extract_transactions(lay_out(locate_tables(read_rows(glyphs))), schema)
 
 
-def inspect_rows(rows: DataFrame, page: int | None = None, from_y: float | None = None, to_y: float | None = None, limit: int = 60) -> DataFrame:
-    """Masked text of the rows of a page and band, top down; ``limit`` is the report's length."""
-    from tallyspark.functions.text import mask_structure
-
+def _within(rows: DataFrame, page: int | None, from_y: float | None, to_y: float | None) -> DataFrame:
     for test in (F.col("page") == page if page is not None else None, F.col("center_y") >= from_y if from_y is not None else None, F.col("center_y") <= to_y if to_y is not None else None):
         rows = rows if test is None else rows.filter(test)
-    return rows.select(*PAGE, "row_id", "center_y", mask_structure(F.col("text")).alias("masked")).orderBy(*PAGE, "center_y", "row_id").limit(limit)
+    return rows
+
+
+def inspect_rows(rows: DataFrame, page: int | None = None, from_y: float | None = None, to_y: float | None = None, limit: int = 60) -> DataFrame:
+    """Masked text of the rows of a page and band, top down; ``limit`` is the report's length."""
+    shown = _within(rows, page, from_y, to_y).select(*PAGE, "row_id", "center_y", mask_structure(F.col("text")).alias("masked"))
+    return shown.orderBy(*PAGE, "center_y", "row_id").limit(limit)
+
+
+def inspect_cells(rows: DataFrame, page: int | None = None, from_y: float | None = None, to_y: float | None = None, limit: int = 60, masked: bool = True) -> DataFrame:
+    """The report's cells mode: columns are found over all rows of a document's pages and band, not the
+    dated ones alone; one row a cell, doc_id, page, row_id, center_y, column (from 0) and its text, by default
+    masked, null where the row leaves the column empty. ``limit`` counts lines."""
+    chosen = _within(rows, page, from_y, to_y).withColumns({"is_anchor": F.lit(True), "row_ord": F.lit(0)})
+    laid = lay_out(chosen, by=("doc_id",)).orderBy(*PAGE, "center_y", "row_id").limit(limit)
+    cells = laid.select(*PAGE, "row_id", "center_y", F.posexplode("cells").alias("column", "text"))
+    return cells.withColumn("text", mask_structure(F.col("text"))) if masked else cells

@@ -86,20 +86,23 @@ def import_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("amount_paise") < 0).alias("spends"), F.coalesce(F.sum(F.when(F.col("amount_paise") < 0, -F.col("amount_paise"))), F.lit(0)).cast("bigint").alias("spend_paise"))
 
 
-def extraction_report(rows: DataFrame, table_rows: DataFrame, transactions: DataFrame) -> DataFrame:
+def extraction_report(rows: DataFrame) -> DataFrame:
     """Per document: glyphs, rows, tables, transactions, checked pairs, mismatches, consistency.
 
-    Each count is aggregated by document before it meets the others. A document without a table has
+    ``rows``: the typed rows of ``geometry.counted_tables``, laid out. Their counts come from the page
+    passes, so one aggregate a document follows the rows it is about. A document without a table has
     zeros and a consistency of 1.
     """
-    every = rows.groupBy("doc_id").agg(F.sum(F.size("glyphs")).alias("glyphs"), F.count("*").alias("rows"))
-    tables = table_rows.groupBy("doc_id", "page").agg(F.lit(1).alias("one")).groupBy("doc_id").agg(F.count("*").alias("tables"))
-    step = Window.partitionBy("doc_id").orderBy("page", "txn_ord")
-    expected = F.lag("balance_paise").over(step) + F.col("amount_paise")
-    checked = transactions.withColumn("expected_paise", expected).groupBy("doc_id").agg(
-        F.count("*").alias("transactions"), F.count(F.col("expected_paise") + F.col("balance_paise")).alias("checked"), F.count_if(F.col("expected_paise") != F.col("balance_paise")).alias("mismatches"),
+    starts = F.coalesce("starts", F.lit(False))
+    # rows that start no transaction go before all others, where they are no row's predecessor's balance
+    step = Window.partitionBy("doc_id").orderBy(starts, "page", "row_ord")
+    before = F.lag(F.when(starts, F.col("balance_paise"))).over(step)
+    rows = rows.filter(starts | F.col("page_rows").isNotNull()).withColumn("expected_paise", F.when(starts, before + F.col("amount_paise")))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    every = rows.groupBy("doc_id").agg(
+        total("page_glyphs").alias("glyphs"), total("page_rows").alias("rows"), total("page_tables").alias("tables"), F.count_if(starts).alias("transactions"),
+        F.count(F.col("expected_paise") + F.col("balance_paise")).alias("checked"), F.count_if(F.col("expected_paise") != F.col("balance_paise")).alias("mismatches"),
     )
-    every = every.join(tables, "doc_id", "left").join(checked, "doc_id", "left").na.fill(0, ["tables", "transactions", "checked", "mismatches"])
     share = F.when(F.col("checked") == 0, 1.0).otherwise((F.col("checked") - F.col("mismatches")) / F.col("checked"))
     return every.withColumn("consistency", F.round(share, 6))
 

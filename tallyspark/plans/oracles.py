@@ -154,6 +154,10 @@ SQL: dict[str, str] = {
     "structure_inspection": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(line AS BIGINT) AS row_id, CAST(96 + 18 * line AS DOUBLE) AS center_y,
       regexp_replace(regexp_replace(regexp_replace(strftime(date, '%d-%m-%y') || ' UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee || ' - 0 ' || {_AMT} || ' ' || CAST(balance // 100 AS VARCHAR) || '.' || lpad(CAST(balance % 100 AS VARCHAR), 2, '0'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS masked
       FROM b WHERE page = 0 AND 96 + 18 * line BETWEEN 100 AND 200 ORDER BY doc_id, page, line LIMIT 60""",
+    "cells_inspection": f"""{_PAGES}, shown AS (SELECT * FROM b WHERE page = 0 AND 96 + 18 * line BETWEEN 100 AND 200 ORDER BY CAST(cycle_id AS VARCHAR), line LIMIT 60),
+      cells AS (SELECT *, [strftime(date, '%d-%m-%y'), 'UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee, '-', '0', {_AMT}, CAST(balance // 100 AS VARCHAR) || '.' || lpad(CAST(balance % 100 AS VARCHAR), 2, '0')] AS c FROM shown)
+      SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(line AS BIGINT) AS row_id, CAST(96 + 18 * line AS DOUBLE) AS center_y, CAST(nth AS INTEGER) AS "column",
+        regexp_replace(regexp_replace(regexp_replace(c[nth + 1], '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS text FROM (SELECT *, unnest(range(6)) AS nth FROM cells)""",
     "first_mismatches": f"""{_LEDGER}, m AS (SELECT *, row_number() OVER (PARTITION BY cycle_id ORDER BY spend_seq) AS nth FROM d WHERE balance_paise <> expected_paise)
       SELECT cycle_id, CAST(spend_seq - 1 AS INTEGER) AS position, expected_paise, balance_paise AS actual_paise, balance_paise - expected_paise AS drift_paise FROM m WHERE nth <= 5""",
     "spend_projection": f"{_RESOLVED} SELECT s.spend_id, CAST(s.date AS VARCHAR) AS date, s.amount_paise, 'online' AS channel, z.mcc, z.merchant_id FROM s JOIN z ON z.spend_id = s.spend_id WHERE s.spend_id % 3 <> 0",
@@ -209,4 +213,13 @@ SQL |= {
       SELECT *, CAST(CASE WHEN card_id = 'amazon-pay-icici' THEN CASE WHEN spend_paise >= 10000000 THEN 50000 ELSE 0 END + CASE WHEN spend_paise >= 25000000 THEN 200000 ELSE 0 END ELSE 0 END AS BIGINT) AS milestone_paise,
         CASE WHEN card_id <> 'amazon-pay-icici' OR spend_paise < 10000000 THEN '' WHEN spend_paise < 25000000 THEN 'a' ELSE 'a,b' END AS milestones_earned FROM p""",
 }
+# the import resolves the printed descriptions, whose payees have no spaces
+SQL["import_events"] = f"""WITH RECURSIVE st AS ({SQL['statement_extract']}), d AS (SELECT row_number() OVER () AS id, description AS raw FROM st), {cascade_sql.cascade('d')}, t AS ({_POOLED}),
+  u AS (SELECT CAST(count(*) AS BIGINT) AS unresolved, CAST(count(DISTINCT coalesce(candidates[1], raw)) AS BIGINT) AS unknown_payees FROM solved WHERE stage = 'unresolved'),
+  e(seq, kind, stage, label) AS (VALUES (1, 'progress', 'reading', 'Reading the PDF'), (2, 'progress', 'extractingGlyphs', 'Extracting glyphs'), (3, 'progress', 'clusteringRows', 'Finding rows'), (4, 'progress', 'detectingColumns', 'Detecting columns'),
+    (5, 'progress', 'extractingTransactions', 'Reading transactions'), (6, 'progress', 'resolvingMerchants', 'Identifying merchants'), (7, 'progress', 'done', 'Done'), (8, 'succeeded', NULL, NULL))
+  SELECT CAST(seq AS INTEGER) AS seq, kind, stage, label, CASE seq WHEN 4 THEN "rows" || ' rows' WHEN 5 THEN tables || ' tables' WHEN 6 THEN transactions || ' transactions' END AS detail, false AS needs_password,
+    CASE seq WHEN 8 THEN glyphs END AS glyphs, CASE seq WHEN 8 THEN "rows" END AS "rows", CASE seq WHEN 8 THEN tables END AS tables, CASE seq WHEN 8 THEN transactions END AS transactions, CASE seq WHEN 8 THEN checked END AS checked,
+    CASE seq WHEN 8 THEN mismatches END AS mismatches, CASE seq WHEN 8 THEN unresolved END AS unresolved, CASE seq WHEN 8 THEN unknown_payees END AS unknown_payees, CASE seq WHEN 8 THEN consistency END AS consistency
+  FROM e, t, u"""
 SQL |= cascade_sql.sql(SQL["statement_extract"])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.functions.predicates import compile_predicate
-from tallyspark.operators import allocation, geometry, merchants, quality, rewards
+from tallyspark.operators import allocation, geometry, importing, merchants, quality, rewards
 from tallyspark.plans import domain
 from tallyspark.plans.oracles import SQL
 from tallyspark.sources.cards import Card, Milestone, Predicate, Rule, bundled_cards
@@ -309,9 +309,7 @@ def label_coverage(spark, sf):
 
 
 def _report(spark, sf):
-    rows = _rows(spark, sf)
-    table = geometry.locate_tables(rows)
-    return quality.extraction_report(rows, table, geometry.extract_transactions(geometry.lay_out(table)))
+    return quality.extraction_report(geometry.typed_rows(geometry.lay_out(geometry.counted_tables(_rows(spark, sf)))))
 
 
 @_query
@@ -324,6 +322,12 @@ def import_metrics(spark, sf):
     return quality.import_metrics(_report(spark, sf), _resolved(spark, sf))
 
 
+@_query
+def import_events(spark, sf):
+    """What one import of every statement tells of itself."""
+    return importing.event_rows(spark, importing.run_import(spark, lambda: domain.glyphs(spark, sf)).events)
+
+
 @_query
 def pending_per_bucket(spark, sf):
     rows = domain.spends(spark, sf)
@@ -425,6 +429,11 @@ def structure_inspection(spark, sf):
     return geometry.inspect_rows(_rows(spark, sf), page=0, from_y=100.0, to_y=200.0)
 
 
+@_query
+def cells_inspection(spark, sf):
+    return geometry.inspect_cells(_rows(spark, sf), page=0, from_y=100.0, to_y=200.0)
+
+
 @_query
 def extraction_report(spark, sf):
     return _report(spark, sf)

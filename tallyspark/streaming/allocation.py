@@ -6,8 +6,6 @@ small however long the cycle; ``keep`` with a watermark lets the state of finish
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyspark.operators.allocation import Wallet, _spends_of, card_options
 from tallyspark.sources.cards import Card
+from tallyspark.sources.storage import fresh_path
 
 ROUTED = "cycle_id long, spend_id long, spend_seq long, card_id string, rupees_paise long, rule_id string"
 
@@ -63,11 +62,6 @@ def run_available(stream: DataFrame, spark: SparkSession, folder: str | None = N
     """Runs a stream over the input there is, into Parquet under ``folder`` with its own checkpoint,
     and reads the rows back. The folder is spark.checkpoint.dir; where that is unset, a session of one
     process gets a folder of our own, and a cluster is refused."""
-    base = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = fresh_path(spark, "stream", folder)
     stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
