@@ -213,6 +213,13 @@ SQL |= {
       SELECT *, CAST(CASE WHEN card_id = 'amazon-pay-icici' THEN CASE WHEN spend_paise >= 10000000 THEN 50000 ELSE 0 END + CASE WHEN spend_paise >= 25000000 THEN 200000 ELSE 0 END ELSE 0 END AS BIGINT) AS milestone_paise,
         CASE WHEN card_id <> 'amazon-pay-icici' OR spend_paise < 10000000 THEN '' WHEN spend_paise < 25000000 THEN 'a' ELSE 'a,b' END AS milestones_earned FROM p""",
 }
+SQL |= {
+    "glyph_round_trip": f"""{_PAGES}, x AS (SELECT *, strftime(date, '%d-%m-%y') || ' UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee || ' - 0 ' || {_AMT} || ' ' || CAST(balance // 100 AS VARCHAR) || '.' || lpad(CAST(balance % 100 AS VARCHAR), 2, '0') AS text FROM b)
+      SELECT 'stmt.' || CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(line AS BIGINT) AS row_id, text, CAST(length(replace(text, ' ', '')) AS INTEGER) AS n_glyphs FROM x""",
+    "labelled_round_trip": f"""WITH {spends()} SELECT 'cust.' || CAST(cycle_id AS VARCHAR) AS statement_id, 'sbi' AS issuer, 'fixtures/' || CAST(cycle_id AS VARCHAR) || '.json' AS glyph_fixture, CAST(spend_seq - 1 AS INTEGER) AS ord, CAST(date AS VARCHAR) AS date,
+      list_extract({cascade_sql.lit(cascade_sql.domain.PAYEES)}, CAST(p12 AS INTEGER) + 1) AS description, -amount_paise AS amount_paise FROM s""",
+}
+
 # the import resolves the printed descriptions, whose payees have no spaces
 SQL["import_events"] = f"""WITH RECURSIVE st AS ({SQL['statement_extract']}), d AS (SELECT row_number() OVER () AS id, description AS raw FROM st), {cascade_sql.cascade('d')}, t AS ({_POOLED}),
   u AS (SELECT CAST(count(*) AS BIGINT) AS unresolved, CAST(count(DISTINCT coalesce(candidates[1], raw)) AS BIGINT) AS unknown_payees FROM solved WHERE stage = 'unresolved'),

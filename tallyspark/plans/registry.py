@@ -15,7 +15,9 @@ from tallyspark.functions.predicates import compile_predicate
 from tallyspark.operators import allocation, geometry, importing, merchants, quality, rewards
 from tallyspark.plans import domain
 from tallyspark.plans.oracles import SQL
+from tallyspark.sources import statements
 from tallyspark.sources.cards import Card, Milestone, Predicate, Rule, bundled_cards
+from tallyspark.sources.storage import fresh_path
 from tallyspark.streaming import allocation as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,6 +413,28 @@ def statement_extract(spark, sf):
     return geometry.extract_statements(domain.glyphs(spark, sf)).drop("txn_ord").withColumn("date", F.col("date").cast("string"))
 
 
+@_query
+def glyph_round_trip(spark, sf):
+    """Every statement dumped as a file, read back, and its lines read."""
+    path = fresh_path(spark, "dumps")
+    named = domain.glyphs(spark, sf).withColumn("doc_id", F.concat(F.lit("stmt."), "doc_id"))
+    statements.write_glyphs(named, path)
+    back = statements.read_glyphs(spark, path)
+    return geometry.read_rows(back).select("doc_id", "page", "row_id", "text", F.size("glyphs").alias("n_glyphs"))
+
+
+@_query
+def labelled_round_trip(spark, sf):
+    """Every customer's spends written as a labelled statement and read back."""
+    path = fresh_path(spark, "labelled")
+    rows = domain.ordered_spends(spark, sf).select(
+        F.concat(F.lit("cust."), F.col("cycle_id").cast("string")).alias("statement_id"), F.lit("sbi").alias("issuer"), F.concat(F.lit("fixtures/"), F.col("cycle_id").cast("string"), F.lit(".json")).alias("glyph_fixture"),
+        (F.col("spend_seq") - 1).alias("ord"), "date", F.col("merchant_name").alias("description"), (-F.col("amount_paise")).alias("amount_paise"),
+    )
+    statements.write_labelled(rows, path)
+    return statements.read_labelled(spark, path).withColumn("date", F.col("date").cast("string"))
+
+
 @_query
 def import_pipeline(spark, sf):
     """Glyphs to resolved transactions, with the stage that settled each payee."""

@@ -1,40 +1,63 @@
-"""Readers and writers of glyph dumps and labelled statements."""
+"""Readers and writers of glyph dumps and labelled statements, over the data sources of
+``document_files``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_GLYPHS = "array<struct<text:string,page:int,x:double,y:double,w:double,h:double>>"
-_LABELLED = "statement_id string, issuer string, glyph_fixture string, transactions array<struct<date:string,description:string,amount:string>>"
+from tallyspark.functions.text import format_money, money
+from tallyspark.sources.document_files import GlyphDumps, LabelledStatements
+
+GLYPHS, LABELLED = GlyphDumps.name(), LabelledStatements.name()
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the formats ``glyph_dump`` and ``labelled_statement`` known to a session."""
+    spark.dataSource.register(GlyphDumps)
+    spark.dataSource.register(LabelledStatements)
 
 
 def read_glyphs(spark: SparkSession, path: str) -> DataFrame:
     """Glyph dumps: each file is one JSON array, its name the doc_id, its order the glyph_ord."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_name"), "\\."), 1).alias("doc_id"), F.from_json("value", _GLYPHS).alias("glyphs"))
-    return whole.select("doc_id", F.posexplode("glyphs").alias("glyph_ord", "g")).select("doc_id", F.col("glyph_ord").cast("long"), "g.*")
+    register(spark)
+    return spark.read.format(GLYPHS).load(path)
 
 
-def write_glyphs(glyphs: DataFrame, path: str) -> None:
-    """One text file row a document: its JSON array, in glyph order."""
-    cells = F.struct("glyph_ord", F.struct("text", "page", "x", "y", "w", "h").alias("g"))
-    rows = glyphs.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(cells)), lambda s: s["g"])).alias("value"))
-    rows.write.partitionBy("doc_id").text(path)
+def stream_glyphs(spark: SparkSession, path: str) -> DataFrame:
+    """The dumps that are written to a folder, a document never cut between two micro-batches."""
+    register(spark)
+    return spark.readStream.format(GLYPHS).load(path)
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled statements, one row a transaction, in order; amounts are strict money strings."""
-    from tallyspark.functions.text import money
+def _by_document(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key, order)
 
-    rows = spark.read.schema(_LABELLED).option("multiLine", True).json(path)
-    rows = rows.select("statement_id", "issuer", "glyph_fixture", F.posexplode("transactions").alias("ord", "t"))
-    return rows.select("statement_id", "issuer", "glyph_fixture", "ord", F.to_date("t.date").alias("date"), "t.description", money(F.col("t.amount")).alias("amount_paise"))
 
+def _glyph_rows(glyphs: DataFrame) -> DataFrame:
+    whole = ("doc_id", "string"), ("glyph_ord", "long"), ("text", "string"), ("page", "int"), *((c, "double") for c in "xywh")
+    return _by_document(glyphs.select(*(F.col(c).cast(t).alias(c) for c, t in whole)), "doc_id", "glyph_ord")
 
-def labelled_json(rows: DataFrame) -> DataFrame:
-    """statement_id and the JSON text that ``read_labelled`` reads."""
-    from tallyspark.functions.text import format_money
 
-    item = F.struct("ord", F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), "description", format_money(F.col("amount_paise")).alias("amount")).alias("t"))
-    whole = rows.groupBy("statement_id", "issuer", "glyph_fixture").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["t"]).alias("transactions"))
-    return whole.select("statement_id", F.to_json(F.struct("statement_id", "issuer", "glyph_fixture", "transactions")).alias("json"))
+def write_glyphs(glyphs: DataFrame, path: str, mode: str = "append") -> None:
+    """One file a document: its JSON array, in glyph order."""
+    register(glyphs.sparkSession)
+    _glyph_rows(glyphs).write.format(GLYPHS).mode(mode).save(path)
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled statements, one row a transaction, in order; amounts are strict money strings. A
+    statement without transactions is one row whose ord is null."""
+    register(spark)
+    rows = spark.read.format(LABELLED).load(path)
+    return rows.select("statement_id", "issuer", "glyph_fixture", "ord", F.to_date("date").alias("date"), "description", money(F.col("amount")).alias("amount_paise"))
+
+
+def write_labelled(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """One file a statement, as ``read_labelled`` reads it."""
+    register(rows.sparkSession)
+    told = rows.select(
+        *(F.col(c).cast("string").alias(c) for c in ("statement_id", "issuer", "glyph_fixture")), F.col("ord").cast("int").alias("ord"), F.date_format("date", "yyyy-MM-dd").alias("date"),
+        F.col("description").cast("string").alias("description"), format_money(F.col("amount_paise")).alias("amount"),
+    )
+    _by_document(told, "statement_id", "ord").write.format(LABELLED).mode(mode).save(path)
