@@ -6,7 +6,6 @@ consumed), so scoring stays inside the scan's stage: no join, no shuffle, no Pyt
 
 from __future__ import annotations
 
-import math
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
@@ -180,37 +179,6 @@ def why_panel(spends: DataFrame, cards: list[Card], keys: list[str], states: dic
     )
 
 
-def recommendation_flip(cards: list[Card], states: dict[str, Column] | None = None, max_paise: int = 50_000_000) -> Column:
-    """The amount at which the winning card changes, to one rupee; null where it never does up to
-    ``max_paise`` or nothing pays.
-
-    Amounts double from the spend until the winner differs, then bisect. Both run inside the row as
-    higher-order functions over the compiled ranking; ``max_paise`` bounds their steps.
-    """
-
-    def winner(amount: Column) -> Column:
-        best = F.transform(F.array(ranking(cards, states, amount)), lambda r: F.when(r[0]["rupees_paise"] > 0, r[0]["card_id"]))
-        return best[0]
-
-    start = F.col("amount_paise").cast("bigint")
-    steps = math.ceil(math.log2(max_paise)) + 1
-
-    def search(first: Column) -> Column:
-        highs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.least((start * 2 + 100) * F.pow(F.lit(2.0), i), F.lit(2.0 * max_paise)).cast("bigint")), lambda h: h <= max_paise)
-        changed = F.try_element_at(F.filter(highs, lambda h: ~winner(h).eqNullSafe(first)), F.lit(1))
-        low = F.when(changed == start * 2 + 100, start).otherwise((changed / 2).cast("bigint"))
-        bounds = F.struct(low.alias("low"), changed.alias("high"))
-
-        def halve(b: Column, _: Column) -> Column:
-            mid = b["low"] + F.floor((b["high"] - b["low"]) / 2)
-            moved = F.when(winner(mid).eqNullSafe(first), F.struct(mid.alias("low"), b["high"].alias("high"))).otherwise(F.struct(b["low"].alias("low"), mid.alias("high")))
-            return F.when(b["low"] + 100 < b["high"], moved).otherwise(b)
-
-        return F.when(first.isNotNull() & changed.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), bounds, halve, lambda b: b["high"]))
-
-    return F.transform(F.array(winner(start)), search)[0]
-
-
 def cap_gauge(limit: Column, used: Column, pending: Column) -> dict[str, Column]:
     """Fractions, status text and utilisation band of one bucket, before and after a spend."""
     from tallyspark.functions.text import format_rupees

@@ -220,6 +220,32 @@ SQL |= {
       list_extract({cascade_sql.lit(cascade_sql.domain.PAYEES)}, CAST(p12 AS INTEGER) + 1) AS description, -amount_paise AS amount_paise FROM s""",
 }
 
+
+
+def _winner(amount: str) -> str:
+    """Of the first two cards: 0, 1, or null where neither pays."""
+    pay = lambda rate: f"CAST(round(CAST({amount} AS DOUBLE) * CAST({rate} AS DOUBLE)) AS BIGINT)"
+    sbi = f"CASE WHEN k = 2 THEN 0 ELSE least({pay('sbi_rate')}, sbi_room) END"
+    axis = f"CASE WHEN k IN (2, 3) THEN 0 WHEN fast_rate > 0 AND least({pay('fast_rate')}, fast_room) > 0 THEN least({pay('fast_rate')}, fast_room) ELSE {pay('0.015')} END"
+    return f"CASE WHEN greatest({sbi}, {axis}) <= 0 THEN NULL WHEN {sbi} >= {axis} THEN 0 ELSE 1 END"
+
+
+# doubling and halving one step a round; the change itself among the amounts around each level passed
+SQL["recommendation_flip"] = f"""WITH RECURSIVE {spends()}, {GROSS}, {USED},
+  c AS (SELECT spend_id, k, amount_paise AS start, CASE channel WHEN 'online' THEN 0.05 ELSE 0.01 END AS sbi_rate, least(own_room, all_room) AS sbi_room, CASE WHEN k = 5 THEN 0.05 WHEN k IN (0, 7) THEN 0.04 ELSE 0 END AS fast_rate, fast_room FROM u),
+  f AS (SELECT *, {_winner('start')} AS first FROM c),
+  t(spend_id, low, high, halving) AS (
+    SELECT spend_id, start, 2 * start + 100, false FROM f WHERE first IS NOT NULL
+    UNION ALL
+    SELECT spend_id, CASE WHEN same THEN probe ELSE low END, CASE WHEN halving THEN CASE WHEN same THEN high ELSE probe END WHEN same THEN 2 * high ELSE high END, halving OR NOT same
+    FROM (SELECT *, {_winner('probe')} IS NOT DISTINCT FROM first AS same FROM (SELECT t.*, f.* EXCLUDE (spend_id), CASE WHEN halving THEN low + (high - low) // 2 ELSE high END AS probe FROM t JOIN f ON f.spend_id = t.spend_id)
+      WHERE CASE WHEN halving THEN low + 100 < high ELSE high <= 50000000 END)),
+  flip AS (SELECT spend_id, max(high) AS flip_paise FROM (SELECT *, row_number() OVER (PARTITION BY spend_id ORDER BY halving DESC, high - low) AS nth FROM t WHERE halving) WHERE nth = 1 GROUP BY spend_id),
+  near AS (SELECT f.*, unnest([sbi_room / 0.015, sbi_room / nullif(fast_rate, 0), fast_room / sbi_rate]) AS a FROM f WHERE first IS NOT NULL),
+  tried AS (SELECT *, CAST(floor(a) AS BIGINT) + d AS amount FROM (SELECT *, unnest(range(-101, 102)) AS d FROM near WHERE a IS NOT NULL)),
+  change AS (SELECT spend_id, min(amount) AS changes_at_paise FROM tried WHERE amount > start AND amount <= 50000000 AND {_winner('amount')} IS DISTINCT FROM first GROUP BY spend_id)
+  SELECT c.spend_id, flip_paise, changes_at_paise FROM c LEFT JOIN flip ON flip.spend_id = c.spend_id LEFT JOIN change ON change.spend_id = c.spend_id"""
+
 # the import resolves the printed descriptions, whose payees have no spaces
 SQL["import_events"] = f"""WITH RECURSIVE st AS ({SQL['statement_extract']}), d AS (SELECT row_number() OVER () AS id, description AS raw FROM st), {cascade_sql.cascade('d')}, t AS ({_POOLED}),
   u AS (SELECT CAST(count(*) AS BIGINT) AS unresolved, CAST(count(DISTINCT coalesce(candidates[1], raw)) AS BIGINT) AS unknown_payees FROM solved WHERE stage = 'unresolved'),

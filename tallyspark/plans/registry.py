@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.functions.predicates import compile_predicate
-from tallyspark.operators import allocation, geometry, importing, merchants, quality, rewards
+from tallyspark.operators import allocation, flips, geometry, importing, merchants, quality, rewards
 from tallyspark.plans import domain
 from tallyspark.plans.oracles import SQL
 from tallyspark.sources import statements
@@ -94,7 +94,7 @@ def cap_gauge(spark, sf):
 
 @_query
 def recommendation_flip(spark, sf):
-    return domain.spends(spark, sf).select("spend_id", rewards.recommendation_flip(bundled_cards()[:2], domain.bucket_use()).alias("flip_paise"))
+    return domain.spends(spark, sf).select("spend_id", flips.recommendation_flip(bundled_cards()[:2], domain.bucket_use()).alias("f")).select("spend_id", "f.*")
 
 
 @_query
