@@ -1,22 +1,26 @@
 """Billing cycles: ordered replay, greedy routing, milestone-aware search, leakage.
 
-Spark decides per spend and card which rules match and their gross reward (``rule_candidates``);
-what is left for a fold is an ordered list of small integers. A cycle is one wallet's month, so a
-group is small; the groups are what scales. Fixed assignments whose capped rules share one bucket
+Spark decides per spend and card which rules match and their gross reward; what is left for a fold is
+an ordered list of small integers. A cycle is one wallet's month, so it is small, and their number is
+what scales: a partition holds whole cycles one behind another, and ``cycle_search`` works on a batch
+of them at once. ``Wallet`` is the same arithmetic for one cycle, for streams and exhaustive search. Fixed assignments whose capped rules share one bucket
 need no fold: the window path of ``replay_window`` is exact for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import itertools
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.rewards import rule_candidates
+from tallyspark.operators.cycle_search import Cycles, stacked
+from tallyspark.operators.rewards import rule_candidates, rule_gross
 from tallyspark.sources.cards import Card
 
 Options = list[tuple[int, int]]  # (rule, gross), in rule order
@@ -213,17 +217,6 @@ def _start_column(cards: list[Card], states: States | None) -> Column:
     return F.array(*held).cast("array<bigint>").alias("start")
 
 
-def _wallet_of(group: pd.DataFrame, cards: list[Card]) -> Wallet:
-    """The wallet of a group's cycle; where rows of one cycle differ in their states, its first spend's count."""
-    values = iter(group["start"].iloc[int(group["spend_seq"].to_numpy().argmin())].tolist())
-    return Wallet(cards, [{b.id: next(values, 0) for b in c.buckets} for c in cards])
-
-
-def with_options(spends: DataFrame, cards: list[Card], states: States | None = None, keys: tuple[str, ...] = ("cycle_id",)) -> DataFrame:
-    """The keys, spend_seq, amount_paise, the rule candidates of all cards and the buckets' start."""
-    return spends.select(*keys, "spend_seq", "amount_paise", card_options(cards).alias("options"), _start_column(cards, states))
-
-
 def _spends_of(group: pd.DataFrame, n_cards: int) -> list[tuple[int, list[Options]]]:
     group = group.sort_values("spend_seq", kind="stable")
     out = []
@@ -236,39 +229,95 @@ def _spends_of(group: pd.DataFrame, n_cards: int) -> list[tuple[int, list[Option
     return out
 
 
+def _stacked_rows(spends: DataFrame, cards: list[Card], states: States | None, keys: tuple[str, ...], extra: tuple[str, ...] = (), tasks: tuple[int, ...] = ()) -> DataFrame:
+    """The spends of a cycle one behind another in one partition, in order, as numbers: keys, spend_seq,
+    amount_paise, the gross reward of every rule, and the buckets' start."""
+    rows = spends.select(*(F.col(k).cast("bigint").alias(k) for k in keys), "spend_seq", "amount_paise", rule_gross(cards).alias("gross"), _start_column(cards, states), *extra)
+    return rows.repartition(*tasks, *keys).sortWithinPartitions(*keys, "spend_seq")
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of one length as a matrix; empty lists stand for zeros."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.int64())
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, width) if width and len(flat) else np.zeros((len(column), width), np.int64)
+
+
+def _whole_cycles(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cycles, of about a batch each, and where their cycles begin, with the end."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
+        held += [] if batch is None else [batch]
+        if not held:
+            break
+        table = pa.Table.from_batches(held)
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = table[k].combine_chunks()
+            for v in (column.is_null().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy()):
+                new[1:] |= v[1:] != v[:-1]
+        first = np.append(np.flatnonzero(new), table.num_rows)
+        if batch is not None:  # its last cycle may go on
+            held, first = table.slice(int(first[-2])).to_batches(), first[:-1]
+            table = table.slice(0, int(first[-1]))
+        if len(first) > 1:
+            yield table, first
+
+
+def _cycles_of(table: pa.Table, first: np.ndarray, cards: list[Card]) -> Iterator[tuple[np.ndarray, np.ndarray, Cycles]]:
+    rules, buckets = sum(len(c.rules) for c in cards), sum(len(c.buckets) for c in cards)
+    return stacked(cards, first, _numbers(table["amount_paise"]), _matrix(table["gross"], rules), _matrix(table["start"], buckets))
+
+
+def _rule_ids(cards: list[Card], chosen: np.ndarray, rules: np.ndarray) -> list[str | None]:
+    return [cards[c].rules[r].id if r >= 0 else None for c, r in zip(chosen.tolist(), rules.tolist())]
+
+
 def greedy_allocate(spends: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
-    """cycle_id, spend_seq, card_id, rupees_paise, rule_id. ``states``: what a cycle's buckets hold at
-    its start, by card, for a cycle that is imported half way; also below."""
+    """cycle_id, spend_seq, card_id, amount_paise, rupees_paise, rule_id. ``states``: what a cycle's
+    buckets hold at its start, by card, for a cycle that is imported half way; also below. Where rows of
+    one cycle differ in their states, its first spend's count."""
     Wallet(cards)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        wallet = _wallet_of(group, cards)
-        own = _spends_of(group, len(cards))
-        chosen, paid, rules = wallet.greedy(own)
-        ids = [wallet.cards[c].rules[r].id if r >= 0 else None for c, r in zip(chosen, rules)]
-        return pd.DataFrame({"cycle_id": group["cycle_id"].iloc[0], "spend_seq": sorted(group["spend_seq"]), "card_id": [wallet.cards[c].id for c in chosen], "rupees_paise": paid, "rule_id": ids})
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_cycles(batches, ("cycle_id",)):
+            chosen, paid, rules = (np.zeros(table.num_rows, np.int64) for _ in range(3))
+            for _, rows, cycles in _cycles_of(table, first, cards):
+                own, there = cycles.greedy(), rows >= 0
+                for out, found in zip((chosen, paid, rules), (own, *cycles.replay(own))):
+                    out[rows[there]] = found[there]
+            yield from pa.table({
+                "cycle_id": table["cycle_id"], "spend_seq": table["spend_seq"], "card_id": pa.array([cards[c].id for c in chosen.tolist()], pa.string()), "amount_paise": table["amount_paise"],
+                "rupees_paise": pa.array(paid), "rule_id": pa.array(_rule_ids(cards, chosen, rules), pa.string()),
+            }).to_batches()
 
-    return with_options(spends, cards, states).groupBy("cycle_id").applyInPandas(fold, "cycle_id long, spend_seq long, card_id string, rupees_paise long, rule_id string")
+    rows = _stacked_rows(spends, cards, states, ("cycle_id",))
+    return rows.mapInArrow(fold, "cycle_id long, spend_seq long, card_id string, amount_paise long, rupees_paise long, rule_id string")
 
 
 def replay(assigned: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
-    """Rewards of spends with a card_ord each, folded in order: per spend, its amount, reward and rule.
-    Cards share no bucket, so each card of a cycle is a group of its own."""
+    """Rewards of spends with a card_ord each, folded in order: per spend, its amount, reward and rule."""
     Wallet(cards)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("spend_seq", kind="stable")
-        wallet, card, paid = _wallet_of(group, cards), int(group["card_ord"].iloc[0]), []
-        used = dict(wallet.start[card])
-        for _, options in _spends_of(group, len(cards)):
-            rupees, takes, rule = wallet.pay(card, options[card], used)
-            for b, x in takes.items():
-                used[b] = used.get(b, 0) + x
-            paid.append((rupees, wallet.cards[card].rules[rule].id if rule >= 0 else None))
-        return pd.DataFrame({"cycle_id": group["cycle_id"].iloc[0], "card_ord": card, "spend_seq": group["spend_seq"].to_numpy(), "amount_paise": group["amount_paise"].to_numpy(), "rupees_paise": [p for p, _ in paid], "rule_id": [r for _, r in paid]})
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_cycles(batches, ("cycle_id",)):
+            card = _numbers(table["card_ord"]).astype(np.int64)
+            paid, rules = (np.zeros(table.num_rows, np.int64) for _ in range(2))
+            for _, rows, cycles in _cycles_of(table, first, cards):
+                there = rows >= 0
+                for out, found in zip((paid, rules), cycles.replay(card[rows])):
+                    out[rows[there]] = found[there]
+            yield from pa.table({
+                "cycle_id": table["cycle_id"], "card_ord": table["card_ord"], "spend_seq": table["spend_seq"], "amount_paise": table["amount_paise"],
+                "rupees_paise": pa.array(paid), "rule_id": pa.array(_rule_ids(cards, card, rules), pa.string()),
+            }).to_batches()
 
-    rows = with_options(assigned, cards, states, ("cycle_id", "card_ord"))
-    return rows.groupBy("cycle_id", "card_ord").applyInPandas(fold, "cycle_id long, card_ord int, spend_seq long, amount_paise long, rupees_paise long, rule_id string")
+    rows = _stacked_rows(assigned.withColumn("card_ord", F.col("card_ord").cast("int")), cards, states, ("cycle_id",), ("card_ord",))
+    return rows.mapInArrow(fold, "cycle_id long, card_ord int, spend_seq long, amount_paise long, rupees_paise long, rule_id string")
 
 
 def evaluate_assignment(assigned: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
@@ -327,32 +376,47 @@ def milestone_rows(spark, cards: list[Card]) -> DataFrame:
 def allocate_cycles(spends: DataFrame, cards: list[Card], extra_keys: tuple[str, ...] = (), states: States | None = None) -> DataFrame:
     """Per cycle: greedy and allocated totals, spend, and the allocated assignment."""
     Wallet(cards)
-    keys = [*extra_keys, "cycle_id"]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        wallet = _wallet_of(group, cards)
-        own = _spends_of(group, len(cards))
-        naive = sum(r + m for r, _, m in wallet.value(own, wallet.greedy(own)[0]))
-        assignment, total = wallet.allocate(own)
-        row = {k: [group[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {"n_spends": [len(own)], "spend_paise": [sum(s[0] for s in own)], "greedy_paise": [naive], "allocated_paise": [total], "assignment": [assignment]})
+    keys = (*extra_keys, "cycle_id")
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_cycles(batches, keys):
+            naive, total, spent = (np.zeros(len(first) - 1, np.int64) for _ in range(3))
+            chosen = np.zeros(table.num_rows, np.int32)
+            for own, rows, cycles in _cycles_of(table, first, cards):
+                naive[own], assignment, total[own] = cycles.allocate()
+                spent[own] = cycles.amounts.sum(axis=1)
+                chosen[rows[rows >= 0]] = assignment[rows >= 0]
+            yield from pa.table({k: table[k].take(first[:-1]) for k in keys} | {
+                "n_spends": pa.array(np.diff(first)), "spend_paise": pa.array(spent), "greedy_paise": pa.array(naive), "allocated_paise": pa.array(total),
+                "assignment": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(chosen)),
+            }).to_batches()
 
-    rows = with_options(spends, cards, states, tuple(keys))
     schema = ", ".join(f"{k} long" for k in keys) + ", n_spends long, spend_paise long, greedy_paise long, allocated_paise long, assignment array<int>"
-    return rows.groupBy(*keys).applyInPandas(fold, schema)
+    return _stacked_rows(spends, cards, states, keys).mapInArrow(fold, schema)
 
 
 def brute_force_cycles(spends: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
+    """The allocated total and the best of all assignments, of cycles of few spends."""
     Wallet(cards)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        wallet = _wallet_of(group, cards)
-        own = _spends_of(group, len(cards))
-        return pd.DataFrame({"cycle_id": [group["cycle_id"].iloc[0]], "allocated_paise": [wallet.allocate(own)[1]], "optimum_paise": [wallet.brute_force(own)[1]]})
+    def spends_of(cycles: Cycles, n: int, length: int) -> list[tuple[int, list[Options]]]:
+        gross = cycles.gross[n].tolist()
+        return [(int(cycles.amounts[n, j]), [[(r, gross[j][place]) for r, (place, *_) in enumerate(own) if gross[j][place] > 0] for own in cycles.rules]) for j in range(length)]
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_cycles(batches, ("cycle_id",)):
+            total, most = (np.zeros(len(first) - 1, np.int64) for _ in range(2))
+            for own, rows, cycles in _cycles_of(table, first, cards):
+                total[own] = cycles.allocate()[2]
+                for n, k in enumerate(own.tolist()):
+                    held = iter(cycles.start[n].tolist())
+                    wallet = Wallet(cards, [{b.id: next(held) for b in c.buckets} for c in cards])
+                    most[k] = wallet.brute_force(spends_of(cycles, n, int((rows[n] >= 0).sum())))[1]
+            yield from pa.table({"cycle_id": table["cycle_id"].take(first[:-1]), "allocated_paise": pa.array(total), "optimum_paise": pa.array(most)}).to_batches()
 
     # few bytes, much work: a number of partitions of its own, which Spark does not merge by size
     tasks = int(spends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_options(spends, cards, states).repartition(tasks, "cycle_id").groupBy("cycle_id").applyInPandas(fold, "cycle_id long, allocated_paise long, optimum_paise long")
+    return _stacked_rows(spends, cards, states, ("cycle_id",), tasks=(tasks,)).mapInArrow(fold, "cycle_id long, allocated_paise long, optimum_paise long")
 
 
 def leakage(missed: Column, value: Column, floored: bool = True) -> Column:

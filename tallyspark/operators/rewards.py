@@ -126,6 +126,16 @@ def rule_candidates(card: Card) -> Column:
     return F.when(exclusion(card).isNotNull(), empty).otherwise(F.filter(F.array(*options), lambda x: x.isNotNull()))
 
 
+def rule_gross(cards: list[Card]) -> Column:
+    """array<bigint>: the gross reward of every rule of every card in turn, 0 where it does not match or
+    the card excludes the spend."""
+    every = []
+    for card in cards:
+        open_ = exclusion(card).isNull()
+        every += [F.when(open_ & compile_predicate(r.when), F.greatest(gross_paise(r.rate), F.lit(0))).otherwise(F.lit(0)).cast("bigint") for r in card.rules]
+    return F.array(*every).cast("array<bigint>")
+
+
 def score_cards(spends: DataFrame, cards: list[Card], states: dict[str, Column] | None = None) -> DataFrame:
     """One row for each spend and card, with card_ord, card_id and the reward's fields."""
     states = states or {}

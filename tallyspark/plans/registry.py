@@ -114,13 +114,13 @@ def milestones(spark, sf):
 
 @_query
 def greedy_allocate(spark, sf):
-    return allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards()).drop("rule_id")
+    return allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards()).drop("rule_id", "amount_paise")
 
 
 @_query
 def greedy_from_state(spark, sf):
     """Cycles imported half way: their buckets hold something before the first spend."""
-    return allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards(), domain.bucket_use("cycle_id")).drop("rule_id")
+    return allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards(), domain.bucket_use("cycle_id")).drop("rule_id", "amount_paise")
 
 
 @_query
@@ -134,8 +134,7 @@ def mixed_replay(spark, sf):
 
 @_query
 def greedy_totals(spark, sf):
-    spends = domain.ordered_spends(spark, sf, 10)
-    paid = allocation.greedy_allocate(spends, bundled_cards()).join(spends.select("cycle_id", "spend_seq", "amount_paise"), ["cycle_id", "spend_seq"])
+    paid = allocation.greedy_allocate(domain.ordered_spends(spark, sf, 10), bundled_cards())
     reward, spent = F.sum("rupees_paise"), F.sum("amount_paise")
     return paid.groupBy("cycle_id").agg(reward.cast("bigint").alias("reward_paise"), spent.cast("bigint").alias("spend_paise"), F.count("*").alias("n_spends"), F.round(reward / spent, 6).alias("effective_rate"))
 
