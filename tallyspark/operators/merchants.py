@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions.text import let, mask_structure, trim
+from tallyspark.operators.frequent import frequent
+from tallyspark.operators.fuzzy import NameIndex, grams
 from tallyspark.sources.merchants import AGGREGATORS, BANK_OPERATIONS, CATALOGUE, FAMILIES, NOISE, catalogue, exact_keys, names
+from tallyspark.sources.storage import fresh_path, written
 
 FUZZY, CONFIDENT, FAMILY_CONFIDENCE = 0.88, 0.9, 0.6
 STAGES = ("bankOperation", "userAlias", "exactCatalogue", "fuzzyCatalogue", "family", "unresolved")
@@ -112,17 +115,12 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + prefix * 0.1 * (1 - j)
 
 
-def _grams(text: str) -> set[str]:
-    padded = f"  {text.strip()} "
-    return {padded[i : i + 3] for i in range(len(padded) - 2)}
-
-
 def similarity(a: str, b: str) -> float:
     """The greater of Jaro and trigram similarity of the upper-cased names."""
     a, b = a.upper().strip(), b.upper().strip()
     if a == b:
         return 1.0
-    x, y = _grams(a), _grams(b)
+    x, y = grams(a), grams(b)
     return max(jaro(a, b), len(x & y) / len(x | y))
 
 
@@ -139,17 +137,28 @@ def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def _closest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The best catalogue name of each candidate, where it passes the gate; ties go to the first name."""
     known = names()
+    index = NameIndex([name for *_, name in known], FUZZY)
     for frame in frames:
-        rows = []
-        for c in frame["candidate"]:
-            best = (None, None, FUZZY)
-            for cat, _, name in known:
-                s = similarity(c, name)
-                if s > best[2]:
-                    best = (cat, name, s)
-            if best[0] is not None:
-                rows.append((c, 3, -best[2], best[0], best[1]))
-        yield pd.DataFrame(rows, columns=["candidate", "stage_ord", "loss", "cat_ord", "matched"])
+        best, score = index.closest(frame["candidate"].tolist())
+        kept = best >= 0
+        chosen = [known[k] for k in best[kept].tolist()]
+        yield pd.DataFrame({"candidate": frame["candidate"][kept], "stage_ord": 3, "loss": -score[kept], "cat_ord": [c for c, *_ in chosen], "matched": [n for *_, n in chosen]})
+
+
+def fuzzy_effort(candidates: DataFrame) -> DataFrame:
+    """What the gate spares, one row: distinct candidates, pairs with a catalogue name, and the pairs
+    whose Jaro similarity had to be computed."""
+    known = names()
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, n = NameIndex([name for *_, name in known], FUZZY), 0
+        for frame in frames:
+            index.closest(frame["candidate"].tolist())
+            n += len(frame)
+        yield pd.DataFrame({"candidates": [n], "pairs": [index.pairs], "compared": [index.compared]})
+
+    own = candidates.select(F.col("candidate").cast("string").alias("candidate")).filter("candidate is not null").distinct()
+    return own.mapInPandas(count, "candidates long, pairs long, compared long").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("candidates", "pairs", "compared")))
 
 
 def resolve(descriptors: DataFrame, key: str, raw: str, aliases: DataFrame | None = None) -> DataFrame:
@@ -257,19 +266,26 @@ def unknown_queue(resolved: DataFrame) -> DataFrame:
     return resolved.filter("stage = 'unresolved'").groupBy(name.alias("payee")).agg(F.count("*").alias("n"))
 
 
-def unknown_report(queue: DataFrame, k: int = 25, masked: bool = True) -> DataFrame:
-    """The report's ``k`` most frequent unknown payees, by default with letters and digits masked."""
-    top = queue.orderBy(F.desc("n"), "payee").limit(k)
-    return top.select((mask_structure(F.col("payee")) if masked else F.col("payee")).alias("payee"), "n")
+def unknown_payees(resolved: DataFrame) -> DataFrame:
+    """The payee of every unresolved row, null for a resolved one, as a table: the reports read it more
+    than once, and the cascade runs once."""
+    payee = F.when(F.col("stage") == "unresolved", F.coalesce(_first(F.col("candidates")), F.col("raw")))
+    return written(resolved.select(payee.alias("payee")), fresh_path(resolved.sparkSession, "payees"))
+
+
+def unknown_report(payees: DataFrame, k: int = 25, masked: bool = True) -> DataFrame:
+    """The report's ``k`` most frequent unknown payees, by default with letters and digits masked.
+    ``payees``: as ``unknown_payees`` has them; also below."""
+    value = F.col("value")
+    return frequent(payees, "payee", k).select((mask_structure(value) if masked else value).alias("payee"), "n")
 
 
-def label_coverage(resolved: DataFrame, steps: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
+def label_coverage(payees: DataFrame, steps: tuple[int, ...] = (5, 10, 20, 50)) -> DataFrame:
     """What labelling the N most frequent unknown payees would cover, of the unresolved rows and of
-    all, for each step that the queue has payees for. Only the ``max(steps)`` most frequent are ranked."""
-    queue = unknown_queue(resolved)
-    whole = resolved.agg(F.count("*").alias("all"), F.count_if(F.col("stage") == "unresolved").alias("queued"))
-    top = queue.orderBy(F.desc("n"), "payee").limit(max(steps))
-    ranked = top.withColumn("top_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "payee")))
+    all, for each step that the queue has payees for."""
+    whole = payees.agg(F.count("*").alias("all"), F.count("payee").alias("queued"))
+    top = frequent(payees, "payee", max(steps))
+    ranked = top.withColumn("top_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "value")))
     ranked = ranked.withColumn("covered", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("top_n").rowsBetween(Window.unboundedPreceding, 0)))
     share = lambda c: F.round(F.col("covered") * 100.0 / F.col(c), 6)
     # one row of totals meets at most one row a step

