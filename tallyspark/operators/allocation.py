@@ -396,7 +396,7 @@ def allocate_cycles(spends: DataFrame, cards: list[Card], extra_keys: tuple[str,
 
 
 def brute_force_cycles(spends: DataFrame, cards: list[Card], states: States | None = None) -> DataFrame:
-    """The allocated total and the best of all assignments, of cycles of few spends."""
+    """Greedy and allocated totals and the best of all assignments, of cycles of few spends."""
     Wallet(cards)
 
     def spends_of(cycles: Cycles, n: int, length: int) -> list[tuple[int, list[Options]]]:
@@ -405,18 +405,18 @@ def brute_force_cycles(spends: DataFrame, cards: list[Card], states: States | No
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in _whole_cycles(batches, ("cycle_id",)):
-            total, most = (np.zeros(len(first) - 1, np.int64) for _ in range(2))
+            naive, total, most = (np.zeros(len(first) - 1, np.int64) for _ in range(3))
             for own, rows, cycles in _cycles_of(table, first, cards):
-                total[own] = cycles.allocate()[2]
+                naive[own], _, total[own] = cycles.allocate()
                 for n, k in enumerate(own.tolist()):
                     held = iter(cycles.start[n].tolist())
                     wallet = Wallet(cards, [{b.id: next(held) for b in c.buckets} for c in cards])
                     most[k] = wallet.brute_force(spends_of(cycles, n, int((rows[n] >= 0).sum())))[1]
-            yield from pa.table({"cycle_id": table["cycle_id"].take(first[:-1]), "allocated_paise": pa.array(total), "optimum_paise": pa.array(most)}).to_batches()
+            yield from pa.table({"cycle_id": table["cycle_id"].take(first[:-1]), "greedy_paise": pa.array(naive), "allocated_paise": pa.array(total), "optimum_paise": pa.array(most)}).to_batches()
 
     # few bytes, much work: a number of partitions of its own, which Spark does not merge by size
     tasks = int(spends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _stacked_rows(spends, cards, states, ("cycle_id",), tasks=(tasks,)).mapInArrow(fold, "cycle_id long, allocated_paise long, optimum_paise long")
+    return _stacked_rows(spends, cards, states, ("cycle_id",), tasks=(tasks,)).mapInArrow(fold, "cycle_id long, greedy_paise long, allocated_paise long, optimum_paise long")
 
 
 def leakage(missed: Column, value: Column, floored: bool = True) -> Column:

@@ -56,14 +56,14 @@ def ordered_spends(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFram
     return spends(spark, sf_dir, scale).withColumn("spend_seq", F.row_number().over(w).cast("long"))
 
 
-def lineitem_spends(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_spends(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
     """Cycles of one order: its lines, by part type."""
     line, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
     k = (F.col("p_size") % 8).cast("int")
     rows = line.join(part.select("p_partkey", "p_size"), line.l_partkey == part.p_partkey)
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
     return rows.select(
-        F.col("l_orderkey").cast("long").alias("cycle_id"), F.row_number().over(w).cast("long").alias("spend_seq"), F.round("l_extendedprice").cast("bigint").alias("amount_paise"),
+        F.col("l_orderkey").cast("long").alias("cycle_id"), F.row_number().over(w).cast("long").alias("spend_seq"), (F.round("l_extendedprice").cast("bigint") * scale).alias("amount_paise"),
         F.col("l_shipdate").cast("date").alias("date"), F.when(F.col("l_linenumber") % 2 == 0, "online").otherwise("offline").alias("channel"),
         _choose([m for m, _ in KINDS], "int", k).alias("mcc"), _choose([t for _, t in KINDS], "array<string>", k).alias("tags"),
     )

@@ -56,12 +56,22 @@ _LABELS = """WITH t0 AS (SELECT CAST(l_orderkey AS BIGINT) AS doc, 10 * row_numb
   t AS (SELECT doc, ord, date, amount_paise, description FROM t0),
   k AS (SELECT doc, ord, date, amount_paise, CASE WHEN part % 11 = 0 THEN '  ' || lower(description) ELSE description END AS description, part FROM t0 WHERE part % 13 <> 0),
   p AS (SELECT doc, ord, date, amount_paise, description FROM k UNION ALL SELECT doc, ord + 1, date, amount_paise, description FROM k WHERE part % 17 = 0)"""
+_NORM = "trim(regexp_replace(upper(description), ' +', ' ', 'g'))"
 _PAGES = f"""WITH {spends()}, b AS (SELECT *, 100000000 - CAST(sum(amount_paise) OVER (PARTITION BY cycle_id ORDER BY spend_seq) AS BIGINT) AS balance,
     CAST((spend_seq - 1) // 15 AS INTEGER) AS page, (spend_seq - 1) % 15 AS line,
     list_extract(['Swiggy','JioHotstar','CHANGAMP','BLNKT','Zomato','TollPlaza','QQZX','UberRides','ATM','SWIGGYL','PVRINOX','AmazonPay'], CAST(p12 AS INTEGER) + 1) AS payee FROM s),
   f AS (SELECT *, count(*) OVER (PARTITION BY cycle_id, page) AS n FROM b)"""
 _MONEY_TEXT = f"""CASE spend_id % 8 WHEN 0 THEN {_AMT} WHEN 1 THEN {_AMT} || ' Dr' WHEN 2 THEN '(' || {_AMT} || ')' WHEN 3 THEN 'Rs. ' || {_AMT} WHEN 4 THEN '₹' || {_AMT} || '-' WHEN 5 THEN 'CR ' || {_AMT} WHEN 6 THEN 'SWIGGY' ELSE '12.345' END"""
 
+
+
+def _rupees(paise: str) -> str:
+    """Whole rupees of an amount that is not negative, grouped by thousand and then by hundreds."""
+    whole = f"CAST(({paise}) // 100 AS VARCHAR)"
+    head = f"ltrim(reverse(regexp_replace(reverse(left({whole}, length({whole}) - 3)), '(..)', '\\\\1,', 'g')), ',')"
+    return f"'₹' || CASE WHEN length({whole}) > 3 THEN {head} || ',' || right({whole}, 3) ELSE {whole} END"
+
+
 SQL: dict[str, str] = {
     "predicate_matrix": f"""WITH {spends()} SELECT spend_id, true AS p_always, channel = 'online' AS p_online, k IN (0, 6) AS p_food, k NOT IN (0, 6) AS p_not_food, k = 4 AS p_amazon,
       amount_paise >= 250000 AS p_large, date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AS p_1996, channel = 'online' AND k IN (0, 6) AS p_all, channel = 'online' OR k = 4 AS p_any FROM s""",
@@ -87,7 +97,7 @@ SQL: dict[str, str] = {
     "cap_gauge": f"""WITH {spends()}, {GROSS}, x AS (SELECT spend_id, 200000 AS lim, (spend_id % 5) * 50000 AS used, CASE WHEN channel = 'online' AND k <> 2 THEN sbi ELSE 0 END AS pending FROM g)
       SELECT spend_id, round(CAST(used AS DOUBLE) / lim, 6) AS used_fraction, round(CAST(pending AS DOUBLE) / lim, 6) AS pending_fraction,
         CASE WHEN used + pending >= lim THEN 'danger' WHEN CAST(used + pending AS DOUBLE) / lim >= 0.8 THEN 'warning' ELSE 'accent' END AS band,
-        CASE WHEN used + pending > lim THEN 'over' WHEN pending > 0 THEN 'this txn fits' ELSE 'left' END AS status FROM x""",
+        CASE WHEN used + pending > lim THEN {_rupees('used + pending - lim')} || '.' || lpad(CAST((used + pending - lim) % 100 AS VARCHAR), 2, '0') || ' over — drops to base rate' WHEN pending > 0 THEN 'this txn fits' ELSE {_rupees('lim - used')} || ' left this cycle' END AS status FROM x""",
     "cycle_replay": f"""WITH {spends(10)}, {GROSS}, x AS (SELECT *, CAST(coalesce(sum(axis_capped) OVER (PARTITION BY cycle_id ORDER BY spend_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM g)
       SELECT cycle_id, spend_seq, CASE WHEN axis_capped > 0 AND before < 50000 THEN least(axis_capped, 50000 - before) ELSE axis_base END AS rupees_paise FROM x""",
     "milestones": f"""WITH {spends()}, x AS (SELECT cycle_id, CAST(sum(amount_paise) AS BIGINT) AS spend_paise FROM s GROUP BY cycle_id)
@@ -129,8 +139,15 @@ SQL: dict[str, str] = {
       a AS (SELECT doc, CAST(sum(t) AS BIGINT) AS truth, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(least(t, p)) AS BIGINT) AS matched FROM j GROUP BY doc),
       r AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(matched AS DOUBLE) / predicted WHEN truth = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN truth > 0 THEN CAST(matched AS DOUBLE) / truth ELSE 1.0 END AS q FROM a)
       SELECT doc, truth, predicted, matched, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END, 6) AS f1 FROM r""",
-    "missed_rows": f"{_LABELS} SELECT doc, amount_paise, CAST(date AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc, date, amount_paise FROM t EXCEPT ALL SELECT doc, date, amount_paise FROM p) GROUP BY ALL",
-    "spurious_rows": f"{_LABELS} SELECT doc, amount_paise, CAST(date AS VARCHAR) AS date, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc, date, amount_paise FROM p EXCEPT ALL SELECT doc, date, amount_paise FROM t) GROUP BY ALL",
+    "strict_score": f"""{_LABELS}, kt AS (SELECT doc, date, amount_paise, {_NORM} AS norm, count(*) AS t FROM t GROUP BY ALL), kp AS (SELECT doc, date, amount_paise, {_NORM} || CASE WHEN ord % 20 = 10 THEN ' X' ELSE '' END AS norm, count(*) AS p FROM p GROUP BY ALL),
+      j AS (SELECT coalesce(kt.doc, kp.doc) AS doc, coalesce(t, 0) AS t, coalesce(p, 0) AS p FROM kt FULL JOIN kp ON kt.doc = kp.doc AND kt.date = kp.date AND kt.amount_paise = kp.amount_paise AND kt.norm = kp.norm),
+      a AS (SELECT doc, CAST(sum(t) AS BIGINT) AS truth, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(least(t, p)) AS BIGINT) AS matched FROM j GROUP BY doc),
+      r AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(matched AS DOUBLE) / predicted WHEN truth = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN truth > 0 THEN CAST(matched AS DOUBLE) / truth ELSE 1.0 END AS q FROM a)
+      SELECT doc, truth, predicted, matched, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q = 0 THEN 0.0 ELSE 2 * p * q / (p + q) END, 6) AS f1 FROM r""",
+    "missed_rows": f"""{_LABELS}, h AS (SELECT doc, date, amount_paise, count(*) AS have FROM p GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc, date, amount_paise ORDER BY ord DESC) AS nth FROM t)
+      SELECT n.doc, n.ord, CAST(n.date AS VARCHAR) AS date, n.amount_paise, n.description FROM n LEFT JOIN h ON h.doc = n.doc AND h.date = n.date AND h.amount_paise = n.amount_paise WHERE nth > coalesce(have, 0)""",
+    "spurious_rows": f"""{_LABELS}, h AS (SELECT doc, date, amount_paise, count(*) AS have FROM t GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY doc, date, amount_paise ORDER BY ord) AS nth FROM p)
+      SELECT n.doc, n.ord, CAST(n.date AS VARCHAR) AS date, n.amount_paise, n.description FROM n LEFT JOIN h ON h.doc = n.doc AND h.date = n.date AND h.amount_paise = n.amount_paise WHERE nth > coalesce(have, 0)""",
     "row_cluster": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(count(*) AS BIGINT) AS n_rows FROM b GROUP BY ALL",
     "row_text": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(line AS BIGINT) AS row_id,
       strftime(date, '%d-%m-%y') || ' UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee || ' - 0 ' || {_AMT} || ' ' || CAST(balance // 100 AS VARCHAR) || '.' || lpad(CAST(balance % 100 AS VARCHAR), 2, '0') AS text FROM b""",
@@ -246,6 +263,36 @@ SQL["recommendation_flip"] = f"""WITH RECURSIVE {spends()}, {GROSS}, {USED},
   change AS (SELECT spend_id, min(amount) AS changes_at_paise FROM tried WHERE amount > start AND amount <= 50000000 AND {_winner('amount')} IS DISTINCT FROM first GROUP BY spend_id)
   SELECT c.spend_id, flip_paise, changes_at_paise FROM c LEFT JOIN flip ON flip.spend_id = c.spend_id LEFT JOIN change ON change.spend_id = c.spend_id"""
 
+# what each card pays for every subset of a cycle, and the best pair of disjoint subsets on the first two
+# cards, the rest on the third, whose rules have no cap
+
+def _searched(scale: int, told: str) -> str:
+    return f"""WITH RECURSIVE l AS (SELECT l_orderkey AS cycle_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS spend_seq, count(*) OVER (PARTITION BY l_orderkey) AS n,
+    CAST(round(l_extendedprice) AS BIGINT) * {scale} AS amount_paise, CASE WHEN l_linenumber % 2 = 0 THEN 'online' ELSE 'offline' END AS channel, p_size % 8 AS k FROM lineitem JOIN part ON p_partkey = l_partkey),
+  s AS (SELECT * FROM l WHERE n <= 12), {GROSS},
+  v(cycle_id, j, mask, online, offline, fast, sbi, axis, icici) AS (
+    SELECT DISTINCT cycle_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM g
+    UNION ALL
+    SELECT cycle_id, j + 1, mask + take * (1 << j), online + take * CASE channel WHEN 'online' THEN a ELSE 0 END, offline + take * CASE channel WHEN 'online' THEN 0 ELSE a END, fast + take * greatest(f, 0), sbi + take * a, axis + take * CASE WHEN f > 0 THEN f ELSE axis_base END, icici + take * own
+    FROM (SELECT v.*, g.channel, g.axis_base, g.icici AS own, greatest(0, least(g.sbi, CASE g.channel WHEN 'online' THEN 200000 - v.online ELSE 200000 - v.offline END, 400000 - v.online - v.offline)) AS a, least(g.axis_capped, 50000 - v.fast) AS f
+      FROM v JOIN g ON g.cycle_id = v.cycle_id AND g.spend_seq = v.j + 1), (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(take)),
+  w AS (SELECT v.* FROM v JOIN (SELECT DISTINCT cycle_id, n FROM s) m ON m.cycle_id = v.cycle_id AND m.n = v.j),
+  whole AS (SELECT cycle_id, icici AS every FROM (SELECT *, row_number() OVER (PARTITION BY cycle_id ORDER BY mask DESC) AS nth FROM w) WHERE nth = 1),
+  best AS (SELECT a.cycle_id, max(a.sbi - a.icici + b.axis - b.icici) AS more FROM w a JOIN w b ON a.cycle_id = b.cycle_id AND a.mask & b.mask = 0 GROUP BY a.cycle_id),
+  t(cycle_id, j, online, offline, fast, paid) AS (
+    SELECT DISTINCT cycle_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM g
+    UNION ALL
+    SELECT cycle_id, j + 1, online + CASE WHEN a >= b AND a >= own AND channel = 'online' THEN a ELSE 0 END, offline + CASE WHEN a >= b AND a >= own AND channel <> 'online' THEN a ELSE 0 END, fast + CASE WHEN a < b AND b >= own AND f > 0 THEN f ELSE 0 END, paid + greatest(a, b, own)
+    FROM (SELECT *, CASE WHEN f > 0 THEN f ELSE axis_base END AS b FROM (SELECT t.*, g.channel, g.axis_base, g.icici AS own, greatest(0, least(g.sbi, CASE g.channel WHEN 'online' THEN 200000 - t.online ELSE 200000 - t.offline END)) AS a, least(g.axis_capped, 50000 - t.fast) AS f
+      FROM t JOIN g ON g.cycle_id = t.cycle_id AND g.spend_seq = t.j + 1))),
+  greedy AS (SELECT cycle_id, max(paid) AS paid FROM t GROUP BY cycle_id)
+  SELECT CAST(best.cycle_id AS BIGINT) AS cycle_id, CAST(paid AS BIGINT) AS greedy_paise, CAST(every + more AS BIGINT) AS optimum_paise{told} FROM best JOIN whole ON whole.cycle_id = best.cycle_id JOIN greedy ON greedy.cycle_id = best.cycle_id"""
+
+
+SQL["allocation_bounds"] = _searched(50, ", true AS between")
+# at these amounts no cap is shared out wrongly, so the climb reaches the optimum
+SQL["brute_force"] = f"SELECT cycle_id, optimum_paise AS allocated_paise, optimum_paise FROM ({_searched(1, '')})"
+
 # the import resolves the printed descriptions, whose payees have no spaces
 SQL["import_events"] = f"""WITH RECURSIVE st AS ({SQL['statement_extract']}), d AS (SELECT row_number() OVER () AS id, description AS raw FROM st), {cascade_sql.cascade('d')}, t AS ({_POOLED}),
   u AS (SELECT CAST(count(*) AS BIGINT) AS unresolved, CAST(count(DISTINCT coalesce(candidates[1], raw)) AS BIGINT) AS unknown_payees FROM solved WHERE stage = 'unresolved'),

@@ -88,8 +88,7 @@ def cap_gauge(spark, sf):
     pending = F.coalesce(F.try_element_at(F.filter(rewards.marginal_reward(card)["buckets"], lambda b: b["bucket_id"] == "online_cap"), F.lit(1))["applied_paise"], F.lit(0))
     rows = domain.spends(spark, sf).withColumns({"pending": pending, "used": (F.col("spend_id") % 5) * 50_000})
     gauge = rewards.cap_gauge(F.lit(200_000), F.col("used"), F.col("pending"))
-    status = F.when(gauge["status"].contains("over"), "over").when(gauge["status"].contains("left"), "left").otherwise(gauge["status"])
-    return rows.select("spend_id", F.round(gauge["used_fraction"], 6).alias("used_fraction"), F.round(gauge["pending_fraction"], 6).alias("pending_fraction"), gauge["band"].alias("band"), status.alias("status"))
+    return rows.select("spend_id", F.round(gauge["used_fraction"], 6).alias("used_fraction"), F.round(gauge["pending_fraction"], 6).alias("pending_fraction"), gauge["band"].alias("band"), gauge["status"].alias("status"))
 
 
 @_query
@@ -150,13 +149,25 @@ def allocate_cycle(spark, sf):
     return allocation.allocate_cycles(domain.ordered_spends(spark, sf, 10), _goal_cards()).drop("assignment")
 
 
-@_query
-def brute_force(spark, sf):
-    spends = domain.lineitem_spends(spark, sf)
+def _searched(spark, sf, scale=1):
+    spends = domain.lineitem_spends(spark, sf, scale)
     few = spends.groupBy("cycle_id").agg(F.count("*").alias("n")).filter("n <= 12").select("cycle_id")  # the guard of the search
     return allocation.brute_force_cycles(spends.join(few, "cycle_id"), bundled_cards())
 
 
+@_query
+def brute_force(spark, sf):
+    return _searched(spark, sf).drop("greedy_paise")
+
+
+@_query
+def allocation_bounds(spark, sf):
+    """Greedy routing and the optimum of every searched cycle, at amounts that fill the caps, and whether
+    the allocated total lies between them."""
+    between = (F.col("greedy_paise") <= F.col("allocated_paise")) & (F.col("allocated_paise") <= F.col("optimum_paise"))
+    return _searched(spark, sf, 50).select("cycle_id", "greedy_paise", "optimum_paise", between.alias("between"))
+
+
 @_query
 def leakage_report(spark, sf):
     return allocation.leakage_report(allocation.allocate_cycles(domain.ordered_spends(spark, sf, 10), _goal_cards()))
@@ -371,18 +382,26 @@ def extraction_score(spark, sf):
     return quality.extraction_score(*domain.labelled(spark, sf), "doc")
 
 
-def _counted(rows):
-    return rows.groupBy("doc", "amount_paise", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+@_query
+def strict_score(spark, sf):
+    """By date, amount and description; half of the predictions that fit otherwise have another text."""
+    truth, predicted = domain.labelled(spark, sf)
+    other = F.when(F.col("ord") % 20 == 10, F.concat("description", F.lit(" X"))).otherwise(F.col("description"))
+    return quality.extraction_score(truth, predicted.withColumn("description", other), "doc", strict=True)
+
+
+def _shown(rows):
+    return rows.select("doc", "ord", F.col("date").cast("string").alias("date"), "amount_paise", "description")
 
 
 @_query
 def missed_rows(spark, sf):
-    return _counted(quality.missed(*domain.labelled(spark, sf), "doc"))
+    return _shown(quality.missed(*domain.labelled(spark, sf), "doc"))
 
 
 @_query
 def spurious_rows(spark, sf):
-    return _counted(quality.spurious(*domain.labelled(spark, sf), "doc"))
+    return _shown(quality.spurious(*domain.labelled(spark, sf), "doc"))
 
 
 @_query
