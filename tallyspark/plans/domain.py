@@ -143,6 +143,31 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chars.select("doc_id", order.cast("long").alias("glyph_ord"), "text", "page", (F.col("x0") + 5.0 * F.col("i")).alias("x"), y.alias("y"), F.lit(4.0).alias("w"), F.lit(8.0).alias("h"))
 
 
+_FOUR = (("date", 20), ("description", 110), ("amount", 330), ("balance", 430))
+
+
+def uneven_glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same statements as pages that are not neat, of six columns for even customers and of four for
+    odd ones: margins and line heights differ, letters are kerned and low ones hang, every other line
+    of a third has no reference, and every fourth line is followed by a dated one without amounts."""
+    lines = statement_lines(spark, sf_dir).withColumns({"n": F.col("doc_id").cast("long"), "amount": F.concat("debit", F.lit(" Dr"))})
+    gap = (F.col("n") % 3 == 0) & (F.col("line") % 2 == 1)
+    lines = lines.withColumn("reference", F.when(gap, F.lit("")).otherwise(F.col("reference")))
+
+    def placed(rows: DataFrame, columns: tuple) -> DataFrame:
+        cells = F.array(*(F.struct(F.lit(x).cast("double").alias("x0"), F.col(name).alias("s")) for name, x in columns))
+        more = F.array(*(F.struct(F.lit(x).cast("double").alias("x0"), F.when(F.lit(name == "date"), F.col("date")).when(F.lit(name == "description"), F.lit("VALUE DATE")).otherwise(F.lit("")).alias("s")) for name, x in columns))
+        both = F.when(F.col("line") % 4 == 3, F.array(F.struct(F.lit(0).alias("half"), cells.alias("cells")), F.struct(F.lit(1).alias("half"), more.alias("cells")))).otherwise(F.array(F.struct(F.lit(0).alias("half"), cells.alias("cells"))))
+        each = rows.select("doc_id", "n", "page", "line", F.explode(both).alias("b")).select("doc_id", "n", "page", "line", "b.half", F.posexplode("b.cells").alias("c", "cell"))
+        chars = each.select("doc_id", "n", "page", "line", "half", "c", "cell.x0", F.posexplode(F.split("cell.s", "")).alias("i", "text")).filter("text not in ('', ' ')")
+        order = F.col("line") * 2_000_000 + F.col("half") * 1_000_000 + F.col("c") * 1_000 + F.col("i")
+        kern, low = F.when((F.col("i") + F.col("n")) % 3 == 0, 0.3).otherwise(0.0), F.when(F.col("text").isin(",", ".", "-"), 2.0).otherwise(0.0)
+        y = F.lit(92.0) + (F.lit(18.0) + F.col("n") % 3) * (2 * F.col("line") + F.col("half")) / 2 + (F.col("c") + F.col("i")) % 3 * 0.4
+        return chars.select("doc_id", order.cast("long").alias("glyph_ord"), "text", "page", (F.col("x0") + F.col("n") % 7 + 5.0 * F.col("i") + kern).alias("x"), (y + low).alias("y"), F.lit(4.0).alias("w"), (F.lit(8.0) - low).alias("h"))
+
+    return placed(lines.filter("n % 2 = 0"), _COLUMNS), placed(lines.filter("n % 2 = 1"), _FOUR)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Truth and prediction of an extraction per order: its lines, and those lines with every 13th
     part dropped, every 17th doubled and every 11th's text spaced out."""

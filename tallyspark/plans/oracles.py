@@ -56,6 +56,7 @@ _LABELS = """WITH t0 AS (SELECT CAST(l_orderkey AS BIGINT) AS doc, 10 * row_numb
   t AS (SELECT doc, ord, date, amount_paise, description FROM t0),
   k AS (SELECT doc, ord, date, amount_paise, CASE WHEN part % 11 = 0 THEN '  ' || lower(description) ELSE description END AS description, part FROM t0 WHERE part % 13 <> 0),
   p AS (SELECT doc, ord, date, amount_paise, description FROM k UNION ALL SELECT doc, ord + 1, date, amount_paise, description FROM k WHERE part % 17 = 0)"""
+_EXTRA = "n // 4"  # dated lines without amounts are anchors too
 _NORM = "trim(regexp_replace(upper(description), ' +', ' ', 'g'))"
 _PAGES = f"""WITH {spends()}, b AS (SELECT *, 100000000 - CAST(sum(amount_paise) OVER (PARTITION BY cycle_id ORDER BY spend_seq) AS BIGINT) AS balance,
     CAST((spend_seq - 1) // 15 AS INTEGER) AS page, (spend_seq - 1) % 15 AS line,
@@ -154,6 +155,8 @@ SQL: dict[str, str] = {
     "table_locate": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(n AS BIGINT) AS anchors, CAST(n AS BIGINT) AS n_rows FROM f WHERE n >= 3 GROUP BY ALL",
     "column_detect": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(6 AS INTEGER) AS n_columns FROM f WHERE n >= 3 GROUP BY ALL",
     "statement_extract": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(date AS VARCHAR) AS date, 'UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee AS description, -amount_paise AS amount_paise, balance AS balance_paise, true AS column_count_ok FROM f WHERE n >= 3""",
+    "uneven_statements": f"""{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(date AS VARCHAR) AS date, 'UPI/DR/' || lpad(CAST(spend_id AS VARCHAR), 12, '1') || '/' || payee || CASE WHEN line % 4 = 3 THEN ' VALUE DATE' ELSE '' END AS description, -amount_paise AS amount_paise, balance AS balance_paise, true AS column_count_ok FROM f WHERE n + {_EXTRA} >= 3""",
+    "uneven_columns": f"{_PAGES} SELECT CAST(cycle_id AS VARCHAR) AS doc_id, page, CAST(CASE cycle_id % 2 WHEN 0 THEN 6 ELSE 4 END AS INTEGER) AS n_columns FROM f WHERE n + {_EXTRA} >= 3 GROUP BY ALL",
     "import_summary": f"WITH {spends()} SELECT CAST(count(*) AS BIGINT) AS spends, CAST(sum(amount_paise) AS BIGINT) AS spend_paise FROM s",
     "why_panel": f"""WITH {spends()}, {GROSS}, {USED}, x AS (SELECT *, least(sbi, own_room, all_room) AS a, least(axis_capped, fast_room) AS f,
         (spend_id % 7) * 66000 AS all_used, CASE channel WHEN 'online' THEN (spend_id % 5) * 50000 ELSE (spend_id % 3) * 99990 END AS own_used FROM u),

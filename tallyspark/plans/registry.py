@@ -439,6 +439,23 @@ def statement_extract(spark, sf):
     return geometry.extract_statements(domain.glyphs(spark, sf)).drop("txn_ord").withColumn("date", F.col("date").cast("string"))
 
 
+FOUR_COLUMNS = ("date", "description", "amount", "balance")
+
+
+@_query
+def uneven_statements(spark, sf):
+    six, four = domain.uneven_glyphs(spark, sf)
+    found = geometry.extract_statements(six).unionByName(geometry.extract_statements(four, FOUR_COLUMNS))
+    return found.drop("txn_ord").withColumn("date", F.col("date").cast("string"))
+
+
+@_query
+def uneven_columns(spark, sf):
+    six, four = domain.uneven_glyphs(spark, sf)
+    table = geometry.locate_tables(geometry.read_rows(six.unionByName(four)))
+    return geometry.detect_columns(table.filter("is_anchor")).select("doc_id", "page", (F.size("boundaries") + 1).alias("n_columns"))
+
+
 @_query
 def glyph_round_trip(spark, sf):
     """Every statement dumped as a file, read back, and its lines read."""
