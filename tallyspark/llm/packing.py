@@ -3,13 +3,13 @@
 Texts longer than a sequence are cut into full pieces behind a first, shorter one; full pieces fill
 sequences alone. The lengths of the others form a histogram of at most ``capacity`` bins, the only
 thing the driver sees. A configuration is a multiset of lengths that fits one sequence. The covering
-program (fewest configurations that hold the histogram) is solved by multiplicative weights: prices
-of lengths fall as they are covered, one knapsack dynamic program, bounded by what is in stock, gives
-the best configuration behind each leading length, and the weighted sum of those found solves the
-program approximately. Rounding takes each configuration, fullest first, as often as its weight says,
-rounded up, and as the stock allows; the program is then solved again for what is left, until nothing
-is. So every sequence is one that the program priced: at sf0.01 and sf0.1 all of them, 481 and 4,936,
-which is the lower bound (tokens over capacity, rounded up).
+program (fewest configurations that hold the histogram) is solved by multiplicative weights. A length's
+weight is its price; one knapsack dynamic program, bounded by what is left, gives the dearest filling
+behind each leading length. A step takes a share of each, rounded up to whole sequences, and then the
+weight of every length that fell behind the average progress rises and that of the others falls, by a
+factor exponential in the difference. So the cover is whole from the start and holds every piece exactly
+once. Prices at which no configuration is dearer than 1 bound all covers from below; ``Program`` states
+the best such bound it met, and the gap.
 
 Pieces are matched to places without a global sort: rows of each length are numbered in 256 or more
 groups, dealt evenly, whose sizes give each group its first number, so a length that a third of the rows
@@ -29,6 +29,7 @@ import binascii
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -74,45 +75,59 @@ def best_configurations(prices: np.ndarray, stock: np.ndarray, capacity: int) ->
     return [tuple(sorted(c.items(), reverse=True)) for c in found if c and all(stock[s] >= k for s, k in c.items())]
 
 
-def weigh_configurations(stock: np.ndarray, capacity: int, rounds: int) -> dict[Config, float]:
-    """A fractional cover of ``stock`` by configurations, by multiplicative weights."""
-    demand, weight, cover = np.maximum(stock, 1).astype(float), Counter(), np.zeros(capacity + 1)
-    # long pieces are dearer than their share of room, for what they leave is hard to fill
-    log_price = np.where(stock > 0, 2 * np.log(np.arange(capacity + 1) + 1e-9), -np.inf)
-    for _ in range(rounds):
-        prices = np.where(stock > 0, np.exp(log_price - log_price.max()), 0.0)
-        found = best_configurations(prices, stock, capacity)
-        usage, covered = np.zeros(capacity + 1), np.zeros(capacity + 1)
-        for config in found:
-            for s, k in config:
-                usage[s] += k
-        for config in found:
-            # as many sequences of it as its share of the scarcest of its lengths could fill
-            step = min(demand[s] / usage[s] for s, _ in config)
-            weight[config] += step
-            for s, k in config:
-                covered[s] += step * k
-        cover += covered
-        log_price -= 0.5 * covered / demand
-    scale = 1 / max(cover[s] / demand[s] for s in np.flatnonzero(stock))
-    return {config: w * scale for config, w in weight.items()}
-
-
-def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 3) -> Counter:
-    """Configurations with how many sequences take each; together they hold the histogram exactly."""
-    stock = np.zeros(capacity + 1, np.int64)
+@dataclass(frozen=True)
+class Program:
+    """A cover, how often each configuration is taken, and a dual price vector: ``prices`` by length, at
+    which no configuration that the histogram allows costs more than 1, and what they make of it."""
+
+    used: Counter
+    prices: np.ndarray
+    bound: float
+
+    @property
+    def sequences(self) -> int:
+        return sum(self.used.values())
+
+    @property
+    def gap(self) -> float:
+        return self.sequences / self.bound if self.bound else 1.0
+
+
+def _dual(prices: np.ndarray, stock: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The prices scaled until no configuration costs more than 1, and their total over the histogram."""
+    most = max(sum(prices[s] * k for s, k in c) for c in best_configurations(prices, stock, capacity))
+    scaled = prices / (most * (1 + 1e-12))
+    return float(scaled @ stock), scaled
+
+
+def solve_configurations(histogram: dict[int, int], capacity: int = CAPACITY, share: float = 0.1, rate: float = 0.25) -> Program:
+    """Configurations that together hold the histogram exactly. ``share``: of what stock allows of a
+    configuration, the part that one step takes; ``rate``: how fast prices answer to progress, 0 for
+    prices that stay."""
+    stock, size = np.zeros(capacity + 1, np.int64), np.arange(capacity + 1, dtype=float)
     for length, n in histogram.items():
         stock[length] = n
-    used: Counter = Counter()
-    while stock.any():
-        weights = weigh_configurations(stock, capacity, rounds)
-        for config, w in sorted(weights.items(), key=lambda x: (-sum(s * k for s, k in x[0]), -x[1], x[0])):
-            n = min(min(int(stock[s]) // k for s, k in config), max(1, math.ceil(w)))
+    left, used, step = stock.copy(), Counter(), 0
+    # long pieces begin dearer than their share of room, for what they leave is hard to fill
+    weight = np.where(stock > 0, 2 * np.log(size + 1e-9), -np.inf)
+    best = (float(size @ stock) / capacity, size / capacity)  # nothing fills a sequence beyond its room
+    while left.any():
+        there = left > 0
+        prices = np.where(there, np.exp(weight - weight[there].max()), 0.0)
+        before = left.copy()
+        found = best_configurations(prices, left, capacity)
+        for _, config in sorted(((sum(prices[s] * k for s, k in c), c) for c in found), reverse=True):
+            n = math.ceil(min(int(left[s]) // k for s, k in config) * share)
             if n:
                 used[config] += n
                 for s, k in config:
-                    stock[s] -= n * k
-    return used
+                    left[s] -= n * k
+        done = (before - left)[there] / before[there]
+        weight[there] += rate * (float(size @ (before - left)) / float(size @ before) - done)
+        if step in (1, 4, 16):
+            best = max(best, _dual(np.where(stock > 0, np.exp(weight - weight[stock > 0].max()), 0.0), stock, capacity), key=lambda x: x[0])
+        step += 1
+    return Program(used, best[1], best[0])
 
 
 def _plan_rows(used: Counter) -> list[tuple[int, int, int, int, int, int]]:
@@ -151,7 +166,7 @@ def encode_pieces(docs: DataFrame, vocabulary_path: str, pattern: str, capacity:
     return rows.mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, vocabulary_path: str, pattern: str, capacity: int = CAPACITY, rounds: int = 3) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all texts with sequence_id and offset."""
     spark = docs.sparkSession
     deals = max(256, text_bytes(docs) >> 30)  # groups that the rows of one length are numbered in
@@ -159,7 +174,7 @@ def pack(docs: DataFrame, vocabulary_path: str, pattern: str, capacity: int = CA
     pieces = written(pieces, "pieces")
     groups = written(pieces.groupBy("length", "deal").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = _plan_rows(solve_configurations(histogram, capacity, rounds))
+    plan = _plan_rows(solve_configurations(histogram, capacity).used)
 
     before = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     first = groups.select("length", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
