@@ -19,8 +19,8 @@ Edge cases: vectors that are null, empty, zero, or hold null or non-finite compo
 nor do those whose number of components is not the most common one (ties: the smaller), for between
 numbers of components there is no distance; a query is never its own neighbour, though another row
 with its vector is; equal distances go to the smaller id; fewer candidates than k give fewer rows; an
-empty table gives an empty result; rows that share an id count as one vector each; other columns are
-ignored.
+empty table gives an empty result; of rows that share an id the one with the least vector (component
+by component) takes part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,13 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[Data
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("v")).filter(good & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dims, n = (sizes["d"], sizes["count"]) if sizes else (0, 0)
-    return rows.filter(F.size("v") == dims), dims, n
+    rows = rows.filter(F.size("v") == dims)
+    again = rows.groupBy("vec_id").count().filter("count > 1").select("vec_id")
+    if again.limit(1).count():  # ids alone were shuffled until here
+        least = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+        rows = rows.join(again, "vec_id", "left_anti").unionByName(least)
+        n = rows.count()
+    return rows, dims, n
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:

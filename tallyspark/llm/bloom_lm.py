@@ -9,14 +9,16 @@ n-gram nor the vocabulary nor the filter ever meets in one place, and no size is
 
 A level is read back by probing one after another until one fails or the block's greatest level is
 reached, so it is never too low, and too high only by false positives. A block has ``level_bits``
-bits for each level it holds, so the share of set bits is the same whatever the corpus: with 16
-probes and 48 bits at most 1 - exp(-1/3), 28 %, and 2e-9 of unseen n-grams read as seen once, at
-30 GB as at 100 TB.
+bits for each level it holds and a few more, and grows until its share of set bits is at most what
+these numbers let expect, 1 - exp(-probes / level_bits). That share holds for every block of every
+corpus: with 16 probes and 48 bits 28 %, and 2e-9 of unseen n-grams read as seen once, at 30 GB as at
+100 TB.
 
 Model: ``p(w | h) = (q(h, w) + mu * u(w)) / (c(h) + mu + V * f)`` with ``u(w) = (q(w) + 1) / (N + V
 + 1)``, ``q`` the least count of the level that the filter shows, never above the count itself but
-by false positives (nor above those of h and w), ``c`` exact, and ``f`` the count that the block
-shows for an unseen bigram on average, from its share of set bits. The quantised counts of a history
+by false positives (nor above those of h and w), ``c`` exact, and ``f`` the count that a block shows
+for an unseen bigram on average, from the share of set bits that no block exceeds: one number for the
+whole corpus, so a score does not depend on how documents were dealt. The quantised counts of a history
 sum to at most c(h), so the probabilities of all words after it sum to at most 1 and a score is never
 above 0. The history of a text's first token is the end token.
 
@@ -74,15 +76,24 @@ class LogFrequencyBloom:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, level_bits: int, base: float, probes: int):
         levels = self.level(counts, base)
         self.base, self.probes = base, probes
-        self.n_bits = max(512, -(-level_bits * int(levels.sum()) // 8) * 8)
+        self.n_bits = max(512, int(1.01 * level_bits * int(levels.sum())) // 8 * 8)
         self.top = int(levels.max(initial=0))
-        flags = np.zeros(self.n_bits, bool)
-        left = np.arange(len(keys))
+        while (flags := self._flags(keys, levels)).mean() > self.most_filled(level_bits, probes):
+            self.n_bits += max(64, self.n_bits // 100 // 8 * 8)
+        self.bits, self.filled = np.packbits(flags), float(flags.mean())
+
+    def _flags(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        flags, left = np.zeros(self.n_bits, bool), np.arange(len(keys))
         for level in range(1, self.top + 1):
             left = left[levels[left] >= level]
-            for probe in range(probes):
+            for probe in range(self.probes):
                 flags[self.position(keys[left], level, probe)] = True
-        self.bits, self.filled = np.packbits(flags), float(flags.mean())
+        return flags
+
+    @staticmethod
+    def most_filled(level_bits: int, probes: int) -> float:
+        """The share of its bits that a block sets at most."""
+        return 1 - math.exp(-probes / level_bits)
 
     def position(self, keys: np.ndarray, level: int, probe: int) -> np.ndarray:
         spot = kernels.mix64(keys + _U((level * 64 + probe) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -97,11 +108,14 @@ class LogFrequencyBloom:
         """The least count of each level."""
         return np.where(levels == 0, 0.0, np.ceil(base ** (levels - 1.0) - 1e-6))
 
-    @property
-    def false_count(self) -> float:
-        """What is read for an n-gram that was never seen, on average."""
-        share = self.filled**self.probes
-        return sum(share**k * (self.base ** (k - 1)) for k in range(1, self.top + 1))
+    @classmethod
+    def false_count(cls, level_bits: int, base: float, probes: int) -> float:
+        """What any block shows for an n-gram that was never seen, on average at most: all levels of a
+        geometric series, as a block's greatest level may be any."""
+        passed = cls.most_filled(level_bits, probes) ** probes
+        if passed * base >= 1:
+            raise ValueError("too few probes for such steep levels")
+        return passed / (1 - passed * base)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The last level of each key before one fails."""
@@ -171,6 +185,7 @@ def score_texts(docs: DataFrame, level_bits: int = 48, base: float = 1.5, probes
     chunks = parts = grid.chunk_count(grid.text_bytes(rows), chunk_bytes)
     train_tokens, vocabulary = totals(rows, parts, chunk_bytes)
     chunked = grid.dealt(rows, chunks)
+    false_mass = vocabulary * LogFrequencyBloom.false_count(level_bits, base, probes)
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, held, texts = _id_bytes(table)
@@ -201,7 +216,6 @@ def score_texts(docs: DataFrame, level_bits: int = 48, base: float = 1.5, probes
         back = {
             "chunk": table["chunk"],
             "part": pa.array([key[0].as_py()] * n, pa.int32()),
-            "false_count": pa.array([bloom.false_count] * n, pa.float64()),
         }
         for kind, (distinct, where, sums, cut) in found.items():
             if kind == "word":
@@ -223,7 +237,6 @@ def score_texts(docs: DataFrame, level_bits: int = 48, base: float = 1.5, probes
 
         exact, single, joint = joined("word_counts", np.int64), joined("word_levels", np.uint16), joined("pair_levels", np.uint16)
         assert len(exact) == len(single) == len(distinct) and len(joint) == len(pairs), "a chunk changed between its two readings"
-        false_mass = vocabulary * max(right["false_count"].to_pylist())
         word_log, known = np.log10(exact + 1.0)[where], (exact > 0)[where]
         single = np.minimum(LogFrequencyBloom.least(single.astype(np.int64), base), exact)
         unigram = (single + 1.0) / (train_tokens + vocabulary + 1.0)
@@ -245,5 +258,5 @@ def score_texts(docs: DataFrame, level_bits: int = 48, base: float = 1.5, probes
         })
 
     sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, word_hashes binary, word_counts binary, pair_hashes binary, pair_counts binary")
-    back = sent.groupBy("part").applyInArrow(answer, "chunk int, part int, false_count double, word_counts binary, word_levels binary, pair_levels binary")
+    back = sent.groupBy("part").applyInArrow(answer, "chunk int, part int, word_counts binary, word_levels binary, pair_levels binary")
     return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, _OUT)

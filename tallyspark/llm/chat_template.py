@@ -123,7 +123,10 @@ class Generation:
 
 # ---- parser
 
-_TAG = re.compile(r"\{([{%#])(-?)(.*?)(-?)([}%#])\}", re.S)
+_OPENING = re.compile(r"\{[{%#]")
+# quoted text is read whole before a tag's own ending is looked for; a comment quotes nothing
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_REST = {kind: re.compile(rf"(-?)((?:{_QUOTED}|[^'\"])*?)(-?){end}", re.S) for kind, end in (("{", r"\}\}"), ("%", r"%\}"))} | {"#": re.compile(r"(-?)(.*?)(-?)#\}", re.S)}
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+~<>|.()\[\]]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
@@ -225,13 +228,17 @@ class _Expression:
 def parse(source: str) -> tuple:
     """The tree of a template: a tuple of statements."""
     pieces, at, trim = [], 0, False
-    for m in _TAG.finditer(source):
-        plain = source[at : m.start()]
+    while opening := _OPENING.search(source, at):
+        kind = opening[0][1]
+        tag = _REST[kind].match(source, opening.end())
+        if not tag:
+            raise TemplateError(f"a tag does not close: {source[opening.start() : opening.start() + 20]!r}")
+        plain = source[at : opening.start()]
         plain = plain.lstrip() if trim else plain
-        pieces.append(("text", plain.rstrip() if m[2] else plain))
-        if m[1] != "#":
-            pieces.append(("{" if m[1] == "{" else "%", m[3]))
-        at, trim = m.end(), bool(m[4])
+        pieces.append(("text", plain.rstrip() if tag[1] else plain))
+        if kind != "#":
+            pieces.append((kind, tag[2]))
+        at, trim = tag.end(), bool(tag[3])
     pieces.append(("text", source[at:].lstrip() if trim else source[at:]))
     body, rest, end = _block(pieces, 0, ())
     if end:

@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyspark.llm import bloom_lm, bottomk, packing
@@ -308,7 +309,7 @@ def test_filter_grows_with_its_keys():
         bloom = bloom_lm.LogFrequencyBloom(keys[seen], rng.geometric(0.7, int(seen.sum())), 24, 1.5, 4)
         assert (bloom.levels(keys[seen]) > 0).all()
         read = float((bloom.levels(keys[~seen]) > 0).mean())
-        assert read < 0.002 and bloom.false_count < 0.002 and bloom.filled < 0.16
+        assert read < 0.002 and bloom.false_count(24, 1.5, 4) < 0.002 and bloom.filled < 0.16
     assert bloom_lm.LogFrequencyBloom(keys[seen], np.ones(int(seen.sum()), np.int64), 48, 1.5, 16).levels(keys[~seen]).sum() == 0
 
 
@@ -320,20 +321,40 @@ def test_model_mass_is_at_most_one(corpus):
         counts.update(own)
         pairs.update(zip([None, *own], own))
     vocabulary = list(counts)
-    hashes = dict(zip(vocabulary, np.random.default_rng(5).integers(0, 1 << 63, len(vocabulary), dtype=np.uint64)))
+    hashes = dict(zip(vocabulary, np.random.default_rng(5).integers(0, 1 << 63, (len(vocabulary), 1), dtype=np.uint64)))
     joint = lambda h, w: bloom_lm.kernels.mix64(hashes[h] * bloom_lm._HISTORY + w)
-    keys = np.array([joint(h, np.array([hashes[w]]))[0] for h, w in pairs], np.uint64)
+    keys = np.concatenate([joint(h, hashes[w]) for h, w in pairs])
     bloom = bloom_lm.LogFrequencyBloom(keys, np.array(list(pairs.values())), 48, 1.5, 16)
-    n, v, every = sum(counts.values()), len(counts), np.array([hashes[w] for w in vocabulary])
+    n, v, every = sum(counts.values()), len(counts), np.concatenate([hashes[w] for w in vocabulary])
     exact = np.array([counts[w] for w in vocabulary], float)
     unigram = (bloom_lm.LogFrequencyBloom.least(bloom_lm.LogFrequencyBloom.level(exact, 1.5), 1.5) + 1) / (n + v + 1)
     ranked = [w for w, _ in counts.most_common()]
     for h in ranked[:20] + ranked[-20:]:
         q = np.minimum(bloom_lm.LogFrequencyBloom.least(bloom.levels(joint(h, every)), 1.5), np.minimum(exact, counts[h]))
-        mass = bloom_lm.conditional(q, counts[h], unigram, 50.0, v * bloom.false_count).sum() + 50 / (n + v + 1) / (counts[h] + 50)
+        mass = bloom_lm.conditional(q, counts[h], unigram, 50.0, v * bloom_lm.LogFrequencyBloom.false_count(48, 1.5, 16)).sum() + 50 / (n + v + 1) / (counts[h] + 50)
         assert 0 < mass <= 1 + 1e-9
 
 
+def test_scores_do_not_depend_on_the_deal(spark, corpus):
+    """The same to the last bit for chunks of any size, one that misses most parts included."""
+    rows = [(i, t) for i, t in corpus if len(t or "") < 3_000][:60] + [(10**6, "one"), (10**6 + 1, None)]
+    docs = frame(spark, rows).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    scores = [{r["doc_id"]: (r["score"], r["base_score"]) for r in bloom_lm.score_texts(docs, chunk_bytes=n).collect()} for n in (2048, 64 << 10, 8 << 20)]
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == len(rows)
+
+
+def test_no_block_sets_more_bits_than_the_bound():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 40, 300, 5000):
+        bloom = bloom_lm.LogFrequencyBloom(rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.zipf(1.6, n).astype(np.int64) % 10_000 + 1, 48, 1.5, 16)
+        assert bloom.filled <= bloom.most_filled(48, 16)
+        unseen = bloom.levels(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+        assert bloom_lm.LogFrequencyBloom.least(unseen, 1.5).mean() <= 1e-3
+    loose = bloom_lm.LogFrequencyBloom(rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.ones(3000, np.int64), 4, 1.5, 2)
+    seen = bloom_lm.LogFrequencyBloom.least(loose.levels(rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)), 1.5).mean()
+    assert seen <= loose.false_count(4, 1.5, 2) * 1.02
+
+
 def test_empty_training_texts_score_below_one(spark):
     from pyspark.sql import functions as F
 
