@@ -2,14 +2,16 @@
 
 A page is cut into blocks: runs of text between block-level tags. Each block has a vector: signed
 hashes of its tag path (names, and the words of class and id), of all its words (their sum over the
-root of their number), and a few numbers (length, share of link text, place). A bidirectional LSTM in numpy reads the whole page's sequence
+root of their number), and a few numbers (length, share of link text, place, the page's number of
+blocks, length against its longest). A bidirectional LSTM in numpy reads the whole page's sequence
 and a logistic layer on both directions keeps or drops each block, so a block is judged in its page.
 
 No table labels blocks, so the network is trained on pages drawn from a small random grammar of
-layouts, whose blocks are labelled by construction; that takes about 15 seconds on the driver, depends
-on nothing but its seed, and is kept for the process. Its test pages are written by hand, in layouts
-that the grammar does not draw. Pages are labelled in batches of sequences of
-like length, whole pages always.
+layouts, whose blocks are labelled by construction: pages with telling names, pages without any or with
+random ones, and pages that are little but their text. Training takes about a minute and depends on
+nothing but its seed; its weights lie beside this module, and ``python -m tallyspark.llm.page_extract``
+makes them. Its test pages are written by hand, in layouts that the grammar does not draw. Pages are
+labelled in batches of sequences of like length, whole pages always.
 
 Edge cases: null or empty html, or a page without text, gives the empty text; unclosed, crossed and
 stray tags are tolerated (an end tag closes up to its nearest open match, a block-level start closes
@@ -24,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,10 @@ _MARKUP = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
-PATH, WORD, EXTRA = 128, 256, 8
+PATH, WORD, EXTRA = 128, 256, 10
 WIDTH, HIDDEN = PATH + WORD + EXTRA, 16
+#: Pages, and bytes of their html, that are labelled together.
+SLICE_PAGES, SLICE_BYTES = 512, 2 << 20
 
 
 @lru_cache(maxsize=1 << 16)
@@ -138,11 +143,13 @@ def vectors(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.nd
     for page in pages:
         x = np.empty((len(page), WIDTH), np.float32)
         x[:, PATH : PATH + WORD] = hashed[at : at + len(page)]
+        longest = max((len(text) for _, text, _ in page), default=1)
         for i, (path, text, linked) in enumerate(page):
             x[i, :PATH] = _path_vector(path)
             x[i, PATH + WORD :] = (
                 np.log1p(len(text)) / 6, linked, i / len(page), 1.0 if text[-1] in ".!?…\"" else 0.0,
                 min(1.0, text.count(",") / counts[at + i] * 5), 1.0 if "©" in text else 0.0, 1.0 if i == 0 else 0.0, 1.0 if i == len(page) - 1 else 0.0,
+                np.log1p(len(page)) / 5, len(text) / longest,
             )
         at += len(page)
         out.append(x)
@@ -261,14 +268,16 @@ def training_pages(n: int, seed: int = 5) -> Iterator[tuple[str, str]]:
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 5)))
     every = [w for own in _SIDE_WORDS.values() for w in own]
     kind_now = [""]  # the part whose words phrases mix in
+    nameless = [False]  # whether the page names its parts at all
 
     def phrase(low: int, high: int) -> str:
-        own, share = (_SIDE_WORDS[kind_now[0]], 0.45 * rng.random()) if kind_now[0] else (every, 0.04)
+        least = 0.3 if nameless[0] else 0.0  # where names tell nothing, words must
+        own, share = (_SIDE_WORDS[kind_now[0]], least + 0.45 * rng.random()) if kind_now[0] else (every, 0.04)
         return " ".join((pick(own) if chance(share) else word()) + ("," if chance(0.08) else "") for _ in range(rng.integers(low, high + 1))).capitalize()
 
     def attributes(names: list[str], p: float) -> str:
-        if not chance(p):
-            return f' class="{word()}"' if chance(0.3) else ""
+        if nameless[0] or not chance(p):
+            return f' {pick(("class", "id"))}="{word()}{rng.integers(10)}"' if chance(0.6 if nameless[0] else 0.3) else ""
         value = pick(names) if chance(0.6) else "-".join((pick(names), word()) if chance(0.5) else (word(), pick(names)))
         return f' {pick(("class", "class", "id"))}="{value}"'
 
@@ -276,7 +285,7 @@ def training_pages(n: int, seed: int = 5) -> Iterator[tuple[str, str]]:
         return "".join(f'<{tag}><a href="/{word()}">{phrase(1, 3)}</a></{tag}>' for _ in range(k))
 
     def box(kind: str, inner: str, tags: tuple[str, ...], p: float = 0.9) -> str:
-        tag = pick(tags)
+        tag = "div" if nameless[0] and chance(0.8) else pick(tags)
         return f"<{tag}{attributes(_SIDE_NAMES[kind], 1.0 if tag in ('div', 'section', 'p') else p * 0.5)}>{inner}</{tag}>"
 
     def sentences() -> str:
@@ -312,6 +321,9 @@ def training_pages(n: int, seed: int = 5) -> Iterator[tuple[str, str]]:
 
     for _ in range(n):
         kept: list[str] = []
+        layout = rng.random()
+        nameless[0] = layout < 0.2
+        paragraph = "div" if layout < 0.3 and chance(0.6) else "p"
 
         def keep(text: str) -> str:
             kept.append(text)
@@ -328,7 +340,7 @@ def training_pages(n: int, seed: int = 5) -> Iterator[tuple[str, str]]:
                     text = keep(sentences())
                     cut = text.find(" ", len(text) // 2)
                     inline = f"<b>{text}</b>" if chance(0.1) or cut < 0 else f"{text[:cut]} <a href='/x'>{text[cut + 1:]}</a>" if chance(0.1) else f"<em>{text[:cut]}</em> {text[cut + 1:]}" if chance(0.1) else text
-                    out.append(f"<p{attributes(['lead', 'intro', 'text'], 0.1)}>{inline}" + ("</p>" if chance(0.9) else ""))
+                    out.append(f"<{paragraph}{attributes(['lead', 'intro', 'text'], 0.1)}>{inline}" + (f"</{paragraph}>" if paragraph == "div" or chance(0.9) else ""))
                 elif r < 0.70:
                     text = keep(sentences())
                     out.append(f"<p><b>{text}<br>")
@@ -344,6 +356,24 @@ def training_pages(n: int, seed: int = 5) -> Iterator[tuple[str, str]]:
                     out.append(side(pick(("ad", "share", "side", "note"))))
             return "".join(out)
 
+        def flat() -> str:
+            """Little but its text: some blocks of one kind, or none around it, between few other parts."""
+            kind = pick(("p", "p", "div", "div", "td", "li", "pre", "section", "br", ""))
+            texts = [keep(sentences()) for _ in range(1 if kind in ("", "pre") else rng.integers(1, 7))]
+            title = f"<h1>{keep(phrase(1, 8))}</h1>" if chance(0.25) else ""
+            if title:
+                kept.insert(0, kept.pop())
+            return title + ("<br>".join(texts) if kind == "br" else "".join(f"<{kind}>{t}</{kind}>" if kind else t for t in texts))
+
+        if 0.2 <= layout < 0.34:
+            nameless[0] = chance(0.5)
+            before = "".join(side(k) for k in ("note", "nav", "ad") if chance(0.12))
+            inner = flat()
+            after = "".join(side(k) for k in ("foot", "note", "talk", "side") if chance(0.12))
+            whole = before + inner + after
+            yield (f"<html><body>{whole}</body></html>" if chance(0.8) else whole), " ".join(" ".join(t.split()) for t in kept)
+            continue
+
         top = [side(k) for k in ("note", "head", "nav", "ad", "side", "form") if chance(0.5)]
         bottom = [side(k) for k in ("share", "side", "talk", "ad", "form", "nav") if chance(0.35)]
         tag = pick(("article", "article", "main", "div", "div", "section"))
@@ -357,8 +387,19 @@ def training_pages(n: int, seed: int = 5) -> Iterator[tuple[str, str]]:
         yield f"<!DOCTYPE html><html>{head}<body>{page}</body></html>", " ".join(" ".join(t.split()) for t in kept)
 
 
-@lru_cache(maxsize=2)
-def trained(pages: int = 1500, rounds: int = 8, seed: int = 5) -> BiLstm:
+WEIGHTS = "labeller.npz"
+
+
+@lru_cache(maxsize=1)
+def trained() -> BiLstm:
+    """The labeller with the weights that ``python -m tallyspark.llm.page_extract`` makes."""
+    net = BiLstm()
+    with (files(__package__) / WEIGHTS).open("rb") as file, np.load(file) as held:
+        net.p = {k: held[k].astype(np.float32) for k in net.p}
+    return net
+
+
+def train(pages: int = 4000, rounds: int = 10, seed: int = 5) -> BiLstm:
     """The labeller after ``rounds`` passes of Adam over generated pages."""
     drawn = [(blocks(source), main) for source, main in training_pages(pages, seed)]
     data = []
@@ -390,7 +431,7 @@ def trained(pages: int = 1500, rounds: int = 8, seed: int = 5) -> BiLstm:
     return net
 
 
-def label_pages(net: BiLstm, sources: list[str], cells: int = 16_384) -> list[list[tuple[str, bool]]]:
+def label_pages(net: BiLstm, sources: list[str], cells: int = 8_192) -> list[list[tuple[str, bool]]]:
     """(text, kept) of every block of every page; a padded group has at most ``cells`` blocks, or is
     one page."""
     pages = [blocks(s) for s in sources]
@@ -407,17 +448,33 @@ def label_pages(net: BiLstm, sources: list[str], cells: int = 16_384) -> list[li
     return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """At most SLICE_PAGES pages and SLICE_BYTES of html, or one page."""
+    size = np.append(0, np.cumsum([len(s) if s else 0 for s in kernels.binary_list(batch.column(2))]))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, size[at] + SLICE_BYTES, "right")) - 1
+        end = min(max(end, at + 1), at + SLICE_PAGES, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def extract(pages: DataFrame, net: BiLstm | None = None) -> DataFrame:
     """page_id, url, text of every page."""
     model = net or trained()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _slices(batch):
                 found = label_pages(model, [s or "" for s in part.column(2).to_pylist()])
                 texts = [" ".join(t for t, kept in page if kept) for page in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(work, "page_id long, url string, text string")
+
+
+if __name__ == "__main__":
+    from pathlib import Path
+
+    np.savez_compressed(Path(__file__).with_name(WEIGHTS), **{k: v.astype(np.float16) for k, v in train().p.items()})
