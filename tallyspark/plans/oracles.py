@@ -6,7 +6,7 @@ The three bundled cards appear as plain arithmetic here; `k` is the kind of an o
 
 from __future__ import annotations
 
-from tallyspark.plans import cascade_sql
+from tallyspark.plans import cascade_sql, search_sql
 
 
 def spends(scale: int = 1) -> str:
@@ -296,6 +296,14 @@ SQL["allocation_bounds"] = _searched(50, ", true AS between")
 # at these amounts no cap is shared out wrongly, so the climb reaches the optimum
 SQL["brute_force"] = f"SELECT cycle_id, optimum_paise AS allocated_paise, optimum_paise FROM ({_searched(1, '')})"
 
+_CYCLES = f"""WITH RECURSIVE {spends(10)}, {GROSS}, scaled AS (SELECT 10 AS scale, * FROM g), {search_sql.routed('scaled')}"""
+_SWEEP = f"""WITH RECURSIVE {spends()}, s1 AS (SELECT v.scale, s.* REPLACE (s.amount_paise * v.scale AS amount_paise) FROM s CROSS JOIN (VALUES (1), (2), (4), (8), (16), (32)) v(scale)), {GROSS.replace('FROM s)', 'FROM s1)')}, {search_sql.routed('g')}"""
+SQL |= {
+    "allocate_cycle": f"{_CYCLES} SELECT cycle_id, n_spends, spend_paise, greedy_paise, allocated_paise FROM routed",
+    "leakage_report": f"{_CYCLES} SELECT {search_sql.REPORT} FROM routed",
+    "leakage_sweep": f"{_SWEEP} SELECT CAST(scale AS BIGINT) AS scale, {search_sql.REPORT} FROM routed GROUP BY scale",
+}
+
 # the import resolves the printed descriptions, whose payees have no spaces
 SQL["import_events"] = f"""WITH RECURSIVE st AS ({SQL['statement_extract']}), d AS (SELECT row_number() OVER () AS id, description AS raw FROM st), {cascade_sql.cascade('d')}, t AS ({_POOLED}),
   u AS (SELECT CAST(count(*) AS BIGINT) AS unresolved, CAST(count(DISTINCT coalesce(candidates[1], raw)) AS BIGINT) AS unknown_payees FROM solved WHERE stage = 'unresolved'),
