@@ -174,7 +174,7 @@ def totals(rows: DataFrame, parts: int, chunk_bytes: int = grid.CHUNK_BYTES) ->
         return pa.table({"tokens": pa.array([sum(table["tokens"].to_pylist())], pa.int64()), "words": pa.array([len(distinct)], pa.int64())})
 
     sent = rows.filter(~F.col("held_out")).select("text").mapInArrow(send, "part int, tokens long, hashes binary")
-    found = sent.groupBy("part").applyInArrow(count, "tokens long, words long").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
+    found = sent.groupBy("part").applyInArrow(kernels.grouped(count), "tokens long, words long").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
     return found["n"] or 0, found["v"] or 0
 
 
@@ -257,6 +257,6 @@ def score_texts(docs: DataFrame, level_bits: int = 48, base: float = 1.5, probes
             "score": pa.array(np.add.reduceat(token_log, at), pa.float64()),
         })
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, word_hashes binary, word_counts binary, pair_hashes binary, pair_counts binary")
-    back = sent.groupBy("part").applyInArrow(answer, "chunk int, part int, word_counts binary, word_levels binary, pair_levels binary")
-    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, _OUT)
+    sent = chunked.groupBy("chunk").applyInArrow(kernels.grouped(send), "part int, chunk int, word_hashes binary, word_counts binary, pair_hashes binary, pair_counts binary")
+    back = sent.groupBy("part").applyInArrow(kernels.grouped(answer), "chunk int, part int, word_counts binary, word_levels binary, pair_levels binary")
+    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(kernels.cogrouped(score), _OUT)

@@ -258,6 +258,8 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
             scores = [document_scores(model, b) for b in _blocks(texts)]
             column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "score"])
+            del texts, batch
+            kernels.give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *kept)
     scored = rows.mapInArrow(work, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -9,6 +9,8 @@ polynomial modulo 2**64. Hashes of runs of words are Rabin-Karp polynomials modu
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -200,3 +202,36 @@ def binary_list(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def give_back() -> None:
+    """Hands memory that the process no longer uses to the system, where the C library can: a worker
+    lives on between tasks, and what a large batch took would stay with it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def grouped(work: Callable) -> Callable:
+    """A function of a key and its rows that gives back what it took."""
+
+    def run(key, table):
+        out = work(key, table)
+        give_back()
+        return out
+
+    return run
+
+
+def cogrouped(work: Callable) -> Callable:
+    """The same of a key and the rows of both sides."""
+
+    def run(key, left, right):
+        out = work(key, left, right)
+        give_back()
+        return out
+
+    return run

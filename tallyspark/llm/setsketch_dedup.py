@@ -149,6 +149,8 @@ def _sketched(docs: DataFrame, n: int) -> DataFrame:
                 done = end
                 if done >= len(texts):
                     break
+            del texts, batch
+            kernels.give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, n_shingles long, k1 long, k2 long, registers binary, packed binary")

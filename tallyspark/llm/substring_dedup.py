@@ -134,9 +134,9 @@ def repeated_windows(docs: DataFrame, window: int = 35, chunk_bytes: int = grid.
             **{c: left[c].take(places) for c in carry},
         })
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "part int, chunk int, hashes binary, seconds binary, again binary")
-    back = sent.groupBy("part").applyInArrow(count, "chunk int, part int, size int, repeated binary")
-    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(remove, ", ".join([_OUT, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
+    sent = chunked.groupBy("chunk").applyInArrow(kernels.grouped(send), "part int, chunk int, hashes binary, seconds binary, again binary")
+    back = sent.groupBy("part").applyInArrow(kernels.grouped(count), "chunk int, part int, size int, repeated binary")
+    return chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(kernels.cogrouped(remove), ", ".join([_OUT, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def _kept(text: bytes, found: kernels.Words, first: int, runs: np.ndarray, keep_spacing: bool) -> bytes:

@@ -378,8 +378,8 @@ def duplicated_spans(docs: DataFrame, length: int = 50, chunk_bytes: int = grid.
         })
 
     told = "chunk int, part int, size int, bits binary"
-    begun = chunked.groupBy("chunk").applyInArrow(begin, "part int, chunk int, hashes binary, several binary")
-    met = begun.groupBy("part").applyInArrow(meet, told)
-    sent = chunked.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(send, "part int, chunk int, shared binary, rest binary, ids binary")
-    marked = sent.groupBy("part").applyInArrow(sort, told)
-    return chunked.groupBy("chunk").cogroup(met.union(marked).groupBy("chunk")).applyInArrow(remove, _OUT)
+    begun = chunked.groupBy("chunk").applyInArrow(kernels.grouped(begin), "part int, chunk int, hashes binary, several binary")
+    met = begun.groupBy("part").applyInArrow(kernels.grouped(meet), told)
+    sent = chunked.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(kernels.cogrouped(send), "part int, chunk int, shared binary, rest binary, ids binary")
+    marked = sent.groupBy("part").applyInArrow(kernels.grouped(sort), told)
+    return chunked.groupBy("chunk").cogroup(met.union(marked).groupBy("chunk")).applyInArrow(kernels.cogrouped(remove), _OUT)
