@@ -116,7 +116,7 @@ def follow_imports(stream: DataFrame, imported: Callable[[ImportResult, int], No
     them out) and passes on its result; ``listen`` is told the batch and the event. The started query."""
 
     def one(batch: DataFrame, number: int) -> None:
-        held = written(batch, fresh_path(batch.sparkSession, "arrived"))
+        held = written(batch, fresh_path(batch.sparkSession, "arrived"), keep=False)
         imported(run_import(batch.sparkSession, lambda: held, schema, listen=listen and (lambda e: listen(number, e))), number)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -270,7 +270,7 @@ def unknown_payees(resolved: DataFrame) -> DataFrame:
     """The payee of every unresolved row, null for a resolved one, as a table: the reports read it more
     than once, and the cascade runs once."""
     payee = F.when(F.col("stage") == "unresolved", F.coalesce(_first(F.col("candidates")), F.col("raw")))
-    return written(resolved.select(payee.alias("payee")), fresh_path(resolved.sparkSession, "payees"))
+    return written(resolved.select(payee.alias("payee")), fresh_path(resolved.sparkSession, "payees"), keep=False)
 
 
 def unknown_report(payees: DataFrame, k: int = 25, masked: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,7 +24,18 @@ def fresh_path(spark: SparkSession, label: str, folder: str | None = None) -> st
     return f"{(folder or shared_folder(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` as Parquet at ``path``, read back: no lineage but its files."""
+def written(df: DataFrame, path: str, keep: bool = True) -> DataFrame:
+    """``df`` as Parquet at ``path``, read back: no lineage but its files. Unless they are to ``keep``,
+    they go when the driver's Python ends."""
     df.write.parquet(path)
+    if not keep:
+        atexit.register(_delete, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended before the interpreter
+        return
