@@ -58,7 +58,7 @@ def format_money(paise: Column) -> Column:
 
 
 # Month abbreviations of English statements.
-_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def statement_date(text: Column) -> Column:
@@ -67,7 +67,7 @@ def statement_date(text: Column) -> Column:
     named = f"^([0-9]{{1,2}})(?:[-/]|{_WS})*([A-Za-z]{{3,4}})(?:[-/]|{_WS})*([0-9]{{2}}|[0-9]{{4}})\\z"
 
     def month_of(name: Column) -> Column:
-        k = F.array_position(F.array(*map(F.lit, _MONTHS)), name)
+        k = F.array_position(F.array(*map(F.lit, MONTHS)), name)
         return F.when(name == "sept", F.lit(9)).when(k > 0, k).cast("int")
 
     def parts(t: Column, pattern: str, month: Column) -> Column:

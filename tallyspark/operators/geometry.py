@@ -9,6 +9,7 @@ them lie column expressions and windows over lines.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import plain
 from tallyspark.functions.text import amount, mask_structure, signed_amount, split_amount, starts_with_date, statement_date, trim
 
 PAGE = ("doc_id", "page")
@@ -78,28 +80,57 @@ def _glyph_lists(starts: np.ndarray, x, glyph_ord, w, texts) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.StructArray.from_arrays(fields, ["x", "glyph_ord", "w", "text"]))
 
 
+@dataclass
+class _Page:
+    """The printed lines of one page, top down: glyphs left to right as flat arrays, and where each
+    line's begin, with the end."""
+
+    row: np.ndarray
+    starts: np.ndarray
+    x: np.ndarray
+    w: np.ndarray
+    ids: np.ndarray
+    texts: list
+    left: np.ndarray
+    right: np.ndarray
+    top: np.ndarray
+    bottom: np.ndarray
+    text: list
+
+    @property
+    def center_y(self) -> np.ndarray:
+        return (self.top + self.bottom) / 2
+
+
+def _read_page(page: pa.Table, tolerance: float) -> _Page:
+    x, y, w, h, ids = (page[c].to_numpy() for c in ("x", "y", "w", "h", "glyph_ord"))
+    row = _row_numbers(y, h, ids, tolerance)
+    order = np.lexsort((ids, x, row))
+    texts = page["text"].take(order).to_pylist()
+    x, y, w, h, ids, row = (v[order] for v in (x, y, w, h, ids, row))
+    starts = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
+    at = starts[:-1]
+    read = [_read(x[a:b], texts[a:b]) for a, b in zip(at.tolist(), starts[1:].tolist())]
+    return _Page(row[at], starts, x, w, ids, texts, np.minimum.reduceat(x, at), np.maximum.reduceat(x + w, at), np.minimum.reduceat(y, at), np.maximum.reduceat(y + h, at), read)
+
+
+def _glyph_columns(glyphs: DataFrame) -> DataFrame:
+    return glyphs.select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in "xywh"), "glyph_ord", "text")
+
+
 def read_rows(glyphs: DataFrame, tolerance: float = 0.6) -> DataFrame:
     """``rows_of(cluster_rows(glyphs))`` in one pass over each page's glyphs."""
 
     def read(key: tuple[pa.Scalar, ...], page: pa.Table) -> pa.Table:
-        x, y, w, h, ids = (page[c].to_numpy() for c in ("x", "y", "w", "h", "glyph_ord"))
-        row = _row_numbers(y, h, ids, tolerance)
-        order = np.lexsort((ids, x, row))
-        texts = page["text"].take(order).to_pylist()
-        x, y, w, h, ids, row = (v[order] for v in (x, y, w, h, ids, row))
-        starts = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row))
-        at, n = starts[:-1], len(starts) - 1
-        top, bottom = np.minimum.reduceat(y, at), np.maximum.reduceat(y + h, at)
-        lists = _glyph_lists(starts, x, ids, w, texts)
+        p = _read_page(page, tolerance)
+        n = len(p.row)
         return pa.table({
-            "doc_id": pa.array([key[0].as_py()] * n, pa.string()), "page": pa.array([key[1].as_py()] * n, pa.int32()), "row_id": pa.array(row[at]),
-            "left": pa.array(np.minimum.reduceat(x, at)), "right": pa.array(np.maximum.reduceat(x + w, at)), "top": pa.array(top), "bottom": pa.array(bottom),
-            "glyphs": lists, "center_y": pa.array((top + bottom) / 2),
-            "text": pa.array([_read(x[a:b], texts[a:b]) for a, b in zip(at.tolist(), starts[1:].tolist())], pa.string()),
+            "doc_id": pa.array([key[0].as_py()] * n, pa.string()), "page": pa.array([key[1].as_py()] * n, pa.int32()), "row_id": pa.array(p.row),
+            "left": pa.array(p.left), "right": pa.array(p.right), "top": pa.array(p.top), "bottom": pa.array(p.bottom),
+            "glyphs": _glyph_lists(p.starts, p.x, p.ids, p.w, p.texts), "center_y": pa.array(p.center_y), "text": pa.array(p.text, pa.string()),
         })
 
-    own = glyphs.select("doc_id", "page", *(F.col(c).cast("double").alias(c) for c in "xywh"), "glyph_ord", "text")
-    return own.groupBy(*PAGE).applyInArrow(read, _LINE)
+    return _glyph_columns(glyphs).groupBy(*PAGE).applyInArrow(read, _LINE)
 
 
 def glyph_array() -> Column:
@@ -206,7 +237,7 @@ class _Lines:
         self.left, self.right = table["left"].to_numpy(), table["right"].to_numpy()
 
 
-def _boundaries(lines: _Lines, own: np.ndarray, bin_width: float, clear: float, min_gap: float, min_pitches: float) -> list[float]:
+def _boundaries(lines: _Lines | _Page, own: np.ndarray, bin_width: float, clear: float, min_gap: float, min_pitches: float) -> list[float]:
     """Column boundaries from the lines numbered ``own``."""
     left, right = lines.left[own].min(), lines.right[own].max()
     if not right > left:
@@ -260,6 +291,16 @@ def detect_columns(anchors: DataFrame, bin_width: float = 1.5, clear: float = 0.
     return anchors.select(*PAGE, "left", "right", "glyphs").groupBy(*PAGE).applyInArrow(detect, "doc_id string, page int, left double, right double, boundaries array<double>")
 
 
+def _cells(lines: _Lines | _Page, boundaries: list[float], own: np.ndarray) -> list[list[str | None]]:
+    """The text in each column of the lines numbered ``own``."""
+    column = np.searchsorted(np.array(boundaries), lines.x + lines.w / 2, side="right")
+    cells = []
+    for a, b in zip(lines.starts[own].tolist(), lines.starts[own + 1].tolist()):
+        held = [np.flatnonzero(column[a:b] == c) + a for c in range(len(boundaries) + 1)]
+        cells.append([_read(lines.x[at], [lines.texts[k] for k in at.tolist()]) for at in held])
+    return cells
+
+
 _COUNTS = ("in_table", "page_glyphs", "page_rows", "page_tables")
 
 
@@ -277,11 +318,7 @@ def lay_out(table: DataFrame, bin_width: float = 1.5, clear: float = 0.9, min_ga
         inside = page["in_table"].to_numpy() if counts else np.ones(page.num_rows, bool)
         anchors = np.flatnonzero(page["is_anchor"].to_numpy() & inside)
         found = _boundaries(lines, anchors, bin_width, clear, min_gap, min_pitches) if len(anchors) else []
-        column = np.searchsorted(np.array(found), lines.x + lines.w / 2, side="right")
-        cells: list[list[str | None] | None] = []
-        for a, b, laid in zip(lines.starts[:-1].tolist(), lines.starts[1:].tolist(), inside.tolist()):
-            own = [np.flatnonzero(column[a:b] == c) + a for c in range(len(found) + 1)]
-            cells.append([_read(lines.x[at], [lines.texts[k] for k in at.tolist()]) for at in own] if laid else None)
+        cells = [own if laid else None for own, laid in zip(_cells(lines, found, np.arange(len(inside))), inside.tolist())]
         kept = {c: page[c] for c in ("doc_id", "page", "row_id", "row_ord", "center_y", "text", "is_anchor", *counts)}
         return pa.table(kept | {"boundaries": pa.array([found] * len(cells), pa.list_(pa.float64())), "cells": pa.array(cells, pa.list_(pa.string()))})
 
@@ -336,9 +373,34 @@ def extract_transactions(cells: DataFrame, schema: Sequence[str] = BANK_PASSBOOK
     return kept.groupBy(*PAGE, "txn_ord").agg(first("date").alias("date"), trim(F.array_join(lines, " ")).alias("description"), first("amount_paise").alias("amount_paise"), first("balance_paise").alias("balance_paise"), first("column_count_ok").alias("column_count_ok"))
 
 
+def read_tables(glyphs: DataFrame, tolerance: float = 0.6, min_anchors: int = 3, bin_width: float = 1.5, clear: float = 0.9, min_gap: float = 5.0, min_pitches: float = 2.0) -> DataFrame:
+    """``lay_out(locate_tables(read_rows(glyphs)))`` in one pass over each page's glyphs, which are
+    shuffled once and never leave their page again."""
+
+    def lay(key: tuple[pa.Scalar, ...], page: pa.Table) -> pa.Table:
+        p = _read_page(page, tolerance)
+        center, anchor = p.center_y, np.array([plain.starts_with_date(t) for t in p.text])
+        down = np.lexsort((p.row, center))
+        dated = down[anchor[down]]
+        own, found = np.zeros(0, np.int64), []
+        if len(dated) >= min_anchors:
+            gaps = np.sort(np.diff(center[dated]))
+            slack = gaps[len(gaps) // 2] if len(gaps) else 0.0
+            own = down[(center[down] >= center[dated[0]]) & (center[down] <= center[dated[-1]] + slack)]
+            found = _boundaries(p, dated, bin_width, clear, min_gap, min_pitches)
+        n = len(own)
+        return pa.table({
+            "doc_id": pa.array([key[0].as_py()] * n, pa.string()), "page": pa.array([key[1].as_py()] * n, pa.int32()), "row_id": pa.array(p.row[own]), "row_ord": pa.array(np.arange(n), pa.int32()),
+            "center_y": pa.array(center[own]), "text": pa.array([p.text[k] for k in own.tolist()], pa.string()), "is_anchor": pa.array(anchor[own]),
+            "boundaries": pa.array([found] * n, pa.list_(pa.float64())), "cells": pa.array(_cells(p, found, own), pa.list_(pa.string())),
+        })
+
+    return _glyph_columns(glyphs).groupBy(*PAGE).applyInArrow(lay, "doc_id string, page int, row_id long, row_ord int, center_y double, text string, is_anchor boolean, boundaries array<double>, cells array<string>")
+
+
 def extract_statements(glyphs: DataFrame, schema: Sequence[str] = BANK_PASSBOOK) -> DataFrame:
     """Glyphs to transactions."""
-    return extract_transactions(lay_out(locate_tables(read_rows(glyphs))), schema)
+    return extract_transactions(read_tables(glyphs), schema)
 
 
 def _within(rows: DataFrame, page: int | None, from_y: float | None, to_y: float | None) -> DataFrame:

@@ -139,10 +139,10 @@ def _closest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = names()
     index = NameIndex([name for *_, name in known], FUZZY)
     for frame in frames:
-        best, score = index.closest(frame["candidate"].tolist())
-        kept = best >= 0
-        chosen = [known[k] for k in best[kept].tolist()]
-        yield pd.DataFrame({"candidate": frame["candidate"][kept], "stage_ord": 3, "loss": -score[kept], "cat_ord": [c for c, *_ in chosen], "matched": [n for *_, n in chosen]})
+        own = frame["candidate"].tolist()
+        best, score = index.closest(own)
+        rows = [(c, 3, -x, known[k][0], known[k][2]) for c, k, x in zip(own, best.tolist(), score.tolist()) if k >= 0]
+        yield pd.DataFrame(rows, columns=["candidate", "stage_ord", "loss", "cat_ord", "matched"])
 
 
 def fuzzy_effort(candidates: DataFrame) -> DataFrame:

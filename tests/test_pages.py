@@ -58,6 +58,31 @@ def test_passes_equal_column_expressions(spark):
     assert laid.count() == split.count() > 0 and split.exceptAll(laid).count() == 0
 
 
+def test_one_pass_equals_its_steps(spark):
+    """Tables read in one pass against lines, location and layout one after another."""
+    rng = random.Random(8)
+    lines = [(40.0 + 17.0 * k, [(20.0, rng.choice(["01-02-24 PAY", "1 Sept 2024", "05/08/26UPI", "31-02-24", "note", "12AUG26 x"])), (200.0, rng.choice(["12.00", "900.50 Dr", "-"])), (300.0, "77.00")]) for k in range(30)]
+    glyphs = pages(spark).unionByName(spark.createDataFrame(printed(rng, "mixed", 3, lines) + printed(rng, "same", 0, [(50.0, [(10.0, "01-02-24 a")])] * 4), SCHEMA))
+    steps = geometry.lay_out(geometry.locate_tables(geometry.read_rows(glyphs)))
+    once = geometry.read_tables(glyphs).select(steps.columns)
+    assert once.count() == steps.count() > 60 and steps.exceptAll(once).count() == 0 and steps.select("doc_id").distinct().count() >= 4
+
+
+def test_plain_dates_equal_the_column_expression(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import plain, text
+
+    rng = random.Random(3)
+    made = ["".join(rng.choice(["0", "1", "2", "3", "9", "12", "31", "-", "/", ".", " ", "\u00a0", "Aug", "sept", "FEB", "x", "2024", "26", "\n", "\u0085", "\u2028"]) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    made += [f"{d:02d}{s}{m:02d}{s}{y}" for d in (0, 1, 29, 30, 31, 32) for m in (0, 1, 2, 4, 12, 13) for y in ("0000", "1900", "2000", "69", "70", "24", "024") for s in "-/."]
+    made += ["", " ", None, "\u0967-02-24", "29-02-0000 x", "5 Sept26pay", "05-08-26UPI/DR/1"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(made)], "k int, x string").select("k", text.starts_with_date(F.col("x")).alias("starts"), text.statement_date(F.col("x")).isNotNull().alias("whole")).collect()
+    for r in rows:
+        assert r["starts"] == plain.starts_with_date(made[r["k"]]), repr(made[r["k"]])
+        assert r["whole"] == (made[r["k"]] is not None and plain.is_statement_date(made[r["k"]])), repr(made[r["k"]])
+
+
 def test_wrapped_lines_and_four_columns(spark):
     glyphs = pages(spark)
     six = geometry.extract_statements(glyphs.filter("doc_id in ('six', 'gap')")).orderBy("doc_id", "txn_ord").collect()
