@@ -215,13 +215,30 @@ def merge(runs: list[tuple[Iterable[bytes], Iterable[int]]]) -> Iterator[tuple[i
     x = winners[1]
     while head[x] is not None:
         yield x, shared[x]
-        head[x], shared[x] = next(keys[x], None), next(counts[x], 0)
+        a, p = next(keys[x], None), next(counts[x], 0)
         node = (size + x) >> 1
-        while node:
+        while node:  # ``_first`` written out, for this is all the work there is
             y = loser[node]
-            if _first(head, shared, x, y) == y:
-                loser[node], x = x, y
+            b = head[y]
+            if b is not None:
+                q = shared[y]
+                if a is None or p < q:
+                    beaten = True
+                elif p > q:
+                    beaten = False
+                else:
+                    rest, other = a[p:], b[p:]
+                    beaten = other < rest
+                    known = p + len(rest) - ((int.from_bytes(rest) ^ int.from_bytes(other)).bit_length() + 7) // 8
+                    if beaten:
+                        p = known
+                    else:
+                        shared[y] = known
+                if beaten:
+                    head[x], shared[x], loser[node] = a, p, x
+                    x, a, p = y, b, q
             node >>= 1
+        head[x], shared[x] = a, p
 
 
 def _first(head: list[bytes | None], shared: list[int], x: int, y: int) -> int:
