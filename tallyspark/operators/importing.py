@@ -66,7 +66,7 @@ class _Told:
             self.listen(event)
 
 
-def run_import(spark: SparkSession, source: Callable[[], DataFrame], schema: Sequence[str] = geometry.BANK_PASSBOOK, aliases: DataFrame | None = None, listen: Callable[[ImportEvent], None] | None = None, folder: str | None = None) -> ImportResult:
+def run_import(spark: SparkSession, source: Callable[[], DataFrame | geometry.Pages], schema: Sequence[str] = geometry.BANK_PASSBOOK, aliases: DataFrame | None = None, listen: Callable[[ImportEvent], None] | None = None, folder: str | None = None) -> ImportResult:
     """Imports the glyphs that ``source`` opens and tells of it: seven stages and then the success, or a
     failure in their place from the step that fails. A failure is told, not raised; one that names a
     password asks for one. ``folder``: where the tables go, spark.checkpoint.dir by default."""
@@ -75,11 +75,10 @@ def run_import(spark: SparkSession, source: Callable[[], DataFrame], schema: Seq
         tell("progress", "reading")
         glyphs = source()
         tell("progress", "extractingGlyphs")
-        lines = geometry.read_rows(glyphs)
+        counted = geometry.read_counted(glyphs)
         tell("progress", "clusteringRows")
         seen = Observation("lines")
-        counted = geometry.counted_tables(lines).observe(seen, F.sum("page_rows").alias("rows"), F.sum("page_tables").alias("tables"))
-        laid = written(geometry.lay_out(counted), fresh_path(spark, "lines", folder))
+        laid = written(counted.observe(seen, F.sum("page_rows").alias("rows"), F.sum("page_tables").alias("tables")), fresh_path(spark, "lines", folder))
         rows, tables = (seen.get.get(c) or 0 for c in ("rows", "tables"))
         tell("progress", "detectingColumns", f"{rows} rows")
         tell("progress", "extractingTransactions", f"{tables} {'table' if tables == 1 else 'tables'}")
