@@ -6,7 +6,8 @@ was. Tasks write whole documents under names of their own; the commit moves them
 then adds one entry to the folder's log, so readers see all of a write or nothing, a repeated task or
 micro-batch leaves nothing behind, and a stream follows the log entry by entry. A folder without a log
 (dumps made elsewhere) is read as the ``.json`` files that lie in it. A document that is written again
-replaces the one before.
+replaces the one before. With the option ``compression`` set to gzip its file ends in ``.json.gz``; both
+kinds are read. ``glyph_pages`` are the same files as ``glyph_dump``, a row a page with its glyphs as a list.
 
 Paths may be of any store that pyarrow's file systems reach: local and shared folders, object stores,
 HDFS. One document is in memory at a time.
@@ -14,10 +15,12 @@ HDFS. One document is in memory at a time.
 
 from __future__ import annotations
 
+import gzip
 import itertools
 import json
 import posixpath
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-LOG, STAGED, ENDING = "_log", "_staged", ".json"
+LOG, STAGED, ENDING, PACKED = "_log", "_staged", ".json", ".json.gz"
 #: Bytes of files that one task reads.
 TASK_BYTES = 32 << 20
 _NUMBER = (int, float)
@@ -41,25 +44,28 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _read_text(store: fs.FileSystem, path: str) -> str:
-    with store.open_input_stream(path) as file:
-        return file.read().decode()
+    with store.open_input_stream(path, compression=None) as file:
+        data = file.read()
+    return (gzip.decompress(data) if path.endswith(PACKED) else data).decode()
 
 
 def _write_text(store: fs.FileSystem, path: str, text: str) -> None:
-    with store.open_output_stream(path) as file:
-        file.write(text.encode())
+    data = text.encode()
+    with store.open_output_stream(path, compression=None) as file:
+        file.write(gzip.compress(data, 6, mtime=0) if path.endswith(PACKED) else data)
 
 
-def file_of(document: str | None) -> str:
+def file_of(document: str | None, ending: str = ENDING) -> str:
     """The file's name of a document, which must have one."""
     if not document:
         raise ValueError("a document without a name cannot be written")
-    return quote(document, safe="").replace(".", "%2E", 1 if document.startswith(".") else 0).replace("_", "%5F", 1 if document.startswith("_") else 0) + ENDING
+    return quote(document, safe="").replace(".", "%2E", 1 if document.startswith(".") else 0).replace("_", "%5F", 1 if document.startswith("_") else 0) + ending
 
 
 def document_of(path: str) -> str:
     """All of a file's name but its ending."""
-    return unquote(posixpath.basename(path).removesuffix(ENDING))
+    name = posixpath.basename(path)
+    return unquote(name[: -len(PACKED)] if name.endswith(PACKED) else name.removesuffix(ENDING))
 
 
 @dataclass
@@ -95,12 +101,16 @@ class _Folder:
     def files(self, start: int = 0, stop: int | None = None) -> list[tuple[str, int]]:
         """Paths and sizes of the documents of some log entries, or of a folder without a log."""
         store, base = _opened(self.path)
-        there = {f.path: f.size for f in store.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.path.endswith(ENDING)}
+        there = {f.path: f.size for f in store.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.path.endswith((ENDING, PACKED))}
         log = self.entries()
         if not log:
             return sorted(there.items())
         named = dict.fromkeys(f"{base}/{name}" for entry in log[start:stop] for name in json.loads(_read_text(store, entry))["files"])
-        return [(path, there[path]) for path in named]
+        # of a document that was written in both ways the later one is left
+        return [(path, there[path]) for path in named if path in there or self._other(path) not in there]
+
+    def _other(self, path: str) -> str:
+        return path.removesuffix(PACKED) + ENDING if path.endswith(PACKED) else path.removesuffix(ENDING) + PACKED
 
     def split(self, files: list[tuple[str, int]]) -> list[_Files]:
         tasks: list[list[str]] = []
@@ -121,10 +131,10 @@ class _Folder:
         if name is not None and any(posixpath.basename(e).endswith(f"-{name}{ENDING}") for e in log):
             self.abort(messages)
             return
-        names = [file_of(document) for document, _ in written]
+        names = [file_of(document, PACKED if staged.endswith(PACKED) else ENDING) for document, staged in written]
         if len(set(names)) < len(names):
             self.abort(messages)
-            twice = sorted({n for n in names if names.count(n) > 1})[:5]
+            twice = sorted(n for n, k in Counter(names).items() if k > 1)[:5]
             raise ValueError(f"rows of one document lay in several tasks or apart from each other: {', '.join(map(document_of, twice))}")
         former = self.files() if replace and store.get_file_info(base).type == fs.FileType.Directory else []
         number = int(posixpath.basename(log[-1]).split("-")[0]) + 1 if log else 0
@@ -133,8 +143,9 @@ class _Folder:
         for entry in log if replace else ():
             store.delete_file(entry)
         for final, (_, staged) in zip(names, written):
-            if not replace and store.get_file_info(f"{base}/{final}").type != fs.FileType.NotFound:
-                store.delete_file(f"{base}/{final}")
+            for there in () if replace else store.get_file_info([f"{base}/{final}", self._other(f"{base}/{final}")]):
+                if there.type != fs.FileType.NotFound:
+                    store.delete_file(there.path)
             store.move(f"{base}/{STAGED}/{staged}", f"{base}/{final}")
         store.create_dir(f"{base}/{LOG}")
         _write_text(store, f"{base}/{LOG}/{number:012d}-{name or uuid.uuid4().hex}{ENDING}", json.dumps({"files": names}))
@@ -177,6 +188,22 @@ class _Glyphs(_Codec):
         return [{c: r[c] for c in ("text", "page", "x", "y", "w", "h")} for r in sorted(rows, key=lambda r: r["glyph_ord"])]
 
 
+class _GlyphPages(_Glyphs):
+    """A row a page; its glyphs' places in the document are their order."""
+
+    schema = "doc_id string, page int, glyphs array<struct<glyph_ord:bigint,text:string,x:double,y:double,w:double,h:double>>"
+    fields = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("glyphs", pa.list_(pa.struct([("glyph_ord", pa.int64()), ("text", pa.string()), *((c, pa.float64()) for c in "xywh")])))])
+
+    def rows(self, document: str, data: object) -> list[tuple]:
+        pages: dict[int, list[tuple]] = {}
+        for _, k, text, page, *place in super().rows(document, data):
+            pages.setdefault(page, []).append({"glyph_ord": k, "text": text, **dict(zip("xywh", place))})
+        return [(document, page, glyphs) for page, glyphs in pages.items()]
+
+    def data(self, rows: list[dict]) -> object:
+        return super().data([g | {"page": r["page"]} for r in rows for g in r["glyphs"]])
+
+
 class _Labelled(_Codec):
     """A statement without transactions is one row whose ord is null. Amounts are money as text."""
 
@@ -250,6 +277,7 @@ class _Writes:
 
     codec: _Codec
     folder: _Folder
+    ending: str
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         store, base = _opened(self.folder.path)
@@ -257,8 +285,8 @@ class _Writes:
         rows = (r for b in batches for r in b.to_pylist())
         for document, own in itertools.groupby(rows, key=lambda r: r[key]):
             file_of(document)
-            staged = f"{uuid.uuid4().hex}{ENDING}"
-            text = json.dumps(self.codec.data(list(own)), ensure_ascii=False, indent=2, allow_nan=False)
+            staged = f"{uuid.uuid4().hex}{self.ending}"
+            text = json.dumps(self.codec.data(list(own)), ensure_ascii=False, indent=2 if self.ending == ENDING else None, allow_nan=False)
             store.create_dir(f"{base}/{STAGED}")
             _write_text(store, f"{base}/{STAGED}/{staged}", text)
             made.append((document, staged))
@@ -269,16 +297,16 @@ class _Writes:
 
 
 class _BatchWriter(_Writes, DataSourceArrowWriter):
-    def __init__(self, codec: _Codec, folder: _Folder, overwrite: bool):
-        self.codec, self.folder, self.overwrite = codec, folder, overwrite
+    def __init__(self, codec: _Codec, folder: _Folder, ending: str, overwrite: bool):
+        self.codec, self.folder, self.ending, self.overwrite = codec, folder, ending, overwrite
 
     def commit(self, messages: list) -> None:
         self.folder.commit(messages, replace=self.overwrite)
 
 
 class _StreamWriter(_Writes, DataSourceStreamArrowWriter):
-    def __init__(self, codec: _Codec, folder: _Folder, query: str):
-        self.codec, self.folder, self.query = codec, folder, query
+    def __init__(self, codec: _Codec, folder: _Folder, ending: str, query: str):
+        self.codec, self.folder, self.ending, self.query = codec, folder, ending, query
 
     def commit(self, messages: list, batchId: int) -> None:
         self.folder.commit(messages, name=f"{self.query}.{batchId}")
@@ -295,6 +323,12 @@ class _DocumentFiles(DataSource):
             raise ValueError(f"{self.name()} needs a path")
         return _Folder(self.options["path"])
 
+    def _ending(self) -> str:
+        kind = self.options.get("compression", "none").lower()
+        if kind not in ("none", "gzip"):
+            raise ValueError(f"{self.name()} is written with compression none or gzip, not {kind}")
+        return PACKED if kind == "gzip" else ENDING
+
     def reader(self, schema) -> DataSourceReader:
         return _BatchReader(self.codec, self._folder())
 
@@ -302,10 +336,10 @@ class _DocumentFiles(DataSource):
         return _StreamReader(self.codec, self._folder())
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _BatchWriter(self.codec, self._folder(), overwrite)
+        return _BatchWriter(self.codec, self._folder(), self._ending(), overwrite)
 
     def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamArrowWriter:
-        return _StreamWriter(self.codec, self._folder(), self.options.get("query", "stream"))
+        return _StreamWriter(self.codec, self._folder(), self._ending(), self.options.get("query", "stream"))
 
 
 class GlyphDumps(_DocumentFiles):
@@ -316,6 +350,14 @@ class GlyphDumps(_DocumentFiles):
         return "glyph_dump"
 
 
+class GlyphPages(_DocumentFiles):
+    codec = _GlyphPages()
+
+    @classmethod
+    def name(cls) -> str:
+        return "glyph_pages"
+
+
 class LabelledStatements(_DocumentFiles):
     codec = _Labelled()
 

@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import format_money, money
-from tallyspark.sources.document_files import GlyphDumps, LabelledStatements
+from tallyspark.sources.document_files import GlyphDumps, GlyphPages, LabelledStatements
 
-GLYPHS, LABELLED = GlyphDumps.name(), LabelledStatements.name()
+GLYPHS, PAGES, LABELLED = GlyphDumps.name(), GlyphPages.name(), LabelledStatements.name()
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats ``glyph_dump`` and ``labelled_statement`` known to a session."""
+    """Makes the formats ``glyph_dump``, ``glyph_pages`` and ``labelled_statement`` known to a session."""
     spark.dataSource.register(GlyphDumps)
+    spark.dataSource.register(GlyphPages)
     spark.dataSource.register(LabelledStatements)
 
 
@@ -45,6 +46,19 @@ def write_glyphs(glyphs: DataFrame, path: str, mode: str = "append") -> None:
     _glyph_rows(glyphs).write.format(GLYPHS).mode(mode).save(path)
 
 
+def write_pages(pages: DataFrame, path: str, mode: str = "append", compression: str = "gzip") -> None:
+    """``write_glyphs`` of rows that are pages (doc_id, page, glyphs), each document's behind one another
+    in one partition, as they are where a shuffle by doc_id made them; elsewhere the write is refused."""
+    register(pages.sparkSession)
+    pages.write.format(PAGES).option("compression", compression).mode(mode).save(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``read_glyphs`` with a row a page."""
+    register(spark)
+    return spark.read.format(PAGES).load(path)
+
+
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Labelled statements, one row a transaction, in order; amounts are strict money strings. A
     statement without transactions is one row whose ord is null."""

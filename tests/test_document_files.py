@@ -142,3 +142,28 @@ def test_imports_follow_a_folder_of_dumps(spark, tmp_path):
         assert {r["doc_id"] for r in result.transactions.collect()} == {f"doc.{k}"} and result.events[-1].figures["transactions"] == 12
     whole = statements.read_glyphs(spark, there)
     assert geometry.extract_statements(whole).count() == 24
+
+
+def test_pages_are_the_same_documents_in_fewer_bytes(spark, tmp_path):
+    rows = glyph_rows(NAMES) + [("many", k, "a", 2 - k % 3, 5.0 * k, 90.0, 4.0, 8.0) for k in range(300)]
+    made = spark.createDataFrame(rows, SCHEMA).groupBy("doc_id", "page").agg(F.collect_list(F.struct("glyph_ord", "text", "x", "y", "w", "h")).alias("glyphs"))
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    statements.write_glyphs(spark.createDataFrame(rows, SCHEMA), plain)
+    statements.write_pages(made.coalesce(1).sortWithinPartitions("doc_id", "page"), packed)
+    size = lambda p: sum(f.stat().st_size for f in Path(p).glob("many.json*"))
+    assert size(packed) * 20 < size(plain) and not list(Path(packed).glob("*.json"))
+    assert rows_of(statements.read_glyphs(spark, packed)) == rows_of(statements.read_glyphs(spark, plain)) == sorted(rows)
+    flat = lambda p: rows_of(statements.read_pages(spark, p).select("doc_id", "page", F.inline("glyphs")).select("doc_id", "glyph_ord", "text", "page", "x", "y", "w", "h"))
+    assert flat(packed) == flat(plain) == sorted(rows)
+    with pytest.raises(Exception, match="one document lay in several tasks"):
+        statements.write_pages(made.coalesce(1).orderBy("page"), packed)
+
+
+def test_a_document_written_in_the_other_way_replaces_the_one_before(spark, tmp_path):
+    first, again, path = glyph_rows(["one", "two"]), glyph_rows(["two"], 2), str(tmp_path)
+    page = lambda rows: spark.createDataFrame(rows, SCHEMA).groupBy("doc_id", "page").agg(F.collect_list(F.struct("glyph_ord", "text", "x", "y", "w", "h")).alias("glyphs")).coalesce(1).sortWithinPartitions("doc_id")
+    statements.write_glyphs(spark.createDataFrame(first, SCHEMA), path)
+    statements.write_pages(page(again), path)
+    assert rows_of(statements.read_glyphs(spark, path)) == sorted([r for r in first if r[0] == "one"] + again)
+    statements.write_glyphs(spark.createDataFrame(first, SCHEMA), path)
+    assert rows_of(statements.read_glyphs(spark, path)) == sorted(first)
