@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +34,26 @@ class Summary:
             self.error += least
 
 
-def summaries(rows: DataFrame, column: str, capacity: int = CAPACITY) -> DataFrame:
+def _weighted(rows: DataFrame, column: str, weight: str | None) -> DataFrame:
+    own = rows.select(F.col(column).cast("string").alias("value"), (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("n"))
+    return own.filter("value is not null and n > 0")
+
+
+def summaries(rows: DataFrame, column: str, capacity: int = CAPACITY, weight: str | None = None) -> DataFrame:
     """value, n, error of every partition: its kept values, and one row without a value that has the
-    partition's error."""
+    partition's error. ``weight``: how often a row counts, once by default; also below."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(capacity)
         for batch in batches:
-            seen = pc.value_counts(batch.column(0))
-            summary.add(dict(zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist())))
+            seen = pa.Table.from_batches([batch]).group_by("value").aggregate([("n", "sum")])
+            summary.add(dict(zip(seen["value"].to_pylist(), seen["n_sum"].to_pylist())))
         yield pa.RecordBatch.from_pydict({
             "value": pa.array([None, *summary.counts], pa.string()), "n": pa.array([0, *summary.counts.values()], pa.int64()),
             "error": pa.array([summary.error] + [0] * len(summary.counts), pa.int64()),
         })
 
-    return rows.select(F.col(column).cast("string").alias("value")).filter("value is not null").mapInArrow(work, "value string, n long, error long")
+    return _weighted(rows, column, weight).mapInArrow(work, "value string, n long, error long")
 
 
 def survivors(merged: DataFrame, k: int) -> DataFrame | None:
@@ -62,14 +66,14 @@ def survivors(merged: DataFrame, k: int) -> DataFrame | None:
     return lower.filter(F.col("n") + error >= first[-1]).select("value") if error < first[-1] else None
 
 
-def frequent(rows: DataFrame, column: str, k: int, capacity: int = CAPACITY) -> DataFrame:
+def frequent(rows: DataFrame, column: str, k: int, capacity: int = CAPACITY, weight: str | None = None) -> DataFrame:
     """value, n of the k most frequent values that are not null, ties by value.
 
     ``rows`` is read twice, so it should be a table. Where counts are so even that the summaries tell
     nothing apart, or too many values stay, all are counted.
     """
-    values = rows.select(F.col(column).cast("string").alias("value")).filter("value is not null")
-    kept = survivors(summaries(rows, column, capacity), k)
+    values = _weighted(rows, column, weight)
+    kept = survivors(summaries(rows, column, capacity, weight), k)
     if kept is not None and kept.limit(RECOUNTED + 1).count() <= RECOUNTED:
         values = values.join(F.broadcast(kept), "value", "left_semi")
-    return values.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k)
+    return values.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(k)
