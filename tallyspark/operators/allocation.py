@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.cycle_search import Cycles, stacked
+from tallyspark.operators.cycle_search import Cycles, splits, stacked
 from tallyspark.operators.rewards import rule_candidates, rule_gross
 from tallyspark.sources.cards import Card
 
 Options = list[tuple[int, int]]  # (rule, gross), in rule order
 
 
+#: Spends of the longest cycle that is searched whole.
+SEARCHED = 12
+
+
 class Wallet:
     """Reward arithmetic of one cycle over integer paise. ``start``: what each card's buckets hold
     before the first spend, nothing where it is not given."""
@@ -151,7 +154,7 @@ class Wallet:
         goals = self.milestones[card]
         return [rewards + sum(grant for threshold, grant in goals if spent >= threshold) for rewards, spent, _ in states]
 
-    def brute_force(self, spends: list, limit: int = 12) -> tuple[list[int], int]:
+    def brute_force(self, spends: list, limit: int = SEARCHED) -> tuple[list[int], int]:
         """The first best of all assignments, in lexicographic order: the best partition of the
         spends into one set a card, card by card. Of equal totals the least assignment read as a
         number in base ``len(cards)`` wins; it is a sum over the cards' sets like the total, so one
@@ -168,13 +171,13 @@ class Wallet:
         order = [np.array([v * k**n - c * x for v, x in zip(values[c], place)], dtype) for c in range(k)]
         best, picks = order[0], []
         for c in range(1, k):
-            own, others, starts = _splits(n)
+            own, others, starts = splits(n)
             total = best[others] + order[c][own]
             best = np.maximum.reduceat(total, starts)
             picks.append((total, best))
         assignment, left = [0] * n, (1 << n) - 1
         for c in range(k - 1, 0, -1):
-            own, _, starts = _splits(n)
+            own, _, starts = splits(n)
             total, most = picks[c - 1]
             end = starts[left + 1] if left + 1 < len(starts) else len(own)
             taken = int(own[starts[left] + int(np.flatnonzero(total[starts[left] : end] == most[left])[0])])
@@ -185,17 +188,6 @@ class Wallet:
         return assignment, -int(-best[-1] // k**n)
 
 
-@lru_cache(maxsize=16)
-def _splits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every (subset, rest) of every set of n, set by set, and where each set's begin: 3**n rows."""
-    own = rest = np.zeros(1, np.int64)
-    for i in range(n):
-        own, rest = np.concatenate([own, own, own + (1 << i)]), np.concatenate([rest, rest + (1 << i), rest])
-    order = np.argsort(own + rest, kind="stable")
-    own, rest = own[order], rest[order]
-    return own, rest, np.searchsorted(own + rest, np.arange(1 << n))
-
-
 def card_options(cards: list[Card]) -> Column:
     """array<bigint>: card, rule and gross of every candidate in turn, flat, as Arrow hands it to
     pandas without a Python object for each."""
@@ -399,19 +391,17 @@ def brute_force_cycles(spends: DataFrame, cards: list[Card], states: States | No
     """Greedy and allocated totals and the best of all assignments, of cycles of few spends."""
     Wallet(cards)
 
-    def spends_of(cycles: Cycles, n: int, length: int) -> list[tuple[int, list[Options]]]:
-        gross = cycles.gross[n].tolist()
-        return [(int(cycles.amounts[n, j]), [[(r, gross[j][place]) for r, (place, *_) in enumerate(own) if gross[j][place] > 0] for own in cycles.rules]) for j in range(length)]
-
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in _whole_cycles(batches, ("cycle_id",)):
             naive, total, most = (np.zeros(len(first) - 1, np.int64) for _ in range(3))
             for own, rows, cycles in _cycles_of(table, first, cards):
                 naive[own], _, total[own] = cycles.allocate()
-                for n, k in enumerate(own.tolist()):
-                    held = iter(cycles.start[n].tolist())
-                    wallet = Wallet(cards, [{b.id: next(held) for b in c.buckets} for c in cards])
-                    most[k] = wallet.brute_force(spends_of(cycles, n, int((rows[n] >= 0).sum())))[1]
+                length = (rows >= 0).sum(axis=1)
+                if length.max() > SEARCHED:
+                    raise ValueError(f"brute force is for at most {SEARCHED} spends")
+                for n in np.unique(length).tolist():
+                    some = np.flatnonzero(length == n)
+                    most[own[some]] = Cycles(cards, cycles.amounts[some], cycles.gross[some], cycles.start[some]).optima(n)
             yield from pa.table({"cycle_id": table["cycle_id"].take(first[:-1]), "greedy_paise": pa.array(naive), "allocated_paise": pa.array(total), "optimum_paise": pa.array(most)}).to_batches()
 
     # few bytes, much work: a number of partitions of its own, which Spark does not merge by size

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -178,6 +179,59 @@ class Cycles:
         return naive, own, total
 
 
+    def subset_values(self, card: int, n: int) -> np.ndarray:
+        """Rewards and grants of each set of the first n spends on one card, cycles by sets; bit i of a
+        set's number is spend i. A set replays as its last spend after the set without it."""
+        size = len(self.amounts)
+        slot = {b: i for i, b in enumerate(self.buckets[card])}
+        rewards, spent, used = np.zeros((size, 1), np.int64), np.zeros((size, 1), np.int64), self.start[:, None, self.buckets[card]]
+        for j in range(n):
+            rupees, open_, more = np.zeros_like(rewards), np.ones(rewards.shape, bool), used.copy()
+            for place, unit, buckets in self.rules[card]:
+                granted = np.broadcast_to(self.gross[:, j, place, None], rewards.shape)
+                for b in buckets:
+                    granted = np.minimum(granted, self.limits[b] - used[..., slot[b]])
+                hit = open_ & (granted > 0)
+                paid = granted if unit == "cashback" else (2 * granted * self.cards[card].point_value_paise + 100) // 200
+                rupees, open_ = np.where(hit, paid, rupees), open_ & ~hit
+                for b in buckets:
+                    more[..., slot[b]] += np.where(hit, granted, 0)
+            rewards, spent, used = (np.concatenate(v, axis=1) for v in ((rewards, rewards + rupees), (spent, spent + self.amounts[:, j, None]), (used, more)))
+        return rewards + sum((np.where(spent >= threshold, grant, 0) for threshold, grant in self.goals[card]), np.zeros_like(rewards))
+
+    def optima(self, n: int) -> np.ndarray:
+        """The totals of the best of all assignments of the first n spends: the best partition into one
+        set a card, card by card, over every set and its parts; of the last card over the whole alone."""
+        out, step = np.empty(len(self.amounts), np.int64), max(1, SPLITS // 3**n)
+        own, rest, starts = splits(n)
+        for at in range(0, len(out), step):
+            part = Cycles(self.cards, *(v[at : at + step] for v in (self.amounts, self.gross, self.start)))
+            best = part.subset_values(0, n)
+            for card in range(1, len(self.cards) - 1):
+                best = np.maximum.reduceat(best[:, rest] + part.subset_values(card, n)[:, own], starts, axis=1)
+            if len(self.cards) > 1:
+                best = best[:, ::-1] + part.subset_values(len(self.cards) - 1, n)
+                out[at : at + step] = best.max(axis=1)
+            else:
+                out[at : at + step] = best[:, -1]
+        return out
+
+
+#: Parts of sets that the exhaustive search values at once, a cycle at least.
+SPLITS = 1 << 20
+
+
+@lru_cache(maxsize=16)
+def splits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every (subset, rest) of every set of n, set by set, and where each set's begin: 3**n rows."""
+    own = rest = np.zeros(1, np.int64)
+    for i in range(n):
+        own, rest = np.concatenate([own, own, own + (1 << i)]), np.concatenate([rest, rest + (1 << i), rest])
+    order = np.argsort(own + rest, kind="stable")
+    own, rest = own[order], rest[order]
+    return own, rest, np.searchsorted(own + rest, np.arange(1 << n))
+
+
 def stacked(cards: list[Card], first: np.ndarray, amounts: np.ndarray, gross: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Cycles]]:
     """Cycles that lie one behind another, ``first`` their first spends and the end, stacked with those
     of like length: their numbers, their rows (cycles by spends, -1 where filled up), and they."""

@@ -116,3 +116,20 @@ def test_cycles_do_not_depend_on_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert allocation.allocate_cycles(spends_of(spark, []), cards).count() == 0
     assert allocation.greedy_allocate(spends_of(spark, []), cards).count() == 0
+
+
+def test_stacked_optima_equal_single_searches(monkeypatch):
+    """Whole cycles of one to six spends, with milestones and partly used buckets, also a cycle at a time."""
+    rng, seen = random.Random(5), 0
+    for trial in range(24):
+        monkeypatch.setattr("tallyspark.operators.cycle_search.SPLITS", rng.choice((1, 1 << 20)))
+        cards, n = random_cards(rng), rng.randint(1, 6)
+        cycles = [[s for s in random_cycle(rng, cards) + random_cycle(rng, cards)][:n] for _ in range(12)]
+        cycles = [c for c in cycles if len(c) == n]
+        if not cycles:
+            continue
+        starts = [[{b.id: rng.choice((0, b.limit_paise // 2, b.limit_paise + 7)) for b in c.buckets} for c in cards] for _ in cycles]
+        for own, rows, many in stacked(cards, *stack(cards, cycles, starts)):
+            assert many.optima(n).tolist() == [Wallet(cards, starts[k]).brute_force(cycles[k])[1] for k in own.tolist()]
+            seen += len(own)
+    assert seen > 100
