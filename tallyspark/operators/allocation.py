@@ -25,6 +25,8 @@ from tallyspark.sources.cards import Card
 Options = list[tuple[int, int]]  # (rule, gross), in rule order
 
 
+#: Rows of a table of cycles that are routed together.
+STACKED = 1 << 16
 #: Spends of the longest cycle that is searched whole.
 SEARCHED = 12
 
@@ -239,10 +241,15 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _whole_cycles(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole cycles, of about a batch each, and where their cycles begin, with the end."""
+    """Tables of whole cycles, of about ``STACKED`` rows each, and where their cycles begin, with the end."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
-        held += [] if batch is None else [batch]
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < STACKED:
+                continue
         if not held:
             break
         table = pa.Table.from_batches(held)
@@ -256,6 +263,7 @@ def _whole_cycles(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> I
         if batch is not None:  # its last cycle may go on
             held, first = table.slice(int(first[-2])).to_batches(), first[:-1]
             table = table.slice(0, int(first[-1]))
+            rows = 0
         if len(first) > 1:
             yield table, first
 

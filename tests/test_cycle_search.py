@@ -6,6 +6,7 @@ import random
 from datetime import date
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,15 @@ def test_stacked_optima_equal_single_searches(monkeypatch):
             assert many.optima(n).tolist() == [Wallet(cards, starts[k]).brute_force(cycles[k])[1] for k in own.tolist()]
             seen += len(own)
     assert seen > 100
+
+
+def test_small_batches_are_routed_together(monkeypatch):
+    """No cycle is cut, and tables are as large as they may be, whatever the batches."""
+    cycle = np.repeat(np.arange(40), np.arange(40) % 7 + 1)
+    batches = [pa.RecordBatch.from_pydict({"cycle_id": cycle[a : a + 5]}) for a in range(0, len(cycle), 5)]
+    for size in (1, 64, 10_000):
+        monkeypatch.setattr(allocation, "STACKED", size)
+        tables = list(allocation._whole_cycles(batches, ("cycle_id",)))
+        assert np.concatenate([t["cycle_id"].to_numpy() for t, _ in tables]).tolist() == cycle.tolist()
+        assert [n for t, first in tables for n in np.diff(first).tolist()] == np.unique(cycle, return_counts=True)[1].tolist()
+        assert len(tables) <= -(-len(cycle) // size) + 1
