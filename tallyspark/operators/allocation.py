@@ -13,7 +13,6 @@ import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,16 +210,13 @@ def _start_column(cards: list[Card], states: States | None) -> Column:
     return F.array(*held).cast("array<bigint>").alias("start")
 
 
-def _spends_of(group: pd.DataFrame, n_cards: int) -> list[tuple[int, list[Options]]]:
-    group = group.sort_values("spend_seq", kind="stable")
-    out = []
-    for amount, flat in zip(group["amount_paise"].tolist(), group["options"]):
-        options: list[Options] = [[] for _ in range(n_cards)]
-        values = iter(flat.tolist())
-        for card, rule, gross in zip(values, values, values):
-            options[card].append((rule, gross))
-        out.append((amount, options))
-    return out
+def spend_options(flat: Iterable[int], n_cards: int) -> list[Options]:
+    """What ``card_options`` lists flat, by card."""
+    options: list[Options] = [[] for _ in range(n_cards)]
+    values = iter(flat)
+    for card, rule, gross in zip(values, values, values):
+        options[card].append((rule, gross))
+    return options
 
 
 def _stacked_rows(spends: DataFrame, cards: list[Card], states: States | None, keys: tuple[str, ...], extra: tuple[str, ...] = (), tasks: tuple[int, ...] = ()) -> DataFrame:

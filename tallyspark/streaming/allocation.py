@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyspark.operators.allocation import Wallet, _spends_of, card_options
+from tallyspark.operators.allocation import Wallet, card_options, spend_options
 from tallyspark.sources.cards import Card
 from tallyspark.sources.storage import fresh_path
 
@@ -36,22 +36,24 @@ def route(spends: DataFrame, cards: list[Card], keep_days: int | None = None) ->
         if state.hasTimedOut:
             state.remove()
             return
-        group = pd.concat(list(frames)).sort_values(["date", "spend_id"], kind="stable", ignore_index=True)
+        # plain rows: most wallets have few, and a step of pandas costs as much as all of them
+        rows = [r for f in frames for r in zip(*(f[c].tolist() for c in names))]
+        rows.sort(key=lambda r: (r[0] is None, r[0] or "", r[1] != r[1], r[1]))
         seen, held = state.get if state.exists else (0, [0] * len(slots))
         used: list[dict[str, int]] = [{} for _ in cards]
         for (k, bucket), x in zip(slots, held):
             used[k][bucket] = int(x)
-        group["spend_seq"] = range(seen + 1, seen + 1 + len(group))
-        chosen, paid, rules = wallet.greedy(_spends_of(group, len(cards)), used)
-        state.update((seen + len(group), [used[k].get(bucket, 0) for k, bucket in slots]))
+        chosen, paid, rules = wallet.greedy([(r[2], spend_options(r[3].tolist(), len(cards))) for r in rows], used)
+        state.update((seen + len(rows), [used[k].get(bucket, 0) for k, bucket in slots]))
         if keep_days is not None:
-            latest = int(group["event_time"].max().timestamp() * 1000)
+            latest = int(max(r[4] for r in rows).timestamp() * 1000)
             state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + keep_days * 86_400_000)
         yield pd.DataFrame({
-            "cycle_id": key[0], "spend_id": group["spend_id"], "spend_seq": group["spend_seq"], "card_id": [cards[c].id for c in chosen], "rupees_paise": paid,
+            "cycle_id": key[0], "spend_id": [r[1] for r in rows], "spend_seq": range(seen + 1, seen + 1 + len(rows)), "card_id": [cards[c].id for c in chosen], "rupees_paise": paid,
             "rule_id": [cards[c].rules[r].id if r >= 0 else None for c, r in zip(chosen, rules)],
         })
 
+    names = ["date", "spend_id", "amount_paise", "options"] + ([] if keep_days is None else ["event_time"])
     timed = [] if keep_days is None else ["event_time"]
     rows = spends.select("cycle_id", "spend_id", F.col("date").cast("string").alias("date"), "amount_paise", card_options(cards).alias("options"), *timed)
     timeout = GroupStateTimeout.NoTimeout if keep_days is None else GroupStateTimeout.EventTimeTimeout
