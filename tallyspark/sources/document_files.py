@@ -2,36 +2,45 @@
 
 ``glyph_dump`` holds one JSON array of glyphs a file, ``labelled_statement`` one object with its
 transactions. A file is named after its document, percent-encoded, so any identifier comes back as it
-was. Tasks write whole documents under names of their own; the commit moves them to their place and
+was. Tasks write whole documents into folders of their own; the commit moves them to their place and
 then adds one entry to the folder's log, so readers see all of a write or nothing, a repeated task or
 micro-batch leaves nothing behind, and a stream follows the log entry by entry. A folder without a log
 (dumps made elsewhere) is read as the ``.json`` files that lie in it. A document that is written again
 replaces the one before. With the option ``compression`` set to gzip its file ends in ``.json.gz``; both
-kinds are read. ``glyph_pages`` are the same files as ``glyph_dump``, a row a page with its glyphs as a list.
+kinds are read. ``document_text`` are the same files, a row a document with the file's bytes.
+
+The driver never holds the documents' names. A task that writes keeps a list of its own, a name a line,
+and tells where the list may be cut into the shares of reading tasks; an entry of the log names lists,
+and, in one more list, what it wrote again. A task that reads goes through its share of a list. Only the
+files of a folder without a log are listed by the driver.
 
 Paths may be of any store that pyarrow's file systems reach: local and shared folders, object stores,
-HDFS. One document is in memory at a time.
+HDFS. One document is in memory at a time, or as many as make a batch of small ones.
 """
 
 from __future__ import annotations
 
-import gzip
 import itertools
 import json
 import posixpath
 import uuid
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-LOG, STAGED, ENDING, PACKED = "_log", "_staged", ".json", ".json.gz"
-#: Bytes of files that one task reads.
-TASK_BYTES = 32 << 20
+from tallyspark.sources.glyph_json import packed, unpacked
+
+LOG, STAGED, LISTS, ENDING, PACKED = "_log", "_staged", "_lists", ".json", ".json.gz"
+#: Bytes of JSON that one task reads; what a packed byte counts where the JSON's size isn't known, and what opening a file does.
+TASK_BYTES, PACKED_BYTES, FILE_BYTES = 32 << 20, 12, 1 << 10
+#: Names that the driver compares at a time, and documents' rows and bytes that make a batch.
+CHECKED, BATCH_ROWS, BATCH_BYTES = 1 << 22, 8192, 8 << 20
 _NUMBER = (int, float)
 
 
@@ -43,16 +52,19 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def _read_text(store: fs.FileSystem, path: str) -> str:
+def _read(store: fs.FileSystem, path: str) -> bytes:
     with store.open_input_stream(path, compression=None) as file:
-        data = file.read()
-    return (gzip.decompress(data) if path.endswith(PACKED) else data).decode()
+        return file.read()
 
 
-def _write_text(store: fs.FileSystem, path: str, text: str) -> None:
-    data = text.encode()
+def _read_text(store: fs.FileSystem, path: str) -> str:
+    data = _read(store, path)
+    return (unpacked(data) if path.endswith(PACKED) else data).decode()
+
+
+def _write(store: fs.FileSystem, path: str, data: bytes) -> None:
     with store.open_output_stream(path, compression=None) as file:
-        file.write(gzip.compress(data, 6, mtime=0) if path.endswith(PACKED) else data)
+        file.write(data)
 
 
 def file_of(document: str | None, ending: str = ENDING) -> str:
@@ -64,26 +76,51 @@ def file_of(document: str | None, ending: str = ENDING) -> str:
 
 def document_of(path: str) -> str:
     """All of a file's name but its ending."""
-    name = posixpath.basename(path)
-    return unquote(name[: -len(PACKED)] if name.endswith(PACKED) else name.removesuffix(ENDING))
+    return unquote(_stem(posixpath.basename(path)))
+
+
+def _stem(name: str) -> str:
+    return name[: -len(PACKED)] if name.endswith(PACKED) else name.removesuffix(ENDING)
+
+
+def _other(path: str) -> str:
+    """The same document's file of the other kind."""
+    return path.removesuffix(PACKED) + ENDING if path.endswith(PACKED) else path.removesuffix(ENDING) + PACKED
+
+
+@dataclass(frozen=True)
+class _Share:
+    """The lines of a list between two bytes; entries ``since`` to ``until`` of the log may have written
+    some of the documents again."""
+
+    path: str
+    start: int
+    stop: int
+    since: int
+    until: int
 
 
 @dataclass
 class _Files(InputPartition):
     """Files that one task reads."""
 
-    paths: tuple[str, ...]
+    paths: tuple[str | _Share, ...]
 
-    def __init__(self, paths: tuple[str, ...]):
+    def __init__(self, paths: tuple[str | _Share, ...]):
         super().__init__(None)
         self.paths = paths
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    """The documents that a task wrote, and under which staged names."""
+    """The documents that a task wrote, and under which staged names; or the list that has their names,
+    which is also the folder where they are staged, how many they are, and the list's cuts: where a
+    share ends, and its bytes of JSON."""
 
     files: list[tuple[str, str]]
+    list: str | None = None
+    number: int = 0
+    cuts: Sequence[tuple[int, int]] = field(default_factory=tuple)
 
 
 class _Folder:
@@ -98,22 +135,77 @@ class _Folder:
         found = store.get_file_info(fs.FileSelector(f"{base}/{LOG}", allow_not_found=True))
         return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(ENDING))
 
-    def files(self, start: int = 0, stop: int | None = None) -> list[tuple[str, int]]:
-        """Paths and sizes of the documents of some log entries, or of a folder without a log."""
+    def _log(self, start: int = 0, stop: int | None = None) -> list[dict]:
+        store, _ = _opened(self.path)
+        return [json.loads(_read_text(store, entry)) for entry in self.entries()[start:stop]]
+
+    def _names(self, listed: str, start: int = 0, stop: int | None = None) -> Iterator[str]:
+        """The names of a list, or of what lies between two bytes of it."""
+        store, base = _opened(self.path)
+        if stop is not None:
+            with store.open_input_file(f"{base}/{LISTS}/{listed}") as file:
+                file.seek(start)
+                yield from file.read(stop - start).decode().splitlines()
+            return
+        rest = b""
+        with store.open_input_stream(f"{base}/{LISTS}/{listed}", compression=None) as file:
+            while block := file.read(1 << 20):
+                *whole, rest = (rest + block).split(b"\n")
+                yield from (name.decode() for name in whole)
+
+    def pieces(self, start: int = 0, stop: int | None = None) -> list[tuple[str | _Share, int]]:
+        """What some log entries wrote, or the files of a folder without a log, with the bytes of it."""
+        if not self.entries():
+            return self._listing()
         store, base = _opened(self.path)
-        there = {f.path: f.size for f in store.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.path.endswith((ENDING, PACKED))}
-        log = self.entries()
-        if not log:
-            return sorted(there.items())
-        named = dict.fromkeys(f"{base}/{name}" for entry in log[start:stop] for name in json.loads(_read_text(store, entry))["files"])
-        # of a document that was written in both ways the later one is left
-        return [(path, there[path]) for path in named if path in there or self._other(path) not in there]
-
-    def _other(self, path: str) -> str:
-        return path.removesuffix(PACKED) + ENDING if path.endswith(PACKED) else path.removesuffix(ENDING) + PACKED
-
-    def split(self, files: list[tuple[str, int]]) -> list[_Files]:
-        tasks: list[list[str]] = []
+        log = self._log(start, stop)
+        plain, later = [], set()
+        for k in reversed(range(len(log)) if any(e["files"] for e in log) else ()):
+            own = [n for n in dict.fromkeys(log[k]["files"]) if _stem(n) not in later]
+            plain[:0] = own
+            later.update(map(_stem, own))
+            if log[k].get("again") and any(e["files"] for e in log[:k]):
+                later.update(self._names(log[k]["again"]))
+        found = zip(plain, store.get_file_info([f"{base}/{n}" for n in plain]))
+        out = [(f.path, _weight(f)) for _, f in found if f.type == fs.FileType.File or store.get_file_info(_other(f.path)).type != fs.FileType.File]
+        last = max((k + 1 for k, e in enumerate(log) if e.get("again")), default=0)
+        for k, entry in enumerate(log):
+            for listed, cuts in entry.get("lists", ()):
+                for (begin, _), (end, size) in itertools.pairwise([(0, 0), *cuts]):
+                    out.append((_Share(listed, begin, end, start + k + 1, start + max(last, k + 1)), size))
+        return out
+
+    def _listing(self) -> list[tuple[str, int]]:
+        store, base = _opened(self.path)
+        return sorted((f.path, _weight(f)) for f in store.get_file_info(fs.FileSelector(base)) if f.type == fs.FileType.File and f.path.endswith((ENDING, PACKED)))
+
+    def paths(self, task: _Files) -> Iterator[str]:
+        """The files of a task's share, without those of documents that were written again."""
+        _, base = _opened(self.path)
+        for piece in task.paths:
+            if isinstance(piece, str):
+                yield piece
+                continue
+            names = list(self._names(piece.path, piece.start, piece.stop))
+            own, again = set(map(_stem, names)), set()
+            for entry in self._log(piece.since, piece.until) if piece.since < piece.until else ():
+                if entry.get("again"):
+                    again.update(n for n in self._names(entry["again"]) if n in own)
+            yield from (f"{base}/{n}" for n in names if _stem(n) not in again)
+
+    def read(self, task: _Files) -> Iterator[tuple[str, bytes]]:
+        """Paths of a task's files and what they hold."""
+        store, _ = _opened(self.path)
+        for path in self.paths(task):
+            try:
+                yield path, _read(store, path)
+            except FileNotFoundError:
+                # a later write has put the other kind in its place
+                if store.get_file_info(_other(path)).type != fs.FileType.File:
+                    raise
+
+    def split(self, files: list[tuple[str | _Share, int]]) -> list[_Files]:
+        tasks: list[list[str | _Share]] = []
         room = 0
         for path, size in files:
             if not tasks or size > room:
@@ -123,38 +215,113 @@ class _Folder:
             room -= size
         return [_Files(tuple(t)) for t in tasks] or [_Files(())]
 
-    def commit(self, messages: list[_Written | None], name: str | None = None, replace: bool = False) -> None:
+    def _staged(self, messages: Iterable[_Written]) -> Iterator[tuple[str, str]]:
+        """The names of documents' files and where they are staged."""
+        _, base = _opened(self.path)
+        for message in messages:
+            for document, staged in message.files:
+                yield file_of(document, PACKED if staged.endswith(PACKED) else ENDING), f"{base}/{STAGED}/{staged}"
+            for name in self._names(message.list) if message.list else ():
+                yield name, f"{base}/{STAGED}/{message.list}/{name}"
+
+    def _repeated(self, messages: list[_Written]) -> list[str]:
+        """Names that come more than once, some of them if they are many."""
+        names = lambda: (name for name, _ in self._staged(messages))
+        turns = 1 + sum(len(m.files) + m.number for m in messages) // CHECKED
+        for turn in range(turns):
+            held = np.sort(np.fromiter((h for h in map(hash, names()) if h % turns == turn), np.int64))
+            same = set(held[1:][held[1:] == held[:-1]].tolist())
+            found = sorted(n for n, k in Counter(n for n in names() if hash(n) in same).items() if k > 1) if same else []
+            if found:
+                return found
+        return []
+
+    def commit(self, messages: list[_Written | None], name: str | None = None, replace: bool = False, fresh: bool = False) -> None:
         """Puts staged documents in their place. ``name``: an entry that is there already is not
-        added again. ``replace``: the folder's former documents go."""
+        added again. ``replace``: the folder's former documents go. ``fresh``: there was no such folder
+        before the write."""
         store, base = _opened(self.path)
-        log, written = self.entries(), [f for m in messages if m for f in m.files]
+        log, told = self.entries(), [m for m in messages if m]
         if name is not None and any(posixpath.basename(e).endswith(f"-{name}{ENDING}") for e in log):
             self.abort(messages)
             return
-        names = [file_of(document, PACKED if staged.endswith(PACKED) else ENDING) for document, staged in written]
-        if len(set(names)) < len(names):
+        if twice := self._repeated(told):
             self.abort(messages)
-            twice = sorted(n for n, k in Counter(names).items() if k > 1)[:5]
-            raise ValueError(f"rows of one document lay in several tasks or apart from each other: {', '.join(map(document_of, twice))}")
-        former = self.files() if replace and store.get_file_info(base).type == fs.FileType.Directory else []
+            raise ValueError(f"rows of one document lay in several tasks or apart from each other: {', '.join(map(document_of, twice[:5]))}")
+        if replace and store.get_file_info(base).type == fs.FileType.Directory:
+            self._clear(log)
         number = int(posixpath.basename(log[-1]).split("-")[0]) + 1 if log else 0
-        for path, _ in former:
-            store.delete_file(path)
-        for entry in log if replace else ():
-            store.delete_file(entry)
-        for final, (_, staged) in zip(names, written):
-            for there in () if replace else store.get_file_info([f"{base}/{final}", self._other(f"{base}/{final}")]):
+        again = self._place(told, replace or fresh and not log)
+        for message in told:
+            if message.list:
+                store.delete_dir(f"{base}/{STAGED}/{message.list}")
+        store.create_dir(f"{base}/{LOG}")
+        entry = {"files": [name for name, _ in self._staged(_Written(m.files) for m in told)], "lists": [[m.list, m.cuts] for m in told if m.list], "again": again}
+        _write(store, f"{base}/{LOG}/{number:012d}-{name or uuid.uuid4().hex}{ENDING}", json.dumps(entry).encode())
+
+    def _place(self, messages: list[_Written], alone: bool) -> str | None:
+        """Moves documents to their place. Unless none can be there (``alone``), those they replace go,
+        and are told in a list."""
+        store, base = _opened(self.path)
+        if alone:
+            for final, staged in self._staged(messages):
+                store.move(staged, f"{base}/{final}")
+            return None
+        listed, out = uuid.uuid4().hex, None
+        for final, staged in self._staged(messages):
+            for there in store.get_file_info([f"{base}/{final}", _other(f"{base}/{final}")]):
                 if there.type != fs.FileType.NotFound:
+                    if out is None:
+                        store.create_dir(f"{base}/{LISTS}")
+                        out = store.open_output_stream(f"{base}/{LISTS}/{listed}", compression=None)
+                    out.write(f"{_stem(final)}\n".encode())
                     store.delete_file(there.path)
-            store.move(f"{base}/{STAGED}/{staged}", f"{base}/{final}")
-        store.create_dir(f"{base}/{LOG}")
-        _write_text(store, f"{base}/{LOG}/{number:012d}-{name or uuid.uuid4().hex}{ENDING}", json.dumps({"files": names}))
+            store.move(staged, f"{base}/{final}")
+        if out is None:
+            return None
+        out.close()
+        return listed
+
+    def _clear(self, log: list[str]) -> None:
+        """Deletes the folder's documents, its log and its lists."""
+        store, base = _opened(self.path)
+        for path, _ in () if log else self._listing():
+            store.delete_file(path)
+        for entry in self._log():
+            lists = [listed for listed, _ in entry.get("lists", ())]
+            for name in itertools.chain(entry["files"], *map(self._names, lists)):
+                _drop(store, f"{base}/{name}")
+            for listed in (*lists, entry.get("again")):
+                if listed:
+                    store.delete_file(f"{base}/{LISTS}/{listed}")
+        for entry in log:
+            store.delete_file(entry)
 
     def abort(self, messages: list[_Written | None]) -> None:
         store, base = _opened(self.path)
         for message in messages:
             for _, staged in message.files if message else ():
-                store.delete_file(f"{base}/{STAGED}/{staged}")
+                _drop(store, f"{base}/{STAGED}/{staged}")
+            if message and message.list:
+                self.drop_list(message.list)
+
+    def drop_list(self, listed: str) -> None:
+        """Deletes what a task has staged and its list."""
+        store, base = _opened(self.path)
+        if store.get_file_info(f"{base}/{STAGED}/{listed}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/{STAGED}/{listed}")
+        _drop(store, f"{base}/{LISTS}/{listed}")
+
+
+def _weight(file: fs.FileInfo) -> int:
+    return (file.size or 0) * (PACKED_BYTES if file.path.endswith(PACKED) else 1)
+
+
+def _drop(store: fs.FileSystem, path: str) -> None:
+    try:
+        store.delete_file(path)
+    except FileNotFoundError:
+        pass
 
 
 class _Codec:
@@ -166,7 +333,7 @@ class _Codec:
     def rows(self, document: str, data: object) -> list[tuple]:
         raise NotImplementedError
 
-    def data(self, rows: list[dict]) -> object:
+    def data(self, rows: list[tuple]) -> object:
         raise NotImplementedError
 
 
@@ -184,24 +351,8 @@ class _Glyphs(_Codec):
             out.append((document, k, g["text"], g["page"], *(float(g[c]) for c in "xywh")))
         return out
 
-    def data(self, rows: list[dict]) -> object:
-        return [{c: r[c] for c in ("text", "page", "x", "y", "w", "h")} for r in sorted(rows, key=lambda r: r["glyph_ord"])]
-
-
-class _GlyphPages(_Glyphs):
-    """A row a page; its glyphs' places in the document are their order."""
-
-    schema = "doc_id string, page int, glyphs array<struct<glyph_ord:bigint,text:string,x:double,y:double,w:double,h:double>>"
-    fields = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("glyphs", pa.list_(pa.struct([("glyph_ord", pa.int64()), ("text", pa.string()), *((c, pa.float64()) for c in "xywh")])))])
-
-    def rows(self, document: str, data: object) -> list[tuple]:
-        pages: dict[int, list[tuple]] = {}
-        for _, k, text, page, *place in super().rows(document, data):
-            pages.setdefault(page, []).append({"glyph_ord": k, "text": text, **dict(zip("xywh", place))})
-        return [(document, page, glyphs) for page, glyphs in pages.items()]
-
-    def data(self, rows: list[dict]) -> object:
-        return super().data([g | {"page": r["page"]} for r in rows for g in r["glyphs"]])
+    def data(self, rows: list[tuple]) -> object:
+        return [dict(zip(("text", "page", "x", "y", "w", "h"), r[2:])) for r in sorted(rows, key=lambda r: r[1])]
 
 
 class _Labelled(_Codec):
@@ -220,12 +371,31 @@ class _Labelled(_Codec):
                 raise ValueError(f"transaction {k} needs date, description and amount as text")
         return [(*head, k, *(t[c] for c in self.item)) for k, t in enumerate(data["transactions"])] or [(*head, None, None, None, None)]
 
-    def data(self, rows: list[dict]) -> object:
-        heads = {tuple(r[c] for c in self.head) for r in rows}
-        if len(heads) > 1 or any(x is None for x in next(iter(heads))):
-            raise ValueError(f"the rows of statement {rows[0]['statement_id']} need one issuer and one glyph fixture")
-        own = sorted((r for r in rows if r["ord"] is not None), key=lambda r: r["ord"])
-        return dict(zip(self.head, next(iter(heads)))) | {"transactions": [{c: r[c] for c in self.item} for r in own]}
+    def data(self, rows: list[tuple]) -> object:
+        heads = {r[:3] for r in rows}
+        if len(heads) > 1 or None in next(iter(heads)):
+            raise ValueError(f"the rows of statement {rows[0][0]} need one issuer and one glyph fixture")
+        own = sorted((r for r in rows if r[3] is not None), key=lambda r: r[3])
+        return dict(zip(self.head, next(iter(heads)))) | {"transactions": [dict(zip(self.item, r[4:])) for r in own]}
+
+
+class _Texts(_Codec):
+    """A row a document: its file's bytes and, of what is written, how much JSON that is."""
+
+    schema = "doc_id string, path string, size long, content binary"
+    fields = pa.schema([("doc_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+
+
+def _rows(codec: _Codec, path: str, text: bytes) -> list[tuple]:
+    try:
+        return codec.rows(document_of(path), json.loads(text.decode()))
+    except ValueError as error:
+        raise ValueError(f"{path}: {error}") from error
+
+
+def glyph_rows(path: str, text: bytes) -> list[tuple]:
+    """A dump's glyphs as ``glyph_dump`` reads them."""
+    return _rows(_Glyphs(), path, text)
 
 
 class _Reads:
@@ -235,14 +405,24 @@ class _Reads:
     folder: _Folder
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        for path in partition.paths:
-            store, _ = _opened(self.folder.path)
-            try:
-                rows = self.codec.rows(document_of(path), json.loads(_read_text(store, path)))
-            except ValueError as error:
-                raise ValueError(f"{path}: {error}") from error
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.codec.fields)], schema=self.codec.fields)
+        rows: list[tuple] = []
+        size = 0
+        for path, data in self.folder.read(partition):
+            rows += self.rows(path, data)
+            size += len(data)
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield self.batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield self.batch(rows)
+
+    def rows(self, path: str, data: bytes) -> list[tuple]:
+        if isinstance(self.codec, _Texts):
+            return [(document_of(path), path, len(data), data)]
+        return _rows(self.codec, path, unpacked(data) if path.endswith(PACKED) else data)
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.codec.fields)], schema=self.codec.fields)
 
 
 class _BatchReader(_Reads, DataSourceReader):
@@ -250,7 +430,7 @@ class _BatchReader(_Reads, DataSourceReader):
         self.codec, self.folder = codec, folder
 
     def partitions(self) -> list[_Files]:
-        return self.folder.split(self.folder.files())
+        return self.folder.split(self.folder.pieces())
 
 
 class _StreamReader(_Reads, DataSourceStreamReader):
@@ -268,7 +448,7 @@ class _StreamReader(_Reads, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[_Files]:
         if start["entries"] == end["entries"]:
             return [_Files(())]
-        return self.folder.split(self.folder.files(start["entries"], end["entries"]))
+        return self.folder.split(self.folder.pieces(start["entries"], end["entries"]))
 
 
 class _Writes:
@@ -281,16 +461,40 @@ class _Writes:
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         store, base = _opened(self.folder.path)
-        key, made = self.codec.fields.names[0], []
-        rows = (r for b in batches for r in b.to_pylist())
-        for document, own in itertools.groupby(rows, key=lambda r: r[key]):
+        documents = self.documents(batches)
+        first = next(documents, None)
+        if first is None:
+            return _Written([])
+        listed = uuid.uuid4().hex
+        staged, number, at, size, cuts = f"{base}/{STAGED}/{listed}", 0, 0, 0, []
+        try:
+            for folder in (staged, f"{base}/{LISTS}"):
+                store.create_dir(folder)
+            with store.open_output_stream(f"{base}/{LISTS}/{listed}", compression=None, buffer_size=1 << 16) as names:
+                for document, data, weight in itertools.chain([first], documents):
+                    name = file_of(document, self.ending)
+                    _write(store, f"{staged}/{name}", data)
+                    line = f"{name}\n".encode()
+                    names.write(line)
+                    number, at, size = number + 1, at + len(line), size + weight + FILE_BYTES
+                    if size >= TASK_BYTES:
+                        cuts.append((at, size))
+                        size = 0
+        except BaseException:
+            self.folder.drop_list(listed)
+            raise
+        return _Written([], listed, number, [*cuts, (at, size)] if size else cuts)
+
+    def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, bytes, int]]:
+        """Each document, its file's bytes and how much JSON that is."""
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in self.codec.fields.names)))
+        if isinstance(self.codec, _Texts):
+            yield from ((document, content, size) for document, _, size, content in rows)
+            return
+        for document, own in itertools.groupby(rows, key=lambda r: r[0]):
             file_of(document)
-            staged = f"{uuid.uuid4().hex}{self.ending}"
-            text = json.dumps(self.codec.data(list(own)), ensure_ascii=False, indent=2 if self.ending == ENDING else None, allow_nan=False)
-            store.create_dir(f"{base}/{STAGED}")
-            _write_text(store, f"{base}/{STAGED}/{staged}", text)
-            made.append((document, staged))
-        return _Written(made)
+            data = json.dumps(self.codec.data(list(own)), ensure_ascii=False, indent=2 if self.ending == ENDING else None, allow_nan=False).encode()
+            yield document, packed(data) if self.ending == PACKED else data, len(data)
 
     def abort(self, messages: list, *_: int) -> None:
         self.folder.abort(messages)
@@ -299,9 +503,11 @@ class _Writes:
 class _BatchWriter(_Writes, DataSourceArrowWriter):
     def __init__(self, codec: _Codec, folder: _Folder, ending: str, overwrite: bool):
         self.codec, self.folder, self.ending, self.overwrite = codec, folder, ending, overwrite
+        store, base = _opened(folder.path)
+        self.fresh = store.get_file_info(base).type == fs.FileType.NotFound
 
     def commit(self, messages: list) -> None:
-        self.folder.commit(messages, replace=self.overwrite)
+        self.folder.commit(messages, replace=self.overwrite, fresh=self.fresh)
 
 
 class _StreamWriter(_Writes, DataSourceStreamArrowWriter):
@@ -350,12 +556,12 @@ class GlyphDumps(_DocumentFiles):
         return "glyph_dump"
 
 
-class GlyphPages(_DocumentFiles):
-    codec = _GlyphPages()
+class DocumentTexts(_DocumentFiles):
+    codec = _Texts()
 
     @classmethod
     def name(cls) -> str:
-        return "glyph_pages"
+        return "document_text"
 
 
 class LabelledStatements(_DocumentFiles):

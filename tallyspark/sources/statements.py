@@ -3,19 +3,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import format_money, money
-from tallyspark.sources.document_files import GlyphDumps, GlyphPages, LabelledStatements
+from tallyspark.operators.geometry import Pages, glyph_lists, page_rows
+from tallyspark.sources import glyph_json
+from tallyspark.sources.document_files import PACKED, DocumentTexts, GlyphDumps, LabelledStatements, glyph_rows
 
-GLYPHS, PAGES, LABELLED = GlyphDumps.name(), GlyphPages.name(), LabelledStatements.name()
+GLYPHS, TEXTS, LABELLED = GlyphDumps.name(), DocumentTexts.name(), LabelledStatements.name()
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the formats ``glyph_dump``, ``glyph_pages`` and ``labelled_statement`` known to a session."""
+    """Makes the formats ``glyph_dump``, ``document_text`` and ``labelled_statement`` known to a session."""
     spark.dataSource.register(GlyphDumps)
-    spark.dataSource.register(GlyphPages)
+    spark.dataSource.register(DocumentTexts)
     spark.dataSource.register(LabelledStatements)
 
 
@@ -46,17 +53,76 @@ def write_glyphs(glyphs: DataFrame, path: str, mode: str = "append") -> None:
     _glyph_rows(glyphs).write.format(GLYPHS).mode(mode).save(path)
 
 
-def write_pages(pages: DataFrame, path: str, mode: str = "append", compression: str = "gzip") -> None:
-    """``write_glyphs`` of rows that are pages (doc_id, page, glyphs), each document's behind one another
+def write_pages(pages: DataFrame | Pages, path: str, mode: str = "append", compression: str = "gzip") -> None:
+    """``write_glyphs`` of pages (or of rows of doc_id, page, glyphs), each document's behind one another
     in one partition, as they are where a shuffle by doc_id made them; elsewhere the write is refused."""
     register(pages.sparkSession)
-    pages.write.format(PAGES).option("compression", compression).mode(mode).save(path)
+    pages = pages if isinstance(pages, Pages) else page_rows(pages)
+    steps, decode, pack = pages.steps(), pages.decode, compression.lower() == "gzip"
+
+    def dumped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_documents(steps(batches)):
+            doc, g = part.column("doc_id"), decode(part)
+            begins = np.append(0, _changes(doc))
+            document = np.searchsorted(begins, g.page, side="right") - 1
+            texts = list(glyph_json.dumps(g, part.column("page").to_numpy(zero_copy_only=False)[g.page], document, len(begins)))
+            content = pa.array(map(glyph_json.packed, texts) if pack else texts, pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": doc.take(pa.array(begins)), "path": pa.nulls(len(texts), pa.string()), "size": pa.array(map(len, texts), pa.int64()), "content": content})
+
+    pages.rows.mapInArrow(dumped, DocumentTexts.codec.schema).write.format(TEXTS).option("compression", compression).mode(mode).save(path)
+
+
+def _changes(names: pa.Array) -> np.ndarray:
+    """Where another name begins."""
+    return np.flatnonzero(pc.fill_null(pc.not_equal(names.slice(1), names.slice(0, max(len(names) - 1, 0))), True).to_numpy(zero_copy_only=False)) + 1
+
+
+def _whole_documents(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, so cut that the rows of a document that follow one another stay together."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        doc = part.column("doc_id")
+        if held and held[-1].column("doc_id")[-1].as_py() != doc[0].as_py():
+            yield pa.concat_batches(held)
+            held = []
+        begins = _changes(doc)
+        if len(begins):
+            yield pa.concat_batches([*held, part.slice(0, begins[-1])])
+            held, part = [], part.slice(begins[-1])
+        held.append(part)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def open_pages(spark: SparkSession, path: str) -> Pages:
+    """``read_glyphs`` as whole pages; dumps are read where their pages are, many at a time."""
+    register(spark)
+    return page_rows(spark.read.format(TEXTS).load(path), _opened)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``read_glyphs`` with a row a page."""
-    register(spark)
-    return spark.read.format(PAGES).load(path)
+    return glyph_lists(open_pages(spark, path))
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    names, paths, contents = (batch.column(c) for c in ("doc_id", "path", "content"))
+    held: list[tuple[str, str, bytes]] = []
+    size = 0
+    for name, path, content in zip(names.to_pylist(), paths.to_pylist(), contents):
+        data = content.as_py()
+        held.append((name, path, glyph_json.unpacked(data) if path.endswith(PACKED) else data))
+        size += len(held[-1][2])
+        if size >= glyph_json.STEP_BYTES:
+            yield _pages(held)
+            held, size = [], 0
+    if held:
+        yield _pages(held)
+
+
+def _pages(held: list[tuple[str, str, bytes]]) -> pa.RecordBatch:
+    names, paths, texts = zip(*held)
+    return glyph_json.pages(names, list(texts), lambda k: glyph_rows(paths[k], texts[k]))
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
